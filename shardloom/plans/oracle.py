@@ -274,3 +274,24 @@ SQL = {
     "map_has_prefix": f"""WITH {TEL}
   SELECT run, bool_or(stage = 3) AS has_stage_3, false AS has_stage_9 FROM steps GROUP BY run""",
 }
+SQL["stream_pack_shards"] = SQL["pack_shards"]
+SQL["live_step_loss"] = SQL["step_loss"]
+SQL["unigram_test_loss"] = f"""{CORPUS}, {COUNTS},
+  uni AS (SELECT b, sum(c) AS c FROM counts GROUP BY b),
+  tot AS (SELECT sum(c) AS n FROM counts),
+  test AS (SELECT * FROM tpairs WHERE split = 'testing')
+  SELECT (count(*) / {T})::BIGINT AS n_sequences,
+         round(avg(-ln((coalesce(u.c, 0) + 1.0) / ((SELECT n FROM tot) + {float(V)}))), 6) AS loss
+  FROM test t LEFT JOIN uni u USING (b)"""
+SQL["test_loss"] = f"""{CORPUS}, {COUNTS}, {man()},
+  ranks AS (SELECT shard_id, n_tokens AS L, unnest(range(0, {Q.LOADER.W})) AS rank FROM mani WHERE split = 'testing'),
+  kr AS (SELECT shard_id, rank, CASE WHEN {Q.LOADER.B * T} * rank + {Q.LOADER.B * T + Q.LM_N} <= L
+             THEN greatest(1, (L - {Q.LM_N} - {Q.LOADER.B * T} * rank) // {Q.LOADER.B * T * Q.LOADER.W}) ELSE 0 END AS K FROM ranks),
+  bt AS (SELECT shard_id, rank, rank + unnest(range(0, K)) * {Q.LOADER.W} AS batch FROM kr WHERE K > 0),
+  tp AS (SELECT shard_id, (pos // {T}) // {Q.LOADER.B} AS batch, a, b FROM tpairs WHERE split = 'testing'),
+  bl AS (SELECT bt.rank, bt.shard_id, bt.batch,
+                avg(-ln((coalesce(c.c, 0) + 1.0) / (coalesce(x.ca, 0) + {float(V)}))) AS loss
+         FROM tp JOIN bt USING (shard_id, batch) LEFT JOIN counts c USING (a, b) LEFT JOIN ctx x USING (a)
+         GROUP BY ALL),
+  pr AS (SELECT rank, sum(loss / n) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY rank) AS n FROM bl) GROUP BY rank)
+  SELECT 'count-model' AS run, round(avg(loss), 6) AS test_loss FROM pr"""

@@ -371,3 +371,65 @@ QUERIES: Dict[str, Callable[[SparkSession, str], DataFrame]] = {
 @lru_cache(maxsize=None)
 def names() -> tuple:
     return tuple(QUERIES)
+
+
+
+# -- scoring ------------------------------------------------------------------
+
+def q_unigram_test_loss(spark, sf):
+    """A supplied model (unigram log-probabilities fitted on the training
+    targets) scores every test sequence in mapInPandas; mean over sequences."""
+    from ..operators import scoring as SC
+
+    counts = stage_table(lm_counts(spark, sf), "lm-counts")
+    lp = SC.unigram_log_probs(counts, word_tokenizer(spark, sf).vocab_size)
+    test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
+    scored = SC.score_sequences(test, SC.unigram_scorer(lp))
+    return scored.agg(F.count(F.lit(1)).alias("n_sequences"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
+def q_test_loss(spark, sf):
+    """D7 + D4: count-model loss of every test batch the loader deals (B=2,
+    T=128, N=1, W=2), summed / n per rank, averaged over ranks."""
+    from ..operators import scoring as SC
+
+    counts = stage_table(lm_counts(spark, sf), "lm-counts")
+    test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
+    spec = C.WindowSpec(B=LOADER.B, T=SEQ_T, N=LM_N, W=LOADER.W)
+    man = SH.shard_catalog(manifest(spark, sf), "testing")
+    losses = SC.test_batch_losses(test, man, counts, spec, word_tokenizer(spark, sf).vocab_size)
+    return TM.test_loss(losses).select("run", _r("test_loss"))
+
+
+# -- streaming (run to completion with availableNow, output read back) --------
+
+def q_stream_pack_shards(spark, sf):
+    """I1 + I3 over the documents table as an append-only file source."""
+    from ..streaming.packing import read_packed, start_incremental_packing
+
+    schema = read_table(spark, sf, "documents").schema
+    # the table is one file: a glob on its name keeps the source a folder scan
+    stream = (spark.readStream.schema(schema).option("basePath", sf)
+              .parquet(f"{sf.rstrip('/')}/document[s].parquet")
+              .select(F.lit(0).cast("int").alias("source_ord"), F.col("doc_id").alias("doc_ord"), "text"))
+    out, ck = staging_path(spark, "stream-pack"), staging_path(spark, "stream-pack-ck")
+    start_incremental_packing(stream, out, ck, word_tokenizer(spark, sf), PACK).awaitTermination()
+    f = read_packed(spark, out)
+    return f.select("source_ord", "doc_ord", "shard_id", "pos",
+                    F.size("tokens").cast("long").alias("length"), _txt("tokens").alias("tokens_text"))
+
+
+def q_live_step_loss(spark, sf):
+    """Step loss of completed steps from a telemetry record stream."""
+    from ..streaming.telemetry import start_live_step_loss
+
+    tel = stage_table(telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "telemetry")
+    src = staging_path(spark, "telemetry-src")
+    tel.write.parquet(src)
+    out, ck = staging_path(spark, "live-loss"), staging_path(spark, "live-loss-ck")
+    start_live_step_loss(spark.readStream.schema(tel.schema).parquet(src), out, ck, TEL).awaitTermination()
+    return spark.read.parquet(out).select("run", "step", _r("loss"))
+
+
+QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "live_step_loss": q_live_step_loss,
+                "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss})
