@@ -294,4 +294,4 @@ SQL["test_loss"] = f"""{CORPUS}, {COUNTS}, {man()},
          FROM tp JOIN bt USING (shard_id, batch) LEFT JOIN counts c USING (a, b) LEFT JOIN ctx x USING (a)
          GROUP BY ALL),
   pr AS (SELECT rank, sum(loss / n) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY rank) AS n FROM bl) GROUP BY rank)
-  SELECT 'count-model' AS run, round(avg(loss), 6) AS test_loss FROM pr"""
+  SELECT run, round(avg(loss), 6) AS test_loss FROM (SELECT 'count-model' AS run, loss FROM pr) GROUP BY run"""
