@@ -39,6 +39,14 @@ def next_token_counts(seqs: DataFrame) -> DataFrame:
     return pair_table(seqs).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
 
 
+def split_pair_counts(seqs: DataFrame) -> DataFrame:
+    """D9 for every split at once: ``(split, a, b, c)``; the training counts
+    and the test targets then come from one pass over the sequences."""
+    z = seqs.select("split", F.explode(F.arrays_zip("x", "y")).alias("xy"))
+    return (z.select("split", F.col("xy.x").alias("a"), F.col("xy.y").alias("b"))
+            .groupBy("split", "a", "b").agg(F.count(F.lit(1)).alias("c")))
+
+
 def context_totals(counts: DataFrame) -> DataFrame:
     """``(a, ca)``: at most vocab_size rows."""
     return counts.groupBy("a").agg(F.sum("c").cast("long").alias("ca"))
@@ -74,12 +82,15 @@ def backoff_topk(counts: DataFrame, k: int = TOP_K) -> DataFrame:
 
 def cross_entropy(test_seqs: DataFrame, counts: DataFrame, vocab_size: int) -> DataFrame:
     """Mean of ``-ln p(b|a)`` over all test targets, add-one smoothing
-    ``p = (c(a,b)+1) / (c(a)+V)``: one row ``(n_targets, cross_entropy)``.
+    ``p = (c(a,b)+1) / (c(a)+V)``: one row ``(n_targets, cross_entropy)``."""
+    test = next_token_counts(test_seqs).withColumnRenamed("c", "n")
+    return cross_entropy_counts(test, counts, vocab_size)
 
-    Test pairs are aggregated first, so the join is between two tables of
-    distinct pairs (no hot key); the context totals are bounded by V."""
+
+def cross_entropy_counts(test: DataFrame, counts: DataFrame, vocab_size: int) -> DataFrame:
+    """D10 from aggregated test targets ``(a, b, n)``: the join is between two
+    tables of distinct pairs (no hot key); context totals are bounded by V."""
     _check_vocab(vocab_size)
-    test = next_token_counts(test_seqs).withColumnRenamed("c", "n")
     tot = F.broadcast(context_totals(counts))
     j = (test.join(counts, ["a", "b"], "left").join(tot, "a", "left")
          .select("n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("ca", F.lit(0)).alias("ca")))

@@ -84,11 +84,16 @@ def seqs(spark, sf, N: int) -> DataFrame:
 
 
 def lm_counts(spark, sf) -> DataFrame:
-    """Training-split pair counts at horizon 1, staged once per call."""
+    """Training-split pair counts at horizon 1."""
     train = seqs(spark, sf, LM_N).where(F.col("split") == "training")
     return CM.next_token_counts(train)
 
 
+def all_split_counts(spark, sf) -> DataFrame:
+    """Pair counts of every split from one pass, written once."""
+    return stage_table(CM.split_pair_counts(seqs(spark, sf, LM_N)), "split-pair-counts")
+
+
 def telemetry(spark, sf) -> DataFrame:
     return TS.telemetry_from_events(read_table(spark, sf, "events"), TEL)
 
@@ -218,9 +223,10 @@ def q_next_token_counts(spark, sf):
 
 
 def q_test_cross_entropy(spark, sf):
-    counts = stage_table(lm_counts(spark, sf), "lm-counts")
-    test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
-    ce = CM.cross_entropy(test, counts, word_tokenizer(spark, sf).vocab_size)
+    allc = all_split_counts(spark, sf)
+    counts = allc.where(F.col("split") == "training").select("a", "b", "c")
+    test = allc.where(F.col("split") == "testing").select("a", "b", F.col("c").alias("n"))
+    ce = CM.cross_entropy_counts(test, counts, word_tokenizer(spark, sf).vocab_size)
     return ce.select("n_targets", _r("cross_entropy"))
 
 
