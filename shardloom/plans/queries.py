@@ -79,8 +79,14 @@ def fragments(spark, sf) -> DataFrame:
     return PK.label_splits(frags, RATIO)
 
 
+def packed_shards(spark, sf) -> DataFrame:
+    """Fragments written once as a table (the shard files a loader reads):
+    tokenising runs once however many windowing branches read them."""
+    return stage_table(fragments(spark, sf), "fragments")
+
+
 def seqs(spark, sf, N: int) -> DataFrame:
-    return WI.sequences(fragments(spark, sf), SEQ_T, N)
+    return WI.sequences(packed_shards(spark, sf), SEQ_T, N)
 
 
 def lm_counts(spark, sf) -> DataFrame:

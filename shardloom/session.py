@@ -104,3 +104,15 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zpath)
     _SHIPPED.add(app)
+
+
+def spread_small_input(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a source that arrives in fewer partitions than the cluster
+    runs tasks (e.g. one unsplittable file), so per-row work does not run in
+    one task.  Large inputs already have many splits and are left untouched:
+    no shuffle is added where the scan is parallel."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)

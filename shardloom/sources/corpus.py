@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DatasetSpec
+from ..session import spread_small_input
 
 DOC_COLUMNS = ("source_ord", "doc_ord", "text")
 
@@ -68,7 +69,7 @@ def documents(spark: SparkSession, spec: DatasetSpec, source_ord: int = 0,
     df = df.select(F.lit(source_ord).cast("int").alias("source_ord"),
                    F.col("doc_ord").cast("long").alias("doc_ord"),
                    join_keys(spec.data_keys, spec.separator).alias("text"))
-    return require_text(df, on_null)
+    return require_text(spread_small_input(df, "doc_ord"), on_null)
 
 
 def instruction_pairs(conversations: DataFrame, max_turns: int = 65536) -> DataFrame:
