@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..session import ship_package
+from ..session import ship_package, spread_small_input
 
 TOKENS_TYPE = T.ArrayType(T.IntegerType(), containsNull=False)
 
@@ -111,20 +111,41 @@ class WordTokenizer(Tokenizer):
     @staticmethod
     def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Word frequencies; partial aggregation collapses hot words map-side."""
+        docs = spread_small_input(docs, "doc_ord") if "doc_ord" in docs.columns else docs
         return (docs.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("word"))
                 .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
 
     @classmethod
     def vocabulary(cls, docs: DataFrame, cap: int = C.WORD_CAP,
                    text_col: str = "text") -> DataFrame:
-        """C4: the capped vocabulary ``(id, word, count)``.  The top-``cap`` cut
-        runs as a per-partition top-k merged once (TakeOrderedAndProject), so
-        only ``cap`` rows per partition ever leave a task; numbering the capped
-        table is a window over at most ``cap`` rows."""
-        top = (cls.word_counts(docs, text_col)
-               .orderBy(F.desc("count"), F.asc("word")).limit(cap))
+        """C4: the capped vocabulary ``(id, word, count)``.
+
+        No step funnels the distinct words into one task: a histogram of
+        frequencies (at most sqrt(2 * words) rows) gets an exclusive prefix
+        sum in descending-count order, which gives the count ``t`` of the
+        ``cap``-th word.  Words above ``t`` are all in; ties at ``t`` are
+        ranked by word with the range-partitioned ``row_index``.  Only the
+        final ``<= cap`` rows are numbered by one window."""
+        from ..plans.ordering import row_index, with_offsets
+        from ..session import stage_table
+
+        counts = stage_table(cls.word_counts(docs, text_col), "word-counts")
+        hist = (counts.groupBy("count").agg(F.count(F.lit(1)).alias("k"))
+                .select(F.lit(0).alias("_g"), (-F.col("count")).alias("_ord"), "count", "k"))
+        cut = (with_offsets(hist, "k", 4096, group_cols=("_g",), ord_col="_ord", out_col="above")
+               .where((F.col("above") < cap) & (F.col("above") + F.col("k") >= cap))
+               .select("count", "above", "k").collect())            # one row at most
+        if not cut:
+            chosen = counts                                          # fewer than ``cap`` words
+        else:
+            t, above, k = int(cut[0]["count"]), int(cut[0]["above"]), int(cut[0]["k"])
+            need = cap - above
+            ties = counts.where(F.col("count") == t)
+            if need < k:
+                ties = row_index(ties, [], ["word"], "_i").where(F.col("_i") < need)
+            chosen = counts.where(F.col("count") > t).unionByName(ties.select("word", "count"))
         w = Window.orderBy(F.desc("count"), F.asc("word"))
-        return top.select(F.row_number().over(w).cast("int").alias("id"), "word", "count")
+        return chosen.select(F.row_number().over(w).cast("int").alias("id"), "word", "count")
 
     @classmethod
     def fit(cls, docs: DataFrame, cap: int = C.WORD_CAP, text_col: str = "text") -> "WordTokenizer":
@@ -333,6 +354,7 @@ def get_tokenizer(name: str, docs: Optional[DataFrame] = None, **kwargs) -> Toke
 
 def tokenize_documents(docs: DataFrame, tok: Tokenizer) -> DataFrame:
     """H1 + H2: ``(source_ord, doc_ord, tokens, n)``; tokens[0] is end-of-text."""
+    docs = spread_small_input(docs, "doc_ord")
     return (docs.withColumn("tokens", tok.encode(F.col("text")))
             .select("source_ord", "doc_ord", "tokens",
                     F.size("tokens").cast("long").alias("n")))

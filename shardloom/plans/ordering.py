@@ -6,6 +6,8 @@ buckets of at most ``K`` consecutive order keys, buckets in super-buckets of at
 most ``K`` buckets; only the super-bucket table (rows = keys / K^2) is summed by
 one un-partitioned window.  Every other window is partitioned by a bucket, so
 no task holds more than ``K`` rows of one group however skewed a source is.
+The bucket totals (one row per bucket) are written once, so the source is
+read twice in all: once for the totals, once for the rows themselves.
 
 ``row_index`` numbers rows of each group in a total order.  A range
 repartition on (group, order) splits even a group holding a third of all rows
@@ -36,7 +38,9 @@ def with_offsets(df: DataFrame, n_col: str = "n", bucket_docs: int = 4096,
     K = int(bucket_docs)
     group_cols = list(group_cols)
     keyed = df.withColumn("_bkt", _div(ord_col, K))
-    tot1 = keyed.groupBy(*group_cols, "_bkt").agg(F.sum(n_col).cast("long").alias("_bn"))
+    # one row per bucket; written once so the source is scanned once for it
+    tot1 = stage_table(keyed.groupBy(*group_cols, "_bkt").agg(F.sum(n_col).cast("long").alias("_bn")),
+                       "bucket-totals")
     tot1 = tot1.withColumn("_sup", _div("_bkt", K))
     tot2 = tot1.groupBy(*group_cols, "_sup").agg(F.sum("_bn").cast("long").alias("_sn"))
     order2 = [*group_cols, "_sup"]
