@@ -35,6 +35,8 @@ from .. import config as C
 from ..session import ship_package, spread_small_input
 
 TOKENS_TYPE = T.ArrayType(T.IntegerType(), containsNull=False)
+# Tables checked to be at most this many rows may take a single-task path.
+SMALL_TABLE_ROWS = 1_000_000
 
 # Fixed value: the GPT-2 pre-split pattern (public tiktoken definition).
 GPT2_PATTERN = (r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
@@ -125,15 +127,23 @@ class WordTokenizer(Tokenizer):
         sum in descending-count order, which gives the count ``t`` of the
         ``cap``-th word.  Words above ``t`` are all in; ties at ``t`` are
         ranked by word with the range-partitioned ``row_index``.  Only the
-        final ``<= cap`` rows are numbered by one window."""
+        final ``<= cap`` rows are numbered by one window.  A histogram or a
+        tie set counted at most ``SMALL_TABLE_ROWS`` rows takes the one-task
+        path instead (a checked bound)."""
         from ..plans.ordering import row_index, with_offsets
         from ..session import stage_table
 
         counts = stage_table(cls.word_counts(docs, text_col), "word-counts")
-        hist = (counts.groupBy("count").agg(F.count(F.lit(1)).alias("k"))
-                .select(F.lit(0).alias("_g"), (-F.col("count")).alias("_ord"), "count", "k"))
-        cut = (with_offsets(hist, "k", 4096, group_cols=("_g",), ord_col="_ord", out_col="above")
-               .where((F.col("above") < cap) & (F.col("above") + F.col("k") >= cap))
+        hist = counts.groupBy("count").agg(F.count(F.lit(1)).alias("k"))
+        n_hist = hist.count()
+        if n_hist <= SMALL_TABLE_ROWS:
+            # checked bound: one window over at most SMALL_TABLE_ROWS rows
+            w_desc = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            pref = hist.withColumn("above", F.sum("k").over(w_desc) - F.col("k"))
+        else:
+            pref = with_offsets(hist.select(F.lit(0).alias("_g"), (-F.col("count")).alias("_ord"), "count", "k"),
+                                "k", 4096, group_cols=("_g",), ord_col="_ord", out_col="above")
+        cut = (pref.where((F.col("above") < cap) & (F.col("above") + F.col("k") >= cap))
                .select("count", "above", "k").collect())            # one row at most
         if not cut:
             chosen = counts                                          # fewer than ``cap`` words
@@ -142,7 +152,11 @@ class WordTokenizer(Tokenizer):
             need = cap - above
             ties = counts.where(F.col("count") == t)
             if need < k:
-                ties = row_index(ties, [], ["word"], "_i").where(F.col("_i") < need)
+                if k <= SMALL_TABLE_ROWS:
+                    # per-task top-``need`` merged once: at most k rows reach the merge
+                    ties = ties.orderBy("word").limit(need)
+                else:
+                    ties = row_index(ties, [], ["word"], "_i").where(F.col("_i") < need)
             chosen = counts.where(F.col("count") > t).unionByName(ties.select("word", "count"))
         w = Window.orderBy(F.desc("count"), F.asc("word"))
         return chosen.select(F.row_number().over(w).cast("int").alias("id"), "word", "count")

@@ -74,15 +74,34 @@ def manifest(spark, sf, pack: C.PackSpec = PACK) -> DataFrame:
     return PK.shard_manifest(PK.doc_offsets(docs(spark, sf), word_tokenizer(spark, sf), pack), pack, RATIO)
 
 
+def prepared_manifest(spark, sf) -> DataFrame:
+    """The shard manifest written beside the shards, for its readers."""
+    return _prepared(spark, sf, "manifest", lambda: manifest(spark, sf))
+
+
 def fragments(spark, sf) -> DataFrame:
     frags = PK.pack_fragments(docs(spark, sf), word_tokenizer(spark, sf), PACK)
     return PK.label_splits(frags, RATIO)
 
 
+_PREPARED: Dict[tuple, str] = {}
+
+
+def _prepared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the inputs, written once per application and data
+    folder under the checkpoint folder and read by every later query — as a
+    prepared corpus is written once and read by training and evaluation."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _PREPARED:
+        path = staging_path(spark, name)
+        build().write.mode("overwrite").parquet(path)
+        _PREPARED[key] = path
+    return spark.read.parquet(_PREPARED[key])
+
+
 def packed_shards(spark, sf) -> DataFrame:
-    """Fragments written once as a table (the shard files a loader reads):
-    tokenising runs once however many windowing branches read them."""
-    return stage_table(fragments(spark, sf), "fragments")
+    """The packed, labelled fragments (the shard files a loader reads)."""
+    return _prepared(spark, sf, "fragments", lambda: fragments(spark, sf))
 
 
 def seqs(spark, sf, N: int) -> DataFrame:
@@ -90,18 +109,19 @@ def seqs(spark, sf, N: int) -> DataFrame:
 
 
 def lm_counts(spark, sf) -> DataFrame:
-    """Training-split pair counts at horizon 1."""
-    train = seqs(spark, sf, LM_N).where(F.col("split") == "training")
-    return CM.next_token_counts(train)
+    """Training-split pair counts at horizon 1 (the count model)."""
+    return all_split_counts(spark, sf).where(F.col("split") == "training").select("a", "b", "c")
 
 
 def all_split_counts(spark, sf) -> DataFrame:
     """Pair counts of every split from one pass, written once."""
-    return stage_table(CM.split_pair_counts(seqs(spark, sf, LM_N)), "split-pair-counts")
+    return _prepared(spark, sf, "split-pair-counts", lambda: CM.split_pair_counts(seqs(spark, sf, LM_N)))
 
 
 def telemetry(spark, sf) -> DataFrame:
-    return TS.telemetry_from_events(read_table(spark, sf, "events"), TEL)
+    """Run records derived from ``events``, written once."""
+    return _prepared(spark, sf, "telemetry",
+                     lambda: TS.telemetry_from_events(read_table(spark, sf, "events"), TEL))
 
 
 def steps(spark, sf) -> DataFrame:
@@ -214,18 +234,19 @@ def q_target_pairs(spark, sf):
 
 
 def q_rank_batches(spark, sf):
-    return BA.rank_batches(SH.shard_catalog(manifest(spark, sf), "training"), LOADER)
+    return BA.rank_batches(SH.shard_catalog(prepared_manifest(spark, sf), "training"), LOADER)
 
 
 def q_batch_schedule(spark, sf):
-    return BA.batch_schedule(SH.shard_catalog(manifest(spark, sf), "training"), LOADER,
+    return BA.batch_schedule(SH.shard_catalog(prepared_manifest(spark, sf), "training"), LOADER,
                              SCHEDULE_ACCUM, SCHEDULE_STEPS)
 
 
 # -- count model --------------------------------------------------------------
 
 def q_next_token_counts(spark, sf):
-    return lm_counts(spark, sf)
+    train = seqs(spark, sf, LM_N).where(F.col("split") == "training")
+    return CM.next_token_counts(train)
 
 
 def q_test_cross_entropy(spark, sf):
@@ -278,7 +299,7 @@ def q_prepare_prompts(spark, sf):
 
 def generated(spark, sf) -> DataFrame:
     tok = word_tokenizer(spark, sf)
-    counts = stage_table(lm_counts(spark, sf), "lm-counts")
+    counts = lm_counts(spark, sf)
     prompts = GE.prompt_matrix(prompt_tokens(spark, sf), [GEN_RUN])
     return GE.generate(prompts, CM.topk_next(counts), CM.backoff_topk(counts),
                        GEN_MAX_LENGTH, tok.vocab_size)
@@ -393,7 +414,7 @@ def q_unigram_test_loss(spark, sf):
     targets) scores every test sequence in mapInPandas; mean over sequences."""
     from ..operators import scoring as SC
 
-    counts = stage_table(lm_counts(spark, sf), "lm-counts")
+    counts = lm_counts(spark, sf)
     lp = SC.unigram_log_probs(counts, word_tokenizer(spark, sf).vocab_size)
     test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
     scored = SC.score_sequences(test, SC.unigram_scorer(lp))
@@ -405,10 +426,10 @@ def q_test_loss(spark, sf):
     T=128, N=1, W=2), summed / n per rank, averaged over ranks."""
     from ..operators import scoring as SC
 
-    counts = stage_table(lm_counts(spark, sf), "lm-counts")
+    counts = lm_counts(spark, sf)
     test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
     spec = C.WindowSpec(B=LOADER.B, T=SEQ_T, N=LM_N, W=LOADER.W)
-    man = SH.shard_catalog(manifest(spark, sf), "testing")
+    man = SH.shard_catalog(prepared_manifest(spark, sf), "testing")
     losses = SC.test_batch_losses(test, man, counts, spec, word_tokenizer(spark, sf).vocab_size)
     return TM.test_loss(losses).select("run", _r("test_loss"))
 
