@@ -295,3 +295,6 @@ SQL["test_loss"] = f"""{CORPUS}, {COUNTS}, {man()},
          GROUP BY ALL),
   pr AS (SELECT rank, sum(loss / n) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY rank) AS n FROM bl) GROUP BY rank)
   SELECT run, round(avg(loss), 6) AS test_loss FROM (SELECT 'count-model' AS run, loss FROM pr) GROUP BY run"""
+SQL["horizon_counts"] = f"""{CORPUS}, {pairs_at(64)}
+  SELECT a, b, count(*)::BIGINT AS c FROM tpairs WHERE split = 'training' GROUP BY a, b"""
+SQL["log_scan"] = SQL["log_parse"]

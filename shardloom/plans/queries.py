@@ -434,6 +434,29 @@ def q_test_loss(spark, sf):
     return TM.test_loss(losses).select("run", _r("test_loss"))
 
 
+
+def q_horizon_counts(spark, sf):
+    """H10 + C1 + D9 at the compressing model's horizon (4**3 = 64 tokens)."""
+    from ..functions.schedules import horizon
+
+    train = WI.sequences(packed_shards(spark, sf), SEQ_T, horizon()).where(F.col("split") == "training")
+    return CM.next_token_counts(train)
+
+
+def q_log_scan(spark, sf):
+    """A8 + H11 + H12: step lines written as log files named per run, scanned
+    back; the run comes from the file name."""
+    tel = telemetry(spark, sf)
+    names = tel.groupBy("run").agg(F.min("ts").alias("t0")).select(
+        "run", TS.log_file_name(F.col("run"), F.col("t0")).alias("log_file"))
+    starts = TM.step_duration(tel).select("run", "step", "t0")
+    lines = TM.step_log_lines(steps(spark, sf)).join(starts, ["run", "step"]).join(names, "run")
+    lines = lines.select("log_file", TS.log_line(F.col("t0"), F.col("line")).alias("value"))
+    path = staging_path(spark, "logs")
+    TS.write_training_logs(lines, path)
+    return TS.read_training_logs(spark, path)
+
+
 # -- streaming (run to completion with availableNow, output read back) --------
 
 def q_stream_pack_shards(spark, sf):
@@ -465,4 +488,5 @@ def q_live_step_loss(spark, sf):
 
 
 QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "live_step_loss": q_live_step_loss,
-                "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss})
+                "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss,
+                "horizon_counts": q_horizon_counts, "log_scan": q_log_scan})

@@ -58,7 +58,8 @@ def log_file_name(run: Column, ts: Column) -> Column:
 _NUM = r"(-?[0-9.]+(?:e[-+][0-9]+)?|nan|inf)"
 STEP_LINE_PATTERN = (r"step\s+(-?\d+) \| loss: " + _NUM + r" \| lr " + _NUM + r" \| norm: " + _NUM
                      + r" \| dt: " + _NUM + r"ms \| tok/sec: " + _NUM)
-LOG_FILE_PATTERN = r"([^/]+)_log_\d{4}_\d{2}_\d{2}_\d{2}_\d{2}\.txt$"
+# the run is the name part before ``_log_<time>.txt``, as a file or a folder
+LOG_FILE_PATTERN = r"([^/=]+)_log_\d{4}_\d{2}_\d{2}_\d{2}_\d{2}\.txt(?:/|$)"
 
 
 def parse_step_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
@@ -75,11 +76,17 @@ def parse_step_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
 
 def read_training_logs(spark, path: str) -> DataFrame:
     """Scan log files; the run comes from the file name."""
-    lines = spark.read.text(path).withColumn("_file", F.input_file_name())
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"))
     lines = lines.withColumn("run", F.regexp_extract("_file", LOG_FILE_PATTERN, 1)).drop("_file")
     return parse_step_lines(lines)
 
 
+def write_training_logs(lines: DataFrame, path: str) -> None:
+    """Write ``(log_file, value)`` lines as text, one folder per log file name
+    (Spark names the part files; the log name is the folder)."""
+    lines.select("log_file", "value").write.mode("overwrite").partitionBy("log_file").text(path)
+
+
 def available_runs(requested: Sequence[str], telemetry: DataFrame) -> DataFrame:
     """A10: requested runs that have saved state, in request order."""
     spark = telemetry.sparkSession
