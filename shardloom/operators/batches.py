@@ -24,20 +24,25 @@ from ..config import WindowSpec
 from ..functions.schedules import curriculum_stage
 
 
-def _per_rank(manifest: DataFrame, spec: WindowSpec) -> DataFrame:
+def _per_rank(manifest: DataFrame, spec: WindowSpec, aligned: bool = False) -> DataFrame:
     BT, W, N = spec.B * spec.T, spec.W, spec.N
     df = manifest.select("shard_id", F.col("n_tokens").cast("long").alias("L"))
     df = df.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(W - 1))))
     fits = F.lit(BT) * F.col("rank") + F.lit(BT + N) <= F.col("L")
     k = F.greatest(F.lit(1).cast("long"),
                    F.expr(f"(L - {N} - {BT} * `rank`) div {BT * W}"))
-    return df.withColumn("K", F.when(fits, k).otherwise(F.lit(0).cast("long")))
+    df = df.withColumn("K", F.when(fits, k).otherwise(F.lit(0).cast("long")))
+    if aligned:
+        # Q8 option: all ranks leave a shard together (W rows per window group)
+        df = df.withColumn("K", F.min("K").over(Window.partitionBy("shard_id")))
+    return df
 
 
-def rank_batches(manifest: DataFrame, spec: WindowSpec) -> DataFrame:
-    """``(shard_id, rank, k, batch, pos)`` for one split's manifest."""
+def rank_batches(manifest: DataFrame, spec: WindowSpec, aligned: bool = False) -> DataFrame:
+    """``(shard_id, rank, k, batch, pos)`` for one split's manifest.
+    ``aligned=True`` gives every rank the smallest count of the shard (Q8)."""
     BT, W = spec.B * spec.T, spec.W
-    df = _per_rank(manifest, spec).where(F.col("K") > 0)
+    df = _per_rank(manifest, spec, aligned).where(F.col("K") > 0)
     df = df.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("K") - 1)))
     batch = F.col("rank") + F.col("k") * F.lit(W)
     return df.select("shard_id", "rank", "k", batch.alias("batch"),
@@ -55,7 +60,7 @@ def short_shards(manifest: DataFrame, spec: WindowSpec) -> DataFrame:
 
 
 def batch_schedule(manifest: DataFrame, spec: WindowSpec, accum_steps: int,
-                   max_steps: int, start_step: int = 0) -> DataFrame:
+                   max_steps: int, start_step: int = 0, aligned: bool = False) -> DataFrame:
     """C3 + E8 + B12: which batch each rank reads at each micro step of steps
     ``[start_step, max_steps)``:
     ``(step, micro_step, rank, epoch, shard_id, k, batch, pos, stage)``.
@@ -66,7 +71,7 @@ def batch_schedule(manifest: DataFrame, spec: WindowSpec, accum_steps: int,
     if A <= 0 or max_steps <= 0:
         raise ValueError("accum_steps and max_steps must be positive")
     m_lo, m_hi = start_step * A, max_steps * A
-    per = _per_rank(manifest, spec)
+    per = _per_rank(manifest, spec, aligned)
     w_cum = (Window.partitionBy("rank").orderBy("shard_id")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     w_all = Window.partitionBy("rank")

@@ -16,8 +16,8 @@ from typing import Optional
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SPLIT_LABELS
-from ..functions.names import strip_split_label
+from ..config import SPLIT_LABELS, SplitRatio
+from ..functions.names import split_of, strip_split_label, with_split_label
 
 
 def write_shards(fragments: DataFrame, manifest: DataFrame, path: str,
@@ -72,3 +72,27 @@ def require_shards(catalog: DataFrame, split: str) -> None:
 def strip_label(name: Column) -> Column:
     """A6 on a file name."""
     return strip_split_label(name)
+
+
+def resplit_manifest(manifest: DataFrame, ratio: SplitRatio) -> DataFrame:
+    """A6 + A7 + B6: strip the old labels from the file names and label the
+    shards again with a new ratio.  Only the (small) manifest changes; the
+    data stays where it is."""
+    base = strip_split_label(F.col("file_name"))
+    split = split_of(F.col("shard_id"), ratio)
+    return (manifest.withColumn("split", split)
+            .withColumn("file_name", with_split_label(base, split)))
+
+
+def read_split_by_manifest(spark: SparkSession, path: str, manifest: DataFrame, split: str,
+                           widen_to: str = "int") -> DataFrame:
+    """A3 for a manifest whose labels differ from the folder layout: a
+    left-semi join on ``shard_id`` (a partition column).  The manifest grows
+    with the shard count, so no broadcast is forced: when the planner's size
+    check broadcasts it, dynamic partition pruning opens only the chosen
+    shards' folders; otherwise a sort-merge semi join reads them all."""
+    if split not in SPLIT_LABELS:
+        raise ValueError(f"unknown split {split!r}")
+    wanted = manifest.where(F.col("split") == F.lit(split)).select("shard_id")
+    df = spark.read.parquet(path).drop("split").join(wanted, "shard_id", "left_semi")
+    return df.withColumn("split", F.lit(split)).withColumn("tokens", F.col("tokens").cast(f"array<{widen_to}>"))

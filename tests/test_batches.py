@@ -72,3 +72,14 @@ def test_accumulation_steps():
     assert accumulation_steps(524288, WindowSpec(B=8, T=256, N=1, W=1)) == 256
     with pytest.raises(ValueError):
         accumulation_steps(1000, WindowSpec(B=8, T=256, N=1, W=1))
+
+
+def test_aligned_ranks_take_the_minimum(spark):
+    B, T, N, W = 2, 4, 1, 4
+    L = 10 * B * T + N
+    rows = rank_batches(manifest(spark, [L, 200]), WindowSpec(B=B, T=T, N=N, W=W), aligned=True).collect()
+    per = {}
+    for r in rows:
+        per[(r.shard_id, r.rank)] = per.get((r.shard_id, r.rank), 0) + 1
+    assert {v for (s, _), v in per.items() if s == 0} == {1}
+    assert len({v for (s, _), v in per.items() if s == 1}) == 1

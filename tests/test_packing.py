@@ -114,3 +114,21 @@ def test_split_routing_and_counts(spark):
     assert counts == {"training": 16, "validation": 2, "testing": 2}
     names = {r.shard_id: (r.shard_name, r.file_name) for r in man.collect()}
     assert names[3] == ("s_000003", "s_000003_training")
+
+
+def test_resplit_without_moving_data(spark, tmp_dir):
+    from shardloom.sources.shards import read_shards, read_split_by_manifest, resplit_manifest, write_shards
+    from shardloom.operators.packing import label_splits
+    texts = ["b" * 9] * 20
+    spec = PackSpec("r_testing", shard_tokens=10)
+    docs = make_docs(spark, texts)
+    tok = ByteTokenizer(spark)
+    man = shard_manifest(doc_offsets(docs, tok, spec), spec, SplitRatio(8, 1, 1))
+    write_shards(label_splits(pack_fragments(docs, tok, spec), SplitRatio(8, 1, 1)), man, f"{tmp_dir}/s")
+    new = resplit_manifest(man, SplitRatio(6, 2, 2))
+    names = {r.shard_id: (r.split, r.file_name) for r in new.collect()}
+    assert names[7] == ("validation", "r_testing_000007_validation")   # data name keeps its '_testing'
+    got = {r.shard_id for r in read_split_by_manifest(spark, f"{tmp_dir}/s", new, "testing").collect()}
+    assert got == {8, 9, 18, 19}
+    old = {r.shard_id for r in read_shards(spark, f"{tmp_dir}/s", "testing").collect()}
+    assert old == {9, 19}
