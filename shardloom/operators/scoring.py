@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..config import TOKEN_LIMIT, WindowSpec
 from ..session import ship_package
 from .batches import rank_batches
-from .countmodel import context_totals
+from .countmodel import _check_vocab, context_totals
 
 
 def score_sequences(seqs: DataFrame, fn: Callable, keys: Sequence[str] = ("split", "shard_id", "seq"),
@@ -71,6 +71,7 @@ def test_batch_losses(test_seqs: DataFrame, test_manifest: DataFrame, counts: Da
                       spec: WindowSpec, vocab_size: int, run: str = "count-model") -> DataFrame:
     """Per dealt test batch ``(run, rank, shard_id, batch, loss)``, loss = mean
     ``-ln p(b|a)`` over its ``B*T`` targets (add-one smoothing)."""
+    _check_vocab(vocab_size)          # context totals below have at most vocab_size rows
     batches = rank_batches(test_manifest, spec).select("shard_id", "rank", "batch")
     pairs = (test_seqs.select("shard_id", F.expr(f"seq div {spec.B}").alias("batch"),
                               F.explode(F.arrays_zip("x", "y")).alias("xy"))
