@@ -78,17 +78,20 @@ def pick_candidate(u: int, cands: Sequence[int], weights: Sequence[int]) -> int:
 
 
 def _model_tables(topk: DataFrame, backoff: DataFrame, k: int, vocab_size: int):
+    """The top-k table as ``{a: ([b...], [c...])}`` in rank order, collected
+    through Arrow after checking its bound (``k * vocab_size`` rows)."""
     bound = k * vocab_size
-    rows = topk.select("a", "rnk", "b", "c").limit(bound + 1).collect()
-    if len(rows) > bound:
+    tab = topk.select("a", "rnk", "b", "c").limit(bound + 1).toArrow()
+    if tab.num_rows > bound:
         raise ValueError("top-k table exceeds k * vocab_size rows")
+    cols = tab.sort_by([("a", "ascending"), ("rnk", "ascending")]).to_pydict()
     table: dict = {}
-    for r in sorted(rows, key=lambda r: (r.a, r.rnk)):
-        bs, cs = table.setdefault(int(r.a), ([], []))
-        bs.append(int(r.b))
-        cs.append(int(r.c))
-    back = sorted(backoff.select("rnk", "b", "c").collect(), key=lambda r: r.rnk)
-    return table, ([int(r.b) for r in back], [int(r.c) for r in back])
+    for a, b, c in zip(cols["a"], cols["b"], cols["c"]):
+        bs, cs = table.setdefault(a, ([], []))
+        bs.append(b)
+        cs.append(c)
+    back = backoff.select("rnk", "b", "c").toArrow().sort_by("rnk").to_pydict()
+    return table, (back["b"], back["c"])
 
 
 def generate(prompts: DataFrame, topk: DataFrame, backoff: DataFrame, max_length: int,
