@@ -209,7 +209,8 @@ SQL = {
   ranks AS (SELECT shard_id, n_tokens AS L, unnest(range(0, {Q.LOADER.W})) AS rank FROM mani WHERE split = 'training'),
   kr AS (SELECT shard_id, rank, CASE WHEN {Q.LOADER.B * T} * rank + {Q.LOADER.B * T + Q.LOADER.N} <= L
              THEN greatest(1, (L - {Q.LOADER.N} - {Q.LOADER.B * T} * rank) // {Q.LOADER.B * T * Q.LOADER.W}) ELSE 0 END AS K FROM ranks),
-  cum AS (SELECT *, sum(K) OVER (PARTITION BY rank ORDER BY shard_id) - K AS c0, sum(K) OVER (PARTITION BY rank) AS M FROM kr),
+  cum AS (SELECT *, (sum(K) OVER (PARTITION BY rank ORDER BY shard_id) - K)::BIGINT AS c0,
+                (sum(K) OVER (PARTITION BY rank))::BIGINT AS M FROM kr),
   ms AS (SELECT rank, unnest(range(0, {Q.SCHEDULE_STEPS * Q.SCHEDULE_ACCUM})) AS m FROM (SELECT DISTINCT rank FROM kr)),
   pick AS (SELECT ms.rank, ms.m, c.shard_id, c.M, ms.m // c.M AS epoch, (ms.m % c.M) - c.c0 AS k
            FROM ms JOIN cum c ON c.rank = ms.rank AND c.K > 0 AND (ms.m % c.M) >= c.c0 AND (ms.m % c.M) < c.c0 + c.K)

@@ -20,6 +20,12 @@ from ..config import SPLIT_LABELS, SplitRatio
 from ..functions.names import split_of, strip_split_label, with_split_label
 
 
+# Column types of a shard table, partition columns included (so a shard id is
+# read back as bigint rather than whatever partition inference guesses).
+SHARD_SCHEMA = ("pos bigint, source_ord int, doc_ord bigint, tokens array<int>, "
+                "split string, shard_id bigint")
+
+
 def write_shards(fragments: DataFrame, manifest: DataFrame, path: str,
                  mode: str = "overwrite") -> None:
     """A2: every shard is written, the last partial one included.
@@ -41,7 +47,7 @@ def read_shards(spark: SparkSession, path: str, split: Optional[str] = None,
                 widen_to: str = "int") -> DataFrame:
     """A3 + B5: fragments of one split (partition filter) with tokens widened
     (``int`` as stored, or ``long``)."""
-    df = spark.read.parquet(path)
+    df = spark.read.schema(SHARD_SCHEMA).parquet(path)
     if split is not None:
         if split not in SPLIT_LABELS:
             raise ValueError(f"unknown split {split!r}")
@@ -94,5 +100,5 @@ def read_split_by_manifest(spark: SparkSession, path: str, manifest: DataFrame,
     if split not in SPLIT_LABELS:
         raise ValueError(f"unknown split {split!r}")
     wanted = manifest.where(F.col("split") == F.lit(split)).select("shard_id")
-    df = spark.read.parquet(path).drop("split").join(wanted, "shard_id", "left_semi")
+    df = spark.read.schema(SHARD_SCHEMA).parquet(path).drop("split").join(wanted, "shard_id", "left_semi")
     return df.withColumn("split", F.lit(split)).withColumn("tokens", F.col("tokens").cast(f"array<{widen_to}>"))

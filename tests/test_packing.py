@@ -128,7 +128,14 @@ def test_resplit_without_moving_data(spark, tmp_dir):
     new = resplit_manifest(man, SplitRatio(6, 2, 2))
     names = {r.shard_id: (r.split, r.file_name) for r in new.collect()}
     assert names[7] == ("validation", "r_testing_000007_validation")   # data name keeps its '_testing'
-    got = {r.shard_id for r in read_split_by_manifest(spark, f"{tmp_dir}/s", new, "testing").collect()}
+    df = read_split_by_manifest(spark, f"{tmp_dir}/s", new, "testing")
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    assert "dynamicpruningexpression(shard_id" in buf.getvalue()      # only chosen shard folders open
+    got = {r.shard_id for r in df.collect()}
     assert got == {8, 9, 18, 19}
     old = {r.shard_id for r in read_shards(spark, f"{tmp_dir}/s", "testing").collect()}
     assert old == {9, 19}
