@@ -93,10 +93,9 @@ def resplit_manifest(manifest: DataFrame, ratio: SplitRatio) -> DataFrame:
 def read_split_by_manifest(spark: SparkSession, path: str, manifest: DataFrame, split: str,
                            widen_to: str = "int") -> DataFrame:
     """A3 for a manifest whose labels differ from the folder layout: a
-    left-semi join on ``shard_id`` (a partition column).  The manifest grows
-    with the shard count, so no broadcast is forced: when the planner's size
-    check broadcasts it, dynamic partition pruning opens only the chosen
-    shards' folders; otherwise a sort-merge semi join reads them all."""
+    left-semi join on ``shard_id`` (a partition column), which lets the
+    planner apply dynamic partition pruning where it judges it useful.  The
+    manifest grows with the shard count, so no broadcast is forced."""
     if split not in SPLIT_LABELS:
         raise ValueError(f"unknown split {split!r}")
     wanted = manifest.where(F.col("split") == F.lit(split)).select("shard_id")
