@@ -9,7 +9,6 @@ A=4 micro steps; generation up to 48 tokens with top-5 sampling, seed 42.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import Callable, Dict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -401,10 +400,6 @@ QUERIES: Dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-@lru_cache(maxsize=None)
-def names() -> tuple:
-    return tuple(QUERIES)
-
 
 
 # -- scoring ------------------------------------------------------------------

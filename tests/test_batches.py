@@ -83,3 +83,16 @@ def test_aligned_ranks_take_the_minimum(spark):
         per[(r.shard_id, r.rank)] = per.get((r.shard_id, r.rank), 0) + 1
     assert {v for (s, _), v in per.items() if s == 0} == {1}
     assert len({v for (s, _), v in per.items() if s == 1}) == 1
+
+
+@pytest.mark.parametrize("W", [1, 2, 3, 4])
+def test_ranks_partition_the_batches(spark, W):
+    B, T, N = 2, 4, 1
+    lengths = [37, 64, 100, 9 + B * T * W]
+    rows = rank_batches(manifest(spark, lengths), WindowSpec(B=B, T=T, N=N, W=W)).collect()
+    seen = {}
+    for r in rows:
+        assert (r.shard_id, r.batch) not in seen          # no batch dealt twice
+        seen[(r.shard_id, r.batch)] = r.rank
+        assert r.batch % W == r.rank
+        assert r.pos + B * T + N <= lengths[r.shard_id]   # every dealt batch fits its shard

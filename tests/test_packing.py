@@ -134,3 +134,20 @@ def test_resplit_without_moving_data(spark, tmp_dir):
     assert got == {8, 9, 18, 19}
     old = {r.shard_id for r in read_shards(spark, f"{tmp_dir}/s", "testing").collect()}
     assert old == {9, 19}
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_offsets_equal_running_sum(spark, seed):
+    from shardloom.plans.ordering import with_offsets
+    rng = random.Random(seed)
+    rows = []
+    for src in range(3):
+        ords = rng.sample(range(-50, 5000), rng.randint(0, 60))     # sparse, negative keys too
+        rows += [(src, o, rng.randint(1, 40)) for o in ords]
+    df = spark.createDataFrame(rows, "source_ord int, doc_ord long, n long").repartition(5)
+    got = {(r.source_ord, r.doc_ord): r.g for r in with_offsets(df, "n", rng.choice([1, 2, 7])).collect()}
+    run, want = 0, {}
+    for src, o, n in sorted(rows):
+        want[(src, o)] = run
+        run += n
+    assert got == want
