@@ -299,3 +299,22 @@ SQL["test_loss"] = f"""{CORPUS}, {COUNTS}, {man()},
 SQL["horizon_counts"] = f"""{CORPUS}, {pairs_at(64)}
   SELECT a, b, count(*)::BIGINT AS c FROM tpairs WHERE split = 'training' GROUP BY a, b"""
 SQL["log_scan"] = SQL["log_parse"]
+SQL["step_batches"] = f"""{CORPUS}, {man()},
+  ranks AS (SELECT shard_id, n_tokens AS L, unnest(range(0, {Q.LOADER.W})) AS rank FROM mani WHERE split = 'training'),
+  kr AS (SELECT shard_id, rank, CASE WHEN {Q.LOADER.B * T} * rank + {Q.LOADER.B * T + Q.LOADER.N} <= L
+             THEN greatest(1, (L - {Q.LOADER.N} - {Q.LOADER.B * T} * rank) // {Q.LOADER.B * T * Q.LOADER.W}) ELSE 0 END AS K FROM ranks),
+  cum AS (SELECT *, (sum(K) OVER (PARTITION BY rank ORDER BY shard_id) - K)::BIGINT AS c0,
+                (sum(K) OVER (PARTITION BY rank))::BIGINT AS M FROM kr),
+  ms AS (SELECT rank, unnest(range(0, {Q.SCHEDULE_STEPS * Q.SCHEDULE_ACCUM})) AS m FROM (SELECT DISTINCT rank FROM kr)),
+  pick AS (SELECT ms.rank, ms.m, c.shard_id, (ms.m % c.M) - c.c0 AS k
+           FROM ms JOIN cum c ON c.rank = ms.rank AND c.K > 0 AND (ms.m % c.M) >= c.c0 AND (ms.m % c.M) < c.c0 + c.K),
+  sched AS (SELECT m // {Q.SCHEDULE_ACCUM} AS step, m % {Q.SCHEDULE_ACCUM} AS micro_step, rank, shard_id,
+                   rank + k * {Q.LOADER.W} AS batch, unnest(range(0, {Q.LOADER.B})) AS batch_row FROM pick),
+  xs AS (SELECT shard_id, pos // {T} AS seq, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS x_text FROM stream GROUP BY 1, 2),
+  ys AS (SELECT shard_id, (pos - {Q.SEQ_N}) // {T} AS seq, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS y_text
+         FROM stream WHERE pos >= {Q.SEQ_N} GROUP BY 1, 2),
+  sq AS (SELECT shard_id, seq, x_text, y_text FROM xs JOIN ys USING (shard_id, seq) JOIN slen USING (shard_id)
+         WHERE seq * {T} + {T} + {Q.SEQ_N} <= L)
+  SELECT s.step, s.micro_step, s.rank::INTEGER AS rank, s.batch_row::INTEGER AS batch_row, s.shard_id,
+         s.batch * {Q.LOADER.B} + s.batch_row AS seq, sq.x_text, sq.y_text
+  FROM sched s JOIN sq ON sq.shard_id = s.shard_id AND sq.seq = s.batch * {Q.LOADER.B} + s.batch_row"""

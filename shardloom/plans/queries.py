@@ -241,6 +241,17 @@ def q_batch_schedule(spark, sf):
                              SCHEDULE_ACCUM, SCHEDULE_STEPS)
 
 
+def q_step_batches(spark, sf):
+    """The sequences (x, y) each rank reads at each micro step: the
+    schedule expanded to its B rows, equi-joined to the sequences."""
+    sched = BA.batch_schedule(SH.shard_catalog(prepared_manifest(spark, sf), "training"), LOADER,
+                              SCHEDULE_ACCUM, SCHEDULE_STEPS)
+    rows = BA.schedule_sequences(sched, LOADER).select(
+        "step", "micro_step", "rank", F.col("row").alias("batch_row"), "shard_id", "seq")
+    s = seqs(spark, sf, SEQ_N).select("shard_id", "seq", _txt("x").alias("x_text"), _txt("y").alias("y_text"))
+    return rows.join(s, ["shard_id", "seq"])
+
+
 # -- count model --------------------------------------------------------------
 
 def q_next_token_counts(spark, sf):
