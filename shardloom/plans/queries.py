@@ -197,7 +197,7 @@ def q_shard_scan(spark, sf):
     """A2 + A3: write the shards partitioned by split and shard, read the
     training split back (partition pruning), widen to long."""
     path = staging_path(spark, "shards")
-    SH.write_shards(fragments(spark, sf), manifest(spark, sf), path)
+    SH.write_shards(packed_shards(spark, sf), prepared_manifest(spark, sf), path)
     back = SH.read_shards(spark, path, "training")
     return back.select("shard_id", "pos", "doc_ord",
                        F.array_join(F.col("tokens").cast("array<long>"), " ").alias("tokens_text"))
