@@ -39,12 +39,21 @@ def sequences(fragments: DataFrame, T: int, N: int, keep_cols=("split",)) -> Dat
     off = (F.col("seq") * F.lit(T) - F.col("pos") + F.lit(1)).cast("int")
     whole = inner.select(*extra, "shard_id", "seq", F.slice("tokens", off, T).alias("x"),
                          F.slice("tokens", off + F.lit(N), T).alias("y"))
-    # straddling windows: touched but not whole
+    # straddling windows: touched but not whole.  Only the two runs at the
+    # fragment's ends are generated (at most 1 + ceil(N/T) windows each), never
+    # the whole windows in between.
     lo = F.greatest(F.lit(0).cast("long"), F.expr(f"(pos - {N}) div {T}"))
     hi = F.expr(f"(pos + _m - 1) div {T}")
-    g = f.withColumn("seq", F.explode(F.sequence(lo, hi)))
+    empty = F.array().cast("array<bigint>")
+
+    def run(a, b):
+        return F.when(a <= b, F.sequence(a, b)).otherwise(empty)
+
+    has_whole = (F.col("pos") + F.col("_m") >= F.lit(T + N)) & (w_hi >= w_lo)
+    ends = F.when(has_whole, F.concat(run(lo, F.least(hi, w_lo - 1)), run(F.greatest(lo, w_hi + 1), hi))) \
+        .otherwise(run(lo, hi))
+    g = f.withColumn("seq", F.explode(ends))
     start = F.col("seq") * F.lit(T)
-    g = g.where((start < F.col("pos")) | (start + F.lit(T + N) > F.col("pos") + F.col("_m")))
     cut_lo = F.greatest(F.col("pos"), start)
     cut_hi = F.least(F.col("pos") + F.col("_m"), start + F.lit(T + N))
     g = (g.withColumn("_lo", cut_lo).withColumn("_hi", cut_hi)

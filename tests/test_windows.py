@@ -8,12 +8,12 @@ from shardloom.operators.windows import batch_rows, sequences, target_pairs
 from shardloom.config import WindowSpec
 
 
-def shard_frags(spark, shards, rng):
+def shard_frags(spark, shards, rng, max_frag=9):
     rows = []
     for sid, toks in shards.items():
         pos = 0
         while pos < len(toks):
-            m = rng.randint(1, 9)
+            m = rng.randint(1, max_frag)
             rows.append((sid, pos, toks[pos:pos + m]))
             pos += m
     return spark.createDataFrame(rows, "shard_id long, pos long, tokens array<int>").repartition(3)
@@ -43,3 +43,19 @@ def test_batch_view(spark):
     df = spark.createDataFrame([(s,) for s in range(7)], "seq long")
     rows = batch_rows(df, WindowSpec(B=3, T=4, N=1, W=1)).orderBy("seq").collect()
     assert [(r.batch, r.row) for r in rows] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (2, 0)]
+
+
+@pytest.mark.parametrize("T,N,max_frag", [(3, 5, 40), (4, 1, 60), (2, 9, 25), (6, 6, 13)])
+def test_long_fragments_mix_whole_and_crossing(spark, T, N, max_frag):
+    rng = random.Random(T * 7 + N * 3 + max_frag)
+    shards = {s: [rng.randint(0, 9) for _ in range(rng.randint(20, 150))] for s in range(3)}
+    got = {(r.shard_id, r.seq): (list(r.x), list(r.y))
+           for r in sequences(shard_frags(spark, shards, rng, max_frag), T, N).collect()}
+    want = {}
+    for sid, toks in shards.items():
+        seq = 0
+        while seq * T + T + N <= len(toks):
+            s0 = seq * T
+            want[(sid, seq)] = (toks[s0:s0 + T], toks[s0 + N:s0 + N + T])
+            seq += 1
+    assert got == want
