@@ -48,7 +48,19 @@ def pack_batch(batch: DataFrame, batch_id: int, out: str, tok: Tokenizer, spec:
     """The ``foreachBatch`` body; safe to call again for the same id."""
     spark = batch.sparkSession
     base = _base_offset(spark, out, batch_id)
-    rows = batch.select("source_ord", "doc_ord", "text").withColumn("n", tok.count(F.col("text")))
+    # the micro-batch feeds three passes (bucket totals, fragments, ledger total):
+    # keep it for the call instead of re-reading the source files each time
+    batch = batch.select("source_ord", "doc_ord", "text").persist()
+    try:
+        _pack_batch(batch, batch_id, out, tok, spec, base)
+    finally:
+        batch.unpersist()
+
+
+def _pack_batch(batch: DataFrame, batch_id: int, out: str, tok: Tokenizer, spec: PackSpec,
+                base: int) -> None:
+    spark = batch.sparkSession
+    rows = batch.withColumn("n", tok.count(F.col("text")))
     rows = with_offsets(rows, "n", spec.bucket_docs).withColumn("g", F.col("g") + F.lit(base))
     rows = rows.withColumn("tokens", tok.encode(F.col("text"))).drop("text")
     frags = _fragment_bounds(rows, spec.shard_tokens)
