@@ -116,3 +116,21 @@ def spread_small_input(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, key)
+
+
+def drop_staged_tables(spark: SparkSession) -> bool:
+    """Delete this application's staged tables (everything ``stage_table`` and
+    the prepared-table cache wrote) through the Hadoop FileSystem API, so it
+    works for any shared store.  Call once the results are consumed."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shardloom-tables"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        from .plans import queries as _q
+        app = spark.sparkContext.applicationId
+        for key in [k for k in _q._PREPARED if k[0] == app]:
+            del _q._PREPARED[key]
+    except ImportError:   # pragma: no cover
+        pass
+    return bool(fs.delete(path, True))

@@ -70,3 +70,12 @@ def test_hot_group_spreads_over_tasks(spark):
         by_run.setdefault(r[0], []).append(r[1])
     want = {(run, rid): i for run, ids in by_run.items() for i, rid in enumerate(ids)}
     assert {(r.run, r.id): r.i for r in idx} == want
+
+
+def test_drop_staged_tables(spark):
+    from shardloom.session import drop_staged_tables, staging_path
+    df = stage_table(spark.range(10), "t")
+    assert df.count() == 10
+    assert drop_staged_tables(spark)
+    p = staging_path(spark, "x")
+    assert "shardloom-tables" in p
