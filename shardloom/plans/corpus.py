@@ -21,7 +21,7 @@ from ..config import DatasetSpec, PackSpec, SplitRatio, WindowSpec
 from ..operators import countmodel as CM
 from ..operators import generate as GE
 from ..operators import packing as PK
-from ..operators.tokenize import Tokenizer, get_tokenizer
+from ..operators.tokenize import Tokenizer, WordTokenizer, get_tokenizer
 from ..operators.windows import sequences
 from ..sources import corpus as CO
 from ..sources import shards as SH
@@ -44,11 +44,31 @@ def prepare_corpus(spark: SparkSession, datasets: Sequence[DatasetSpec], out: st
     frags = PK.label_splits(PK.pack_fragments(docs, tok, pack), ratio)
     manifest = PK.shard_manifest(PK.doc_offsets(docs, tok, pack), pack, ratio)
     SH.write_shards(frags, manifest, out)
+    if isinstance(tok, WordTokenizer):
+        save_vocabulary(spark, tok, out)
     written = SH.read_manifest(spark, out)
     PK.check_split_coverage(written, ratio, allow_empty_split)
     return written
 
 
+def save_vocabulary(spark: SparkSession, tok: WordTokenizer, out: str) -> None:
+    """Keep the word ids with the shards (``_vocab``): readers of the corpus
+    encode prompts and decode output with the same ids."""
+    rows = [(i + 1, w) for i, w in enumerate(tok.words)]          # at most the cap
+    (spark.createDataFrame(rows, "id int, word string").coalesce(1)
+     .write.mode("overwrite").parquet(f"{out.rstrip('/')}/_vocab"))
+    spark.createDataFrame([(tok.cap,)], "cap int").write.mode("overwrite").parquet(f"{out.rstrip('/')}/_vocab_cap")
+
+
+def load_word_tokenizer(spark: SparkSession, out: str) -> WordTokenizer:
+    """The word tokenizer a corpus was prepared with."""
+    cap = spark.read.parquet(f"{out.rstrip('/')}/_vocab_cap").collect()[0].cap
+    rows = spark.read.parquet(f"{out.rstrip('/')}/_vocab").orderBy("id").limit(cap + 1).collect()
+    if len(rows) > cap:
+        raise ValueError("stored vocabulary longer than its cap")
+    return WordTokenizer(spark, [r.word for r in rows], cap)
+
+
 def load_split(spark: SparkSession, out: str, split: str) -> DataFrame:
     """B8 + B9 + A3: fragments of one split; fails when the split is empty."""
     SH.require_shards(SH.shard_catalog(SH.read_manifest(spark, out), split), split)

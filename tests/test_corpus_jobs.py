@@ -47,3 +47,38 @@ def test_empty_split_raises(spark, tmp_dir):
     assert [r.split for r in man.collect()] == ["training"]
     with pytest.raises(ValueError, match="no shards found for split testing"):
         load_split(spark, f"{tmp_dir}/few2", "testing")
+
+
+def test_command_line(spark, tmp_dir):
+    from shardloom.__main__ import main
+    out, model, resp = f"{tmp_dir}/cli", f"{tmp_dir}/cli_model", f"{tmp_dir}/cli_resp"
+    assert main(["prepare", "--dataset", f"{SF_SMALL}/documents.parquet", "--keys", "text", "--order", "doc_id",
+                 "--out", out, "--shard-tokens", "4000", "--split", "8,1,1"], spark) == 0
+    assert main(["train", "--shards", out, "--model", model, "--B", "2", "--T", "32"], spark) == 0
+    assert main(["test", "--shards", out, "--model", model, "--B", "2", "--T", "32"], spark) == 0
+    assert main(["generate", "--shards", out, "--model", model, "--prompts", f"{SF_SMALL}/benchmark.parquet",
+                 "--max-length", "20", "--out", resp], spark) == 0
+    rows = spark.read.parquet(resp).collect()
+    assert len(rows) == spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").count()
+    assert all(len(r["count-model"].split(" ")) == 20 for r in rows)
+    with pytest.raises(SystemExit):
+        main(["prepare", "--dataset", "x", "--keys", "text", "--out", out, "--split", "8,1"], spark)
+
+
+def test_command_line_curves(spark, tmp_dir):
+    from shardloom.__main__ import main
+    from shardloom.plans import queries as Q
+    from shardloom.sources.telemetry import log_file_name, log_line, write_training_logs
+    from shardloom.operators.telemetry import step_duration, step_log_lines, step_table
+    tel = Q.telemetry(spark, SF_SMALL)
+    names = tel.groupBy("run").agg(F.min("ts").alias("t0")).select(
+        "run", log_file_name(F.col("run"), F.col("t0")).alias("log_file"))
+    starts = step_duration(tel).select("run", "step", "t0")
+    lines = step_log_lines(step_table(tel, Q.TEL)).join(starts, ["run", "step"]).join(names, "run")
+    write_training_logs(lines.select("log_file", log_line(F.col("t0"), F.col("line")).alias("value")),
+                        f"{tmp_dir}/logs")
+    assert main(["curves", "--logs", f"{tmp_dir}/logs", "--out", f"{tmp_dir}/curves"], spark) == 0
+    got = {(r.run, r.step): r.loss for r in spark.read.parquet(f"{tmp_dir}/curves").collect()}
+    want = {(r.run, r.step): round(r.loss, 6) for r in step_table(tel, Q.TEL).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
