@@ -18,12 +18,25 @@ from pyspark.sql import functions as F
 from ..config import SPLIT_LABELS, PackSpec, SplitRatio
 from ..functions.names import shard_name, split_of, with_split_label
 from ..plans.ordering import with_offsets
-from .tokenize import Tokenizer
+from ..session import stage_table
+from .tokenize import Tokenizer, tokenize_documents
 
 
-def doc_offsets(docs: DataFrame, tok: Tokenizer, spec: PackSpec = PackSpec()) -> DataFrame:
-    """E1 on the slim table ``(source_ord, doc_ord, n, g)``."""
-    slim = docs.select("source_ord", "doc_ord", tok.count(F.col("text")).alias("n"))
+def stage_token_table(docs: DataFrame, tok: Tokenizer) -> DataFrame:
+    """``(source_ord, doc_ord, tokens, n)`` encoded once and written: for
+    tokenizers whose counts need the encoder (byte-pair), every later use —
+    counts, offsets, fragments — reads this table instead of encoding again."""
+    return stage_table(tokenize_documents(docs, tok), "doc-tokens")
+
+
+def doc_offsets(docs: DataFrame, tok: Tokenizer, spec: PackSpec = PackSpec(),
+                tokenized: bool = False) -> DataFrame:
+    """E1 on the slim table ``(source_ord, doc_ord, n, g)``; ``tokenized=True``
+    takes a ``(source_ord, doc_ord, tokens, n)`` table and reads only ``n``."""
+    if tokenized:
+        slim = docs.select("source_ord", "doc_ord", "n")
+    else:
+        slim = docs.select("source_ord", "doc_ord", tok.count(F.col("text")).alias("n"))
     return with_offsets(slim, "n", spec.bucket_docs)
 
 
@@ -56,6 +69,9 @@ def pack_fragments(docs: DataFrame, tok: Tokenizer, spec: PackSpec = PackSpec(),
     already staged ``(source_ord, doc_ord, tokens, n)`` table instead.
     """
     S = spec.shard_tokens
+    if not tokenized and not tok.jvm_count:
+        # counting needs the encoder itself: encode once into a staged table
+        docs, tokenized = stage_token_table(docs, tok), True
     if tokenized:
         rows = docs
     else:

@@ -78,6 +78,8 @@ class Tokenizer:
     name = "base"
     eot_id: int
     vocab_size: int
+    # True when ``count`` is a JVM expression (no Python worker needed)
+    jvm_count = False
 
     def encode(self, text: Column, eot: bool = True) -> Column:   # pragma: no cover
         raise NotImplementedError
@@ -93,6 +95,7 @@ class Tokenizer:
 
 class WordTokenizer(Tokenizer):
     name = "word"
+    jvm_count = True
 
     def __init__(self, spark, words: Sequence[str], cap: int = C.WORD_CAP):
         if cap + 2 > C.TOKEN_LIMIT:
@@ -230,6 +233,7 @@ class WordTokenizer(Tokenizer):
 
 class ByteTokenizer(Tokenizer):
     name = "bytes"
+    jvm_count = True
     eot_id = C.BYTE_EOT_ID
     vocab_size = C.BYTE_VOCAB_SIZE
 

@@ -41,8 +41,15 @@ def prepare_corpus(spark: SparkSession, datasets: Sequence[DatasetSpec], out: st
     (unless ``allow_empty_split``)."""
     docs = corpus_documents(spark, datasets)
     tok = tokenizer if isinstance(tokenizer, Tokenizer) else get_tokenizer(tokenizer, docs, **tokenizer_args)
-    frags = PK.label_splits(PK.pack_fragments(docs, tok, pack), ratio)
-    manifest = PK.shard_manifest(PK.doc_offsets(docs, tok, pack), pack, ratio)
+    if tok.jvm_count:
+        frags = PK.pack_fragments(docs, tok, pack)
+        offsets = PK.doc_offsets(docs, tok, pack)
+    else:                                    # encode once; counts and fragments read it
+        staged = PK.stage_token_table(docs, tok)
+        frags = PK.pack_fragments(staged, tok, pack, tokenized=True)
+        offsets = PK.doc_offsets(staged, tok, pack, tokenized=True)
+    frags = PK.label_splits(frags, ratio)
+    manifest = PK.shard_manifest(offsets, pack, ratio)
     SH.write_shards(frags, manifest, out)
     if isinstance(tok, WordTokenizer):
         save_vocabulary(spark, tok, out)

@@ -82,3 +82,29 @@ def test_command_line_curves(spark, tmp_dir):
     want = {(r.run, r.step): round(r.loss, 6) for r in step_table(tel, Q.TEL).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_prepare_with_bpe_encodes_once_and_packs_exactly(spark, tmp_dir):
+    import tiktoken
+    from shardloom.operators.tokenize import BpeTokenizer, EOT_TEXT, GPT2_PATTERN
+    ranks = {bytes([i]): i for i in range(256)}
+    for pair in (b"th", b"the", b" the", b"in", b"er", b"an", b" a"):
+        ranks[pair] = len(ranks)
+    tok = BpeTokenizer(ranks, spark=spark)
+    enc = tiktoken.Encoding("toy", pat_str=GPT2_PATTERN, mergeable_ranks=ranks,
+                            special_tokens={EOT_TEXT: len(ranks)})
+    datasets = [DatasetSpec(path=f"{SF_SMALL}/documents.parquet", data_keys=["text"], order_col="doc_id")]
+    pack = PackSpec("bpe", shard_tokens=50_000, bucket_docs=16)
+    out = f"{tmp_dir}/bpe"
+    prepare_corpus(spark, datasets, out, tok, pack, SplitRatio(8, 1, 1), allow_empty_split=True)
+    texts = [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    flat = []
+    for t in texts:
+        flat.append(len(ranks))
+        flat.extend(enc.encode_ordinary(t))
+    from shardloom.sources.shards import read_shards
+    frags = read_shards(spark, out).collect()
+    shards = {}
+    for r in sorted(frags, key=lambda r: (r.shard_id, r.pos)):
+        shards.setdefault(r.shard_id, []).extend(r.tokens)
+    assert [t for k in sorted(shards) for t in shards[k]] == flat
