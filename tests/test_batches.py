@@ -96,3 +96,18 @@ def test_ranks_partition_the_batches(spark, W):
         seen[(r.shard_id, r.batch)] = r.rank
         assert r.batch % W == r.rank
         assert r.pos + B * T + N <= lengths[r.shard_id]   # every dealt batch fits its shard
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(B=st.integers(1, 3), T=st.integers(1, 5), N=st.integers(1, 6), W=st.integers(1, 4), A=st.integers(1, 3),
+       steps=st.integers(1, 25), extra=st.lists(st.integers(0, 80), min_size=1, max_size=5))
+def test_schedule_matches_cursor_property(spark, B, T, N, W, A, steps, extra):
+    lengths = [B * T * W + N + e for e in extra]        # every rank's first batch fits
+    rows = batch_schedule(manifest(spark, lengths), WindowSpec(B=B, T=T, N=N, W=W), A, steps).collect()
+    got = {(r.rank, r.step * A + r.micro_step): (r.shard_id, r.pos) for r in rows}
+    assert len(got) == len(rows) == W * steps * A
+    for rank in range(W):
+        assert [got[(rank, m)] for m in range(steps * A)] == cursor(lengths, B, T, N, W, rank, steps * A)

@@ -51,3 +51,10 @@ def test_matrix_and_pivot(spark):
     m = prompt_matrix(p, ["x", "y"]).withColumn("response", F.concat("run", F.col("item_id").cast("string")))
     rows = {r.item_id: (r.x, r.y) for r in responses_pivot(m, ["x", "y"]).collect()}
     assert rows == {1: ("x1", "y1"), 2: ("x2", "y2")}
+
+
+def test_empty_prompt_backs_off(spark):
+    topk, back = model(spark)
+    p = spark.createDataFrame([("m", 1, [])], "run string, item_id long, tokens array<int>")
+    out = generate(p, topk, back, 5, 10).collect()[0]
+    assert len(out.tokens) == 5 and out.tokens[0] in (1, 2)

@@ -151,3 +151,16 @@ def test_offsets_equal_running_sum(spark, seed):
         want[(src, o)] = run
         run += n
     assert got == want
+
+
+def test_catalog_matches_data_name_exactly(spark):
+    from shardloom.sources.shards import shard_catalog
+    tok = ByteTokenizer(spark)
+    docs = make_docs(spark, ["x" * 30])
+    parts = []
+    for name in ("a", "a_b"):
+        spec = PackSpec(name, shard_tokens=10)
+        parts.append(shard_manifest(doc_offsets(docs, tok, spec), spec))
+    both = parts[0].unionByName(parts[1])
+    got = {(r.data_name, r.shard_name) for r in shard_catalog(both, data_name="a").collect()}
+    assert got == {("a", "a_000000"), ("a", "a_000001"), ("a", "a_000002"), ("a", "a_000003")}

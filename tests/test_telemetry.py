@@ -83,3 +83,10 @@ def test_loss_map_resume_and_parse(spark):
         p = parsed[(r.run, r.step)]
         assert math.isclose(p.loss, round(r.loss, 6), abs_tol=1e-6)
         assert math.isclose(p.lr, float(f"{r.lr:.4e}"))
+
+
+def test_resume_without_history(spark):
+    empty = spark.createDataFrame([], "run string, step long, loss double")
+    fresh = spark.createDataFrame([("r", 0, 1.0), ("r", 1, 0.5)], "run string, step long, loss double")
+    assert sorted(map(tuple, TM.resume_merge(empty, fresh, True).collect())) == [("r", 0, 1.0), ("r", 1, 0.5)]
+    assert TM.resume_point(empty).count() == 0
