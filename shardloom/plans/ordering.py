@@ -30,11 +30,20 @@ def _div(col: str, k: int) -> Column:
     return F.expr(f"`{col}` div {int(k)}")
 
 
+# A table counted to hold at most this many rows may take one un-partitioned window.
+SMALL_TABLE_ROWS = 1_000_000
+
+
 def with_offsets(df: DataFrame, n_col: str = "n", bucket_docs: int = 4096,
                  group_cols: Sequence[str] = ("source_ord",), ord_col: str = "doc_ord",
-                 out_col: str = "g") -> DataFrame:
+                 out_col: str = "g", small_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Add ``g`` = exclusive running sum of ``n`` in (group_cols, ord_col)
-    order over the whole table.  ``ord_col`` must be unique per group."""
+    order over the whole table.  ``ord_col`` must be unique per group.
+
+    The super-bucket table is counted; above ``small_rows`` rows (very sparse
+    order keys) it is summed by this same function instead of one window, so
+    no level ever puts an unbounded table in one task.  Each level divides the
+    key range by ``bucket_docs``, so the recursion is shallow."""
     K = int(bucket_docs)
     group_cols = list(group_cols)
     keyed = df.withColumn("_bkt", _div(ord_col, K))
@@ -44,8 +53,11 @@ def with_offsets(df: DataFrame, n_col: str = "n", bucket_docs: int = 4096,
     tot1 = tot1.withColumn("_sup", _div("_bkt", K))
     tot2 = tot1.groupBy(*group_cols, "_sup").agg(F.sum("_bn").cast("long").alias("_sn"))
     order2 = [*group_cols, "_sup"]
-    w_all = Window.orderBy(*order2).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base2 = tot2.select(*order2, (F.sum("_sn").over(w_all) - F.col("_sn")).alias("_sbase"))
+    if tot2.count() <= small_rows:
+        w_all = Window.orderBy(*order2).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        base2 = tot2.select(*order2, (F.sum("_sn").over(w_all) - F.col("_sn")).alias("_sbase"))
+    else:
+        base2 = with_offsets(tot2, "_sn", K, group_cols, "_sup", "_sbase", small_rows).select(*order2, "_sbase")
     w_sup = (Window.partitionBy(*group_cols, "_sup").orderBy("_bkt")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     base1 = (tot1.join(base2, order2)

@@ -164,3 +164,17 @@ def test_catalog_matches_data_name_exactly(spark):
     both = parts[0].unionByName(parts[1])
     got = {(r.data_name, r.shard_name) for r in shard_catalog(both, data_name="a").collect()}
     assert got == {("a", "a_000000"), ("a", "a_000001"), ("a", "a_000002"), ("a", "a_000003")}
+
+
+def test_offsets_recurse_on_sparse_keys(spark):
+    from shardloom.plans.ordering import with_offsets
+    rng = random.Random(5)
+    ords = rng.sample(range(0, 1 << 62), 300)                        # sparse 62-bit keys
+    rows = [(i % 2, o, rng.randint(1, 9)) for i, o in enumerate(ords)]
+    df = spark.createDataFrame(rows, "source_ord int, doc_ord long, n long").repartition(4)
+    got = {(r.source_ord, r.doc_ord): r.g for r in with_offsets(df, "n", 8, small_rows=3).collect()}
+    run, want = 0, {}
+    for src, o, n in sorted(rows):
+        want[(src, o)] = run
+        run += n
+    assert got == want
