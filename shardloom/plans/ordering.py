@@ -40,8 +40,9 @@ def with_offsets(df: DataFrame, n_col: str = "n", bucket_docs: int = 4096,
     """Add ``g`` = exclusive running sum of ``n`` in (group_cols, ord_col)
     order over the whole table.  ``ord_col`` must be unique per group.
 
-    The super-bucket table is counted; above ``small_rows`` rows (very sparse
-    order keys) it is summed by this same function instead of one window, so
+    The super-bucket table is bounded by the bucket-total count; above
+    ``small_rows`` rows (very sparse order keys) it is summed by this same
+    function instead of one window, so
     no level ever puts an unbounded table in one task.  Each level divides the
     key range by ``bucket_docs``, so the recursion is shallow."""
     K = int(bucket_docs)
@@ -53,7 +54,9 @@ def with_offsets(df: DataFrame, n_col: str = "n", bucket_docs: int = 4096,
     tot1 = tot1.withColumn("_sup", _div("_bkt", K))
     tot2 = tot1.groupBy(*group_cols, "_sup").agg(F.sum("_bn").cast("long").alias("_sn"))
     order2 = [*group_cols, "_sup"]
-    if tot2.count() <= small_rows:
+    # tot1 (staged, one row per bucket) bounds tot2's size; counting it reads
+    # Parquet footers only, one stage
+    if tot1.count() <= small_rows:
         w_all = Window.orderBy(*order2).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         base2 = tot2.select(*order2, (F.sum("_sn").over(w_all) - F.col("_sn")).alias("_sbase"))
     else:
