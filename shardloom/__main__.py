@@ -60,8 +60,11 @@ def parser() -> argparse.ArgumentParser:
     pr.add_argument("--split", type=_ratio, default=SplitRatio())
     pr.add_argument("--allow-empty-split", type=_bool, default=False)
 
+    helps = {"train": "count model on the training split",
+             "test": "cross-entropy of a count model on the testing split",
+             "generate": "seeded top-k text for a prompts table"}
     for name in ("train", "test", "generate"):
-        sp = sub.add_parser(name)
+        sp = sub.add_parser(name, help=helps[name])
         sp.add_argument("--shards", required=True)
         sp.add_argument("--model", required=True)
         sp.add_argument("--B", type=int, default=8)
