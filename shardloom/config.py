@@ -38,6 +38,10 @@ WORD_VOCAB_SIZE = WORD_CAP + 2
 BYTE_EOT_ID = 256
 BYTE_VOCAB_SIZE = 257
 
+# A table counted (or bounded by a count) to hold at most this many rows may
+# take a one-task path: an un-partitioned window, a single top-k merge.
+SMALL_TABLE_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class DatasetSpec:

@@ -35,8 +35,7 @@ from .. import config as C
 from ..session import ship_package, spread_small_input
 
 TOKENS_TYPE = T.ArrayType(T.IntegerType(), containsNull=False)
-# Tables checked to be at most this many rows may take a single-task path.
-SMALL_TABLE_ROWS = 1_000_000
+SMALL_TABLE_ROWS = C.SMALL_TABLE_ROWS
 
 # Fixed value: the GPT-2 pre-split pattern (public tiktoken definition).
 GPT2_PATTERN = (r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""

@@ -22,6 +22,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..session import stage_table
 
 
@@ -30,8 +31,7 @@ def _div(col: str, k: int) -> Column:
     return F.expr(f"`{col}` div {int(k)}")
 
 
-# A table counted to hold at most this many rows may take one un-partitioned window.
-SMALL_TABLE_ROWS = 1_000_000
+SMALL_TABLE_ROWS = C.SMALL_TABLE_ROWS
 
 
 def with_offsets(df: DataFrame, n_col: str = "n", bucket_docs: int = 4096,
