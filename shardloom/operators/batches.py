@@ -101,3 +101,15 @@ def schedule_sequences(schedule: DataFrame, spec: WindowSpec) -> DataFrame:
     ``seq = batch*B + row`` — the key to join with ``sequences``."""
     return (schedule.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(spec.B - 1))))
             .withColumn("seq", F.col("batch") * F.lit(spec.B) + F.col("row")))
+
+
+def scheduled_fragments(fragments: DataFrame, schedule: DataFrame, spec: WindowSpec) -> DataFrame:
+    """Fragments overlapping the token ranges a schedule reads: per shard
+    ``[min pos, max pos + B*T + N)`` (one row per shard), so windowing and the
+    join to the schedule work on what the steps read, not the whole split."""
+    reach = spec.B * spec.T + spec.N
+    ranges = schedule.groupBy("shard_id").agg(F.min("pos").alias("_lo"),
+                                              (F.max("pos") + F.lit(reach)).alias("_hi"))
+    f = fragments.join(ranges, "shard_id")
+    return (f.where((F.col("pos") + F.size("tokens") > F.col("_lo")) & (F.col("pos") < F.col("_hi")))
+            .drop("_lo", "_hi"))

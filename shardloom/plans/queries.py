@@ -248,7 +248,9 @@ def q_step_batches(spark, sf):
                               SCHEDULE_ACCUM, SCHEDULE_STEPS)
     rows = BA.schedule_sequences(sched, LOADER).select(
         "step", "micro_step", "rank", F.col("row").alias("batch_row"), "shard_id", "seq")
-    s = seqs(spark, sf, SEQ_N).select("shard_id", "seq", _txt("x").alias("x_text"), _txt("y").alias("y_text"))
+    train = packed_shards(spark, sf).where(F.col("split") == "training")
+    s = WI.sequences(BA.scheduled_fragments(train, sched, LOADER), SEQ_T, SEQ_N)
+    s = s.select("shard_id", "seq", _txt("x").alias("x_text"), _txt("y").alias("y_text"))
     return rows.join(s, ["shard_id", "seq"])
 
 

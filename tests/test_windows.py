@@ -59,3 +59,21 @@ def test_long_fragments_mix_whole_and_crossing(spark, T, N, max_frag):
             want[(sid, seq)] = (toks[s0:s0 + T], toks[s0 + N:s0 + N + T])
             seq += 1
     assert got == want
+
+
+@pytest.mark.parametrize("B,T,N,W", [(2, 4, 1, 2), (1, 3, 5, 3)])
+def test_scheduled_fragments_keep_every_scheduled_window(spark, B, T, N, W):
+    from shardloom.operators.batches import batch_schedule, schedule_sequences, scheduled_fragments
+    rng = random.Random(B * 100 + N)
+    shards = {s: [rng.randint(0, 99) for _ in range(rng.randint(B * T * W + N, 200))] for s in range(5)}
+    frags = shard_frags(spark, shards, rng, 12)
+    man = spark.createDataFrame([(s, len(t)) for s, t in shards.items()], "shard_id long, n_tokens long")
+    spec = WindowSpec(B=B, T=T, N=N, W=W)
+    sched = batch_schedule(man, spec, 1, 7)
+    rows = schedule_sequences(sched, spec).select("step", "rank", "row", "shard_id", "seq")
+    full = rows.join(sequences(frags, T, N), ["shard_id", "seq"])
+    pruned = rows.join(sequences(scheduled_fragments(frags, sched, spec), T, N), ["shard_id", "seq"])
+    key = lambda r: (r.step, r.rank, r.row, r.shard_id, r.seq, tuple(r.x), tuple(r.y))
+    a = sorted(map(key, full.collect()))
+    assert a == sorted(map(key, pruned.collect()))
+    assert len(a) == rows.count()
