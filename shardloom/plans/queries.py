@@ -244,8 +244,10 @@ def q_batch_schedule(spark, sf):
 def q_step_batches(spark, sf):
     """The sequences (x, y) each rank reads at each micro step: the
     schedule expanded to its B rows, equi-joined to the sequences."""
-    sched = BA.batch_schedule(SH.shard_catalog(prepared_manifest(spark, sf), "training"), LOADER,
-                              SCHEDULE_ACCUM, SCHEDULE_STEPS)
+    # the schedule table (steps x A x W rows) is written once: both the row
+    # expansion and the fragment ranges read it
+    sched = stage_table(BA.batch_schedule(SH.shard_catalog(prepared_manifest(spark, sf), "training"), LOADER,
+                                          SCHEDULE_ACCUM, SCHEDULE_STEPS), "schedule")
     rows = BA.schedule_sequences(sched, LOADER).select(
         "step", "micro_step", "rank", F.col("row").alias("batch_row"), "shard_id", "seq")
     train = packed_shards(spark, sf).where(F.col("split") == "training")
