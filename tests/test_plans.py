@@ -79,3 +79,13 @@ def test_drop_staged_tables(spark):
     assert drop_staged_tables(spark)
     p = staging_path(spark, "x")
     assert "shardloom-tables" in p
+
+
+def test_spread_only_small_inputs(spark):
+    from shardloom.session import spread_small_input
+    one = spark.range(100).withColumnRenamed("id", "doc_ord").coalesce(1)
+    spread = spread_small_input(one, "doc_ord")
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism * 2).withColumnRenamed("id", "doc_ord")
+    assert spread_small_input(many, "doc_ord") is many                 # no shuffle added
+    assert sorted(r.doc_ord for r in spread.collect()) == list(range(100))
