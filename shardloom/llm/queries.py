@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, packing, tokencount
-from ..session import ship_package
-from .common import documents
+from . import bpe, chat, dac, fingerprint, neardup, packing, quality, suffixdedup, tokencount, toxicity
+from ..session import read_table, ship_package
+from .common import documents, staged
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,18 +20,54 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), WORD_FILE).drop("text")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(dac.token_files(documents(spark, sf_dir), WORD_FILE, end_id=1))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rules = quality.cascade(quality.RULES, quality.measure_rules(docs))
+    return quality.judge(docs, rules).drop("text", "rejected_by")
+
+
+#: A conversation whose texts look like control strings.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    rows = rows.union(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string"))
+    formatted = staged(chat.render(chat.fold(chat.log_of_messages(rows))), "chat")
+    return chat.digests(chat.read_back(formatted))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_FILE, end_id=2)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(suffixdedup.removed_spans(documents(spark, sf_dir)))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -41,5 +77,8 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_byte_bpe, op4_token_counts, op6_token_files, op9_packing)}
+QUERIES = {
+    f.__name__: _shipped(f)
+    for f in (op1_byte_bpe, op2_near_duplicates, op3_toxicity, op4_token_counts, op5_fingerprints, op6_token_files, op7_quality, op8_chat, op9_packing, op10_repeats)
+}
 SQL: dict[str, str] = {}
