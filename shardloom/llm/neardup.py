@@ -286,3 +286,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = sketch.select("doc_id", *same).join(reps.select(*same, F.col("id").alias("rep_id")), same, "left")
     named = named.withColumn("rep_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep_id", "doc_id")))
     return named.join(labels.select(F.col("id").alias("rep_id"), "label"), "rep_id", "left").select("doc_id", "rep_id", F.coalesce("label", "rep_id").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each class, that of the smallest id; rows with a null id stay."""
+    found = near_duplicates(docs, threshold)
+    first = found.where("doc_id = class_id").select("doc_id").distinct()
+    kept = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -134,8 +134,8 @@ def cascade(rules: Sequence[Rule], measured: Sequence[Measured]) -> list[Rule]:
     return sorted(rules, key=lambda r: (-rate.get(r.name, 0.0), r.name)) if rate else list(rules)
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule], text: str = "text", full: bool = True) -> DataFrame:
-    """``docs`` with ``kept`` and ``rejected_by`` (the first rule of the cascade that rejects; null if kept).
+def judge(docs: DataFrame, rules: Sequence[Rule], text: str = "text", full: bool = True, prefix: str = "") -> DataFrame:
+    """``docs`` with ``kept`` and ``rejected_by`` (the first rule of the cascade that rejects; null if kept), each name after ``prefix``.
 
     With ``full``, the base measures of every document too: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
     """
@@ -150,5 +150,6 @@ def judge(docs: DataFrame, rules: Sequence[Rule], text: str = "text", full: bool
             rows.append([getattr(t, m) for m in measures] + [failed, by is None, by])
         return list(zip(*rows))
 
-    fields = [pa.field(m, pa.int64()) for m in measures] + [pa.field("base_failed", pa.bool_()), pa.field("kept", pa.bool_()), pa.field("rejected_by", pa.string())]
+    kinds = {m: pa.int64() for m in measures} | {"base_failed": pa.bool_(), "kept": pa.bool_(), "rejected_by": pa.string()}
+    fields = [pa.field(prefix + name, kind) for name, kind in kinds.items()]
     return with_columns(docs, text, fields, compute)

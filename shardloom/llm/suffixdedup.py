@@ -416,3 +416,36 @@ def remaining(text: bytes, spans) -> bytes:
         at = s["end"]
     out.append(text[at:])
     return b"".join(out)
+
+
+def on_characters(data: np.ndarray, spans) -> list[dict[str, int]]:
+    """Spans of UTF-8 bytes drawn in to whole characters; those left empty are dropped."""
+    begins = (data & 0xC0) != 0x80
+    out = []
+    for s in spans:
+        start, end = s["start"], s["end"]
+        while start < end and not begins[start]:
+            start += 1
+        while end > start and end < len(data) and not begins[end]:
+            end -= 1
+        if end > start:
+            out.append({"start": start, "end": end})
+    return out
+
+
+def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the removed bytes taken out of the text; a character stays if any byte of it does.  All other columns as they were."""
+    cut = removed_spans(docs, doc_id, text)
+    schema = StructType([cut.schema["row"], cut.schema["text"]])
+
+    def run(batches):
+        for part in batches:
+            texts = []
+            for old, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+                if old and spans:
+                    data = old.encode()
+                    old = remaining(data, on_characters(np.frombuffer(data, np.uint8), spans)).decode()
+                texts.append(old)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    return cut.mapInArrow(run, schema).select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

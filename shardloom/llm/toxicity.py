@@ -18,6 +18,7 @@ repeated rows and null ids each give a row (a null id is held out); repeated lab
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -266,10 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 _models: dict[str, Model] = {}
 
 
-def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``df`` with ``score`` of its texts; 0 without a model."""
-    import uuid
-
+def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
+    """``df`` with the score of its texts in column ``out``; 0 without a model."""
     name, sent = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(model.p if model else None)
 
     def compute(texts):
@@ -280,4 +279,4 @@ def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
             _models[name] = Model(sent.value)
         return [_models[name].scores(texts)]
 
-    return with_columns(df, text, [pa.field("score", pa.float64())], compute)
+    return with_columns(df, text, [pa.field(out, pa.float64())], compute)
