@@ -1,13 +1,15 @@
 """Operator 3: toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word of a window is a vector of two parts: a learned embedding of the whole word (hashed) and the mean of learned embeddings of
-its characters' trigrams (hashed), so that words never seen are judged by their letters.  A GRU reads the window forwards, another one
+Each word of a window is a vector of two parts: a learned embedding of the whole word, if it is in ``MIN_DOCS`` training texts (else
+none), and the mean of learned embeddings of its characters' trigrams (hashed, edges marked), so that words never seen are judged by
+their letters.  A GRU reads the window forwards, another one
 backwards; attention weighs their states into one vector, and a logistic unit scores it.  Windows of ``WINDOW`` words overlap by half
 and cover the whole text; a document's score is that of its most toxic window.
 
-Training (``fit``): at most ``PER_CLASS`` labelled documents of each class (lowest hash of their id first, texts of at most
-``FIT_CHARS`` code points) come to the driver; that bound is the only sample here.  A clean document teaches that all its windows are
-clean, a toxic one that its highest window is toxic.  Adam, fixed seed: the same rows give the same model.  The model (under 2 MB) goes
+Training (``fit``): at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled documents (lowest hash of their id first, texts of
+at most ``FIT_CHARS`` code points) come to the driver; that bound is the only sample here.  A clean document teaches that all its
+windows are clean, its highest above all, a toxic one that its highest window is toxic.  Adam, fixed seed: the same rows give the same
+model.  The model (a few MB, bounded by the sample) goes
 to the tasks by broadcast.  Scoring reads the text alone, needs no shuffle, and keeps the projected inputs of at most ``MEMO_WORDS``
 words a worker.
 
@@ -19,21 +21,24 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import mix, ragged, with_columns
 
 WINDOW = 32
-PER_CLASS = 1000
+TOXIC_ROWS, CLEAN_ROWS = 1000, 2000
 FIT_CHARS = 20_000
-EPOCHS = 6
-MEMO_WORDS = 100_000
-_WORD_BUCKETS, _CHAR_BUCKETS, _WORD_DIM, _CHAR_DIM, _HIDDEN = 1 << 14, 1 << 13, 8, 8, 8
+EPOCHS = 4
+MIN_DOCS = 3
+MEMO_WORDS = 200_000
+_CHAR_BUCKETS, _WORD_DIM, _CHAR_DIM, _HIDDEN = 1 << 15, 8, 8, 8
 _TOKEN = re.compile(r"\w+")
 
 
@@ -45,12 +50,17 @@ def words_of(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def _codes(word: str) -> tuple[int, list[int]]:
-    """Bucket of the word and buckets of its character trigrams, its edges marked."""
-    import xxhash
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' character trigrams, one word after the other, and how many each has (as many as letters)."""
+    letters = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    at = ragged(np.cumsum(sizes + 2) - sizes - 2, sizes)
+    return (mix((letters[at] << np.uint64(42)) | (letters[at + 1] << np.uint64(21)) | letters[at + 2]) % np.uint64(_CHAR_BUCKETS)).astype(np.int64), sizes
 
-    spelled = f"^{word}$"
-    return xxhash.xxh32_intdigest(word) % _WORD_BUCKETS, [xxhash.xxh32_intdigest(spelled[i : i + 3]) % _CHAR_BUCKETS for i in range(max(1, len(spelled) - 2))]
+
+def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of values by row number."""
+    return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
 
 
 def windows(n: int, size: int = WINDOW) -> np.ndarray:
@@ -68,26 +78,25 @@ class Model:
     """Parameters; ``u`` and ``d`` prefixes are the forward and backward direction."""
 
     p: dict[str, np.ndarray]
+    vocabulary: dict[str, int]  # rows of the word embedding; row 0: any other word
     memo: dict[str, int] = field(default_factory=dict, repr=False)
 
     @classmethod
-    def new(cls, seed: int = 1) -> "Model":
+    def new(cls, vocabulary: dict[str, int], seed: int = 1) -> "Model":
         rng = np.random.default_rng(seed)
         make = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         dim = _WORD_DIM + _CHAR_DIM
-        p = {"word": make(_WORD_BUCKETS, _WORD_DIM, scale=0.01), "char": make(_CHAR_BUCKETS, _CHAR_DIM, scale=0.3)}
+        p = {"word": make(len(vocabulary) + 1, _WORD_DIM, scale=0.01), "char": make(_CHAR_BUCKETS, _CHAR_DIM, scale=0.3)}
+        p["word"][0] = 0
         for d in "ud":
             p |= {f"{d}_in": make(dim, 3 * _HIDDEN, scale=dim**-0.5), f"{d}_rec": make(_HIDDEN, 3 * _HIDDEN, scale=_HIDDEN**-0.5), f"{d}_bias": np.zeros(3 * _HIDDEN, np.float32)}
         p |= {"att": make(2 * _HIDDEN, scale=0.5), "out": make(2 * _HIDDEN, scale=0.5), "bias": np.full(1, -1.0, np.float32)}
-        return cls(p)
-
-    # a word's input vector; rows of ``x`` are steps
+        return cls(p, vocabulary)
 
-    def embed(self, coded: list[tuple[int, list[int]]]) -> np.ndarray:
-        sizes = np.array([len(c) for _, c in coded])
-        flat = np.concatenate([c for _, c in coded])
+    def embed(self, word: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Input vectors of words from their rows and trigrams."""
         chars = np.add.reduceat(self.p["char"][flat], np.cumsum(sizes) - sizes) / sizes[:, None].astype(np.float32)
-        return np.concatenate([self.p["word"][[w for w, _ in coded]], chars], 1)
+        return np.concatenate([self.p["word"][word], chars], 1)
 
     def _gru(self, d: str, g: np.ndarray, mask: np.ndarray, keep: bool):
         """States of one direction over projected inputs ``g`` (steps, rows, 3h); masked steps hold the state."""
@@ -142,8 +151,7 @@ class Model:
                 drec[:, 2 * n :] += (r * h).T @ dc
                 dg[t, :, : 2 * n], dg[t, :, 2 * n :] = zr, dc
                 dh = dh - dnew * z + drh * r + zr @ rec[:, : 2 * n].T
-            flat = np.zeros((len(x), 3 * n), np.float32)
-            np.add.at(flat, rows.ravel(), dg.reshape(-1, 3 * n))
+            flat = _scatter(rows.ravel(), dg.reshape(-1, 3 * n), len(x))
             out |= {f"{d}_rec": drec, f"{d}_in": x.T @ flat, f"{d}_bias": flat.sum(0)}
             dx += flat @ p[f"{d}_in"].T
         return out | {"x": dx}
@@ -152,7 +160,7 @@ class Model:
 
     def _project(self, words: list[str]) -> None:
         """Projected inputs of new words, kept for later texts."""
-        x = self.embed([_codes(w) for w in words])
+        x = self.embed(np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words)), *trigrams(words))
         new = {d: x @ self.p[f"{d}_in"] + self.p[f"{d}_bias"] for d in "ud"}
         if not self.memo:
             self.table = {d: np.zeros((1, 3 * _HIDDEN), np.float32) for d in "ud"}  # row 0: no word
@@ -170,7 +178,7 @@ class Model:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         said = [words_of(t) for t in texts]
-        if new := sorted(set().union(*said).difference(self.memo)):
+        if new := list(set(chain.from_iterable(said)).difference(self.memo)):
             self._project(new)
         at, doc = [], []
         for k, words in enumerate(said):
@@ -198,15 +206,19 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     rows = [(w, y) for w, y in rows if w]
     if len({y for _, y in rows}) < 2:
         return None
-    vocabulary = sorted({w for words, _ in rows for w in words})
-    number = {w: i + 1 for i, w in enumerate(vocabulary)}
-    coded = [_codes(w) for w in vocabulary]
+    spread = Counter(w for words, _ in rows for w in set(words))
+    every = sorted(spread)
+    number = {w: i + 1 for i, w in enumerate(every)}
+    vocabulary = {w: i + 1 for i, w in enumerate(w for w in every if spread[w] >= MIN_DOCS)}
+    word_row = np.array([vocabulary.get(w, 0) for w in every])
+    flat, sizes = trigrams(every)
+    first = np.cumsum(sizes) - sizes
     docs = []
     for words, y in rows:
         line = np.zeros(len(words) + WINDOW, np.int64)
         line[: len(words)] = [number[w] for w in words]
         docs.append((line[windows(len(words))[:, None] + np.arange(WINDOW)], y))
-    model, rng = Model.new(seed), np.random.default_rng(seed)
+    model, rng = Model.new(vocabulary, seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
     step = 0
     for _ in range(epochs):
@@ -214,30 +226,25 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
         for i in range(0, len(order), batch):
             part = [docs[k] for k in order[i : i + batch]]
             at, doc = np.concatenate([w for w, _ in part]), np.repeat(np.arange(len(part)), [len(w) for w, _ in part])
-            label = np.array([y for _, y in part])
-            used, place = np.unique(at, return_inverse=True)
-            place = place.reshape(at.shape).T
-            if used[0] != 0:
-                used, place = np.r_[0, used], place + 1
-            own = [coded[k - 1] for k in used[1:]]
-            x = np.concatenate([np.zeros((1, _WORD_DIM + _CHAR_DIM), np.float32), model.embed(own)])
+            used, place = np.unique(np.r_[0, at.ravel()], return_inverse=True)
+            place, own = place[1:].reshape(at.shape).T, used[1:] - 1
+            word, n_chars = word_row[own], sizes[own]
+            chars = flat[ragged(first[own], n_chars)]
+            x = np.concatenate([np.zeros((1, _WORD_DIM + _CHAR_DIM), np.float32), model.embed(word, chars, n_chars)])
             mask = (place > 0).astype(np.float32)
             g = {d: (x @ model.p[f"{d}_in"] + model.p[f"{d}_bias"])[place] for d in "ud"}
             z, kept = model.logits(g, mask, keep=True)
-            prob = 1 / (1 + np.exp(-z))
             top = np.zeros(len(z), bool)
             by = np.lexsort((-z, doc))
             top[by[np.r_[True, np.diff(doc[by]) != 0]]] = True
-            y = label[doc]
-            # a toxic text: its highest window; a clean one: all of them, weighing as one text
-            weight = np.where(y == 1, top, 1 / np.sqrt(np.bincount(doc)[doc]))
-            dz = ((prob - y) * weight / len(part)).astype(np.float32)
+            y = np.array([y for _, y in part])[doc]
+            weight = np.where(top, 1, (y == 0) / np.bincount(doc)[doc])
+            dz = ((1 / (1 + np.exp(-z)) - y) * weight / len(part)).astype(np.float32)
             grad = model.gradients(place, x, mask, dz, kept)
             dx = grad.pop("x")[1:]
-            grad["word"], grad["char"] = np.zeros_like(model.p["word"]), np.zeros_like(model.p["char"])
-            np.add.at(grad["word"], [w for w, _ in own], dx[:, :_WORD_DIM])
-            sizes = np.array([len(c) for _, c in own])
-            np.add.at(grad["char"], np.concatenate([c for _, c in own]), np.repeat(dx[:, _WORD_DIM:] / sizes[:, None], sizes, 0))
+            grad["word"] = _scatter(word, dx[:, :_WORD_DIM], len(model.p["word"]))
+            grad["word"][0] = 0
+            grad["char"] = _scatter(chars, np.repeat(dx[:, _WORD_DIM:] / n_chars[:, None], n_chars, 0), _CHAR_BUCKETS)
             step += 1
             for k, value in grad.items():
                 m[k] += 0.1 * (value - m[k])
@@ -246,22 +253,20 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
-    """At most ``per_class`` labelled texts of each class that are not held out, brought to the driver."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def training_rows(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (CLEAN_ROWS, TOXIC_ROWS)) -> tuple[list[str], list[int]]:
+    """Labelled texts that are not held out, at most so many clean and toxic ones, brought to the driver."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # a third more than wanted: some texts may be missing or too long
-    asked = per_class + per_class // 3
-    picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(asked) for y in (0, 1)]
-    chosen = F.broadcast(picked[0].union(picked[1]))  # 2 * asked rows at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.char_length("text") <= FIT_CHARS)
-    got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
-    kept = [[r for r in got if r[2] == y][:per_class] for y in (0, 1)]
-    both = sorted(kept[0] + kept[1])
+    picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n + n // 3) for y, n in enumerate(rows)]
+    chosen = F.broadcast(picked[0].union(picked[1]))
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.char_length("text") <= FIT_CHARS)
+    got = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in found.collect()})
+    both = sorted(r for y, n in enumerate(rows) for r in [r for r in got if r[2] == y][:n])
     return [t for _, t, _ in both], [y for _, _, y in both]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    return train(*training_rows(docs, labels, per_class))
+def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (CLEAN_ROWS, TOXIC_ROWS)) -> Model | None:
+    return train(*training_rows(docs, labels, rows))
 
 
 _models: dict[str, Model] = {}
@@ -269,14 +274,14 @@ _models: dict[str, Model] = {}
 
 def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the score of its texts in column ``out``; 0 without a model."""
-    name, sent = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(model.p if model else None)
+    name, sent = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast((model.p, model.vocabulary) if model else None)
 
     def compute(texts):
         if sent.value is None:
             return [np.zeros(len(texts))]
         if name not in _models:
             _models.clear()
-            _models[name] = Model(sent.value)
+            _models[name] = Model(*sent.value)
         return [_models[name].scores(texts)]
 
     return with_columns(df, text, [pa.field(out, pa.float64())], compute)
