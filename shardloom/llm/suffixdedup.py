@@ -304,7 +304,7 @@ def settle_windows(batches):
     data = np.concatenate(data)
     lengths = rows["n"].astype(np.int64) + LENGTH - 1
     offset = np.cumsum(lengths) - lengths
-    group = np.mod(rows["rank"] >> _U64(32), _U64(max(1, len(data) // (PIECE * 4)))).astype(np.int64)  # some anchors at a time
+    group = np.mod(rows["rank"] >> _U64(32), _U64(len(data) // PIECE + 1)).astype(np.int64)  # some anchors at a time
     for g in np.unique(group):
         at = np.flatnonzero(group == g)
         part = data[ragged(offset[at], lengths[at])]
