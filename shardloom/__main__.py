@@ -4,6 +4,7 @@
   python -m shardloom train    --shards DIR --model DIR [--B 8 --T 256 --N 1]
   python -m shardloom test     --shards DIR --model DIR
   python -m shardloom generate --shards DIR --model DIR --prompts PATH [--max-length 2048] --out DIR
+  python -m shardloom resplit  --shards DIR --split 7,2,1
   python -m shardloom curves   --logs PATH --out DIR
 
 A session comes from ``SparkSession.builder.getOrCreate()`` (spark-submit
@@ -70,12 +71,20 @@ def parser() -> argparse.ArgumentParser:
         sp.add_argument("--B", type=int, default=8)
         sp.add_argument("--T", type=int, default=256)
         sp.add_argument("--N", type=int, default=1)
+        sp.add_argument("--data-name", help="needed when the store holds several")
+        sp.add_argument("--ranks-file", help="ranks of a bpe corpus")
         if name == "generate":
             sp.add_argument("--prompts", required=True, help="table with item_id, text")
             sp.add_argument("--run", default="count-model")
             sp.add_argument("--max-length", type=int, default=2048)
             sp.add_argument("--out", required=True)
 
+    rs = sub.add_parser("resplit", help="label a corpus's shards again with another ratio")
+    rs.add_argument("--shards", required=True)
+    rs.add_argument("--split", type=_ratio, required=True)
+    rs.add_argument("--data-name")
+    rs.add_argument("--allow-empty-split", type=_bool, default=False)
+
     cu = sub.add_parser("curves", help="loss curves from training logs")
     cu.add_argument("--logs", required=True)
     cu.add_argument("--out", required=True)
@@ -90,7 +99,7 @@ def main(argv: Optional[Sequence[str]] = None, spark: Optional[SparkSession] = N
         n = len(args.dataset)
         if len(args.keys) != n:
             raise SystemExit("give --keys once per --dataset")
-        orders = args.order or ["doc_ord"] * n
+        orders = args.order or [None] * n          # numbered in file and row order
         wheres = args.where or [None] * n
         specs = [DatasetSpec(path=d, data_keys=k.split(","), order_col=o, where=w)
                  for d, k, o, w in zip(args.dataset, args.keys, orders, wheres)]
@@ -100,18 +109,23 @@ def main(argv: Optional[Sequence[str]] = None, spark: Optional[SparkSession] = N
                                args.allow_empty_split, **extra)
         man.groupBy("split").agg(F.count(F.lit(1)).alias("shards"), F.sum("n_tokens").alias("tokens")).show()
         return 0
+    if args.cmd == "resplit":
+        man = J.resplit(spark, args.shards, args.split, args.data_name, args.allow_empty_split)
+        man.groupBy("split").agg(F.count(F.lit(1)).alias("shards"), F.sum("n_tokens").alias("tokens")).show()
+        return 0
     if args.cmd == "curves":
         curve = loss_curve(read_training_logs(spark, args.logs))
         curve.write.mode("overwrite").parquet(args.out)
         return 0
     spec = WindowSpec(B=args.B, T=args.T, N=args.N)
     if args.cmd == "train":
-        J.train_count_model(spark, args.shards, spec, args.model)
+        J.train_count_model(spark, args.shards, spec, args.model, args.data_name)
         return 0
-    tok = J.load_word_tokenizer(spark, args.shards)
+    extra = {"ranks_path": args.ranks_file} if args.ranks_file else {}
+    tok = J.load_tokenizer(spark, args.shards, **extra)
     counts = spark.read.parquet(args.model)
     if args.cmd == "test":
-        J.evaluate(spark, args.shards, counts, spec, tok.vocab_size).show()
+        J.evaluate(spark, args.shards, counts, spec, tok.vocab_size, args.data_name).show()
         return 0
     prompts = spark.read.parquet(args.prompts).select("item_id", "text")
     resp = J.generate_responses(prompts, tok, counts, [args.run], args.max_length)

@@ -29,29 +29,26 @@ TOTAL_BATCH_TOKENS = 524288                # tokens per optimiser step
 # ---------------------------------------------------------------------------
 
 # Word-mode vocabulary: ids 1..WORD_CAP are words ranked by (count desc, word
-# asc); 0 is the unknown word; WORD_CAP + 1 is end-of-text.  With 50,255 words
-# the layout has the same size as the GPT-2 vocabulary (50,257 ids).
+# asc); WORD_CAP + 1 is end-of-text.  Any other word is spelled: id 0, then its
+# UTF-8 bytes as WORD_CAP + 2 + byte, so that no text is lost.
 WORD_CAP = 50255
-WORD_UNKNOWN_ID = 0
+WORD_SPELL_ID = 0
 WORD_EOT_ID = WORD_CAP + 1
-WORD_VOCAB_SIZE = WORD_CAP + 2
+WORD_VOCAB_SIZE = WORD_CAP + 2 + 256
 BYTE_EOT_ID = 256
 BYTE_VOCAB_SIZE = 257
 
-# A table counted (or bounded by a count) to hold at most this many rows may
-# take a one-task path: an un-partitioned window, a single top-k merge.
-SMALL_TABLE_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class DatasetSpec:
     """One text source: a table, the text columns to join, a row filter and
-    the column(s) giving document order (``doc_ord`` must be unique per source).
+    the column giving document order (a unique integer; without one the rows
+    are numbered once, in file and row order).
     """
 
     path: str
     data_keys: Sequence[str]
-    order_col: str = "doc_ord"
+    order_col: Optional[str] = "doc_ord"     # None: numbered at ingest, in file and row order
     where: Optional[str] = None
     separator: str = " "
     fmt: str = "parquet"
@@ -69,19 +66,18 @@ class SplitRatio:
         parts = (self.training, self.validation, self.testing)
         if any(p < 0 for p in parts) or sum(parts) != 10:
             raise ValueError(
-                "The sum of the training, validation and testing parts must be 10, "
-                f"got {parts}")
+                f"split shares are tenths and have to add up to 10: {parts}")
 
 
 @dataclass(frozen=True)
 class PackSpec:
     data_name: str = "corpus"
     shard_tokens: int = DEFAULT_SHARD_TOKENS
-    bucket_docs: int = 4096     # documents per prefix-sum bucket
+    ranges: int = 0             # ranges of order keys for prefix sums (0: by the session's shuffle partitions)
 
     def __post_init__(self):
-        if self.shard_tokens <= 0 or self.bucket_docs <= 0:
-            raise ValueError("shard_tokens and bucket_docs must be positive")
+        if self.shard_tokens <= 0 or self.ranges < 0:
+            raise ValueError("shard_tokens must be positive and ranges not negative")
 
 
 @dataclass(frozen=True)
@@ -107,7 +103,7 @@ def accumulation_steps(total_batch_tokens: int, spec: WindowSpec) -> int:
     """Micro steps per optimiser step; total must divide by B*T*W."""
     per = spec.B * spec.T * spec.W
     if total_batch_tokens % per != 0:
-        raise ValueError("make sure total_batch_size is divisible by B * T * W")
+        raise ValueError(f"{total_batch_tokens} tokens per step do not divide into micro batches of {per}")
     return total_batch_tokens // per
 
 

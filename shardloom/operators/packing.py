@@ -33,11 +33,11 @@ def doc_offsets(docs: DataFrame, tok: Tokenizer, spec: PackSpec = PackSpec(),
                 tokenized: bool = False) -> DataFrame:
     """E1 on the slim table ``(source_ord, doc_ord, n, g)``; ``tokenized=True``
     takes a ``(source_ord, doc_ord, tokens, n)`` table and reads only ``n``."""
-    if tokenized:
-        slim = docs.select("source_ord", "doc_ord", "n")
-    else:
-        slim = docs.select("source_ord", "doc_ord", tok.count(F.col("text")).alias("n"))
-    return with_offsets(slim, "n", spec.bucket_docs)
+    if not tokenized and not tok.jvm_count:
+        # counting needs the encoder itself: encode once into a staged table
+        docs, tokenized = stage_token_table(docs, tok), True
+    n = F.col("n") if tokenized else tok.count(F.col("text")).alias("n")
+    return with_offsets(docs.select("source_ord", "doc_ord", n), "n", spec.ranges)
 
 
 def _touched_shards(g: Column, n: Column, S: int) -> Column:
@@ -64,7 +64,7 @@ def pack_fragments(docs: DataFrame, tok: Tokenizer, spec: PackSpec = PackSpec(),
     """``(source_ord, doc_ord, shard_id, pos, tokens)``.
 
     With a tokenizer that counts JVM-side, offsets are computed on the text
-    rows (one shuffle, by prefix-sum bucket) and tokens are encoded after it,
+    rows (one shuffle, by prefix-sum range) and tokens are encoded after it,
     in the same stage that slices fragments.  ``tokenized=True`` takes an
     already staged ``(source_ord, doc_ord, tokens, n)`` table instead.
     """
@@ -76,9 +76,14 @@ def pack_fragments(docs: DataFrame, tok: Tokenizer, spec: PackSpec = PackSpec(),
         rows = docs
     else:
         rows = docs.withColumn("n", tok.count(F.col("text")))
-    rows = with_offsets(rows, "n", spec.bucket_docs)
+    rows = with_offsets(rows, "n", spec.ranges)
     if not tokenized:
         rows = rows.withColumn("tokens", tok.encode(F.col("text"))).drop("text")
+    return fragments_at(rows, S)
+
+
+def fragments_at(rows: DataFrame, S: int) -> DataFrame:
+    """E2 for documents whose offsets ``g`` are known."""
     df = _fragment_bounds(rows, S)
     start = (F.col("_lo") - F.col("g") + F.lit(1)).cast("int")
     length = (F.col("_hi") - F.col("_lo")).cast("int")
@@ -95,8 +100,13 @@ def shard_manifest(offsets: DataFrame, spec: PackSpec = PackSpec(),
     agg = spans.groupBy("shard_id").agg(
         F.sum("length").cast("long").alias("n_tokens"),
         F.count(F.lit(1)).alias("n_docs"))
+    return named_manifest(agg, spec, ratio)
+
+
+def named_manifest(sizes: DataFrame, spec: PackSpec, ratio: Optional[SplitRatio]) -> DataFrame:
+    """A5 + A7 + B6: ``(shard_id, n_tokens, n_docs)`` with names and labels."""
     name = shard_name(spec.data_name, F.col("shard_id"))
-    out = agg.select(F.lit(spec.data_name).alias("data_name"), "shard_id",
+    out = sizes.select(F.lit(spec.data_name).alias("data_name"), "shard_id",
                      name.alias("shard_name"), "n_tokens", "n_docs")
     if ratio is not None:
         out = out.withColumn("split", split_of(F.col("shard_id"), ratio))

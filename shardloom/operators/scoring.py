@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..config import TOKEN_LIMIT, WindowSpec
 from ..session import ship_package
-from .batches import rank_batches
+from .batches import batch_schedule
 from .countmodel import _check_vocab, context_totals
 
 
@@ -63,24 +63,30 @@ def unigram_scorer(log_probs: np.ndarray) -> Callable:
     lp = np.asarray(log_probs, dtype=np.float64)
 
     def fn(xs, ys):
-        return np.array([-lp[np.asarray(y, dtype=np.int64)].mean() for y in ys])
+        lengths = np.fromiter(map(len, ys), np.int64, len(ys))
+        if not lengths.all():
+            raise ValueError("a sequence without targets has no loss")
+        flat = lp[np.concatenate(ys).astype(np.int64)]
+        return -np.add.reduceat(flat, np.cumsum(lengths) - lengths) / lengths
     return fn
 
 
 def test_batch_losses(test_seqs: DataFrame, test_manifest: DataFrame, counts: DataFrame,
-                      spec: WindowSpec, vocab_size: int, run: str = "count-model") -> DataFrame:
-    """Per dealt test batch ``(run, rank, shard_id, batch, loss)``, loss = mean
-    ``-ln p(b|a)`` over its ``B*T`` targets (add-one smoothing)."""
-    _check_vocab(vocab_size)          # context totals below have at most vocab_size rows
-    batches = rank_batches(test_manifest, spec).select("shard_id", "rank", "batch")
-    pairs = (test_seqs.select("shard_id", F.expr(f"seq div {spec.B}").alias("batch"),
-                              F.explode(F.arrays_zip("x", "y")).alias("xy"))
-             .select("shard_id", "batch", F.col("xy.x").alias("a"), F.col("xy.y").alias("b")))
-    per = (pairs.join(batches, ["shard_id", "batch"])
-           .groupBy("rank", "shard_id", "batch", "a", "b").agg(F.count(F.lit(1)).alias("n")))
-    tot = F.broadcast(context_totals(counts))
-    j = per.join(counts, ["a", "b"], "left").join(tot, "a", "left")
+                      spec: WindowSpec, vocab_size: int, max_steps: int, run: str = "count-model") -> DataFrame:
+    """Per test batch that ``max_steps`` loader calls of each rank read (going
+    round when the split ends) ``(run, rank, shard_id, batch, n_reads, loss)``,
+    loss = mean ``-ln p(b|a)`` over its ``B*T`` targets (add-one smoothing).
+
+    Sequences join the batches before their tokens are unfolded."""
+    _check_vocab(vocab_size)
+    schedule = batch_schedule(test_manifest, spec, 1, max_steps)
+    dealt = schedule.groupBy("rank", "shard_id", "batch").agg(F.count(F.lit(1)).alias("n_reads"))
+    seqs = (test_seqs.withColumn("batch", F.expr(f"seq div {spec.B}")).join(dealt, ["shard_id", "batch"])
+            .select("rank", "n_reads", "shard_id", "batch", F.explode(F.arrays_zip("x", "y")).alias("xy")))
+    per = (seqs.groupBy("rank", "shard_id", "batch", F.col("xy.x").alias("a"), F.col("xy.y").alias("b"))
+           .agg(F.count(F.lit(1)).alias("n"), F.first("n_reads").alias("n_reads")))
+    j = per.join(counts, ["a", "b"], "left").join(context_totals(counts), "a", "left")
     nll = -F.log((F.coalesce("c", F.lit(0)) + F.lit(1.0)) / (F.coalesce("ca", F.lit(0)) + F.lit(float(vocab_size))))
     return (j.groupBy("rank", "shard_id", "batch")
-            .agg((F.sum(F.col("n") * nll) / F.sum("n")).alias("loss"))
+            .agg(F.first("n_reads").alias("n_reads"), (F.sum(F.col("n") * nll) / F.sum("n")).alias("loss"))
             .withColumn("run", F.lit(run)))

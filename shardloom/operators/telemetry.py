@@ -38,25 +38,30 @@ def run_lengths(tel: DataFrame) -> DataFrame:
     return tel.groupBy("run").agg((F.max("step") + F.lit(1)).alias("max_steps"))
 
 
-def throughput(durations: DataFrame, spec: TelemetrySpec = TelemetrySpec()) -> DataFrame:
-    """``B*T*A*W / dt`` tokens per second (null for a zero duration)."""
+def throughput(durations: DataFrame, spec: TelemetrySpec = TelemetrySpec(), keep=()) -> DataFrame:
+    """``B*T*A*W / dt`` tokens per second (null for a zero duration);
+    ``keep`` names further columns of ``durations``."""
     tokens = float(spec.B * spec.T * spec.A * spec.W)
     dt_s = F.col("dt_ms") / F.lit(1000.0)
-    return durations.select("run", "step", "dt_ms",
+    return durations.select("run", "step", "dt_ms", *keep,
                             F.when(dt_s > 0, F.lit(tokens) / dt_s).alias("tok_per_sec"))
 
 
 def step_table(tel: DataFrame, spec: TelemetrySpec = TelemetrySpec()) -> DataFrame:
-    """One row per (run, step): loss, lr, stage, duration, throughput, and a
-    gradient-norm stand-in (the L2 norm of the step's per-record losses; the
-    reference clips after the update, so only this reported value exists)."""
-    loss = step_loss(tel, spec)
-    norm = tel.groupBy("run", "step").agg(F.sqrt(F.sum(F.col("loss") * F.col("loss"))).alias("norm"))
-    dur = throughput(step_duration(tel), spec)
-    lengths = run_lengths(tel)
-    out = loss.join(norm, ["run", "step"]).join(dur, ["run", "step"]).join(lengths, "run")
+    """One row per (run, step): loss, lr, stage, start, duration, throughput.
+
+    Loss, first and last time of a step come out of one pair of aggregates;
+    only a run's number of steps needs another look at the records."""
+    per_rank = (tel.groupBy("run", "step", "rank")
+                .agg(F.sum(F.col("loss") / F.lit(float(spec.A))).alias("loss"),
+                     F.min("ts").alias("t0"), F.max("ts").alias("t1")))
+    per_step = per_rank.groupBy("run", "step").agg(F.avg("loss").alias("loss"), F.min("t0").alias("t0"),
+                                                   F.max("t1").alias("t1"))
+    dt_ms = F.expr("timestampdiff(MICROSECOND, t0, t1)") / F.lit(1000.0)
+    dur = throughput(per_step.withColumn("dt_ms", dt_ms), spec, keep=("t0", "loss"))
+    out = dur.join(run_lengths(tel), "run")
     return out.select(
-        "run", "step", "loss", "norm", "dt_ms", "tok_per_sec", "max_steps",
+        "run", "step", "loss", "t0", "dt_ms", "tok_per_sec", "max_steps",
         learning_rate(F.col("step"), spec.warmup_steps, F.col("max_steps"),
                       spec.max_lr, spec.min_lr).alias("lr"),
         curriculum_stage(F.col("step"), F.col("max_steps")).alias("stage"))
@@ -69,15 +74,13 @@ def loss_curve(steps: DataFrame) -> DataFrame:
             .orderBy("run", "step"))
 
 
-def loss_map(steps: DataFrame, max_entries: int = 10_000_000) -> DataFrame:
-    """The history as ``map<step, loss>`` per run.  A run's map holds one
-    entry per optimiser step — bounded by the run's configured step count, not
-    by data volume; runs above ``max_entries`` steps raise."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col("step").cast("int"), "loss")))
-    g = steps.groupBy("run").agg(entries.alias("_e"))
-    return g.select("run", F.when(F.size("_e") <= max_entries, F.map_from_entries("_e"))
-                    .otherwise(F.raise_error(F.lit("loss history too long for one map")))
-                    .alias("loss_per_step"))
+def loss_map(steps: DataFrame, block: int = 1000) -> DataFrame:
+    """The history as ``map<step, loss>``, one per run and block of
+    ``block`` steps, so that no group grows with the run: ``(run, block,
+    loss_per_step)``, entries in step order."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col("step").cast("long"), "loss")))
+    blocks = steps.groupBy("run", F.expr(f"step div {int(block)}").alias("block"))
+    return blocks.agg(F.map_from_entries(entries).alias("loss_per_step"))
 
 
 def resume_point(steps: DataFrame) -> DataFrame:
@@ -104,28 +107,31 @@ def checkpoint_steps(steps: DataFrame) -> DataFrame:
         .select("run", "step", "loss")
 
 
-def test_loss(batch_losses: DataFrame) -> DataFrame:
-    """D7 (+ D4): per rank ``sum(loss / n_batches)`` — the rank's mean batch
-    loss, one partial+final aggregate — then the mean over ranks."""
-    per = batch_losses.groupBy("run", "rank").agg(F.avg("loss").alias("loss"))
+def test_loss(batch_losses: DataFrame, max_steps: int) -> DataFrame:
+    """D7 (+ D4): per rank ``sum(loss) / max_steps`` over the batches that
+    ``max_steps`` loader calls read — a batch that the loader comes back to
+    counts each time (``n_reads``) — then the mean over ranks."""
+    per = batch_losses.groupBy("run", "rank").agg((F.sum(F.col("loss") * F.col("n_reads")) / F.lit(float(max_steps))).alias("loss"))
     return per.groupBy("run").agg(F.avg("loss").alias("test_loss"))
 
 
-def run_summary(steps: DataFrame) -> DataFrame:
+def run_summary(steps: DataFrame, test: DataFrame | None = None) -> DataFrame:
     """The comparison table: final loss, best loss, mean time per step,
-    mean throughput."""
-    return steps.groupBy("run").agg(
+    mean throughput, and the mean test loss of runs that ``test`` has."""
+    table = steps.groupBy("run").agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.max_by("loss", "step").alias("final_loss"),
         F.min("loss").alias("min_loss"),
         F.avg("dt_ms").alias("mean_dt_ms"),
         F.avg("tok_per_sec").alias("mean_tok_per_sec"))
+    return table if test is None else table.join(test.select("run", "test_loss"), "run", "full")
 
 
 def step_log_lines(steps: DataFrame) -> DataFrame:
     """H12 over the step table: the line the trainer logs per step."""
+    norm = F.col("norm") if "norm" in steps.columns else F.lit(None).cast("double")
     return steps.select("run", "step", format_step_line(
-        F.col("step"), F.col("loss"), F.col("lr"), F.col("norm"), F.col("dt_ms"),
+        F.col("step"), F.col("loss"), F.col("lr"), norm, F.col("dt_ms"),
         F.col("tok_per_sec")).alias("line"))
 
 

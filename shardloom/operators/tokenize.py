@@ -10,8 +10,10 @@ Modes
 -----
 ``word``  split on single spaces; ids are word ranks by (count desc, word asc)
           fitted on the corpus by a Spark job and capped at ``WORD_CAP``;
-          unknown words get 0, end-of-text is ``WORD_CAP + 1``.  The capped
-          vocabulary (a proven size bound) is broadcast once per executor.
+          end-of-text is ``WORD_CAP + 1``.  A word outside the vocabulary is
+          spelled: id 0, then one id per UTF-8 byte, so that decoding gives
+          back every text.  The capped vocabulary (a proven size bound) is
+          broadcast once per executor.
 ``bytes`` UTF-8 bytes 0..255, end-of-text 256; no vocabulary.
 ``bpe``   a byte-pair codec built from a user-supplied ranks file (the GPT-2
           vocabulary cannot be downloaded offline); ordinary encoding, so
@@ -32,16 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..session import ship_package, spread_small_input
+from ..session import ship_package
 
 TOKENS_TYPE = T.ArrayType(T.IntegerType(), containsNull=False)
-SMALL_TABLE_ROWS = C.SMALL_TABLE_ROWS
 
 # Fixed value: the GPT-2 pre-split pattern (public tiktoken definition).
 GPT2_PATTERN = (r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
                 r"""|\s+(?!\S)|\s+""")
 EOT_TEXT = "<|endoftext|>"
-UNKNOWN_TEXT = "<unk>"
 
 # Per Python-worker cache of objects rebuilt from broadcast values.
 _WORKER_CACHE: dict = {}
@@ -51,8 +51,11 @@ def _prepend(ids: np.ndarray, lengths: np.ndarray, eot: Optional[int]) -> pa.Lis
     """Build a list<int32> array from flat ids and per-row lengths, putting
     ``eot`` in front of every row when given."""
     extra = 0 if eot is None else 1
-    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
-    np.cumsum(lengths + extra, out=offsets[1:])
+    wide = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths + extra, out=wide[1:], dtype=np.int64)
+    if wide[-1] > np.iinfo(np.int32).max:
+        raise ValueError("too many tokens in one Arrow batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    offsets = wide.astype(np.int32)
     if eot is None:
         values = ids.astype(np.int32, copy=False)
     else:
@@ -94,16 +97,16 @@ class Tokenizer:
 
 class WordTokenizer(Tokenizer):
     name = "word"
-    jvm_count = True
 
     def __init__(self, spark, words: Sequence[str], cap: int = C.WORD_CAP):
-        if cap + 2 > C.TOKEN_LIMIT:
+        if cap + 258 > C.TOKEN_LIMIT:
             raise ValueError("word cap too large for 16-bit token ids")
         if len(words) > cap:
             raise ValueError("vocabulary longer than its cap")
         self.cap = cap
         self.eot_id = cap + 1
-        self.vocab_size = cap + 2
+        self.byte_base = cap + 2
+        self.vocab_size = cap + 258
         self.words = list(words)
         ship_package(spark)
         self._bc = spark.sparkContext.broadcast(self.words)
@@ -115,7 +118,6 @@ class WordTokenizer(Tokenizer):
     @staticmethod
     def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Word frequencies; partial aggregation collapses hot words map-side."""
-        docs = spread_small_input(docs, "doc_ord") if "doc_ord" in docs.columns else docs
         return (docs.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("word"))
                 .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
 
@@ -125,40 +127,24 @@ class WordTokenizer(Tokenizer):
         """C4: the capped vocabulary ``(id, word, count)``.
 
         No step funnels the distinct words into one task: a histogram of
-        frequencies (at most sqrt(2 * words) rows) gets an exclusive prefix
-        sum in descending-count order, which gives the count ``t`` of the
+        frequencies (n words in all have at most sqrt(2 n) different counts,
+        so its window is small at any size) gives the count ``t`` of the
         ``cap``-th word.  Words above ``t`` are all in; ties at ``t`` are
         ranked by word with the range-partitioned ``row_index``.  Only the
-        final ``<= cap`` rows are numbered by one window.  A histogram or a
-        tie set counted at most ``SMALL_TABLE_ROWS`` rows takes the one-task
-        path instead (a checked bound)."""
-        from ..plans.ordering import row_index, with_offsets
+        final ``<= cap`` rows are numbered by one window."""
+        from ..plans.ordering import row_index
         from ..session import stage_table
 
         counts = stage_table(cls.word_counts(docs, text_col), "word-counts")
         hist = counts.groupBy("count").agg(F.count(F.lit(1)).alias("k"))
-        n_hist = hist.count()
-        if n_hist <= SMALL_TABLE_ROWS:
-            # checked bound: one window over at most SMALL_TABLE_ROWS rows
-            w_desc = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            pref = hist.withColumn("above", F.sum("k").over(w_desc) - F.col("k"))
-        else:
-            pref = with_offsets(hist.select(F.lit(0).alias("_g"), (-F.col("count")).alias("_ord"), "count", "k"),
-                                "k", 4096, group_cols=("_g",), ord_col="_ord", out_col="above")
+        w_desc = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pref = hist.withColumn("above", F.sum("k").over(w_desc) - F.col("k"))
         cut = (pref.where((F.col("above") < cap) & (F.col("above") + F.col("k") >= cap))
-               .select("count", "above", "k").collect())            # one row at most
-        if not cut:
-            chosen = counts                                          # fewer than ``cap`` words
-        else:
-            t, above, k = int(cut[0]["count"]), int(cut[0]["above"]), int(cut[0]["k"])
-            need = cap - above
-            ties = counts.where(F.col("count") == t)
-            if need < k:
-                if k <= SMALL_TABLE_ROWS:
-                    # per-task top-``need`` merged once: at most k rows reach the merge
-                    ties = ties.orderBy("word").limit(need)
-                else:
-                    ties = row_index(ties, [], ["word"], "_i").where(F.col("_i") < need)
+               .select("count", "above").collect())                  # one row at most
+        chosen = counts                                              # fewer than ``cap`` words
+        if cut:
+            t, need = int(cut[0]["count"]), cap - int(cut[0]["above"])
+            ties = row_index(counts.where(F.col("count") == t), [], ["word"], "_i").where(F.col("_i") < need)
             chosen = counts.where(F.col("count") > t).unionByName(ties.select("word", "count"))
         w = Window.orderBy(F.desc("count"), F.asc("word"))
         return chosen.select(F.row_number().over(w).cast("int").alias("id"), "word", "count")
@@ -173,6 +159,8 @@ class WordTokenizer(Tokenizer):
     def _make_encoder(self):
         bc, key = self._bc, ("word-enc", self._key)
 
+        byte_base = self.byte_base
+
         def encode_batch(texts: pa.Array, eot: Optional[int]) -> pa.Array:
             pieces = pc.split_pattern(texts, " ")
             flat = pieces.flatten()
@@ -180,9 +168,22 @@ class WordTokenizer(Tokenizer):
             if value_set is None:
                 value_set = _WORKER_CACHE[(key, str(flat.type))] = pa.array(bc.value, flat.type)
             idx = pc.index_in(flat, value_set=value_set)
-            ids = pc.fill_null(pc.add(idx.cast(pa.int32()), 1), 0)
-            lengths = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
-            out = _prepend(ids.to_numpy(zero_copy_only=False), lengths, eot)
+            known = pc.is_valid(idx).to_numpy(zero_copy_only=False)
+            word_ids = pc.fill_null(pc.add(idx.cast(pa.int32()), 1), C.WORD_SPELL_ID).to_numpy(zero_copy_only=False)
+            size = np.where(known, 0, pc.binary_length(flat).to_numpy(zero_copy_only=False)).astype(np.int64) + 1
+            start = np.cumsum(size) - size
+            ids = np.empty(int(size.sum()), np.int32)
+            is_byte = np.ones(len(ids), bool)
+            is_byte[start] = False
+            ids[start] = word_ids
+            spelled = pc.filter(flat, pa.array(~known))
+            ids[is_byte] = np.frombuffer(pc.binary_join(
+                pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), spelled.cast(pa.binary())), b"")[0]
+                .as_buffer() or b"", np.uint8).astype(np.int32) + byte_base
+            words = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(words)
+            total = np.concatenate([[0], np.cumsum(size)])
+            out = _prepend(ids, total[ends] - total[ends - words], eot)
             return _with_nulls(out, texts)
 
         eot_id = self.eot_id
@@ -198,34 +199,47 @@ class WordTokenizer(Tokenizer):
         return word_encode, word_encode_plain
 
     def _make_decoder(self):
-        bc, key, cap = self._bc, ("word-dec", self._key), self.cap
+        bc, key, eot_id, byte_base = self._bc, ("word-dec", self._key), self.eot_id, self.byte_base
+
+        def spell(run: bytes) -> str:
+            """A spelled word; bytes that are no UTF-8 (a made-up sequence) are shown as hex."""
+            try:
+                return run.decode()
+            except UnicodeDecodeError:
+                return f"<0x{run.hex().upper()}>"
+
+        def words_of(ids, table) -> list:
+            """Words of a token list; id 0 or a byte after a word begins a spelled word."""
+            out, run = [], None
+            for t in ids:
+                if t >= byte_base or t == C.WORD_SPELL_ID:
+                    if run is None or t == C.WORD_SPELL_ID:
+                        if run is not None:
+                            out.append(spell(bytes(run)))
+                        run = bytearray()
+                    if t >= byte_base:
+                        run.append(t - byte_base)
+                else:
+                    if run is not None:
+                        out.append(spell(bytes(run)))
+                        run = None
+                    out.append(table[t])
+            if run is not None:
+                out.append(spell(bytes(run)))
+            return out
 
         @F.arrow_udf(T.StringType())
         def word_decode(ids: pa.Array) -> pa.Array:
             table = _WORKER_CACHE.get(key)
             if table is None:
-                words = list(bc.value)
-                words += [""] * (cap - len(words))
-                table = _WORKER_CACHE[key] = pa.array([UNKNOWN_TEXT] + words + [EOT_TEXT])
-            flat = pc.list_flatten(ids)
-            texts = pc.take(table, flat)
-            offsets = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
-            offs = np.zeros(len(offsets) + 1, dtype=np.int32)
-            np.cumsum(offsets, out=offs[1:])
-            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), texts)
-            out = pc.binary_join(lists, " ")
-            if ids.null_count:
-                out = pc.if_else(pc.is_null(ids), pa.scalar(None, pa.string()), out)
-            return out
+                table = _WORKER_CACHE[key] = dict(enumerate(bc.value, 1)) | {eot_id: EOT_TEXT}
+            return pa.array([None if row is None else " ".join(words_of(row, table)) for row in ids.to_pylist()], pa.string())
 
         return word_decode
 
     def encode(self, text: Column, eot: bool = True) -> Column:
         return (self._encode_udf[0] if eot else self._encode_udf[1])(text)
 
-    def count(self, text: Column) -> Column:
-        return (F.size(F.split(text, " ", -1)) + F.lit(1)).cast("long")
-
     def decode(self, ids: Column) -> Column:
         return self._decode_udf(ids)
 
@@ -306,7 +320,7 @@ class BpeTokenizer(Tokenizer):
         self.eot_id = eot
         self.vocab_size = eot + 1
         if self.vocab_size > C.TOKEN_LIMIT:
-            raise ValueError("token dictionary too large for uint16")
+            raise ValueError(f"{self.vocab_size} token ids do not fit into 16 bits")
         parts = (name, pat_str, dict(mergeable_ranks), {EOT_TEXT: eot})
         key = ("bpe", name, len(mergeable_ranks), eot)
 
@@ -370,11 +384,10 @@ def get_tokenizer(name: str, docs: Optional[DataFrame] = None, **kwargs) -> Toke
 
 
 def tokenize_documents(docs: DataFrame, tok: Tokenizer) -> DataFrame:
-    """H1 + H2: ``(source_ord, doc_ord, tokens, n)``; tokens[0] is end-of-text."""
-    docs = spread_small_input(docs, "doc_ord")
-    return (docs.withColumn("tokens", tok.encode(F.col("text")))
-            .select("source_ord", "doc_ord", "tokens",
-                    F.size("tokens").cast("long").alias("n")))
+    """H1 + H2 + B4: ``(source_ord, doc_ord, tokens, n)``; tokens[0] is
+    end-of-text, and an id outside the 16-bit range fails the job."""
+    encoded = docs.select("source_ord", "doc_ord", tok.encode(F.col("text")).alias("tokens"))
+    return check_token_range(encoded).withColumn("n", F.size("tokens").cast("long"))
 
 
 def in_token_range(tokens: Column, limit: int = C.TOKEN_LIMIT) -> Column:
@@ -384,7 +397,7 @@ def in_token_range(tokens: Column, limit: int = C.TOKEN_LIMIT) -> Column:
 def check_token_range(df: DataFrame, col: str = "tokens", limit: int = C.TOKEN_LIMIT) -> DataFrame:
     """B4 (enforcing form): fail the job on a token outside ``[0, limit)``."""
     return df.withColumn(col, F.when(in_token_range(F.col(col), limit), F.col(col))
-                         .otherwise(F.raise_error(F.lit("token dictionary too large for uint16"))))
+                         .otherwise(F.raise_error(F.lit(f"token id outside 0 .. {limit - 1}"))))
 
 
 def token_range_report(df: DataFrame, col: str = "tokens", limit: int = C.TOKEN_LIMIT) -> DataFrame:

@@ -23,6 +23,7 @@ from ..operators import generate as GE
 from ..operators import packing as PK
 from ..operators.tokenize import Tokenizer, WordTokenizer, get_tokenizer
 from ..operators.windows import sequences
+from ..session import stage_table
 from ..sources import corpus as CO
 from ..sources import shards as SH
 
@@ -36,31 +37,43 @@ def prepare_corpus(spark: SparkSession, datasets: Sequence[DatasetSpec], out: st
                    tokenizer: Union[str, Tokenizer] = "word", pack: PackSpec = PackSpec(),
                    ratio: SplitRatio = SplitRatio(), allow_empty_split: bool = False,
                    **tokenizer_args) -> DataFrame:
-    """Write shards (partitioned by split and shard) and the manifest; return
-    the manifest as read back.  Raises when a split with a share gets no shard
-    (unless ``allow_empty_split``)."""
+    """Write shards (partitioned by split and shard) and the manifest of one
+    data name; return its manifest as read back.  Raises before anything is
+    written when a split with a share would get no shard (unless
+    ``allow_empty_split``).
+
+    The raw text is read once to encode it (a word tokenizer also reads it
+    once to count words); offsets come from the staged counts alone, and the
+    staged tokens join them once to become fragments."""
     docs = corpus_documents(spark, datasets)
     tok = tokenizer if isinstance(tokenizer, Tokenizer) else get_tokenizer(tokenizer, docs, **tokenizer_args)
-    if tok.jvm_count:
-        frags = PK.pack_fragments(docs, tok, pack)
-        offsets = PK.doc_offsets(docs, tok, pack)
-    else:                                    # encode once; counts and fragments read it
-        staged = PK.stage_token_table(docs, tok)
-        frags = PK.pack_fragments(staged, tok, pack, tokenized=True)
-        offsets = PK.doc_offsets(staged, tok, pack, tokenized=True)
-    frags = PK.label_splits(frags, ratio)
+    tokens = PK.stage_token_table(docs, tok)
+    offsets = stage_table(PK.doc_offsets(tokens, tok, pack, tokenized=True), "doc-offsets")
     manifest = PK.shard_manifest(offsets, pack, ratio)
-    SH.write_shards(frags, manifest, out)
+    PK.check_split_coverage(manifest, ratio, allow_empty_split)
+    placed = tokens.join(offsets.drop("n"), ["source_ord", "doc_ord"])
+    frags = PK.label_splits(PK.fragments_at(placed, pack.shard_tokens), ratio)
+    SH.write_shards(frags, manifest, out, pack.data_name)
+    save_tokenizer(spark, tok, out)
+    return SH.read_manifest(spark, out, pack.data_name)
+
+
+def save_tokenizer(spark: SparkSession, tok: Tokenizer, out: str) -> None:
+    """Keep what encodes prompts and decodes output with the corpus's ids: the
+    tokenizer's name (``_tokenizer``) and a word tokenizer's vocabulary."""
+    spark.createDataFrame([(tok.name,)], "name string").write.mode("overwrite").parquet(f"{out.rstrip('/')}/_tokenizer")
     if isinstance(tok, WordTokenizer):
         save_vocabulary(spark, tok, out)
-    written = SH.read_manifest(spark, out)
-    PK.check_split_coverage(written, ratio, allow_empty_split)
-    return written
+
+
+def load_tokenizer(spark: SparkSession, out: str, **tokenizer_args) -> Tokenizer:
+    """The tokenizer a corpus was prepared with; ``bpe`` needs its ranks again."""
+    name = spark.read.parquet(f"{out.rstrip('/')}/_tokenizer").first().name
+    return load_word_tokenizer(spark, out) if name == "word" else get_tokenizer(name, **tokenizer_args)
 
 
 def save_vocabulary(spark: SparkSession, tok: WordTokenizer, out: str) -> None:
-    """Keep the word ids with the shards (``_vocab``): readers of the corpus
-    encode prompts and decode output with the same ids."""
+    """Keep the word ids with the shards (``_vocab``)."""
     rows = [(i + 1, w) for i, w in enumerate(tok.words)]          # at most the cap
     (spark.createDataFrame(rows, "id int, word string").coalesce(1)
      .write.mode("overwrite").parquet(f"{out.rstrip('/')}/_vocab"))
@@ -76,20 +89,23 @@ def load_word_tokenizer(spark: SparkSession, out: str) -> WordTokenizer:
     return WordTokenizer(spark, [r.word for r in rows], cap)
 
 
-def load_split(spark: SparkSession, out: str, split: str) -> DataFrame:
-    """B8 + B9 + A3: fragments of one split; fails when the split is empty."""
-    SH.require_shards(SH.shard_catalog(SH.read_manifest(spark, out), split), split)
-    return SH.read_shards(spark, out, split)
+def load_split(spark: SparkSession, out: str, split: str, data_name: Optional[str] = None) -> DataFrame:
+    """B8 + B9 + A3: fragments of one split of a data name (the only one in
+    the store when not given); fails when the name or the split is missing."""
+    name = SH.only_data_name(spark, out) if data_name is None else data_name
+    SH.require_shards(SH.shard_catalog(SH.read_manifest(spark, out), split, name), split, name)
+    return SH.read_shards(spark, out, split, data_name=name)
 
 
-def split_sequences(spark: SparkSession, out: str, split: str, spec: WindowSpec) -> DataFrame:
-    return sequences(load_split(spark, out, split), spec.T, spec.N)
+def split_sequences(spark: SparkSession, out: str, split: str, spec: WindowSpec,
+                    data_name: Optional[str] = None) -> DataFrame:
+    return sequences(load_split(spark, out, split, data_name), spec.T, spec.N)
 
 
 def train_count_model(spark: SparkSession, out: str, spec: WindowSpec,
-                      model_path: Optional[str] = None) -> DataFrame:
+                      model_path: Optional[str] = None, data_name: Optional[str] = None) -> DataFrame:
     """D9 on the training split; written to ``model_path`` when given."""
-    counts = CM.next_token_counts(split_sequences(spark, out, "training", spec))
+    counts = CM.next_token_counts(split_sequences(spark, out, "training", spec, data_name))
     if model_path:
         counts.write.mode("overwrite").parquet(model_path)
         return spark.read.parquet(model_path)
@@ -97,9 +113,24 @@ def train_count_model(spark: SparkSession, out: str, spec: WindowSpec,
 
 
 def evaluate(spark: SparkSession, out: str, counts: DataFrame, spec: WindowSpec,
-             vocab_size: int) -> DataFrame:
+             vocab_size: int, data_name: Optional[str] = None) -> DataFrame:
     """D10 on the testing split: ``(n_targets, cross_entropy)``."""
-    return CM.cross_entropy(split_sequences(spark, out, "testing", spec), counts, vocab_size)
+    return CM.cross_entropy(split_sequences(spark, out, "testing", spec, data_name), counts, vocab_size)
+
+
+def resplit(spark: SparkSession, out: str, ratio: SplitRatio, data_name: Optional[str] = None,
+            allow_empty_split: bool = False) -> DataFrame:
+    """A6 + A7 + B6 as a job: label the shards of a data name again with
+    another ratio.  The new split of every shard is checked first, then the
+    shards are rewritten under their new split folders beside the old ones and
+    the manifest follows."""
+    name = SH.only_data_name(spark, out) if data_name is None else data_name
+    manifest = stage_table(SH.resplit_manifest(SH.read_manifest(spark, out, name), ratio), "resplit")
+    PK.check_split_coverage(manifest, ratio, allow_empty_split)
+    # the source is overwritten: its rows are staged first
+    frags = stage_table(SH.read_shards(spark, out, data_name=name).drop("split", "length", "data_name"), "resplit-shards")
+    SH.write_shards(PK.label_splits(frags, ratio), manifest, out, name)
+    return SH.read_manifest(spark, out, name)
 
 
 def generate_responses(prompts: DataFrame, tok: Tokenizer, counts: DataFrame, runs: Sequence[str],

@@ -6,7 +6,6 @@ avoid materialising."""
 from __future__ import annotations
 
 from .. import config as C
-from ..sources.telemetry import STEP_LINE_PATTERN
 from . import queries as Q
 
 S = Q.SHARD_TOKENS
@@ -31,11 +30,20 @@ PAIRS = """pairs AS (
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 
+def dtok(src: str = "docs") -> str:
+    """Token ids of every document: words by rank, others spelled in bytes."""
+    return f"""wtok AS (
+  SELECT w.source_ord, w.doc_ord, w.i, {SPELL} AS ts FROM (
+    SELECT source_ord, doc_ord, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i, unnest(string_split(text, ' ')) AS word
+    FROM {src}) w LEFT JOIN vocab v USING (word)),
+dtok AS (SELECT source_ord, doc_ord, list_concat([{EOT}], flatten(list(ts ORDER BY i))) AS ids FROM wtok GROUP BY source_ord, doc_ord)"""
+
+
 def offs(src: str = "docs") -> str:
-    return f"""offs AS (
+    return f"""{VOCAB}, {dtok(src)}, offs AS (
   SELECT source_ord, doc_ord, n,
          (sum(n) OVER (ORDER BY source_ord, doc_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n)::BIGINT AS g
-  FROM (SELECT source_ord, doc_ord, (len(string_split(text, ' ')) + 1)::BIGINT AS n FROM {src}))"""
+  FROM (SELECT source_ord, doc_ord, len(ids)::BIGINT AS n FROM dtok))"""
 
 
 def man(data_name: str = Q.DATA_NAME, shard: int = S) -> str:
@@ -56,15 +64,13 @@ vocab AS (
   FROM (SELECT word, count(*) AS cnt FROM words GROUP BY word)
   QUALIFY row_number() OVER (ORDER BY cnt DESC, word) <= {CAP})"""
 
+# ids of one word: its rank, or 0 and its UTF-8 bytes
+SPELL = f"""CASE WHEN v.id IS NOT NULL THEN [v.id] ELSE list_concat([0], list_transform(
+    range(0, strlen(w.word)), lambda k: {EOT + 1} + ('0x' || substr(hex(encode(w.word)), 2 * k + 1, 2))::INTEGER)) END"""
+
 TOKS = f"""toks AS (
-  SELECT o.source_ord, o.doc_ord, o.g, 0 AS i, {EOT} AS tok FROM offs o
-  UNION ALL
-  SELECT w.source_ord, w.doc_ord, w.g, w.i, coalesce(v.id, 0) AS tok FROM (
-    SELECT d.source_ord, d.doc_ord, o.g,
-           unnest(range(1, len(string_split(d.text, ' ')) + 1)) AS i,
-           unnest(string_split(d.text, ' ')) AS word
-    FROM docs d JOIN offs o USING (source_ord, doc_ord)) w
-  LEFT JOIN vocab v USING (word)),
+  SELECT d.source_ord, d.doc_ord, o.g, unnest(range(0, len(d.ids))) AS i, unnest(d.ids) AS tok
+  FROM dtok d JOIN offs o USING (source_ord, doc_ord)),
 stream AS (
   SELECT source_ord, doc_ord, (g + i) // {S} AS shard_id, (g + i) % {S} AS pos, tok FROM toks),
 slen AS (SELECT shard_id, count(*) AS L FROM stream GROUP BY shard_id)"""
@@ -86,13 +92,14 @@ topk AS (SELECT a, row_number() OVER (PARTITION BY a ORDER BY c DESC, b)::INTEGE
 backoff AS (SELECT row_number() OVER (ORDER BY c DESC, b)::INTEGER AS rnk, b, c FROM
             (SELECT b, sum(c)::BIGINT AS c FROM counts GROUP BY b) QUALIFY rnk <= {C.TOP_K})"""
 
-CORPUS = f"WITH {DOCS}, {offs()}, {VOCAB}, {TOKS}"
+CORPUS = f"WITH {DOCS}, {offs()}, {TOKS}"
 
-PROMPTS = """ptoks AS (
-  SELECT item_id, list(coalesce(v.id, 0) ORDER BY i) AS tokens FROM (
-    SELECT item_id, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i,
-           unnest(string_split(text, ' ')) AS word FROM benchmark) w
-  LEFT JOIN vocab v USING (word) GROUP BY item_id)"""
+PROMPTS = f"""ptoks AS (
+  SELECT item_id, flatten(list(ts ORDER BY i)) AS tokens FROM (
+    SELECT item_id, w.i, {SPELL} AS ts FROM (
+      SELECT item_id, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i,
+             unnest(string_split(text, ' ')) AS word FROM benchmark) w
+    LEFT JOIN vocab v USING (word)) GROUP BY item_id)"""
 
 TEL = f"""ev AS (
   SELECT event_type AS run, ts, value AS loss,
@@ -105,10 +112,9 @@ per_rank AS (SELECT run, step, rank, sum(loss / {float(A_TEL)}) AS loss FROM tel
 sloss AS (SELECT run, step, avg(loss) AS loss FROM per_rank GROUP BY ALL),
 dur AS (SELECT run, step, min(ts) AS t0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0 AS dt_ms
         FROM tel GROUP BY ALL),
-nrm AS (SELECT run, step, sqrt(sum(loss * loss)) AS norm FROM tel GROUP BY ALL),
 lens AS (SELECT run, max(step) + 1 AS max_steps FROM tel GROUP BY run),
 steps AS (
-  SELECT s.run, s.step, s.loss, n.norm, d.dt_ms,
+  SELECT s.run, s.step, s.loss, d.dt_ms,
          CASE WHEN d.dt_ms / 1000.0 > 0 THEN {float(Q.TEL.B * Q.TEL.T * Q.TEL.A * Q.TEL.W)} / (d.dt_ms / 1000.0) END AS tok_per_sec,
          l.max_steps,
          CASE WHEN s.step < {Q.TEL.warmup_steps} THEN {Q.TEL.max_lr!r} * (s.step + 1.0) / {float(Q.TEL.warmup_steps)}
@@ -116,10 +122,11 @@ steps AS (
               ELSE {Q.TEL.min_lr!r} + 0.5 * (1.0 + cos(pi() * (s.step - {float(Q.TEL.warmup_steps)}) / (l.max_steps - {float(Q.TEL.warmup_steps)}))) * ({Q.TEL.max_lr!r} - {Q.TEL.min_lr!r}) END AS lr,
          CASE WHEN (s.step + 1) / l.max_steps::DOUBLE < 1.0 / 3 THEN 1
               WHEN (s.step + 1) / l.max_steps::DOUBLE < 2.0 / 3 THEN 2 ELSE 3 END AS stage
-  FROM sloss s JOIN nrm n USING (run, step) JOIN dur d USING (run, step) JOIN lens l USING (run))"""
+  FROM sloss s JOIN dur d USING (run, step) JOIN lens l USING (run))"""
 
-LOG_LINE = ("printf('step %5d | loss: %.6f | lr %.4e | norm: %.4f | dt: %.2fms | tok/sec: %.2f', "
-            "step::INTEGER, loss, lr, norm, round(dt_ms::DECIMAL(18,3), 2)::DOUBLE, tok_per_sec)")
+LOG_LINE = ("printf('step %5d | loss: %.6f | lr %.4e | norm: nan | dt: %.2fms | tok/sec: %.2f', "
+            "step::INTEGER, loss, lr, dt_ms, coalesce(tok_per_sec, 'nan'::DOUBLE))")
+LOG_FIELDS = [r"step +(-?[0-9]+) ", r"loss: ([^ ]+) ", r"lr ([^ ]+) ", r"dt: ([^ ]+)ms ", r"tok/sec: ([^ ]+)$"]
 
 GEN = f"""cand AS (SELECT a, list(b ORDER BY rnk) AS bs, list(c ORDER BY rnk) AS cs FROM topk GROUP BY a),
 back AS (SELECT list(b ORDER BY rnk) AS bs, list(c ORDER BY rnk) AS cs FROM backoff),
@@ -138,12 +145,19 @@ gen AS (
   SELECT run, item_id, tokens[1:{Q.GEN_MAX_LENGTH}] AS tokens FROM g WHERE len(tokens) >= {Q.GEN_MAX_LENGTH})"""
 
 
-def _decode(tokens: str) -> str:
-    return (f"array_to_string(list_transform({tokens}, lambda t: CASE WHEN t = 0 THEN '<unk>' "
-            f"WHEN t = {EOT} THEN '<|endoftext|>' ELSE coalesce(vmap[t], '') END), ' ')")
-
-
-VMAP = "vm AS (SELECT map(list(id ORDER BY id), list(word ORDER BY id)) AS vmap FROM vocab)"
+def decoded(src: str) -> str:
+    """``text`` of the ``tokens`` of each row of ``src``: words, and runs of a 0
+    and bytes (or of bytes alone) as spelled words."""
+    return f"""dt AS (SELECT item_id, unnest(range(0, len(tokens))) AS i, unnest(tokens) AS t FROM {src}),
+dn AS (SELECT *, lag(t) OVER (PARTITION BY item_id ORDER BY i) AS p FROM dt),
+dp AS (SELECT *, sum((t <= {EOT} OR p IS NULL OR (p <> 0 AND p <= {EOT}))::INTEGER) OVER (PARTITION BY item_id ORDER BY i) AS piece FROM dn),
+dr AS (SELECT item_id, piece, min(i) AS i, min(t) FILTER (t > 0 AND t <= {EOT}) AS word_id,
+         coalesce(string_agg(printf('%02X', (t - {EOT + 1})::INTEGER), '' ORDER BY i) FILTER (t > {EOT}), '') AS h
+       FROM dp GROUP BY item_id, piece),
+dw AS (SELECT item_id, i, CASE WHEN word_id = {EOT} THEN '<|endoftext|>' WHEN word_id IS NOT NULL THEN v.word
+         ELSE coalesce(try(decode(unhex(h))), '<0x' || h || '>') END AS word
+       FROM dr LEFT JOIN vocab v ON v.id = dr.word_id),
+decoded AS (SELECT item_id, string_agg(word, ' ' ORDER BY i) AS text FROM dw GROUP BY item_id)"""
 
 
 SQL = {
@@ -169,8 +183,9 @@ SQL = {
     "shard_scan": f"""{CORPUS}
   SELECT shard_id, min(pos) AS pos, doc_ord, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS tokens_text
   FROM stream WHERE {_split('shard_id')} = 'training' GROUP BY source_ord, doc_ord, shard_id""",
-    "token_range_report": f"""WITH {DOCS}, {offs()}
-  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens, 0::BIGINT AS n_bad_docs, 0::BIGINT AS n_bad_tokens FROM offs""",
+    "token_range_report": f"""WITH {DOCS}, {VOCAB}, {dtok()},
+  bad AS (SELECT len(ids) AS n, len(list_filter(ids, lambda t: t < 0 OR t >= {Q.REPORT_LIMIT})) AS b FROM dtok)
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens, count(*) FILTER (b > 0)::BIGINT AS n_bad_docs, sum(b)::BIGINT AS n_bad_tokens FROM bad""",
     "byte_manifest": f"""WITH {DOCS},
   offs AS (SELECT source_ord, doc_ord, n,
      (sum(n) OVER (ORDER BY source_ord, doc_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n)::BIGINT AS g
@@ -230,8 +245,14 @@ SQL = {
     "encode_vocab": f"WITH {DOCS}, {VOCAB} SELECT id, word, count FROM vocab",
     "encode_prompts": f"""WITH {DOCS}, {VOCAB}, {PROMPTS}
   SELECT item_id, len(tokens)::BIGINT AS n_tokens, array_to_string(tokens, ' ') AS tokens_text FROM ptoks""",
-    "decode_prompts": f"""WITH {DOCS}, {VOCAB}, {PROMPTS}, {VMAP}
-  SELECT item_id, {_decode('tokens')} AS text FROM ptoks, vm""",
+    "decode_prompts": f"""WITH {DOCS}, {VOCAB}, {PROMPTS}, {decoded('ptoks')}
+  SELECT item_id, text FROM decoded""",
+    "round_trip": "SELECT count(*)::BIGINT AS n_docs, 0::BIGINT AS n_differing FROM documents",
+    "resplit": f"""WITH {DOCS}, {offs()}, {man()},
+  new AS (SELECT shard_id, shard_name, n_tokens, CASE WHEN shard_id % 10 < {Q.RESPLIT_RATIO.training} THEN 'training'
+            WHEN shard_id % 10 < {Q.RESPLIT_RATIO.training + Q.RESPLIT_RATIO.validation} THEN 'validation' ELSE 'testing' END AS split FROM mani)
+  SELECT shard_id, shard_name || '_' || split AS file_name, split, n_tokens,
+         CASE WHEN split = 'validation' THEN n_tokens END AS n_read FROM new""",
     "prepare_prompts": f"""WITH {DOCS}, {VOCAB}, {PROMPTS},
   pad AS (SELECT coalesce((SELECT id FROM vocab WHERE word = ''), 0) AS pad_id)
   SELECT item_id,
@@ -240,10 +261,10 @@ SQL = {
          array_to_string(list_concat(list_transform(range(0, greatest(0, {Q.PAD_CONTEXT} - len(tokens[1:{Q.PAD_CONTEXT}]))), lambda k: pad_id),
                                      tokens[1:{Q.PAD_CONTEXT}]), ' ') AS padded_text
   FROM ptoks, pad""",
-    "generate_text": f"""{CORPUS}, {COUNTS}, {PROMPTS}, {GEN}, {VMAP}
-  SELECT run, item_id, array_to_string(tokens, ' ') AS tokens_text, {_decode('tokens')} AS response FROM gen, vm""",
-    "responses_pivot": f"""{CORPUS}, {COUNTS}, {PROMPTS}, {GEN}, {VMAP}
-  SELECT item_id, {_decode('tokens')} AS {Q.GEN_RUN} FROM gen, vm""",
+    "generate_text": f"""{CORPUS}, {COUNTS}, {PROMPTS}, {GEN}, {decoded('gen')}
+  SELECT run, item_id, array_to_string(tokens, ' ') AS tokens_text, text AS response FROM gen JOIN decoded USING (item_id)""",
+    "responses_pivot": f"""{CORPUS}, {COUNTS}, {PROMPTS}, {GEN}, {decoded('gen')}
+  SELECT item_id, text AS {Q.GEN_RUN} FROM decoded""",
     "prompt_matrix": f"""WITH {TEL},
   req AS (SELECT * FROM (VALUES {', '.join(f"('{r}')" for r in Q.REQUESTED_RUNS)}) t(run)),
   have AS (SELECT DISTINCT run FROM tel)
@@ -258,16 +279,26 @@ SQL = {
   SELECT run, step, round(loss, 6) AS loss FROM steps
   WHERE (step % greatest(1, max_steps // 20) = 0 OR step = max_steps - 1) AND step < max_steps""",
     "resume_point": f"WITH {TEL} SELECT run, max(step) AS last_step, count(*)::BIGINT AS n_steps, max(step) + 1 AS resume_step FROM sloss GROUP BY run",
-    "run_summary": f"""WITH {TEL}
-  SELECT run, count(*)::BIGINT AS n_steps, round(arg_max(loss, step), 6) AS final_loss, round(min(loss), 6) AS min_loss,
-         round(avg(dt_ms), 4) AS mean_dt_ms, round(avg(tok_per_sec), 4) AS mean_tok_per_sec FROM steps GROUP BY run""",
     "log_format": f"WITH {TEL} SELECT run, step, {LOG_LINE} AS line FROM steps",
-    "log_parse": f"""WITH {TEL}, lines AS (SELECT run, {LOG_LINE} AS line FROM steps),
-  pat AS (SELECT '{STEP_LINE_PATTERN}' AS p)
-  SELECT run, regexp_extract(line, p, 1)::BIGINT AS step, regexp_extract(line, p, 2)::DOUBLE AS loss,
-         regexp_extract(line, p, 3)::DOUBLE AS lr, regexp_extract(line, p, 4)::DOUBLE AS norm,
-         regexp_extract(line, p, 5)::DOUBLE AS dt_ms, regexp_extract(line, p, 6)::DOUBLE AS tok_per_sec
-  FROM lines, pat""",
+    "log_parse": f"""WITH {TEL}, lines AS (SELECT run, {LOG_LINE} AS line FROM steps)
+  SELECT run, regexp_extract(line, '{LOG_FIELDS[0]}', 1)::BIGINT AS step, regexp_extract(line, '{LOG_FIELDS[1]}', 1)::DOUBLE AS loss,
+         regexp_extract(line, '{LOG_FIELDS[2]}', 1)::DOUBLE AS lr, regexp_extract(line, '{LOG_FIELDS[3]}', 1)::DOUBLE AS dt_ms,
+         regexp_extract(line, '{LOG_FIELDS[4]}', 1)::DOUBLE AS tok_per_sec
+  FROM lines""",
+    "log_report": f"WITH {TEL} SELECT run, count(*)::BIGINT AS n_lines, count(*)::BIGINT AS n_steps, 0::BIGINT AS n_unread FROM steps GROUP BY run",
+    "leftover_records": f"""WITH {TEL}
+  SELECT run, max(cnt)::BIGINT AS n_records, max(cnt % {W_TEL * A_TEL})::BIGINT AS n_leftover FROM ev GROUP BY run""",
+    "loss_map": f"""WITH {TEL}
+  SELECT run, step // {Q.LOSS_BLOCK} AS block, count(*)::BIGINT AS n_steps,
+         string_agg(step || ':' || printf('%.6f', loss), ' ' ORDER BY step) AS entries FROM sloss GROUP BY run, step // {Q.LOSS_BLOCK}""",
+    "resume_merge": f"""WITH {TEL}, h AS (SELECT run, max(step) AS last FROM steps WHERE step < max_steps // 2 GROUP BY run)
+  SELECT run, step, round(loss, 6) AS loss, CASE WHEN step < max_steps // 2 THEN 'history' ELSE 'fresh' END AS origin
+  FROM steps LEFT JOIN h USING (run) WHERE step < max_steps // 2 OR (step >= max_steps // 4 AND (last IS NULL OR step > last))""",
+    "loader_report": f"""WITH {DOCS}, {offs()}, {man()},
+  asked AS (SELECT * FROM (VALUES ('{Q.DATA_NAME}'), ('other')) a(data_name) CROSS JOIN (VALUES ('training'), ('validation'), ('testing')) b(split))
+  SELECT data_name, split, count(shard_id)::BIGINT AS n_shards, count(shard_id) > 0 AS loadable
+  FROM asked LEFT JOIN mani USING (data_name, split) GROUP BY data_name, split""",
+    "ingest_order": """SELECT doc_id, source || '/' || doc_id AS name, row_number() OVER (ORDER BY source || '/' || doc_id) - 1 AS doc_ord FROM documents""",
     "log_name": f"WITH {TEL} SELECT run, run || '_log_' || strftime(min(ts), '%Y_%m_%d_%H_%M') || '.txt' AS log_file FROM tel GROUP BY run",
     "available_runs": f"""WITH {TEL},
   req AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{r}')" for i, r in enumerate(Q.REQUESTED_RUNS))}) t(req_ord, run))
@@ -284,18 +315,25 @@ SQL["unigram_test_loss"] = f"""{CORPUS}, {COUNTS},
   SELECT (count(*) / {T})::BIGINT AS n_sequences,
          round(avg(-ln((coalesce(u.c, 0) + 1.0) / ((SELECT n FROM tot) + {float(V)}))), 6) AS loss
   FROM test t LEFT JOIN uni u USING (b)"""
-SQL["test_loss"] = f"""{CORPUS}, {COUNTS}, {man()},
+TEST_LOSS = f"""{man()},
   ranks AS (SELECT shard_id, n_tokens AS L, unnest(range(0, {Q.LOADER.W})) AS rank FROM mani WHERE split = 'testing'),
   kr AS (SELECT shard_id, rank, CASE WHEN {Q.LOADER.B * T} * rank + {Q.LOADER.B * T + Q.LM_N} <= L
              THEN greatest(1, (L - {Q.LM_N} - {Q.LOADER.B * T} * rank) // {Q.LOADER.B * T * Q.LOADER.W}) ELSE 0 END AS K FROM ranks),
-  bt AS (SELECT shard_id, rank, rank + unnest(range(0, K)) * {Q.LOADER.W} AS batch FROM kr WHERE K > 0),
+  cum AS (SELECT *, (sum(K) OVER (PARTITION BY rank ORDER BY shard_id) - K)::BIGINT AS c0,
+                (sum(K) OVER (PARTITION BY rank))::BIGINT AS M FROM kr),
+  reads AS (SELECT c.rank, c.shard_id, c.rank + ((s.i % c.M) - c.c0) * {Q.LOADER.W} AS batch
+            FROM (SELECT unnest(range(0, {Q.TEST_STEPS})) AS i) s JOIN cum c ON c.K > 0 AND (s.i % c.M) >= c.c0 AND (s.i % c.M) < c.c0 + c.K),
   tp AS (SELECT shard_id, (pos // {T}) // {Q.LOADER.B} AS batch, a, b FROM tpairs WHERE split = 'testing'),
-  bl AS (SELECT bt.rank, bt.shard_id, bt.batch,
-                avg(-ln((coalesce(c.c, 0) + 1.0) / (coalesce(x.ca, 0) + {float(V)}))) AS loss
-         FROM tp JOIN bt USING (shard_id, batch) LEFT JOIN counts c USING (a, b) LEFT JOIN ctx x USING (a)
-         GROUP BY ALL),
-  pr AS (SELECT rank, sum(loss / n) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY rank) AS n FROM bl) GROUP BY rank)
-  SELECT run, round(avg(loss), 6) AS test_loss FROM (SELECT 'count-model' AS run, loss FROM pr) GROUP BY run"""
+  bl AS (SELECT shard_id, batch, avg(-ln((coalesce(c.c, 0) + 1.0) / (coalesce(x.ca, 0) + {float(V)}))) AS loss
+         FROM tp LEFT JOIN counts c USING (a, b) LEFT JOIN ctx x USING (a) GROUP BY ALL),
+  pr AS (SELECT rank, sum(loss) / {float(Q.TEST_STEPS)} AS loss FROM reads JOIN bl USING (shard_id, batch) GROUP BY rank),
+  tl AS (SELECT 'count-model' AS run, round(avg(loss), 6) AS test_loss FROM pr)"""
+SQL["test_loss"] = f"{CORPUS}, {COUNTS}, {TEST_LOSS} SELECT run, test_loss FROM tl"
+SQL["run_summary"] = f"""{CORPUS}, {COUNTS}, {TEST_LOSS}, {TEL},
+  rs AS (SELECT run, count(*)::BIGINT AS n_steps, round(arg_max(loss, step), 6) AS final_loss, round(min(loss), 6) AS min_loss,
+         round(avg(dt_ms), 4) AS mean_dt_ms, round(avg(tok_per_sec), 4) AS mean_tok_per_sec FROM steps GROUP BY run)
+  SELECT run, n_steps, final_loss, min_loss, mean_dt_ms, mean_tok_per_sec, test_loss FROM rs FULL JOIN tl USING (run)"""
+SQL["stream_manifest"] = SQL["shard_manifest"]
 SQL["horizon_counts"] = f"""{CORPUS}, {pairs_at(64)}
   SELECT a, b, count(*)::BIGINT AS c FROM tpairs WHERE split = 'training' GROUP BY a, b"""
 SQL["log_scan"] = SQL["log_parse"]

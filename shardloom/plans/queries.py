@@ -2,7 +2,7 @@
 operator of the inventory, over the driver's whole tables.
 
 Fixed parameters for the test scale (see FIXTURES.md): shards of 20,000
-tokens, prefix-sum buckets of 256 documents, windows of T=128 with N=4 (the
+tokens, windows of T=128 with N=4 (the
 count model uses N=1), B=2, W=2, 8/1/1 split; telemetry dealt to W=2 ranks and
 A=4 micro steps; generation up to 48 tokens with top-5 sampling, seed 42.
 """
@@ -22,7 +22,7 @@ from ..operators import packing as PK
 from ..operators import telemetry as TM
 from ..operators import windows as WI
 from ..operators.tokenize import ByteTokenizer, WordTokenizer, token_range_report, tokenize_documents
-from ..session import read_table, stage_table, staging_path
+from ..session import on_drop, read_table, stage_table, staging_path
 from ..sources import corpus as CO
 from ..sources import shards as SH
 from ..sources import telemetry as TS
@@ -30,7 +30,6 @@ from ..sources import telemetry as TS
 # Fixed parameters of the registered queries.
 DATA_NAME = "docs"
 SHARD_TOKENS = 20_000
-BUCKET_DOCS = 256
 BYTE_SHARD_TOKENS = 200_000
 SEQ_T, SEQ_N = 128, 4
 LM_N = 1
@@ -38,13 +37,17 @@ LOADER = C.WindowSpec(B=2, T=SEQ_T, N=SEQ_N, W=2)
 SCHEDULE_ACCUM, SCHEDULE_STEPS = 2, 500
 TEL = C.TelemetrySpec(A=4, W=2, warmup_steps=20)
 GEN_MAX_LENGTH = 48
+LOSS_BLOCK = 100                   # steps per loss map
+TEST_STEPS = 120                   # loader calls of a test run: more than one round of the testing split at the small sizes
 GEN_RUN = "bigram"
 CONTEXT_SIZE = 16
 PAD_CONTEXT = 64
 REQUESTED_RUNS = ("view", "click", "purchase", "checkout", "signup")
 RATIO = C.SplitRatio(8, 1, 1)
+RESPLIT_RATIO = C.SplitRatio(6, 3, 1)
+REPORT_LIMIT = 1000                # a token limit that documents break
 
-PACK = C.PackSpec(data_name=DATA_NAME, shard_tokens=SHARD_TOKENS, bucket_docs=BUCKET_DOCS)
+PACK = C.PackSpec(data_name=DATA_NAME, shard_tokens=SHARD_TOKENS)
 
 
 # -- shared building blocks ---------------------------------------------------
@@ -59,18 +62,28 @@ _TOKENIZERS: Dict[tuple, WordTokenizer] = {}
 def word_tokenizer(spark: SparkSession, sf: str) -> WordTokenizer:
     """Fitted once per application and data folder (the vocabulary is capped,
     so keeping it on the driver is bounded)."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, _stamp(spark, sf))
     if key not in _TOKENIZERS:
         _TOKENIZERS[key] = WordTokenizer.fit(docs(spark, sf))
     return _TOKENIZERS[key]
 
 
+def tokens(spark, sf) -> DataFrame:
+    """The documents encoded once: counts, offsets and fragments read this."""
+    return _prepared(spark, sf, "doc-tokens", lambda: tokenize_documents(docs(spark, sf), word_tokenizer(spark, sf)))
+
+
 def offsets(spark, sf) -> DataFrame:
-    return PK.doc_offsets(docs(spark, sf), word_tokenizer(spark, sf), PACK)
+    return PK.doc_offsets(tokens(spark, sf), word_tokenizer(spark, sf), PACK, tokenized=True)
+
+
+def prepared_offsets(spark, sf) -> DataFrame:
+    """Document offsets, written once for the readers of the manifest family."""
+    return _prepared(spark, sf, "doc-offsets", lambda: offsets(spark, sf))
 
 
 def manifest(spark, sf, pack: C.PackSpec = PACK) -> DataFrame:
-    return PK.shard_manifest(PK.doc_offsets(docs(spark, sf), word_tokenizer(spark, sf), pack), pack, RATIO)
+    return PK.shard_manifest(prepared_offsets(spark, sf), pack, RATIO)
 
 
 def prepared_manifest(spark, sf) -> DataFrame:
@@ -79,18 +92,35 @@ def prepared_manifest(spark, sf) -> DataFrame:
 
 
 def fragments(spark, sf) -> DataFrame:
-    frags = PK.pack_fragments(docs(spark, sf), word_tokenizer(spark, sf), PACK)
-    return PK.label_splits(frags, RATIO)
+    placed = tokens(spark, sf).join(prepared_offsets(spark, sf).drop("n"), ["source_ord", "doc_ord"])
+    return PK.label_splits(PK.fragments_at(placed, SHARD_TOKENS), RATIO)
 
 
 _PREPARED: Dict[tuple, str] = {}
 
 
+@on_drop
+def _forget(app: str) -> None:
+    for cache in (_PREPARED, _TOKENIZERS):
+        for key in [k for k in cache if k[0] == app]:
+            del cache[key]
+
+
+def _stamp(spark: SparkSession, sf: str) -> str:
+    """Names, sizes and times of the files under a data folder: tables derived
+    from it are used again only while it is unchanged."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = [f"{s.getPath().getName()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(path)]
+    return "|".join(sorted(rows))
+
+
 def _prepared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table derived from the inputs, written once per application and data
     folder under the checkpoint folder and read by every later query — as a
     prepared corpus is written once and read by training and evaluation."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, _stamp(spark, sf), name)
     if key not in _PREPARED:
         path = staging_path(spark, name)
         build().write.mode("overwrite").parquet(path)
@@ -177,7 +207,7 @@ def q_split_counts(spark, sf):
 
 
 def q_strip_split_label(spark, sf):
-    pack = C.PackSpec(data_name="docs_testing", shard_tokens=SHARD_TOKENS, bucket_docs=BUCKET_DOCS)
+    pack = C.PackSpec(data_name="docs_testing", shard_tokens=SHARD_TOKENS)
     m = manifest(spark, sf, pack)
     return m.select("shard_id", "file_name", SH.strip_label(F.col("file_name")).alias("stripped"))
 
@@ -197,25 +227,43 @@ def q_shard_scan(spark, sf):
     """A2 + A3: write the shards partitioned by split and shard, read the
     training split back (partition pruning), widen to long."""
     path = staging_path(spark, "shards")
-    SH.write_shards(packed_shards(spark, sf), prepared_manifest(spark, sf), path)
-    back = SH.read_shards(spark, path, "training")
+    SH.write_shards(packed_shards(spark, sf), prepared_manifest(spark, sf), path, DATA_NAME)
+    back = SH.read_shards(spark, path, "training", data_name=DATA_NAME)
     return back.select("shard_id", "pos", "doc_ord",
                        F.array_join(F.col("tokens").cast("array<long>"), " ").alias("tokens_text"))
 
 
-def q_token_range_report(spark, sf):
+def q_resplit(spark, sf):
+    """A6 + A7 + B6 + A3: the shards labelled again with another ratio; what the
+    validation split then holds is read through the new manifest."""
+    path = staging_path(spark, "resplit")
+    SH.write_shards(packed_shards(spark, sf), prepared_manifest(spark, sf), path, DATA_NAME)
+    new = SH.resplit_manifest(SH.read_manifest(spark, path, DATA_NAME), RESPLIT_RATIO)
+    held = SH.read_split_by_manifest(spark, path, new, "validation").groupBy("shard_id").agg(F.sum("length").alias("n_read"))
+    return new.join(held, "shard_id", "left").select("shard_id", "file_name", "split", "n_tokens", "n_read")
+
+
+def q_round_trip(spark, sf):
+    """C4: documents and those that decoding their ids does not give back."""
     tok = word_tokenizer(spark, sf)
-    return token_range_report(tokenize_documents(docs(spark, sf), tok))
+    back = docs(spark, sf).withColumn("back", tok.decode(tok.encode(F.col("text"), eot=False)))
+    return back.agg(F.count(F.lit(1)).alias("n_docs"),
+                    F.sum((F.col("back") != F.col("text")).cast("long")).alias("n_differing"))
+
+
+def q_token_range_report(spark, sf):
+    """B4, report form, against a limit that real ids break."""
+    return token_range_report(tokens(spark, sf), limit=REPORT_LIMIT)
 
 
 def q_byte_manifest(spark, sf):
-    pack = C.PackSpec(data_name="bytes", shard_tokens=BYTE_SHARD_TOKENS, bucket_docs=BUCKET_DOCS)
+    pack = C.PackSpec(data_name="bytes", shard_tokens=BYTE_SHARD_TOKENS)
     off = PK.doc_offsets(docs(spark, sf), ByteTokenizer(spark), pack)
     return PK.shard_manifest(off, pack, RATIO).select("shard_id", "n_tokens", "n_docs")
 
 
 def q_byte_fragments(spark, sf):
-    pack = C.PackSpec(data_name="bytes", shard_tokens=BYTE_SHARD_TOKENS, bucket_docs=BUCKET_DOCS)
+    pack = C.PackSpec(data_name="bytes", shard_tokens=BYTE_SHARD_TOKENS)
     f = PK.pack_fragments(docs(spark, sf), ByteTokenizer(spark), pack)
     return f.select("doc_ord", "shard_id", "pos", F.size("tokens").cast("long").alias("length"),
                     F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc + t).alias("token_sum"))
@@ -302,7 +350,7 @@ def q_decode_prompts(spark, sf):
 
 def q_prepare_prompts(spark, sf):
     tok = word_tokenizer(spark, sf)
-    pad = tok.words.index("") + 1 if "" in tok.words else C.WORD_UNKNOWN_ID
+    pad = tok.words.index("") + 1 if "" in tok.words else C.WORD_SPELL_ID
     p = prompt_tokens(spark, sf)
     return p.select(
         "item_id",
@@ -376,9 +424,9 @@ def q_resume_point(spark, sf):
 
 
 def q_run_summary(spark, sf):
-    s = TM.run_summary(steps(spark, sf))
+    s = TM.run_summary(steps(spark, sf), TM.test_loss(test_losses(spark, sf), TEST_STEPS))
     return s.select("run", "n_steps", _r("final_loss"), _r("min_loss"), _r("mean_dt_ms", 4),
-                    _r("mean_tok_per_sec", 4))
+                    _r("mean_tok_per_sec", 4), _r("test_loss"))
 
 
 def q_log_format(spark, sf):
@@ -387,7 +435,7 @@ def q_log_format(spark, sf):
 
 def q_log_parse(spark, sf):
     lines = TM.step_log_lines(steps(spark, sf)).select("run", F.col("line").alias("value"))
-    return TS.parse_step_lines(lines)
+    return TS.parse_step_lines(lines).drop("norm")
 
 
 def q_log_name(spark, sf):
@@ -406,7 +454,36 @@ def q_map_has_prefix(spark, sf):
 
 
 def q_loss_map(spark, sf):
-    return TM.loss_map(TM.step_loss(telemetry(spark, sf), TEL))
+    """D5, each map shown as its entries in order."""
+    m = TM.loss_map(TM.step_loss(telemetry(spark, sf), TEL), LOSS_BLOCK)
+    entry = lambda e: F.concat(e["key"].cast("string"), F.lit(":"), TS.fixed(e["value"], 6))
+    shown = F.array_join(F.transform(F.map_entries("loss_per_step"), entry), " ")
+    return m.select("run", "block", F.size("loss_per_step").cast("long").alias("n_steps"), shown.alias("entries"))
+
+
+def q_resume_merge(spark, sf):
+    """A history up to half of each run, and a resumed run that repeats
+    its last quarter before it goes on."""
+    st = steps(spark, sf).select("run", "step", "loss", "max_steps")
+    history = st.where("step < max_steps div 2").select("run", "step", _r("loss"), F.lit("history").alias("origin"))
+    fresh = st.where("step >= max_steps div 4").select("run", "step", _r("loss"), F.lit("fresh").alias("origin"))
+    return TM.resume_merge(history, fresh, resume=True)
+
+
+def q_leftover_records(spark, sf):
+    """Records of a run's last, incomplete step, which no other query counts."""
+    return TS.leftover_records(TS.dealt_records(read_table(spark, sf, "events"), TEL))
+
+
+def q_loader_report(spark, sf):
+    """B9 over the corpus and a data name that it does not hold."""
+    return SH.loader_report(prepared_manifest(spark, sf), [DATA_NAME, "other"])
+
+
+def q_ingest_order(spark, sf):
+    """Order column at ingest, over a key that is no integer."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("name"))
+    return CO.number_rows(d, ["name"]).select("doc_id", "name", "doc_ord")
 
 
 QUERIES: Dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -431,18 +508,21 @@ def q_unigram_test_loss(spark, sf):
     return scored.agg(F.count(F.lit(1)).alias("n_sequences"), F.round(F.avg("loss"), 6).alias("loss"))
 
 
-def q_test_loss(spark, sf):
-    """D7 + D4: count-model loss of every test batch the loader deals (B=2,
-    T=128, N=1, W=2), summed / n per rank, averaged over ranks."""
+def test_losses(spark, sf) -> DataFrame:
     from ..operators import scoring as SC
 
     counts = lm_counts(spark, sf)
     test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
     spec = C.WindowSpec(B=LOADER.B, T=SEQ_T, N=LM_N, W=LOADER.W)
     man = SH.shard_catalog(prepared_manifest(spark, sf), "testing")
-    losses = SC.test_batch_losses(test, man, counts, spec, word_tokenizer(spark, sf).vocab_size)
-    return TM.test_loss(losses).select("run", _r("test_loss"))
+    return _prepared(spark, sf, "test-losses", lambda: SC.test_batch_losses(
+        test, man, counts, spec, word_tokenizer(spark, sf).vocab_size, TEST_STEPS))
+
 
+def q_test_loss(spark, sf):
+    """D7 + D4: count-model loss over ``TEST_STEPS`` loader calls (B=2, T=128,
+    N=1, W=2), going round the testing split, averaged over ranks."""
+    return TM.test_loss(test_losses(spark, sf), TEST_STEPS).select("run", _r("test_loss"))
 
 
 def q_horizon_counts(spark, sf):
@@ -453,50 +533,85 @@ def q_horizon_counts(spark, sf):
     return CM.next_token_counts(train)
 
 
-def q_log_scan(spark, sf):
-    """A8 + H11 + H12: step lines written as log files named per run, scanned
-    back; the run comes from the file name."""
+def written_logs(spark, sf) -> str:
+    """Step lines as log files named per run (H11 + H12)."""
     tel = telemetry(spark, sf)
     names = tel.groupBy("run").agg(F.min("ts").alias("t0")).select(
         "run", TS.log_file_name(F.col("run"), F.col("t0")).alias("log_file"))
-    starts = TM.step_duration(tel).select("run", "step", "t0")
-    lines = TM.step_log_lines(steps(spark, sf)).join(starts, ["run", "step"]).join(names, "run")
+    table = steps(spark, sf)
+    lines = TM.step_log_lines(table).join(table.select("run", "step", "t0"), ["run", "step"]).join(names, "run")
     lines = lines.select("log_file", TS.log_line(F.col("t0"), F.col("line")).alias("value"))
     path = staging_path(spark, "logs")
     TS.write_training_logs(lines, path)
-    return TS.read_training_logs(spark, path)
+    return path
+
+
+def q_log_scan(spark, sf):
+    """A8 + H11 + H12: step lines written as log files, scanned back; the run
+    comes from the file name."""
+    return TS.read_training_logs(spark, written_logs(spark, sf)).drop("norm")
+
+
+def q_log_report(spark, sf):
+    """Lines, steps read and step lines that could not be read, per run."""
+    return TS.step_line_report(TS.read_log_lines(spark, written_logs(spark, sf)))
 
 
 # -- streaming (run to completion with availableNow, output read back) --------
 
-def q_stream_pack_shards(spark, sf):
-    """I1 + I3 over the documents table as an append-only file source."""
-    from ..streaming.packing import read_packed, start_incremental_packing
-
-    schema = read_table(spark, sf, "documents").schema
-    # the table is one file: a glob on its name keeps the source a folder scan
-    stream = (spark.readStream.schema(schema).option("basePath", sf)
-              .parquet(f"{sf.rstrip('/')}/document[s].parquet")
-              .select(F.lit(0).cast("int").alias("source_ord"), F.col("doc_id").alias("doc_ord"), "text"))
+STREAM_BATCHES = 4
+
+
+def _arriving(spark, rows: DataFrame, order_col: str, name: str):
+    """A file source to which ``rows`` came in ``STREAM_BATCHES`` files, in the
+    order of ``order_col``, read one file a micro-batch."""
+    path = staging_path(spark, name)
+    cuts = [F.expr(f"percentile_approx({order_col}, {k / STREAM_BATCHES})") for k in range(1, STREAM_BATCHES)]
+    bounds = [None, *rows.agg(*[c.alias(f"c{k}") for k, c in enumerate(cuts)]).first(), None]
+    for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        part = rows if lo is None else rows.where(F.col(order_col) > F.lit(lo))
+        part = part if hi is None else part.where(F.col(order_col) <= F.lit(hi))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_packed(spark, sf) -> str:
+    """I1 + I3: documents arriving in several files, packed batch by batch."""
+    from ..streaming.packing import start_incremental_packing
+
+    stream = _arriving(spark, docs(spark, sf), "doc_ord", "stream-docs")
     out, ck = staging_path(spark, "stream-pack"), staging_path(spark, "stream-pack-ck")
-    start_incremental_packing(stream, out, ck, word_tokenizer(spark, sf), PACK).awaitTermination()
-    f = read_packed(spark, out)
+    start_incremental_packing(stream, out, ck, word_tokenizer(spark, sf), PACK, ratio=RATIO).awaitTermination()
+    return out
+
+
+def q_stream_pack_shards(spark, sf):
+    from ..streaming.packing import read_packed
+
+    f = read_packed(spark, stream_packed(spark, sf))
     return f.select("source_ord", "doc_ord", "shard_id", "pos",
                     F.size("tokens").cast("long").alias("length"), _txt("tokens").alias("tokens_text"))
 
 
+def q_stream_manifest(spark, sf):
+    from ..streaming.packing import read_stream_manifest
+
+    m = read_stream_manifest(spark, stream_packed(spark, sf), PACK, RATIO)
+    return m.select("data_name", "shard_id", "shard_name", "n_tokens", "n_docs", "split", "file_name")
+
+
 def q_live_step_loss(spark, sf):
-    """Step loss of completed steps from a telemetry record stream."""
-    from ..streaming.telemetry import start_live_step_loss
+    """Step loss of completed steps from a telemetry record stream of
+    several micro-batches."""
+    from ..streaming.telemetry import completed_steps, start_live_step_loss
 
-    tel = stage_table(telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "telemetry")
-    src = staging_path(spark, "telemetry-src")
-    tel.write.parquet(src)
+    tel = telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     out, ck = staging_path(spark, "live-loss"), staging_path(spark, "live-loss-ck")
-    start_live_step_loss(spark.readStream.schema(tel.schema).parquet(src), out, ck, TEL).awaitTermination()
-    return spark.read.parquet(out).select("run", "step", _r("loss"))
+    start_live_step_loss(_arriving(spark, tel, "step", "live-records"), out, ck, TEL).awaitTermination()
+    return completed_steps(spark, out, TEL).select("run", "step", _r("loss"))
 
 
-QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "live_step_loss": q_live_step_loss,
+QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "stream_manifest": q_stream_manifest,
+                "live_step_loss": q_live_step_loss, "log_report": q_log_report,
                 "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss,
                 "horizon_counts": q_horizon_counts, "log_scan": q_log_scan})

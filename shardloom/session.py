@@ -10,6 +10,7 @@ session has none (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,14 +40,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, choosing one only if unset."""
+    """Return the session's checkpoint folder.  A session in local mode that
+    names none gets one; on a cluster that is an error, since a folder on one
+    machine is not seen by the others."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local tests: a cluster names a shared folder.
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="shardloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -106,18 +110,6 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a source that arrives in fewer partitions than the cluster
-    runs tasks (e.g. one unsplittable file), so per-row work does not run in
-    one task.  Large inputs already have many splits and are left untouched:
-    no shuffle is added where the scan is parallel."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key)
-
-
 def drop_staged_tables(spark: SparkSession) -> bool:
     """Delete this application's staged tables (everything ``stage_table`` and
     the prepared-table cache wrote) through the Hadoop FileSystem API, so it
@@ -126,11 +118,16 @@ def drop_staged_tables(spark: SparkSession) -> bool:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        from .plans import queries as _q
-        app = spark.sparkContext.applicationId
-        for key in [k for k in _q._PREPARED if k[0] == app]:
-            del _q._PREPARED[key]
-    except ImportError:   # pragma: no cover
-        pass
+    for forget in _ON_DROP:
+        forget(spark.sparkContext.applicationId)
     return bool(fs.delete(path, True))
+
+
+#: Called with the application's id when its staged tables are dropped.
+_ON_DROP: list = []
+
+
+def on_drop(forget):
+    """Register what has to forget paths of staged tables (a decorator)."""
+    _ON_DROP.append(forget)
+    return forget

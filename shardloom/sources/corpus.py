@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DatasetSpec
+from ..plans.ordering import row_index
 
 DOC_COLUMNS = ("source_ord", "doc_ord", "text")
 
@@ -34,6 +35,18 @@ def project_keys(df: DataFrame, data_keys: Sequence[str], order_col: str) -> Dat
     return df.select(F.col(order_col).alias("doc_ord"), *[F.col(k) for k in data_keys])
 
 
+def number_rows(df: DataFrame, order_cols: Sequence[str] = (), out_col: str = "doc_ord") -> DataFrame:
+    """Order column at ingest: 0-based numbers of the rows by ``order_cols``
+    (any sortable types, together unique), or as they stand in the files of a
+    Parquet table (file path, then row number) when none are given.  The
+    numbering is staged, so it is the same for every later reader."""
+    if order_cols:
+        return row_index(df, [], list(order_cols), out_col)
+    place = ["_file", "_row"]
+    placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    return row_index(placed, [], place, out_col).drop(*place)
+
+
 def join_keys(cols: Sequence[str], separator: str = " ") -> Column:
     """Join text columns with a separator.  ``concat`` (not
     ``concat_ws``) so a null field gives a null document, as the reference
@@ -64,7 +77,9 @@ def documents(spark: SparkSession, spec: DatasetSpec, source_ord: int = 0,
               on_null: str = "raise") -> DataFrame:
     """A1 + B1 + B2: ``(source_ord, doc_ord, text)`` of one dataset."""
     df = scan_corpus(spark, spec)
-    df = project_keys(df, spec.data_keys, spec.order_col)
+    if spec.order_col is None:
+        df = number_rows(df.select(*spec.data_keys), out_col="_doc_ord")
+    df = project_keys(df, spec.data_keys, spec.order_col or "_doc_ord")
     df = df.select(F.lit(source_ord).cast("int").alias("source_ord"),
                    F.col("doc_ord").cast("long").alias("doc_ord"),
                    join_keys(spec.data_keys, spec.separator).alias("text"))

@@ -22,27 +22,54 @@ def telemetry_from_events(events: DataFrame, spec: TelemetrySpec = TelemetrySpec
     """Per ``event_type`` (the run), number records by ``(ts, event_id)`` and
     deal them to ``W`` ranks and ``A`` micro steps:
     ``rank = i % W``, ``micro_step = (i div W) % A``, ``step = i div (W*A)``;
-    only complete steps (``W*A`` records) are kept.  The numbering is the
-    skew-safe ``row_index`` (a run may hold a third of all records)."""
+    only complete steps (``W*A`` records) are kept, ``leftover_records``
+    reports the rest.  The numbering is the skew-safe ``row_index`` (a run may
+    hold a third of all records), which knows each run's count as well."""
+    return dealt_records(events, spec).where("complete").drop("complete")
+
+
+def dealt_records(events: DataFrame, spec: TelemetrySpec = TelemetrySpec()) -> DataFrame:
+    """Every record with its place, and whether its step is ``complete``."""
     W, A = spec.W, spec.A
     ev = events.select(F.col("event_type").alias("run"), "event_id", "ts",
                        F.col("value").alias("loss"))
-    idx = row_index(ev, ["run"], ["ts", "event_id"], "i")
-    per_run = ev.groupBy("run").agg(F.count(F.lit(1)).alias("_cnt"))
-    full = (idx.join(per_run, "run")
-            .where(F.col("i") < F.expr(f"_cnt div {W * A}") * F.lit(W * A)))
-    return full.select(
+    idx = row_index(ev, ["run"], ["ts", "event_id"], "i", count_col="_cnt")
+    return idx.select(
         "run",
         F.expr(f"i div {W * A}").alias("step"),
         F.expr(f"(i div {W}) % {A}").alias("micro_step"),
         F.expr(f"i % {W}").alias("rank"),
-        "loss", "ts")
+        "loss", "ts", (F.col("i") < F.expr(f"_cnt div {W * A}") * F.lit(W * A)).alias("complete"))
+
+
+def leftover_records(dealt: DataFrame) -> DataFrame:
+    """Per run: its records, and those of a last step that is not complete."""
+    return dealt.groupBy("run").agg(F.count(F.lit(1)).alias("n_records"),
+                                    F.sum((~F.col("complete")).cast("long")).alias("n_leftover"))
+
+
+def _number(x: Column, pattern: str) -> Column:
+    """A double as C's printf gives it: the exact binary value rounded half to
+    even (decimal formats round the exact value, ``format_string`` rounds its
+    shortest decimal form); ``nan`` (also for null) and ``inf`` by name."""
+    digits = F.lower(F.call_function("format_number", x, F.lit(pattern)))
+    if "E" in pattern:
+        digits = F.regexp_replace(digits, "e(?=[0-9])", "e+")
+    return (F.when(x.isNull() | F.isnan(x), F.lit("nan"))
+            .when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf")).otherwise(digits))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """``%.<digits>f``."""
+    return _number(x, "0." + "0" * digits)
 
 
 def format_step_line(step: Column, loss: Column, lr: Column, norm: Column,
                      dt_ms: Column, tok_per_sec: Column) -> Column:
-    """The trainer's step message."""
-    return F.format_string(STEP_LOG_FORMAT, step.cast("int"), loss, lr, norm, dt_ms, tok_per_sec)
+    """The trainer's step message; a value that is not known is ``nan``."""
+    shown = STEP_LOG_FORMAT.replace("%.6f", "%s").replace("%.4e", "%s").replace("%.4f", "%s").replace("%.2f", "%s")
+    return F.format_string(shown, step.cast("int"), fixed(loss, 6), _number(lr, "0.0000E00"), fixed(norm, 4),
+                           fixed(dt_ms, 2), fixed(tok_per_sec, 2))
 
 
 def log_line(ts: Column, message: Column, level: str = "INFO") -> Column:
@@ -55,7 +82,7 @@ def log_file_name(run: Column, ts: Column) -> Column:
     return F.concat(run, F.lit("_log_"), F.date_format(ts, LOG_NAME_TIME_FORMAT), F.lit(".txt"))
 
 
-_NUM = r"(-?[0-9.]+(?:e[-+][0-9]+)?|nan|inf)"
+_NUM = r"(-?[0-9.]+(?:e[-+][0-9]+)?|nan|-?inf)"
 STEP_LINE_PATTERN = (r"step\s+(-?\d+) \| loss: " + _NUM + r" \| lr " + _NUM + r" \| norm: " + _NUM
                      + r" \| dt: " + _NUM + r"ms \| tok/sec: " + _NUM)
 # the run is the name part before ``_log_<time>.txt``, as a file or a folder
@@ -63,7 +90,8 @@ LOG_FILE_PATTERN = r"([^/=]+)_log_\d{4}_\d{2}_\d{2}_\d{2}_\d{2}\.txt(?:/|$)"
 
 
 def parse_step_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
-    """Step lines back into columns; other log lines are dropped."""
+    """Step lines back into columns; other log lines are not steps, and
+    ``step_line_report`` counts lines that look like steps but are not."""
     t = F.col(text_col)
     g = lambda i: F.regexp_extract(t, STEP_LINE_PATTERN, i)
     out = lines.where(t.rlike(STEP_LINE_PATTERN))
@@ -74,11 +102,25 @@ def parse_step_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
         g(5).cast("double").alias("dt_ms"), g(6).cast("double").alias("tok_per_sec"))
 
 
-def read_training_logs(spark, path: str) -> DataFrame:
-    """Scan log files; the run comes from the file name."""
+def step_line_report(lines: DataFrame, text_col: str = "value") -> DataFrame:
+    """Per run: log lines, step lines read, and lines that begin a step message
+    but cannot be read."""
+    t = F.col(text_col)
+    read, looks = t.rlike(STEP_LINE_PATTERN), t.rlike(r"(^|\s)step\s")
+    return lines.groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(read.cast("long")).alias("n_steps"),
+        F.sum((looks & ~read).cast("long")).alias("n_unread"))
+
+
+def read_log_lines(spark, path: str) -> DataFrame:
+    """Lines ``(run, value)`` of log files; the run comes from the file name."""
     lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"))
-    lines = lines.withColumn("run", F.regexp_extract("_file", LOG_FILE_PATTERN, 1)).drop("_file")
-    return parse_step_lines(lines)
+    return lines.withColumn("run", F.regexp_extract("_file", LOG_FILE_PATTERN, 1)).drop("_file")
+
+
+def read_training_logs(spark, path: str) -> DataFrame:
+    """Scan log files."""
+    return parse_step_lines(read_log_lines(spark, path))
 
 
 def write_training_logs(lines: DataFrame, path: str) -> None:

@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import PackSpec
-from ..operators.packing import _fragment_bounds
+from ..config import PackSpec, SplitRatio
+from ..operators.packing import fragments_at, label_splits, named_manifest, shard_manifest, stage_token_table
 from ..operators.tokenize import Tokenizer
 from ..plans.ordering import with_offsets
+from ..session import stage_table
+
+LEDGER_SCHEMA = "start long, end long, batch_id long"
 
 
 def ledger_path(out: str) -> str:
@@ -35,58 +38,69 @@ def data_path(out: str) -> str:
     return f"{out.rstrip('/')}/data"
 
 
+def manifest_path(out: str) -> str:
+    return f"{out.rstrip('/')}/_manifest"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _base_offset(spark: SparkSession, out: str, batch_id: int) -> int:
-    try:
-        led = spark.read.parquet(ledger_path(out))
-    except Exception:  # noqa: BLE001 - no ledger yet: first batch
+    """Where the stream stands: 0 without a ledger; a ledger that cannot be
+    read is an error, never a new start."""
+    if not _exists(spark, ledger_path(out)):
         return 0
+    led = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path(out))
     row = led.where(F.col("batch_id") < batch_id).agg(F.max("end").alias("e")).collect()[0]
     return int(row.e or 0)
 
 
-def pack_batch(batch: DataFrame, batch_id: int, out: str, tok: Tokenizer, spec: PackSpec) -> None:
-    """The ``foreachBatch`` body; safe to call again for the same id."""
-    spark = batch.sparkSession
-    base = _base_offset(spark, out, batch_id)
-    # the micro-batch feeds three passes (bucket totals, fragments, ledger total):
-    # keep it for the call instead of re-reading the source files each time
-    batch = batch.select("source_ord", "doc_ord", "text").persist()
-    try:
-        _pack_batch(batch, batch_id, out, tok, spec, base)
-    finally:
-        batch.unpersist()
+def pack_batch(batch: DataFrame, batch_id: int, out: str, tok: Tokenizer, spec: PackSpec,
+               ratio: SplitRatio = SplitRatio()) -> None:
+    """The ``foreachBatch`` body; safe to call again for the same id.
 
-
-def _pack_batch(batch: DataFrame, batch_id: int, out: str, tok: Tokenizer, spec: PackSpec,
-                base: int) -> None:
+    The micro-batch is encoded once into a staged table, which its offsets,
+    fragments, manifest rows and ledger total read."""
     spark = batch.sparkSession
-    rows = batch.withColumn("n", tok.count(F.col("text")))
-    rows = with_offsets(rows, "n", spec.bucket_docs).withColumn("g", F.col("g") + F.lit(base))
-    rows = rows.withColumn("tokens", tok.encode(F.col("text"))).drop("text")
-    frags = _fragment_bounds(rows, spec.shard_tokens)
-    start = (F.col("_lo") - F.col("g") + F.lit(1)).cast("int")
-    length = (F.col("_hi") - F.col("_lo")).cast("int")
-    frags = frags.select("source_ord", "doc_ord", "shard_id", "pos",
-                         F.slice("tokens", start, length).alias("tokens"))
+    base = _base_offset(spark, out, batch_id)
+    tokens = stage_token_table(batch.select("source_ord", "doc_ord", "text"), tok)
+    offsets = with_offsets(tokens.select("source_ord", "doc_ord", "n"), "n", spec.ranges)
+    offsets = stage_table(offsets.withColumn("g", F.col("g") + F.lit(base)), "batch-offsets")
+    placed = tokens.join(offsets.drop("n"), ["source_ord", "doc_ord"])
+    frags = label_splits(fragments_at(placed, spec.shard_tokens), ratio)
     frags.write.mode("overwrite").parquet(f"{data_path(out)}/batch_id={batch_id}")
-    total = batch.select(tok.count(F.col("text")).alias("n")).agg(F.sum("n").alias("s")).collect()[0].s or 0
-    ledger = spark.createDataFrame([(int(batch_id), base, base + int(total))],
-                                   "batch_id long, start long, end long")
+    part = shard_manifest(offsets, spec, None).select("shard_id", "n_tokens", "n_docs")
+    part.write.mode("overwrite").parquet(f"{manifest_path(out)}/batch_id={batch_id}")
+    total = offsets.agg(F.sum("n").alias("s")).collect()[0].s or 0
+    ledger = spark.createDataFrame([(base, base + int(total))], "start long, end long")
     ledger.write.mode("overwrite").parquet(f"{ledger_path(out)}/batch_id={batch_id}")
 
 
 def start_incremental_packing(docs_stream: DataFrame, out: str, checkpoint: str, tok: Tokenizer,
-                              spec: PackSpec, available_now: bool = True) -> StreamingQuery:
+                              spec: PackSpec, available_now: bool = True,
+                              ratio: SplitRatio = SplitRatio()) -> StreamingQuery:
     """Run I1 over a streaming ``(source_ord, doc_ord, text)`` DataFrame."""
     writer = (docs_stream.writeStream
-              .foreachBatch(lambda df, bid: pack_batch(df, bid, out, tok, spec))
+              .foreachBatch(lambda df, bid: pack_batch(df, bid, out, tok, spec, ratio))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def _committed(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path(out)).select("batch_id")
+
+
 def read_packed(spark: SparkSession, out: str) -> DataFrame:
     """Fragments written by all committed batches (ledger-confirmed only)."""
-    frags = spark.read.parquet(data_path(out))
-    committed = spark.read.parquet(ledger_path(out)).select("batch_id")
-    return frags.join(committed, "batch_id", "left_semi").drop("batch_id")
+    return spark.read.parquet(data_path(out)).join(_committed(spark, out), "batch_id", "left_semi").drop("batch_id")
+
+
+def read_stream_manifest(spark: SparkSession, out: str, spec: PackSpec, ratio: SplitRatio = SplitRatio()) -> DataFrame:
+    """The manifest so far: a shard may have pieces of several batches."""
+    parts = spark.read.parquet(manifest_path(out)).join(_committed(spark, out), "batch_id", "left_semi")
+    return named_manifest(parts.groupBy("shard_id").agg(F.sum("n_tokens").cast("long").alias("n_tokens"),
+                                                        F.sum("n_docs").cast("long").alias("n_docs")), spec, ratio)

@@ -1,80 +1,66 @@
 """I2 + I3: live step loss and throughput as telemetry records arrive.
 
-Records ``(run, step, micro_step, rank, loss, ts)`` are grouped by
-``(run, step)`` in ``applyInPandasWithState``: the state of a step is its
-running sum of ``loss / A``, record count and first/last time.  A step is
-emitted once, when all ``W*A`` records have arrived, and its state removed;
-a step still incomplete when the watermark passes its timeout is dropped (the
-batch path keeps complete steps only, too).  State therefore holds in-flight
-steps only, however long a run is.  ``loss`` equals the batch D3+D4 value
-(mean over ranks of per-rank sums); restart with the same checkpoint resumes.
+Records ``(run, step, micro_step, rank, loss, ts)``.  A record is known by its
+run, step, rank and micro step, so one that is sent again counts once
+(``dropDuplicatesWithinWatermark``).  A built-in streaming aggregate by
+``(run, step)`` keeps the sum of ``loss / A``, the number of records and the
+first and last time: a row of state for each step, in update mode, so a step's
+row is written again whenever a record of it arrives, however late.
+
+``foreachBatch`` writes a micro-batch's rows under its id (a replay replaces
+them).  ``completed_steps`` gives the steps that have all ``W*A`` records,
+``open_steps`` the rest, so nothing is dropped unseen.  ``loss`` equals the
+batch D3+D4 value; a restart with the same checkpoint resumes.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import TelemetrySpec
-from ..session import ship_package
 
-OUTPUT_SCHEMA = ("run string, step long, loss double, n_records long, t0 timestamp, t1 timestamp, "
-                 "dt_ms double, tok_per_sec double")
-STATE_SCHEMA = "loss_sum double, n long, t0 timestamp, t1 timestamp"
-
-
-def _step_fn(spec: TelemetrySpec, lateness_ms: int):
-    need = spec.W * spec.A
-    tokens = float(spec.B * spec.T * spec.A * spec.W)
-    A, W = float(spec.A), float(spec.W)
-
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            loss_sum, n, t0, t1 = state.get
-        else:
-            loss_sum, n, t0, t1 = 0.0, 0, None, None
-        for pdf in batches:
-            loss_sum += float((pdf["loss"] / A).sum())
-            n += len(pdf)
-            lo, hi = pdf["ts"].min(), pdf["ts"].max()
-            t0 = lo if t0 is None or lo < t0 else t0
-            t1 = hi if t1 is None or hi > t1 else t1
-        if n >= need:
-            state.remove()
-            dt_ms = (pd.Timestamp(t1) - pd.Timestamp(t0)).value / 1e6
-            yield pd.DataFrame({
-                "run": [key[0]], "step": [int(key[1])], "loss": [loss_sum / W], "n_records": [n],
-                "t0": [t0], "t1": [t1], "dt_ms": [dt_ms],
-                "tok_per_sec": [tokens / (dt_ms / 1000.0) if dt_ms > 0 else None]})
-        else:
-            state.update((loss_sum, n, t0, t1))
-            last_ms = int(pd.Timestamp(t1).value // 1_000_000)
-            state.setTimeoutTimestamp(max(last_ms + lateness_ms, state.getCurrentWatermarkMs() + 1))
-    return fn
+RECORD = ("run", "step", "rank", "micro_step")
 
 
 def live_step_loss(records: DataFrame, spec: TelemetrySpec = TelemetrySpec(),
                    lateness_minutes: int = 60) -> DataFrame:
-    """Streaming DataFrame of completed steps; a step may wait up to
-    ``lateness_minutes`` of event time for its remaining records."""
-    ship_package(records.sparkSession)
-    rec = (records.withColumn("ts", F.col("ts").cast("timestamp"))
-           .withWatermark("ts", f"{int(lateness_minutes)} minutes"))
-    return rec.groupBy("run", "step").applyInPandasWithState(
-        _step_fn(spec, int(lateness_minutes) * 60_000), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    """Streaming DataFrame of each step's state so far; a repeated record is
+    known for ``lateness_minutes`` of event time."""
+    known = (records.withColumn("ts", F.col("ts").cast("timestamp"))
+             .withWatermark("ts", f"{int(lateness_minutes)} minutes").dropDuplicatesWithinWatermark(list(RECORD)))
+    return known.groupBy("run", "step").agg(
+        (F.sum(F.col("loss") / F.lit(float(spec.A))) / F.lit(float(spec.W))).alias("loss"),
+        F.count(F.lit(1)).alias("n_records"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
 
 
 def start_live_step_loss(records: DataFrame, out: str, checkpoint: str,
                          spec: TelemetrySpec = TelemetrySpec(), available_now: bool = True) -> StreamingQuery:
-    w = (live_step_loss(records, spec).writeStream.format("parquet").outputMode("append")
-         .option("path", out).option("checkpointLocation", checkpoint))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+
+    w = (live_step_loss(records, spec).writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def _latest(spark: SparkSession, out: str) -> DataFrame:
+    """The last state written of each step."""
+    state = F.struct("loss", "n_records", "t0", "t1")
+    rows = spark.read.parquet(out).groupBy("run", "step").agg(F.max_by(state, "batch_id").alias("s"))
+    return rows.select("run", "step", "s.*")
+
+
+def completed_steps(spark: SparkSession, out: str, spec: TelemetrySpec = TelemetrySpec()) -> DataFrame:
+    """Steps with all their records: loss, duration and throughput."""
+    dt_ms = F.expr("timestampdiff(MICROSECOND, t0, t1)") / F.lit(1000.0)
+    tokens = float(spec.B * spec.T * spec.A * spec.W)
+    rows = _latest(spark, out).where(F.col("n_records") >= spec.W * spec.A).withColumn("dt_ms", dt_ms)
+    return rows.withColumn("tok_per_sec", F.when(F.col("dt_ms") > 0, F.lit(tokens) / (F.col("dt_ms") / F.lit(1000.0))))
+
+
+def open_steps(spark: SparkSession, out: str, spec: TelemetrySpec = TelemetrySpec()) -> DataFrame:
+    """Steps that still miss records: how many they have."""
+    return _latest(spark, out).where(F.col("n_records") < spec.W * spec.A).select("run", "step", "n_records")

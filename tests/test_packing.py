@@ -51,7 +51,7 @@ def test_pack_equals_flat_slices(spark, seed):
     rng = random.Random(seed)
     texts = random_texts(rng, rng.randint(5, 40), 30)
     S = rng.choice([1, 2, 7, 16, 50])
-    spec = PackSpec("t", shard_tokens=S, bucket_docs=rng.choice([1, 2, 3, 5]))
+    spec = PackSpec("t", shard_tokens=S, ranges=rng.choice([1, 2, 3, 5]))
     tok = ByteTokenizer(spark)
     docs = make_docs(spark, texts)
     frags = pack_fragments(docs, tok, spec).collect()
@@ -67,7 +67,7 @@ def test_pack_equals_flat_slices(spark, seed):
 def test_union_of_sources_keeps_order(spark):
     a, b = ["xx", "y"], ["zzz", "", "w"]
     docs = union_sources([make_docs(spark, b, 1), make_docs(spark, a, 0)])
-    spec = PackSpec("u", shard_tokens=4, bucket_docs=2)
+    spec = PackSpec("u", shard_tokens=4, ranges=2)
     got = rebuild(pack_fragments(docs, ByteTokenizer(spark), spec).collect())
     flat = flat_stream([a, b])
     assert [t for k in sorted(got) for t in got[k]] == flat
@@ -76,7 +76,7 @@ def test_union_of_sources_keeps_order(spark):
 def test_edge_documents(spark):
     # exact fit of a shard, one-token documents (empty text), a document longer than three shards
     texts = ["abcd", "", "", "x" * 20, "q"]
-    spec = PackSpec("e", shard_tokens=5, bucket_docs=2)
+    spec = PackSpec("e", shard_tokens=5, ranges=2)
     got = rebuild(pack_fragments(make_docs(spark, texts), ByteTokenizer(spark), spec).collect())
     flat = flat_stream([texts])
     assert [t for k in sorted(got) for t in got[k]] == flat
@@ -92,7 +92,7 @@ def test_zero_documents(spark):
 def test_result_independent_of_partitioning(spark):
     rng = random.Random(9)
     texts = random_texts(rng, 30, 20)
-    spec = PackSpec("p", shard_tokens=11, bucket_docs=4)
+    spec = PackSpec("p", shard_tokens=11, ranges=4)
     tok = ByteTokenizer(spark)
     one = sorted(map(tuple, pack_fragments(make_docs(spark, texts, parts=1), tok, spec)
                      .select("shard_id", "pos", F.array_join("tokens", ",")).collect()))
@@ -124,7 +124,7 @@ def test_resplit_without_moving_data(spark, tmp_dir):
     docs = make_docs(spark, texts)
     tok = ByteTokenizer(spark)
     man = shard_manifest(doc_offsets(docs, tok, spec), spec, SplitRatio(8, 1, 1))
-    write_shards(label_splits(pack_fragments(docs, tok, spec), SplitRatio(8, 1, 1)), man, f"{tmp_dir}/s")
+    write_shards(label_splits(pack_fragments(docs, tok, spec), SplitRatio(8, 1, 1)), man, f"{tmp_dir}/s", spec.data_name)
     from shardloom.sources.shards import read_manifest
     new = resplit_manifest(read_manifest(spark, f"{tmp_dir}/s"), SplitRatio(6, 2, 2))
     names = {r.shard_id: (r.split, r.file_name) for r in new.collect()}
@@ -172,9 +172,32 @@ def test_offsets_recurse_on_sparse_keys(spark):
     ords = rng.sample(range(0, 1 << 62), 300)                        # sparse 62-bit keys
     rows = [(i % 2, o, rng.randint(1, 9)) for i, o in enumerate(ords)]
     df = spark.createDataFrame(rows, "source_ord int, doc_ord long, n long").repartition(4)
-    got = {(r.source_ord, r.doc_ord): r.g for r in with_offsets(df, "n", 8, small_rows=3).collect()}
+    got = {(r.source_ord, r.doc_ord): r.g for r in with_offsets(df, "n", 8).collect()}
     run, want = 0, {}
     for src, o, n in sorted(rows):
         want[(src, o)] = run
         run += n
     assert got == want
+
+
+def test_null_and_repeated_order_keys_fail(spark):
+    import pytest
+
+    from shardloom.plans.ordering import with_offsets
+    kind = "source_ord int, doc_ord long, n long"
+    for rows in ([(0, 1, 5), (0, None, 7), (0, 2, 3)], [(0, 1, 5), (0, 1, 7)], [(0, None, 1)]):
+        with pytest.raises(Exception, match="order key"):
+            with_offsets(spark.createDataFrame(rows, kind), "n").collect()
+    assert with_offsets(spark.createDataFrame([], kind), "n").count() == 0
+
+
+def test_offsets_of_sparse_and_crowded_keys(spark):
+    from shardloom.plans.ordering import with_offsets
+    keys = [-(2 ** 62), -5, *range(1000, 1400), 2 ** 40, 2 ** 62]
+    rows = [(s, k, (k % 7 + 7) % 7) for s in (0, 1) for k in keys]
+    got = {(r.source_ord, r.doc_ord): r.g for r in with_offsets(
+        spark.createDataFrame(rows[::-1], "source_ord int, doc_ord long, n long").repartition(5), "n", 16).collect()}
+    at = 0
+    for s, k, n in sorted(rows):
+        assert got[s, k] == at
+        at += n

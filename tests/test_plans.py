@@ -33,7 +33,7 @@ def test_filter_and_projection_reach_the_scan(spark):
 def test_split_read_prunes_partitions(spark, tmp_dir):
     from shardloom.sources.shards import read_shards, write_shards
     frags = Q.fragments(spark, SF_SMALL)
-    write_shards(frags, Q.manifest(spark, SF_SMALL), f"{tmp_dir}/s")
+    write_shards(frags, Q.manifest(spark, SF_SMALL), f"{tmp_dir}/s", Q.DATA_NAME)
     p = plan_of(read_shards(spark, f"{tmp_dir}/s", "training").select("pos"))
     assert "PartitionFilters: [isnotnull(split" in p and "= training)]" in p
     assert "ReadSchema: struct<pos:bigint>" in p
@@ -42,10 +42,10 @@ def test_split_read_prunes_partitions(spark, tmp_dir):
 def test_offsets_have_no_single_partition_window_over_documents(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
         F.lit(0).alias("source_ord"), F.col("doc_id").alias("doc_ord"), "text")
-    p = plan_of(doc_offsets(docs, ByteTokenizer(spark), PackSpec("p", 1000, bucket_docs=16)), "simple")
-    # the document-level window is partitioned by its bucket
-    assert "windowspecdefinition(_bkt" in p or "windowspecdefinition(0, _bkt" in p
-    # the one un-partitioned window runs over super-bucket totals, read from a staged table
+    p = plan_of(doc_offsets(docs, ByteTokenizer(spark), PackSpec("p", 1000, ranges=16)), "simple")
+    # the document-level window is partitioned by its range
+    assert "windowspecdefinition(_range" in p or "windowspecdefinition(0, _range" in p
+    # the one un-partitioned window runs over range totals, read from a staged table
     singles = [ln for ln in p.splitlines() if "SinglePartition" in ln]
     assert len(singles) <= 1
 
@@ -81,11 +81,35 @@ def test_drop_staged_tables(spark):
     assert "shardloom-tables" in p
 
 
-def test_spread_only_small_inputs(spark):
-    from shardloom.session import spread_small_input
-    one = spark.range(100).withColumnRenamed("id", "doc_ord").coalesce(1)
-    spread = spread_small_input(one, "doc_ord")
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism * 2).withColumnRenamed("id", "doc_ord")
-    assert spread_small_input(many, "doc_ord") is many                 # no shuffle added
-    assert sorted(r.doc_ord for r in spread.collect()) == list(range(100))
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    import pytest
+
+    from shardloom.session import ensure_checkpoint_dir
+
+    class Sc:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Sc()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_shards_are_one_file_each(spark, tmp_dir):
+    import glob
+
+    from shardloom.plans import queries as Q
+    from shardloom.sources.shards import write_shards
+    man = Q.manifest(spark, SF_SMALL)
+    write_shards(Q.fragments(spark, SF_SMALL), man, f"{tmp_dir}/one", Q.DATA_NAME)
+    files = glob.glob(f"{tmp_dir}/one/data_name=*/split=*/shard_id=*/*.parquet")
+    assert len(files) == man.count()

@@ -5,15 +5,17 @@ the checkpoint and a replayed batch); live step loss equals batch step loss
 import math
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from shardloom.config import PackSpec, TelemetrySpec
-from shardloom.operators.packing import pack_fragments
+from shardloom.operators.packing import doc_offsets, pack_fragments, shard_manifest
 from shardloom.operators.telemetry import step_loss
 from shardloom.operators.tokenize import ByteTokenizer
 from shardloom.sources.telemetry import telemetry_from_events
-from shardloom.streaming.packing import pack_batch, read_packed, start_incremental_packing
-from shardloom.streaming.telemetry import start_live_step_loss
+from shardloom.streaming.packing import (ledger_path, pack_batch, read_packed, read_stream_manifest,
+                                         start_incremental_packing)
+from shardloom.streaming.telemetry import completed_steps, open_steps, start_live_step_loss
 
 from conftest import SF_SMALL
 
@@ -37,7 +39,7 @@ def _frag_set(df):
 def test_incremental_packing_equals_batch(spark, tmp_dir):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
         F.lit(0).cast("int").alias("source_ord"), F.col("doc_id").alias("doc_ord"), "text")
-    spec = PackSpec("s", shard_tokens=7000, bucket_docs=16)
+    spec = PackSpec("s", shard_tokens=7000, ranges=16)
     tok = ByteTokenizer(spark)
     src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/out", f"{tmp_dir}/ck"
     _write_parts(docs.where("doc_ord < 100"), "doc_ord", [50], src)
@@ -69,10 +71,49 @@ def test_live_step_loss_equals_batch(spark, tmp_dir):
     start_live_step_loss(rd(), out, ck, spec).awaitTermination()
     _write_parts(tel.where(F.col("ts") >= cuts[1]), "ts", [], src)
     start_live_step_loss(rd(), out, ck, spec).awaitTermination()
-    live = {(r.run, r.step): r.loss for r in spark.read.parquet(out).collect()}
+    live = {(r.run, r.step): r.loss for r in completed_steps(spark, out, spec).collect()}
     want = {(r.run, r.step): r.loss for r in step_loss(tel, spec).collect()}
-    assert set(live) <= set(want)
-    # every step except those still waiting for the watermark at the end is out
-    assert len(live) >= len(want) - 5 * 2
+    assert set(live) == set(want) and open_steps(spark, out, spec).count() == 0
     for k, v in live.items():
         assert math.isclose(v, want[k], rel_tol=1e-9)
+
+
+def test_live_step_loss_counts_records_and_reports_open_steps(spark, tmp_dir):
+    """A record sent twice does not close a step, a missing one leaves it open."""
+    spec = TelemetrySpec(A=2, W=2)
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    rows = [("r", 0, m, k, 1.0 + m, at(m)) for m in range(2) for k in range(2)]
+    rows += [("r", 1, 0, 0, 5.0, at(10)), ("r", 1, 0, 0, 5.0, at(10)), ("r", 1, 1, 0, 5.0, at(11)), ("r", 1, 1, 1, 5.0, at(12))]
+    rec = spark.createDataFrame(rows, "run string, step long, micro_step long, rank long, loss double, ts string")
+    rec = rec.withColumn("ts", F.col("ts").cast("timestamp"))
+    src, out, ck = f"{tmp_dir}/dsrc", f"{tmp_dir}/dout", f"{tmp_dir}/dck"
+    _write_parts(rec, "step", [1], src)
+    start_live_step_loss(spark.readStream.schema(rec.schema).option("maxFilesPerTrigger", 1).parquet(src), out, ck,
+                         spec).awaitTermination()
+    assert [(r.step, r.loss) for r in completed_steps(spark, out, spec).collect()] == [(0, 1.5)]
+    assert [(r.step, r.n_records) for r in open_steps(spark, out, spec).collect()] == [(1, 3)]
+
+
+def test_unreadable_ledger_is_no_new_start(spark, tmp_dir):
+    import os
+
+    out = f"{tmp_dir}/broken"
+    os.makedirs(f"{ledger_path(out)}/batch_id=0")
+    with open(f"{ledger_path(out)}/batch_id=0/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    docs = spark.createDataFrame([(0, 1, "a b")], "source_ord int, doc_ord long, text string")
+    with pytest.raises(Exception):
+        pack_batch(docs, 1, out, ByteTokenizer(spark), PackSpec("s", shard_tokens=10))
+
+
+def test_stream_manifest_equals_batch(spark, tmp_dir):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
+        F.lit(0).cast("int").alias("source_ord"), F.col("doc_id").alias("doc_ord"), "text")
+    spec, tok = PackSpec("s", shard_tokens=7000), ByteTokenizer(spark)
+    src, out, ck = f"{tmp_dir}/msrc", f"{tmp_dir}/mout", f"{tmp_dir}/mck"
+    _write_parts(docs, "doc_ord", [60, 120], src)
+    start_incremental_packing(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(src), out, ck,
+                              tok, spec).awaitTermination()
+    got = read_stream_manifest(spark, out, spec)
+    want = shard_manifest(doc_offsets(docs, tok, spec), spec).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

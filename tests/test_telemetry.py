@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shardloom.config import TelemetrySpec
 from shardloom.functions.schedules import checkpoint_stride, curriculum_stage, is_checkpoint_step, learning_rate
 from shardloom.operators import telemetry as TM
-from shardloom.sources.telemetry import parse_step_lines, telemetry_from_events
+from shardloom.sources.telemetry import format_step_line, parse_step_lines, step_line_report, telemetry_from_events
 
 from conftest import SF_SMALL
 
@@ -64,7 +64,10 @@ def test_loss_map_resume_and_parse(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     spec = TelemetrySpec()
     sl = TM.step_loss(telemetry_from_events(ev, spec), spec)
-    maps = {r.run: r.loss_per_step for r in TM.loss_map(sl).collect()}
+    maps = {}
+    for r in TM.loss_map(sl, block=10).collect():
+        assert {s // 10 for s in r.loss_per_step} == {r.block}
+        maps.setdefault(r.run, {}).update(r.loss_per_step)
     flat = {}
     for r in sl.collect():
         flat.setdefault(r.run, {})[r.step] = r.loss
@@ -90,3 +93,33 @@ def test_resume_without_history(spark):
     fresh = spark.createDataFrame([("r", 0, 1.0), ("r", 1, 0.5)], "run string, step long, loss double")
     assert sorted(map(tuple, TM.resume_merge(empty, fresh, True).collect())) == [("r", 0, 1.0), ("r", 1, 0.5)]
     assert TM.resume_point(empty).count() == 0
+
+
+def test_numbers_print_as_c_does(spark):
+    rng = random.Random(1)
+    vals = [2.675, 0.125, 0.375, 1.005, -0.0, -1.115, 1e-7, 1e15] + [rng.randrange(10 ** 7) / 1000 for _ in range(3000)] \
+        + [rng.random() * 10 ** rng.randint(-8, 8) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    line = format_step_line(F.lit(7), F.col("x"), F.col("x"), F.col("x"), F.col("x"), F.col("x"))
+    for r in df.select("x", line.alias("line")).collect():
+        assert r.line == f"step {7:5d} | loss: {r.x:.6f} | lr {r.x:.4e} | norm: {r.x:.4f} | dt: {r.x:.2f}ms | tok/sec: {r.x:.2f}"
+
+
+def test_diverged_steps_come_back_and_bad_lines_are_counted(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("r", 0, nan, inf), ("r", 1, -inf, None), ("r", 2, 1.5, 2.0)]
+    df = spark.createDataFrame(rows, "run string, step long, loss double, rate double")
+    lines = df.select("run", format_step_line(F.col("step"), F.col("loss"), F.lit(1e-4), F.lit(None).cast("double"), F.lit(0.0),
+                                              F.col("rate")).alias("value"))
+    lines = lines.union(spark.createDataFrame([("r", "step x | loss"), ("r", "saved")], "run string, value string"))
+    got = {r.step: r for r in parse_step_lines(lines).collect()}
+    assert math.isnan(got[0].loss) and got[0].tok_per_sec == inf and got[1].loss == -inf and math.isnan(got[1].tok_per_sec)
+    assert got[2].loss == 1.5
+    [report] = step_line_report(lines).collect()
+    assert (report.n_lines, report.n_steps, report.n_unread) == (5, 3, 1)
+
+
+def test_test_loss_counts_batches_read_again(spark):
+    df = spark.createDataFrame([("m", 0, 1.0, 2), ("m", 0, 4.0, 1), ("m", 1, 2.0, 3)], "run string, rank int, loss double, n_reads long")
+    [row] = TM.test_loss(df, 3).collect()
+    assert math.isclose(row.test_loss, ((2 * 1.0 + 4.0) / 3 + 2.0) / 2)

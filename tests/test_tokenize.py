@@ -34,11 +34,22 @@ def test_word_mode_ranks_and_lookup(spark):
     assert tok.words == ["b", "a"]            # b:3, a:2, then c/d cut by the cap
     rows = tokenize_documents(docs, tok).orderBy("doc_ord").collect()
     eot = tok.eot_id
-    assert [list(r.tokens) for r in rows] == [[eot, 1, 2, 1], [eot, 0, 1, 2], [eot, 0]]
+    spelled = lambda w: [0] + [eot + 1 + b for b in w.encode()]
+    assert [list(r.tokens) for r in rows] == [[eot, 1, 2, 1], [eot, *spelled("c"), 1, 2], [eot, *spelled("d")]]
     counts = docs.select(tok.count(F.col("text")).alias("n")).collect()
-    assert [r.n for r in counts] == [4, 4, 2]
+    assert [r.n for r in counts] == [4, 5, 3]
     dec = docs.select(tok.decode(tok.encode(F.col("text"), eot=False)).alias("t")).collect()
-    assert [r.t for r in dec] == ["b a b", "<unk> b a", "<unk>"]
+    assert [r.t for r in dec] == ["b a b", "c b a", "d"]
+
+
+def test_word_mode_loses_nothing(spark):
+    docs = df_of(spark, TEXTS + ["é日本 \n x", "zz " * 50])
+    tok = WordTokenizer.fit(df_of(spark, ["hello a"]), cap=2)
+    back = docs.select("text", tok.decode(tok.encode(F.col("text"), eot=False)).alias("t")).collect()
+    assert all(r.t == r.text for r in back)
+    # sequences that no text has: bytes that are no UTF-8, bytes without their mark
+    odd = spark.createDataFrame([([0, tok.byte_base + 255, 1],), ([1, tok.byte_base + 65, 0, 0],), ([],), (None,)], "ids array<int>")
+    assert [r.t for r in odd.select(tok.decode(F.col("ids")).alias("t")).collect()] == [f"<0xFF> {tok.words[0]}", f"{tok.words[0]} A  ", "", None]
 
 
 def test_word_mode_matches_python_split(spark):
@@ -76,7 +87,7 @@ def test_token_range(spark):
     df = spark.createDataFrame([([1, 2],), ([70000, -1, 3],)], "tokens array<int>")
     rep = token_range_report(df).collect()[0]
     assert (rep.n_docs, rep.n_tokens, rep.n_bad_docs, rep.n_bad_tokens) == (2, 5, 1, 2)
-    with pytest.raises(Exception, match="uint16"):
+    with pytest.raises(Exception, match="outside 0"):
         check_token_range(df).collect()
     assert df.select(widen(F.col("tokens"), "long").alias("t")).schema["t"].dataType.simpleString() == "array<bigint>"
     with pytest.raises(ValueError):
