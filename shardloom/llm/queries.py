@@ -65,7 +65,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.digests(suffixdedup.removed_spans(documents(spark, sf_dir)))
+    return suffixdedup.digests(documents(spark, sf_dir))
 
 
 def _shipped(query):

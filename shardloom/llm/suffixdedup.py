@@ -34,13 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, NullType, StructField, StructType
 
 from .common import Powers, id_key, mix, ragged, shuffle_partitions, slices, staged
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of text worked on at once, and sampled positions sent as one record.
-PIECE, CHUNK = 1 << 20, 1 << 20
+PIECE, CHUNK = 1 << 20, 1 << 19
 _U64 = np.uint64
 _TEXT, _ANCHORS, _SETTLED, _OPEN, _STRETCH = range(5)
 
@@ -274,8 +274,8 @@ def stretches(batches, parts: int):
     for lookup, batch in _gathered(batches, _OPEN):
         for key, tag, text in _Pieces(batch):
             lo, n = lookup(key, tag)
-            for i in range(0, len(lo), CHUNK // 64):
-                a, k = lo[i : i + CHUNK // 64], n[i : i + CHUNK // 64]
+            for i in range(0, len(lo), CHUNK // 32):
+                a, k = lo[i : i + CHUNK // 32], n[i : i + CHUNK // 32]
                 data, lengths = cut_out(text, a, k)
                 # the anchor again: the least hash of the stretch's first window
                 prefix = _one.prefix(data)
@@ -286,7 +286,7 @@ def stretches(batches, parts: int):
                 held.append((rank, np.full(len(a), key), np.full(len(a), tag), a, k))
                 bytes_held.append(data)
                 count += len(data)
-                if count >= CHUNK * 8:
+                if count >= CHUNK * 16:
                     yield record_batch(flush())
     yield record_batch(flush())
 
@@ -353,15 +353,16 @@ def beside_texts(records: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     return left.unionByName(right).repartitionById(parts, "part").sortWithinPartitions(F.col("kind").desc())
 
 
-def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
-    """``docs`` (columns in a struct ``row``) with ``spans``: (start, end) of the bytes to remove, in order and apart."""
+def _each(docs: DataFrame, finish, schema: StructType | str, doc_id: str, text: str, parts: int | None) -> DataFrame:
+    """``finish(row, texts, spans)`` for each batch of documents: their other columns as an array of structs, their texts, and for each
+    the starts and ends of the bytes to remove, in order and apart."""
     spark = docs.sparkSession
     parts = parts or shuffle_partitions(spark)
     key = id_key(doc_id)
     repeated = docs.groupBy(key.alias("k")).count().where("count > 1").limit(1).count() > 0
     # rows of one id are told apart by their text
     tag = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 32)) if repeated else F.lit(0).cast("long")
-    texts = docs.select(key.alias("key"), tag.alias("tag"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row") if len(docs.columns) > 1 else F.struct(F.lit(None).alias("_")).alias("row"))
+    texts = docs.select(key.alias("key"), tag.alias("tag"), F.col(text).alias("text"), (F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)) if len(docs.columns) > 1 else F.struct(F.lit(None).alias("_"))).alias("row"))
     texts = texts.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     plain = texts.select("part", "key", "tag", "text")
 
@@ -375,77 +376,79 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     def run(batches):
         for lookup, batch in _gathered(batches, _SETTLED):
-            starts, ends, counts = [], [], []
-            for k, t in zip(batch.column("key").to_pylist(), batch.column("tag").to_pylist()):
-                lo, n = lookup(k, t)
-                lo, end = lo.astype(np.int64), lo.astype(np.int64) + n + LENGTH - 1
-                if len(lo):
-                    reach = np.maximum.accumulate(end)
-                    new = np.flatnonzero(np.r_[True, lo[1:] > reach[:-1]])
-                    lo, end = lo[new], reach[np.r_[new[1:] - 1, len(lo) - 1]]
-                starts.append(lo)
-                ends.append(end)
-                counts.append(len(lo))
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], names=["start", "end"])
-            column = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), column], names=["row", "text", "spans"])
+            for part in slices([batch], "text", PIECE * 4):
+                spans = []
+                for k, t in zip(part.column("key").to_pylist(), part.column("tag").to_pylist()):
+                    lo, n = lookup(k, t)
+                    lo, end = lo.astype(np.int64), lo.astype(np.int64) + n + LENGTH - 1
+                    if len(lo):
+                        reach = np.maximum.accumulate(end)
+                        new = np.flatnonzero(np.r_[True, lo[1:] > reach[:-1]])
+                        lo, end = lo[new], reach[np.r_[new[1:] - 1, len(lo) - 1]]
+                    spans.append((lo, end))
+                yield finish(part.column("row"), part.column("text"), spans)
+
+    return last.mapInArrow(run, schema)
+
+
+def _row_type(docs: DataFrame, text: str) -> StructType:
+    kept = [docs.schema[c] for c in docs.columns if c != text]
+    return StructType(kept or [StructField("_", NullType())])
 
+
+def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+    """``docs`` (other columns in a struct ``row``) with ``spans``: (start, end) of the bytes to remove, in order and apart."""
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
-    return last.mapInArrow(run, StructType([texts.schema["row"], texts.schema["text"], StructField("spans", ArrayType(span))]))
 
+    def finish(row, texts, spans):
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([s[k] for s in spans])) for k in (0, 1)], names=["start", "end"])
+        ends = np.r_[0, np.cumsum([len(s[0]) for s in spans])]
+        return pa.RecordBatch.from_arrays([row, texts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["row", "text", "spans"])
 
-def digests(cut: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``removed_spans``."""
+    schema = StructType([StructField("row", _row_type(docs, text)), StructField("text", docs.schema[text].dataType), StructField("spans", ArrayType(span))])
+    return _each(docs, finish, schema, doc_id, text, parts)
 
-    def run(batches):
-        for part in batches:
-            rows = []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                data = (text or "").encode()
-                rows.append((len(data), sum(s["end"] - s["start"] for s in spans), len(spans), hashlib.sha256(remaining(data, spans)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return cut.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def remaining(text: bytes, spans) -> bytes:
-    """A text without its spans."""
-    out, at = [], 0
-    for s in spans:
-        out.append(text[at : s["start"]])
-        at = s["end"]
-    out.append(text[at:])
-    return b"".join(out)
 
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``docs`` (doc_id, text)."""
 
-def on_characters(data: np.ndarray, spans) -> list[dict[str, int]]:
+    def finish(row, texts, spans):
+        rows = []
+        for held, (starts, ends) in zip(texts, spans):
+            data = memoryview(held.as_buffer() or b"") if held.is_valid else memoryview(b"")
+            rows.append((len(data), int((ends - starts).sum()), len(starts), hashlib.sha256(remaining(data, starts, ends)).hexdigest()))
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+        return pa.RecordBatch.from_arrays([row.field("doc_id").cast(pa.int64()), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _each(docs, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", "doc_id", "text", None)
+
+
+def remaining(data, starts, ends) -> bytes:
+    """Bytes outside the spans."""
+    edges = [0, *(x for pair in zip(starts.tolist(), ends.tolist()) for x in pair), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[0::2], edges[1::2]))
+
+
+def on_characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans of UTF-8 bytes drawn in to whole characters; those left empty are dropped."""
-    begins = (data & 0xC0) != 0x80
-    out = []
-    for s in spans:
-        start, end = s["start"], s["end"]
-        while start < end and not begins[start]:
-            start += 1
-        while end > start and end < len(data) and not begins[end]:
-            end -= 1
-        if end > start:
-            out.append({"start": start, "end": end})
-    return out
+    begins = np.r_[(data & 0xC0) != 0x80, True]
+    firsts = np.flatnonzero(begins)
+    starts = firsts[np.searchsorted(firsts, starts)]
+    ends = firsts[np.searchsorted(firsts, ends, "right") - 1]
+    return starts[ends > starts], ends[ends > starts]
 
 
 def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed bytes taken out of the text; a character stays if any byte of it does.  All other columns as they were."""
-    cut = removed_spans(docs, doc_id, text)
-    schema = StructType([cut.schema["row"], cut.schema["text"]])
 
-    def run(batches):
-        for part in batches:
-            texts = []
-            for old, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                if old and spans:
-                    data = old.encode()
-                    old = remaining(data, on_characters(np.frombuffer(data, np.uint8), spans)).decode()
-                texts.append(old)
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
-
-    return cut.mapInArrow(run, schema).select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    def finish(row, texts, spans):
+        new = []
+        for old, (starts, ends) in zip(texts.to_pylist(), spans):
+            if old and len(starts):
+                data = old.encode()
+                old = remaining(data, *on_characters(np.frombuffer(data, np.uint8), starts, ends)).decode()
+            new.append(old)
+        return pa.RecordBatch.from_arrays([row, pa.array(new, pa.string())], names=["row", "text"])
+
+    cut = _each(docs, finish, StructType([StructField("row", _row_type(docs, text)), StructField("text", docs.schema[text].dataType)]), doc_id, text, None)
+    return cut.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
