@@ -55,7 +55,7 @@ def context_totals(counts: DataFrame) -> DataFrame:
 def next_token_probs(counts: DataFrame, vocab_size: int) -> DataFrame:
     """``p = c / sum_b c`` per context, via the bounded context table."""
     _check_vocab(vocab_size)
-    tot = F.broadcast(context_totals(counts))
+    tot = context_totals(counts)
     return (counts.join(tot, "a")
             .select("a", "b", "c", (F.col("c") / F.col("ca")).alias("p")))
 
@@ -91,14 +91,9 @@ def cross_entropy_counts(test: DataFrame, counts: DataFrame, vocab_size: int) ->
     """D10 from aggregated test targets ``(a, b, n)``: the join is between two
     tables of distinct pairs (no hot key); context totals are bounded by V."""
     _check_vocab(vocab_size)
-    tot = F.broadcast(context_totals(counts))
+    tot = context_totals(counts)
     j = (test.join(counts, ["a", "b"], "left").join(tot, "a", "left")
          .select("n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("ca", F.lit(0)).alias("ca")))
     nll = -F.log((F.col("c") + F.lit(1.0)) / (F.col("ca") + F.lit(float(vocab_size))))
     return j.agg(F.sum("n").cast("long").alias("n_targets"),
                  (F.sum(F.col("n") * nll) / F.sum("n")).alias("cross_entropy"))
-
-
-def uniform_loss(vocab_size: int) -> float:
-    """Loss of a model with no information, ``ln V`` (a sanity bound)."""
-    return math.log(vocab_size)

@@ -47,11 +47,6 @@ def prepare_prompts(tokens: Column, size: int, pad_id: int | Column) -> Column:
     return left_pad(head_context(tokens, size), size, pad_id)
 
 
-def append_token(tokens: Column, token: Column) -> Column:
-    """H7."""
-    return F.concat(tokens, F.array(token))
-
-
 def prompt_matrix(prompts: DataFrame, runs: Sequence[str]) -> DataFrame:
     """Every requested run with every prompt.  The run list is a driver
     config (the models to test), expanded by a generator, not a join."""
@@ -78,44 +73,52 @@ def pick_candidate(u: int, cands: Sequence[int], weights: Sequence[int]) -> int:
 
 
 def _model_tables(topk: DataFrame, backoff: DataFrame, k: int, vocab_size: int):
-    """The top-k table as ``{a: ([b...], [c...])}`` in rank order, collected
-    through Arrow after checking its bound (``k * vocab_size`` rows)."""
+    """The top-k table as Arrow, sorted by context and rank, after a count has
+    shown that it keeps its bound of ``k * vocab_size`` rows."""
     bound = k * vocab_size
-    tab = topk.select("a", "rnk", "b", "c").limit(bound + 1).toArrow()
-    if tab.num_rows > bound:
+    if topk.count() > bound:
         raise ValueError("top-k table exceeds k * vocab_size rows")
-    cols = tab.sort_by([("a", "ascending"), ("rnk", "ascending")]).to_pydict()
-    table: dict = {}
+    tab = topk.select("a", "rnk", "b", "c").toArrow().sort_by([("a", "ascending"), ("rnk", "ascending")])
+    return tab, backoff.select("rnk", "b", "c").toArrow().sort_by("rnk")
+
+
+def _successors(tab, back):
+    """``{a: ([b...], [c...])}`` and the same of the backoff, from Arrow."""
+    cols, rest, table = tab.to_pydict(), back.to_pydict(), {}
     for a, b, c in zip(cols["a"], cols["b"], cols["c"]):
         bs, cs = table.setdefault(a, ([], []))
         bs.append(b)
         cs.append(c)
-    back = backoff.select("rnk", "b", "c").toArrow().sort_by("rnk").to_pydict()
-    return table, (back["b"], back["c"])
+    return table, (rest["b"], rest["c"])
 
 
 def generate(prompts: DataFrame, topk: DataFrame, backoff: DataFrame, max_length: int,
-             vocab_size: int, k: int = TOP_K, seed: int = GENERATION_SEED) -> DataFrame:
+             vocab_size: int, k: int = TOP_K, seed: int = GENERATION_SEED, horizon: int = 1) -> DataFrame:
     """``prompts(run, item_id, tokens)`` -> ``(run, item_id, tokens)`` grown
-    one token at a time (context = last token) until ``max_length``; a prompt
-    not shorter than the limit is only cut (G4)."""
+    until ``max_length``; a prompt not shorter than the limit is only cut (G4).
+
+    A pass makes ``horizon`` tokens at once: each is drawn from what follows
+    the token ``horizon`` places before it (``topk`` counted at that horizon),
+    so none needs another of its pass.  With 1 that is a token at a time."""
     if not 0 < vocab_size <= TOKEN_LIMIT:
         raise ValueError("vocab_size must be in (0, 65536]")
+    if horizon < 1:
+        raise ValueError("horizon must be positive")
     spark = prompts.sparkSession
     ship_package(spark)
-    table, back = _model_tables(topk, backoff, k, vocab_size)
-    bc = spark.sparkContext.broadcast((table, back))
+    bc = spark.sparkContext.broadcast(_model_tables(topk, backoff, k, vocab_size))
     limit = int(max_length)
 
     def run_partition(batches):
-        model, fallback = bc.value
+        model, fallback = _successors(*bc.value)
         for pdf in batches:
             out = []
             for run, item, toks in zip(pdf["run"], pdf["item_id"], pdf["tokens"]):
                 seq = [int(t) for t in toks]
                 while len(seq) < limit:
-                    bs, cs = (model.get(seq[-1]) if seq else None) or fallback
-                    seq.append(pick_candidate(draw_u32(seed, run, int(item), len(seq)), bs, cs))
+                    for at in range(len(seq), len(seq) + horizon):
+                        bs, cs = (model.get(seq[at - horizon]) if at >= horizon else None) or fallback
+                        seq.append(pick_candidate(draw_u32(seed, run, int(item), at), bs, cs))
                 out.append(seq[:limit])
             yield pd.DataFrame({"run": pdf["run"], "item_id": pdf["item_id"], "tokens": out})
 
@@ -124,7 +127,8 @@ def generate(prompts: DataFrame, topk: DataFrame, backoff: DataFrame, max_length
         T.StructField("item_id", T.LongType()),
         T.StructField("tokens", T.ArrayType(T.IntegerType())),
     ])
-    return prompts.select("run", F.col("item_id").cast("long"), "tokens").mapInPandas(run_partition, schema)
+    spread = prompts.select("run", F.col("item_id").cast("long"), "tokens").repartition("item_id", "run")
+    return spread.mapInPandas(run_partition, schema)
 
 
 def responses_pivot(responses: DataFrame, runs: Sequence[str], value: str = "response") -> DataFrame:

@@ -84,7 +84,8 @@ def pairs_at(n: int) -> str:
   WHERE (s1.pos // {T}) * {T} + {T} + {n} <= slen.L)"""
 
 
-COUNTS = f"""{pairs_at(Q.LM_N)},
+def counts_at(n: int) -> str:
+    return f"""{pairs_at(n)},
 counts AS (SELECT a, b, count(*)::BIGINT AS c FROM tpairs WHERE split = 'training' GROUP BY a, b),
 ctx AS (SELECT a, sum(c)::BIGINT AS ca FROM counts GROUP BY a),
 topk AS (SELECT a, row_number() OVER (PARTITION BY a ORDER BY c DESC, b)::INTEGER AS rnk, b, c FROM counts
@@ -92,6 +93,8 @@ topk AS (SELECT a, row_number() OVER (PARTITION BY a ORDER BY c DESC, b)::INTEGE
 backoff AS (SELECT row_number() OVER (ORDER BY c DESC, b)::INTEGER AS rnk, b, c FROM
             (SELECT b, sum(c)::BIGINT AS c FROM counts GROUP BY b) QUALIFY rnk <= {C.TOP_K})"""
 
+
+COUNTS = counts_at(Q.LM_N)
 CORPUS = f"WITH {DOCS}, {offs()}, {TOKS}"
 
 PROMPTS = f"""ptoks AS (
@@ -128,7 +131,9 @@ LOG_LINE = ("printf('step %5d | loss: %.6f | lr %.4e | norm: nan | dt: %.2fms |
             "step::INTEGER, loss, lr, dt_ms, coalesce(tok_per_sec, 'nan'::DOUBLE))")
 LOG_FIELDS = [r"step +(-?[0-9]+) ", r"loss: ([^ ]+) ", r"lr ([^ ]+) ", r"dt: ([^ ]+)ms ", r"tok/sec: ([^ ]+)$"]
 
-GEN = f"""cand AS (SELECT a, list(b ORDER BY rnk) AS bs, list(c ORDER BY rnk) AS cs FROM topk GROUP BY a),
+def gen(length: int, horizon: int) -> str:
+    """Sequences grown token by token from the one ``horizon`` places back."""
+    return f"""cand AS (SELECT a, list(b ORDER BY rnk) AS bs, list(c ORDER BY rnk) AS cs FROM topk GROUP BY a),
 back AS (SELECT list(b ORDER BY rnk) AS bs, list(c ORDER BY rnk) AS cs FROM backoff),
 gen AS (
   WITH RECURSIVE g(run, item_id, tokens) AS (
@@ -140,9 +145,12 @@ gen AS (
       SELECT g.run, g.item_id, g.tokens, coalesce(c.bs, back.bs) AS bs, coalesce(c.cs, back.cs) AS cs,
              list_sum(coalesce(c.cs, back.cs))::HUGEINT AS total,
              ('0x' || substr(md5('{C.GENERATION_SEED}|' || g.run || '|' || g.item_id || '|' || len(g.tokens)), 1, 8))::BIGINT::HUGEINT AS u
-      FROM g LEFT JOIN cand c ON c.a = g.tokens[-1] CROSS JOIN back
-      WHERE len(g.tokens) < {Q.GEN_MAX_LENGTH}) step)
-  SELECT run, item_id, tokens[1:{Q.GEN_MAX_LENGTH}] AS tokens FROM g WHERE len(tokens) >= {Q.GEN_MAX_LENGTH})"""
+      FROM g LEFT JOIN cand c ON c.a = g.tokens[-{horizon}] CROSS JOIN back
+      WHERE len(g.tokens) < {length}) step)
+  SELECT run, item_id, tokens[1:{length}] AS tokens FROM g WHERE len(tokens) >= {length})"""
+
+
+GEN = gen(Q.GEN_MAX_LENGTH, 1)
 
 
 def decoded(src: str) -> str:
@@ -356,3 +364,5 @@ SQL["step_batches"] = f"""{CORPUS}, {man()},
   SELECT s.step, s.micro_step, s.rank::INTEGER AS rank, s.batch_row::INTEGER AS batch_row, s.shard_id,
          s.batch * {Q.LOADER.B} + s.batch_row AS seq, sq.x_text, sq.y_text
   FROM sched s JOIN sq ON sq.shard_id = s.shard_id AND sq.seq = s.batch * {Q.LOADER.B} + s.batch_row"""
+SQL["generate_horizon"] = f"""{CORPUS}, {counts_at(64)}, {PROMPTS}, {gen(Q.HORIZON_LENGTH, 64)}
+  SELECT run, item_id, array_to_string(tokens, ' ') AS tokens_text FROM gen"""

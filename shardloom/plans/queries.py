@@ -37,6 +37,7 @@ LOADER = C.WindowSpec(B=2, T=SEQ_T, N=SEQ_N, W=2)
 SCHEDULE_ACCUM, SCHEDULE_STEPS = 2, 500
 TEL = C.TelemetrySpec(A=4, W=2, warmup_steps=20)
 GEN_MAX_LENGTH = 48
+HORIZON_LENGTH = 144
 LOSS_BLOCK = 100                   # steps per loss map
 TEST_STEPS = 120                   # loader calls of a test run: more than one round of the testing split at the small sizes
 GEN_RUN = "bigram"
@@ -546,6 +547,17 @@ def written_logs(spark, sf) -> str:
     return path
 
 
+def q_generate_horizon(spark, sf):
+    """J3 + H10: text made 64 tokens a pass from the counts at horizon 64."""
+    from ..functions.schedules import horizon
+
+    tok = word_tokenizer(spark, sf)
+    counts = _prepared(spark, sf, "horizon-counts", lambda: q_horizon_counts(spark, sf))
+    prompts = GE.prompt_matrix(prompt_tokens(spark, sf), [GEN_RUN])
+    g = GE.generate(prompts, CM.topk_next(counts), CM.backoff_topk(counts), HORIZON_LENGTH, tok.vocab_size, horizon=horizon())
+    return g.select("run", "item_id", _txt("tokens").alias("tokens_text"))
+
+
 def q_log_scan(spark, sf):
     """A8 + H11 + H12: step lines written as log files, scanned back; the run
     comes from the file name."""
@@ -614,4 +626,4 @@ def q_live_step_loss(spark, sf):
 QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "stream_manifest": q_stream_manifest,
                 "live_step_loss": q_live_step_loss, "log_report": q_log_report,
                 "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss,
-                "horizon_counts": q_horizon_counts, "log_scan": q_log_scan})
+                "horizon_counts": q_horizon_counts, "generate_horizon": q_generate_horizon, "log_scan": q_log_scan})
