@@ -39,8 +39,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about ``size`` bytes of ``text``, one row at least."""
+def slices(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``size`` bytes of ``text`` and at most ``rows`` rows, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -49,7 +49,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at, done = 0, 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, "right"))))
             yield batch.slice(at, to - at)
             at, done = to, int(ends[to - 1])
 

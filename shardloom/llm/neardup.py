@@ -36,6 +36,8 @@ from .common import Powers, mix, slices, staged
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Documents whose arrivals are held at once.
+SKETCH_ROWS = 400
 #: Members of a block, and bytes of bags in it, in buckets that the first comparison leaves open.
 BLOCK, BLOCK_BYTES = 256, 16 << 20
 #: Agreeing registers from which a pair is verified: four standard deviations below what the threshold gives.
@@ -149,7 +151,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """Staged: doc_id, bag_a and bag_b (128 bits that name the bag; null without words), bands (hash of each), marks (a byte of each register)."""
 
     def run(batches):
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 2 << 20, SKETCH_ROWS):
             n = part.num_rows
             doc, value, weight = shingles(_texts(part))
             sig = signatures(n, doc, value, weight)
@@ -182,15 +184,16 @@ def bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
             rows = [(value[a : a + n].astype("<u8").tobytes(), None if (weight[a : a + n] == 1).all() else weight[a : a + n].astype("<u4").tobytes()) for a, n in zip(first, size)]
             yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], names=["id", "hashes", "weights"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return staged(wanted.mapInArrow(run, "id long, hashes binary, weights binary").dropDuplicates(["id"]), "bags")
+    # by merging at any size: the ids grow with the documents
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
+    return staged(wanted.dropDuplicates(["id"]).mapInArrow(run, "id long, hashes binary, weights binary"), "bags")
 
 
 def verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose likeness reaches the threshold."""
 
     def run(batches):
-        for part in batches:
+        for part in slices(batches, "hashes_b"):
             keep = []
             for ha, wa, hb, wb in zip(*(part.column(c).to_pylist() for c in ("hashes_a", "weights_a", "hashes_b", "weights_b"))):
                 keep.append(probability_jaccard(_bag(ha, wa), _bag(hb, wb)) >= threshold)
@@ -201,11 +204,16 @@ def verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Staged: id, label (smallest id of its component) of all ids in ``links`` (a, b).
+    """Staged: id, label (smallest id of its component) of all ids in ``links`` (a < b).
 
-    Each round a vertex takes the smallest label around it, then that label's own label; rounds end when none changes.
+    First the links of a vertex to smaller ones move to the smallest of these, which leaves it one link and merges most of a crowded
+    group's.  Then each round a vertex takes the smallest label around it and that label's own label, until none changes.
     """
-    both = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    least = links.groupBy("b").agg(F.min("a").alias("m"))
+    moved = F.when(F.col("a") == F.col("m"), F.struct("m", F.col("b").alias("v"))).otherwise(F.struct("m", F.col("a").alias("v")))
+    links = links.join(least, "b").select(moved.alias("l")).select(F.col("l.m").alias("a"), F.col("l.v").alias("b")).distinct()
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = staged(links.select(ways.alias("l")).select("l.a", "l.b"), "links")
     labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
@@ -218,26 +226,32 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, id, label, blocks) of buckets that hold three vertices or more and more than one component; of buckets with the same members only one."""
-    named = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), "weight")
-    buckets = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("weight").alias("bytes"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set_a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("set_b"))
-    buckets = buckets.where("low < high AND size > 2").groupBy("set_a", "set_b", "size").agg(F.min("key").alias("key"), F.first("bytes").alias("bytes"))
+    """Members (key, band, id, label, blocks) of buckets that hold three vertices or more and more than one component; of buckets with
+    the same members only that of the first band.  (In a bucket of two, both have been compared.)"""
+    named = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("label", "id").alias("label"), "weight")
+    buckets = named.groupBy("key", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("weight").alias("bytes"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set_a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("set_b"))
+    buckets = buckets.where("low < high AND size > 2").groupBy("set_a", "set_b", "size").agg(F.min_by("key", "band").alias("key"), F.first("bytes").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    return named.join(buckets.select("key", blocks.alias("blocks")), "key").select("key", "id", "label", "blocks")
+    return named.join(buckets.select("key", blocks.alias("blocks")), "key").select("key", "band", "id", "label", "blocks")
 
 
 def links_across(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links between members of different components, a spanning forest of them for each two blocks of a bucket."""
+    """Links (a < b) between the components of a bucket's members, a spanning forest of them for each two blocks.
+
+    Members that share several bands meet in the first of these only: wherever that bucket is not among ``rows``, they have been
+    compared or are in one component.
+    """
     block = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def run(part):
-        ids, label = part["id"].to_numpy(), part["label"].to_numpy()
+        label = part["label"].to_numpy()
         marks = np.frombuffer(b"".join(part["marks"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
         block = part["block"].to_numpy()
         across = bool((block != block[0]).any())  # within a block its own task looks
-        _, group = np.unique(label, return_inverse=True)
+        group = np.unique(label, return_inverse=True)[1]
+        bands, band = np.array(part["bands"].to_pylist(), np.int64), part["band"][0].as_py()
         parent = list(range(int(group.max()) + 1))
 
         def top(x):
@@ -246,12 +260,13 @@ def links_across(rows: DataFrame, threshold: float) -> DataFrame:
             return x
 
         found, tried, bag = [], [], {}
-        for k in range(len(ids)):
+        for k in range(len(label)):
             same = (marks[k + 1 :] == marks[k]).sum(1)
             mask = (same >= AGREE) & (group[k + 1 :] != group[k])
             if across:
                 mask &= block[k + 1 :] != block[k]
             near = np.flatnonzero(mask)
+            near = near[(bands[near + k + 1] == bands[k]).argmax(1) == band]
             tried.append(np.stack([same[near], np.full(len(near), k), near + k + 1], 1))
         tried = np.concatenate(tried)
         hashes, weights = part["hashes"], part["weights"]
@@ -260,7 +275,7 @@ def links_across(rows: DataFrame, threshold: float) -> DataFrame:
             a, b = top(int(group[p])), top(int(group[q]))
             if a != b and probability_jaccard(get(p), get(q)) >= threshold:
                 parent[a] = b
-                found.append((int(ids[p]), int(ids[q])))
+                found.append(tuple(sorted((int(label[p]), int(label[q])))))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
@@ -271,7 +286,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sketch = sketches(docs)
     same = ["bag_a", "bag_b"]
     reps = staged(sketch.where("doc_id IS NOT NULL AND bag_a IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "marks"), "doc_id").alias("s")), "bags-named")
-    members = reps.select("id", F.explode("s.bands").alias("key"))
+    members = reps.select("id", F.posexplode("s.bands").alias("band", "key"))
     centres = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
     pairs = staged(members.join(centres, "key").where("id > a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     # every member of a bucket of two or more is in a pair
@@ -280,12 +295,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = components(links)
     sized = bag.select("id", F.octet_length("hashes").alias("weight"))
     crowded = open_buckets(members.join(sized, "id"), labels)
-    marks = reps.select("id", F.col("s.marks").alias("marks")).dropDuplicates(["id"])
+    marks = reps.select("id", "s.marks", "s.bands").dropDuplicates(["id"])
     rows = crowded.join(marks, "id").join(bag, "id")
-    labels = components(links.union(links_across(rows, threshold)))
+    # links across join components, so the second spreading is over these alone
+    wider = components(links_across(rows, threshold)).select(F.col("id").alias("label"), F.col("label").alias("wider"))
     named = sketch.select("doc_id", *same).join(reps.select(*same, F.col("id").alias("rep_id")), same, "left")
     named = named.withColumn("rep_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep_id", "doc_id")))
-    return named.join(labels.select(F.col("id").alias("rep_id"), "label"), "rep_id", "left").select("doc_id", "rep_id", F.coalesce("label", "rep_id").alias("class_id"))
+    named = named.join(labels.select(F.col("id").alias("rep_id"), "label"), "rep_id", "left").withColumn("label", F.coalesce("label", "rep_id"))
+    return named.join(wider, "label", "left").select("doc_id", "rep_id", F.coalesce("wider", "label").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
