@@ -335,7 +335,7 @@ TEST_LOSS = f"""{man()},
   bl AS (SELECT shard_id, batch, avg(-ln((coalesce(c.c, 0) + 1.0) / (coalesce(x.ca, 0) + {float(V)}))) AS loss
          FROM tp LEFT JOIN counts c USING (a, b) LEFT JOIN ctx x USING (a) GROUP BY ALL),
   pr AS (SELECT rank, sum(loss) / {float(Q.TEST_STEPS)} AS loss FROM reads JOIN bl USING (shard_id, batch) GROUP BY rank),
-  tl AS (SELECT 'count-model' AS run, round(avg(loss), 6) AS test_loss FROM pr)"""
+  tl AS (SELECT run, round(avg(loss), 6) AS test_loss FROM (SELECT 'count-model' AS run, loss FROM pr) GROUP BY run)"""
 SQL["test_loss"] = f"{CORPUS}, {COUNTS}, {TEST_LOSS} SELECT run, test_loss FROM tl"
 SQL["run_summary"] = f"""{CORPUS}, {COUNTS}, {TEST_LOSS}, {TEL},
   rs AS (SELECT run, count(*)::BIGINT AS n_steps, round(arg_max(loss, step), 6) AS final_loss, round(min(loss), 6) AS min_loss,
