@@ -32,10 +32,13 @@ def write_shards(fragments: DataFrame, manifest: DataFrame, path: str, data_name
     included, replacing what the store had under that name.
 
     One shuffle brings a shard's fragments together (a shard has a fixed
-    number of tokens, so no group is hot) and each shard becomes one file."""
+    number of tokens, so no group is hot) and each shard becomes one file.  The
+    number of partitions is named: each file costs its own time to open, which
+    a coalescing by bytes would not see."""
     top = path.rstrip("/")
+    parts = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = ["split", "shard_id", "pos", F.size("tokens").cast("long").alias("length"), "source_ord", "doc_ord", "tokens"]
-    (fragments.select(*cols).repartition("split", "shard_id").sortWithinPartitions("split", "shard_id", "pos")
+    (fragments.select(*cols).repartition(parts, "split", "shard_id").sortWithinPartitions("split", "shard_id", "pos")
      .write.mode("overwrite").partitionBy("split", "shard_id").parquet(f"{top}/data_name={data_name}"))
     manifest.drop("data_name").write.mode("overwrite").parquet(f"{top}/_manifest/data_name={data_name}")
 
