@@ -5,8 +5,12 @@ k-mers (``K`` units) those are anchors whose least inner s-mer (``S`` units, by
 k-mer is one depends on its own units alone, so a stretch that two texts share has the same anchors in both, wherever it stands.
 A fingerprint is the sequence of the anchors' hashes; ``likeness`` is the share of anchors that two have in common.
 
-Defined results: a null or empty text (white space too) has no anchor and the empty fingerprint; a text of fewer than ``K`` units has
-one, its whole sequence; likeness of two empty fingerprints is 1, of an empty and another 0.  Equal texts have equal fingerprints.
+Only from ``2 K - S - 1`` = 13 units on is a closed syncmer certain, and only from about twice that in a half of the text.  A text of
+fewer than ``SHORT`` units also has its small anchors: the whole sequence, its s-mers and its units.  Two texts of which one is short are compared by the small anchors of both, whatever the other's length, so a
+short text is like what it shares units with, and two that differ in a unit never count as equal.
+
+Defined results: a null or empty text (white space too) has no anchor and the empty fingerprint, and no other text has; likeness of
+two empty fingerprints is 1, of an empty and another 0.  Equal texts have equal fingerprints.
 
 The edited text needs the next document in descending ``doc_id``.  Documents are dealt to ranges of ``doc_id`` of like size (bounds
 from one aggregate over that column), each range also gets the first document of the range below it, and ``lead`` runs inside a
@@ -21,28 +25,49 @@ from pyspark.sql import functions as F
 from .common import id_key, shuffle_partitions
 
 K, S = 8, 2
+#: Texts of fewer units have small anchors too.
+SHORT = 4 * K
 #: Ranges for each shuffle partition, so that their sizes even out.
 RANGES = 8
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _UNIT = rf"[{_ALONE}]|[^\s{_ALONE}]+"
 
 
+def _places(count: Column) -> Column:
+    return F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _hashes(text: str) -> Column:
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_UNIT), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def _small(h: Column) -> Column:
+    """Small anchors of a sequence of unit hashes: the whole, the s-mers, the units."""
+    grams = lambda size: F.transform(_places(F.size(h) - (size - 1)), lambda i: F.xxhash64(F.lit(size), F.slice(h, i + 1, size)))
+    return F.when(F.size(h) > 0, F.concat(F.array(F.xxhash64(F.lit(0), h)), grams(S), grams(1))).otherwise(F.array().cast("array<bigint>"))
+
+
+def small_anchors(text: str) -> Column:
+    """Small anchors of a text column of any length; the unit hashes are bound to a variable, so computed once."""
+    return F.get(F.transform(F.array(_hashes(text)), _small), F.lit(0))
+
+
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the hashes of the anchors of a text column, in text order.
+    """``df`` with the hashes of the anchors of a text column, in text order, then a short text's small anchors; these also stand
+    alone in ``{out}_small``, which is null for texts of ``SHORT`` units and more.
 
     Each step is a projection of its own: the arrays are computed once and then read by place.
     """
     inner = K - S + 1
-    units, hashes, inners = f"_{out}_units", f"_{out}_hashes", f"_{out}_inners"
-    df = df.withColumn(units, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_UNIT), F.lit(0)))
-    df = df.withColumn(hashes, F.transform(units, lambda w: F.xxhash64(w))).drop(units)
+    hashes, inners, small = f"_{out}_hashes", f"_{out}_inners", f"{out}_small"
+    df = df.withColumn(hashes, _hashes(text))
     n = F.size(hashes)
     h, g = F.col(hashes), F.col(inners)
-    places = lambda count: F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(inners, F.transform(places(n - (S - 1)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)])))
+    df = df.withColumn(inners, F.transform(_places(n - (S - 1)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)])))
+    df = df.withColumn(small, F.when(n < SHORT, _small(h)))
     edge = lambda i: F.least(F.get(g, i), F.get(g, i + inner - 1)) <= F.least(*[F.get(g, i + j) for j in range(1, inner - 1)])
-    anchors = F.transform(F.filter(places(n - (K - 1)), edge), lambda i: F.xxhash64(F.slice(h, i + 1, K)))
-    return df.withColumn(out, F.when((n > 0) & (n < K), F.array(F.xxhash64(h))).otherwise(anchors)).drop(hashes, inners)
+    anchors = F.transform(F.filter(_places(n - (K - 1)), edge), lambda i: F.xxhash64(F.slice(h, i + 1, K)))
+    return df.withColumn(out, F.when(n < SHORT, F.concat(anchors, small)).otherwise(anchors)).drop(hashes, inners)
 
 
 def fingerprint(anchors: str) -> Column:
@@ -55,6 +80,14 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both.cast("double") / F.greatest(either, F.lit(1)))
 
 
+def with_likeness(df: DataFrame, a: str, b: str, text_a: str, text_b: str, out: str) -> DataFrame:
+    """``df`` with the likeness of two texts with anchors (``with_anchors``), by the small anchors of both where one is short."""
+    x, y = f"_{out}_x", f"_{out}_y"
+    short = F.col(f"{a}_small").isNotNull() | F.col(f"{b}_small").isNotNull()
+    taken = lambda anchors, text: F.when(short, F.coalesce(F.col(f"{anchors}_small"), small_anchors(text))).otherwise(F.col(anchors))
+    return df.withColumns({x: taken(a, text_a), y: taken(b, text_b)}).withColumn(out, likeness(x, y)).drop(x, y)
+
+
 def range_of(key: str, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at or below the key, by binary search."""
     if not bounds:
@@ -66,7 +99,7 @@ def range_of(key: str, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """``docs`` (doc_id, text) with anchors, and ``next_text`` and ``next_anchors``: those of the next document in descending doc_id; after the last, the first."""
+    """``docs`` (doc_id, text) with anchors and small anchors, and ``next_text``, ``next_anchors`` and ``next_anchors_small``: those of the next document in descending doc_id; after the last, the first."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     ranges = ranges or RANGES * parts
@@ -76,7 +109,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     keyed = keyed.withColumn("range", range_of("key", bounds))
     firsts = keyed.groupBy("range").agg(F.max("key").alias("key")).collect()  # a row a range: as many as the parameter says
     if not firsts:
-        return keyed.select("doc_id", "text", F.array().cast("array<bigint>").alias("anchors"), F.col("text").alias("next_text"), F.array().cast("array<bigint>").alias("next_anchors"))
+        none = F.array().cast("array<bigint>")
+        return keyed.select("doc_id", "text", none.alias("anchors"), none.alias("anchors_small"), F.col("text").alias("next_text"), none.alias("next_anchors"), none.alias("next_anchors_small"))
     first = {r["range"]: r["key"] for r in firsts}
     order = sorted(first, reverse=True)
     above = {first[r]: order[k - 1] for k, r in enumerate(order)}  # the range before it; before the first range, the last
@@ -85,8 +119,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     dealt = keyed.withColumn("guest", F.lit(False)).unionByName(guests).repartition(parts, "range")
     dealt = with_anchors(dealt, "text", "anchors")
     order = Window.partitionBy("range").orderBy("guest", F.col("key").desc(), "text")
-    both = F.lead(F.struct("text", "anchors")).over(order)
-    return dealt.withColumn("next", both).where(~F.col("guest")).select("doc_id", "text", "anchors", F.col("next.text").alias("next_text"), F.col("next.anchors").alias("next_anchors"))
+    both = F.lead(F.struct("text", "anchors", "anchors_small")).over(order)
+    return dealt.withColumn("next", both).where(~F.col("guest")).select("doc_id", "text", "anchors", "anchors_small", F.col("next.text").alias("next_text"), F.col("next.anchors").alias("next_anchors"), F.col("next.anchors_small").alias("next_anchors_small"))
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -94,7 +128,8 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = with_next(docs, ranges).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("next_text").substr(F.lit(1), half)))
-    near_next = likeness("anchors", "next_anchors")
-    rows = rows.select("doc_id", "n_chars", "edited", "anchors", near_next.alias("near_next"))
+    rows = with_likeness(rows, "anchors", "next_anchors", "text", "next_text", "near_next")
+    rows = rows.select("doc_id", "n_chars", "text", "edited", "anchors", "anchors_small", "near_next")
     rows = with_anchors(rows, "edited", "edited_anchors")
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("anchors").alias("fingerprint"), fingerprint("edited_anchors").alias("edited_fingerprint"), likeness("anchors", "edited_anchors").alias("near_edited"), "near_next")
+    rows = with_likeness(rows, "anchors", "edited_anchors", "text", "edited", "near_edited")
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("anchors").alias("fingerprint"), fingerprint("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next")

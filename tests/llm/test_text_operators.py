@@ -145,6 +145,33 @@ def test_op5_shared_stretches_are_found_anywhere(spark):
     assert row["ab"] > 0.55 and row["ac"] == 0 and row["aa"] == 1
 
 
+def test_op5_short_texts_against_each_other(spark):
+    """Texts of 1 to 20 units: every one has an anchor, only equal texts count as equal, and what is shared shows at every length."""
+    words = sentence(60, 11).split()
+    texts = [" ".join(words[k : k + n]) for n in range(1, 21) for k in (0, 30)] + ["a b a", "a b a b", "b a b"]
+    df = fingerprint.with_anchors(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "text", "anchors").localCheckpoint()
+    both = df.toDF(*[f"{c}2" for c in df.columns])
+    both = both.withColumnsRenamed({"anchors2": "other", "anchors_small2": "other_small"})
+    got = fingerprint.with_likeness(df.crossJoin(both), "anchors", "other", "text", "text2", "near").collect()
+    assert len(got) == len(texts) ** 2
+    for r in got:
+        a, b = r["text"].split(), r["text2"].split()
+        assert r["anchors"] and (r["anchors"] == r["other"]) == (a == b) == (r["near"] == 1.0)
+        if min(len(a), len(b)) < fingerprint.SHORT:
+            assert (r["near"] > 0) == bool(set(a) & set(b))
+
+
+def test_op5_short_texts_in_the_query(spark):
+    """Half of each text is kept by the edit, which shows from two units on; unlike texts are not like the next one."""
+    words = sentence(400, 12).split()
+    texts = [(n, " ".join(words[20 * n - 20 : 20 * n - 20 + n])) for n in range(1, 21)]
+    got = fingerprint.fingerprints(spark.createDataFrame(texts + [(0, "")], "doc_id long, text string")).collect()
+    assert len({r["fingerprint"] for r in got}) == 21
+    for r in got:
+        assert (r["fingerprint"] == "") == (r["doc_id"] == 0) and r["near_next"] < 1
+        assert r["doc_id"] < 3 or 0 < r["near_edited"] < 1
+
+
 def test_op5_runs_no_python(edge):
     plan = fingerprint.fingerprints(edge)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
