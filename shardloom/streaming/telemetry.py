@@ -1,16 +1,16 @@
 """I2 + I3: live step loss and throughput as telemetry records arrive.
 
 Records ``(run, step, micro_step, rank, loss, ts)``.  A record is known by its
-run, step, rank and micro step, so one that is sent again counts once
-(``dropDuplicatesWithinWatermark``).  A built-in streaming aggregate by
-``(run, step)`` keeps the sum of ``loss / A``, the number of records and the
-first and last time: a row of state for each step, in update mode, so a step's
-row is written again whenever a record of it arrives, however late.
-
-``foreachBatch`` writes a micro-batch's rows under its id (a replay replaces
-them).  ``completed_steps`` gives the steps that have all ``W*A`` records,
-``open_steps`` the rest, so nothing is dropped unseen.  ``loss`` equals the
-batch D3+D4 value; a restart with the same checkpoint resumes.
+run, step, rank and micro step, so one that is sent again counts once, as its
+earliest time has it.  A built-in streaming aggregate by these four keeps time
+and loss: ``W*A`` rows of state for each step, in update mode and without a
+watermark, so no record is too late, however far the runs are apart.
+
+``foreachBatch`` writes a micro-batch's records under its id (a replay replaces
+them); readers add them up by step.  ``completed_steps`` gives the steps that
+have all ``W*A`` records, ``open_steps`` the rest, so nothing is dropped unseen.
+``loss`` equals the batch D3+D4 value; a restart with the same checkpoint
+resumes.
 """
 
 from __future__ import annotations
@@ -24,15 +24,10 @@ from ..config import TelemetrySpec
 RECORD = ("run", "step", "rank", "micro_step")
 
 
-def live_step_loss(records: DataFrame, spec: TelemetrySpec = TelemetrySpec(),
-                   lateness_minutes: int = 60) -> DataFrame:
-    """Streaming DataFrame of each step's state so far; a repeated record is
-    known for ``lateness_minutes`` of event time."""
-    known = (records.withColumn("ts", F.col("ts").cast("timestamp"))
-             .withWatermark("ts", f"{int(lateness_minutes)} minutes").dropDuplicatesWithinWatermark(list(RECORD)))
-    return known.groupBy("run", "step").agg(
-        (F.sum(F.col("loss") / F.lit(float(spec.A))) / F.lit(float(spec.W))).alias("loss"),
-        F.count(F.lit(1)).alias("n_records"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+def live_records(records: DataFrame) -> DataFrame:
+    """Each record once: of one sent more than once the earliest, in whatever batch it came."""
+    first = F.min(F.struct(F.col("ts").cast("timestamp").alias("ts"), "loss")).alias("first")
+    return records.groupBy(*RECORD).agg(first).select(*RECORD, "first.*")
 
 
 def start_live_step_loss(records: DataFrame, out: str, checkpoint: str,
@@ -40,27 +35,27 @@ def start_live_step_loss(records: DataFrame, out: str, checkpoint: str,
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
 
-    w = (live_step_loss(records, spec).writeStream.outputMode("update").foreachBatch(write)
+    w = (live_records(records).writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def _latest(spark: SparkSession, out: str) -> DataFrame:
-    """The last state written of each step."""
-    state = F.struct("loss", "n_records", "t0", "t1")
-    rows = spark.read.parquet(out).groupBy("run", "step").agg(F.max_by(state, "batch_id").alias("s"))
-    return rows.select("run", "step", "s.*")
+def _latest(spark: SparkSession, out: str, spec: TelemetrySpec) -> DataFrame:
+    """Each step from the records written so far."""
+    return live_records(spark.read.parquet(out)).groupBy("run", "step").agg(
+        (F.sum(F.col("loss") / F.lit(float(spec.A))) / F.lit(float(spec.W))).alias("loss"),
+        F.count(F.lit(1)).alias("n_records"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
 
 
 def completed_steps(spark: SparkSession, out: str, spec: TelemetrySpec = TelemetrySpec()) -> DataFrame:
     """Steps with all their records: loss, duration and throughput."""
     dt_ms = F.expr("timestampdiff(MICROSECOND, t0, t1)") / F.lit(1000.0)
     tokens = float(spec.B * spec.T * spec.A * spec.W)
-    rows = _latest(spark, out).where(F.col("n_records") >= spec.W * spec.A).withColumn("dt_ms", dt_ms)
+    rows = _latest(spark, out, spec).where(F.col("n_records") >= spec.W * spec.A).withColumn("dt_ms", dt_ms)
     return rows.withColumn("tok_per_sec", F.when(F.col("dt_ms") > 0, F.lit(tokens) / (F.col("dt_ms") / F.lit(1000.0))))
 
 
 def open_steps(spark: SparkSession, out: str, spec: TelemetrySpec = TelemetrySpec()) -> DataFrame:
     """Steps that still miss records: how many they have."""
-    return _latest(spark, out).where(F.col("n_records") < spec.W * spec.A).select("run", "step", "n_records")
+    return _latest(spark, out, spec).where(F.col("n_records") < spec.W * spec.A).select("run", "step", "n_records")

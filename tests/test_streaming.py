@@ -94,6 +94,24 @@ def test_live_step_loss_counts_records_and_reports_open_steps(spark, tmp_dir):
     assert [(r.step, r.n_records) for r in open_steps(spark, out, spec).collect()] == [(1, 3)]
 
 
+def test_live_step_loss_of_runs_of_unequal_length_loses_no_late_record(spark, tmp_dir):
+    """A long run's old steps come in a later file than a short run's newest: days behind any watermark, they count, once."""
+    spec = TelemetrySpec(A=2, W=2)
+    row = lambda run, s, t, m, k: (run, s, m, k, 1.0 + s, f"2024-01-{t:02d} 0{m}:00:0{k}")
+    steps = [("short", s, 20 + s) for s in range(3)] + [("long", s, 1 + s) for s in range(12)]
+    rows = [row(*x, m, k) for x in steps for m in range(2) for k in range(2)]
+    again = [row("long", 0, 1, 0, 0), row("long", 11, 12, 1, 1)]
+    rec = spark.createDataFrame(rows + again, "run string, step long, micro_step long, rank long, loss double, ts string")
+    rec = rec.withColumn("ts", F.col("ts").cast("timestamp"))
+    src, out, ck = f"{tmp_dir}/lsrc", f"{tmp_dir}/lout", f"{tmp_dir}/lck"
+    _write_parts(rec, "step", [3, 6, 9], src)
+    _write_parts(rec.where("run = 'long' AND step = 0"), "step", [], src)
+    start_live_step_loss(spark.readStream.schema(rec.schema).option("maxFilesPerTrigger", 1).parquet(src), out, ck,
+                         spec).awaitTermination()
+    got = {(r.run, r.step): r.loss for r in completed_steps(spark, out, spec).collect()}
+    assert got == {(run, s): 1.0 + s for run, s, _ in steps} and open_steps(spark, out, spec).count() == 0
+
+
 def test_unreadable_ledger_is_no_new_start(spark, tmp_dir):
     import os
 
