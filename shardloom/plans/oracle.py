@@ -341,6 +341,9 @@ SQL["run_summary"] = f"""{CORPUS}, {COUNTS}, {TEST_LOSS}, {TEL},
   rs AS (SELECT run, count(*)::BIGINT AS n_steps, round(arg_max(loss, step), 6) AS final_loss, round(min(loss), 6) AS min_loss,
          round(avg(dt_ms), 4) AS mean_dt_ms, round(avg(tok_per_sec), 4) AS mean_tok_per_sec FROM steps GROUP BY run)
   SELECT run, n_steps, final_loss, min_loss, mean_dt_ms, mean_tok_per_sec, test_loss FROM rs FULL JOIN tl USING (run)"""
+WHOLE_STEPS = f"(SELECT max(M) + {Q.WHOLE_EXTRA} FROM cum)"
+WHOLE_LOSS = TEST_LOSS.replace(f"range(0, {Q.TEST_STEPS})", f"range(0, {WHOLE_STEPS})").replace(f"/ {float(Q.TEST_STEPS)} AS", f"/ {WHOLE_STEPS} AS")
+SQL["test_loss_whole"] = f"{CORPUS}, {COUNTS}, {WHOLE_LOSS} SELECT run, test_loss FROM tl"
 SQL["stream_manifest"] = SQL["shard_manifest"]
 SQL["horizon_counts"] = f"""{CORPUS}, {pairs_at(64)}
   SELECT a, b, count(*)::BIGINT AS c FROM tpairs WHERE split = 'training' GROUP BY a, b"""

@@ -34,12 +34,14 @@ BYTE_SHARD_TOKENS = 200_000
 SEQ_T, SEQ_N = 128, 4
 LM_N = 1
 LOADER = C.WindowSpec(B=2, T=SEQ_T, N=SEQ_N, W=2)
+LM_LOADER = C.WindowSpec(B=LOADER.B, T=SEQ_T, N=LM_N, W=LOADER.W)
 SCHEDULE_ACCUM, SCHEDULE_STEPS = 2, 500
 TEL = C.TelemetrySpec(A=4, W=2, warmup_steps=20)
 GEN_MAX_LENGTH = 48
 HORIZON_LENGTH = 144
 LOSS_BLOCK = 100                   # steps per loss map
-TEST_STEPS = 120                   # loader calls of a test run: more than one round of the testing split at the small sizes
+TEST_STEPS = 120                   # loader calls of a test run of fixed length (``test_loss_whole`` reads the whole split)
+WHOLE_EXTRA = 8                    # loader calls beyond the longest round, when the whole testing split is read
 GEN_RUN = "bigram"
 CONTEXT_SIZE = 16
 PAD_CONTEXT = 64
@@ -509,15 +511,23 @@ def q_unigram_test_loss(spark, sf):
     return scored.agg(F.count(F.lit(1)).alias("n_sequences"), F.round(F.avg("loss"), 6).alias("loss"))
 
 
-def test_losses(spark, sf) -> DataFrame:
+def test_manifest(spark, sf) -> DataFrame:
+    return SH.shard_catalog(prepared_manifest(spark, sf), "testing")
+
+
+def whole_test_steps(spark, sf) -> int:
+    """Loader calls after which each rank has read all its test batches and has come round."""
+    rounds = BA.batches_per_rank(test_manifest(spark, sf), LM_LOADER).groupBy("rank").agg(F.sum("K").alias("M"))
+    return (rounds.agg(F.max("M")).first()[0] or 0) + WHOLE_EXTRA
+
+
+def test_losses(spark, sf, steps: int = TEST_STEPS) -> DataFrame:
     from ..operators import scoring as SC
 
     counts = lm_counts(spark, sf)
     test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
-    spec = C.WindowSpec(B=LOADER.B, T=SEQ_T, N=LM_N, W=LOADER.W)
-    man = SH.shard_catalog(prepared_manifest(spark, sf), "testing")
-    return _prepared(spark, sf, "test-losses", lambda: SC.test_batch_losses(
-        test, man, counts, spec, word_tokenizer(spark, sf).vocab_size, TEST_STEPS))
+    return _prepared(spark, sf, f"test-losses-{steps}", lambda: SC.test_batch_losses(
+        test, test_manifest(spark, sf), counts, LM_LOADER, word_tokenizer(spark, sf).vocab_size, steps))
 
 
 def q_test_loss(spark, sf):
@@ -526,6 +536,13 @@ def q_test_loss(spark, sf):
     return TM.test_loss(test_losses(spark, sf), TEST_STEPS).select("run", _r("test_loss"))
 
 
+def q_test_loss_whole(spark, sf):
+    """D7 + D4 over the whole testing split: as many loader calls as the
+    longest round of a rank in the manifest, and ``WHOLE_EXTRA`` more."""
+    steps = whole_test_steps(spark, sf)
+    return TM.test_loss(test_losses(spark, sf, steps), steps).select("run", _r("test_loss"))
+
+
 def q_horizon_counts(spark, sf):
     """H10 + C1 + D9 at the compressing model's horizon (4**3 = 64 tokens)."""
     from ..functions.schedules import horizon
@@ -626,4 +643,5 @@ def q_live_step_loss(spark, sf):
 QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "stream_manifest": q_stream_manifest,
                 "live_step_loss": q_live_step_loss, "log_report": q_log_report,
                 "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss,
+                "test_loss_whole": q_test_loss_whole,
                 "horizon_counts": q_horizon_counts, "generate_horizon": q_generate_horizon, "log_scan": q_log_scan})

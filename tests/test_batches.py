@@ -111,3 +111,20 @@ def test_schedule_matches_cursor_property(spark, B, T, N, W, A, steps, extra):
     assert len(got) == len(rows) == W * steps * A
     for rank in range(W):
         assert [got[(rank, m)] for m in range(steps * A)] == cursor(lengths, B, T, N, W, rank, steps * A)
+
+
+def test_whole_test_loss_reads_every_dealt_batch(spark):
+    """Also where the testing split is longer than the fixed number of test steps."""
+    from pyspark.sql import functions as F
+
+    from conftest import SF_MID
+    from shardloom.operators.batches import rank_batches
+    from shardloom.plans import queries as Q
+
+    steps = Q.whole_test_steps(spark, SF_MID)
+    key = ["rank", "shard_id", "batch"]
+    got = Q.test_losses(spark, SF_MID, steps)
+    want = rank_batches(Q.test_manifest(spark, SF_MID), Q.LM_LOADER)
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+    assert steps > Q.TEST_STEPS and got.agg(F.max("n_reads")).first()[0] == 2
+    assert {r["n"] for r in got.groupBy("rank").agg(F.sum("n_reads").alias("n")).collect()} == {steps}
