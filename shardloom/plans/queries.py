@@ -589,19 +589,34 @@ def q_log_report(spark, sf):
 # -- streaming (run to completion with availableNow, output read back) --------
 
 STREAM_BATCHES = 4
+STREAM_FILE_BYTES = 64 << 20       # of a part's bytes, as the planner estimates them, in each of its files
 
 
-def _arriving(spark, rows: DataFrame, order_col: str, name: str):
-    """A file source to which ``rows`` came in ``STREAM_BATCHES`` files, in the
-    order of ``order_col``, read one file a micro-batch."""
+def _arriving(spark, rows: DataFrame, order_col: str, name: str, file_bytes: int = STREAM_FILE_BYTES):
+    """A file source to which ``rows`` came in ``STREAM_BATCHES`` parts, in the
+    order of ``order_col``, read one part a micro-batch.  Each part has the
+    same number of files, by the planner's estimate of the bytes (an empty
+    file where Spark wrote fewer).  Rows without an order key come first, so
+    that the reader of the stream meets them."""
     path = staging_path(spark, name)
-    cuts = [F.expr(f"percentile_approx({order_col}, {k / STREAM_BATCHES})") for k in range(1, STREAM_BATCHES)]
-    bounds = [None, *rows.agg(*[c.alias(f"c{k}") for k, c in enumerate(cuts)]).first(), None]
-    for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-        part = rows if lo is None else rows.where(F.col(order_col) > F.lit(lo))
-        part = part if hi is None else part.where(F.col(order_col) <= F.lit(hi))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    files = max(1, min(-(-size // (STREAM_BATCHES * file_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = rows.agg(*[F.expr(f"percentile_approx({order_col}, {k / STREAM_BATCHES})").alias(f"c{k}") for k in range(1, STREAM_BATCHES)]).first()
+    above = [F.when(F.col(order_col) > F.lit(c), 1).otherwise(0) for c in cuts]
+    part = sum(above[1:], above[0])
+    none = spark.createDataFrame([], rows.schema).coalesce(1)
+    for k in range(STREAM_BATCHES):
+        of_part = rows.where(part == k)
+        (of_part.coalesce(1) if files == 1 else of_part.repartition(files)).write.mode("append").parquet(path)
+        for _ in range(files * (k + 1) - _parquet_files(spark, path)):
+            none.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _parquet_files(spark, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sum(f.getPath().getName().endswith(".parquet") for f in found)
 
 
 def stream_packed(spark, sf) -> str:

@@ -135,3 +135,29 @@ def test_stream_manifest_equals_batch(spark, tmp_dir):
     got = read_stream_manifest(spark, out, spec)
     want = shard_manifest(doc_offsets(docs, tok, spec), spec).select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_arriving_parts_keep_order_in_several_files_and_null_keys(spark, tmp_dir):
+    from shardloom.plans import queries as Q
+
+    rows = spark.createDataFrame([(0, k if k < 100 else None, f"text {k}") for k in range(101)], "source_ord int, doc_ord long, text string")
+    rows.write.parquet(f"{tmp_dir}/rows")
+    rows = spark.read.parquet(f"{tmp_dir}/rows")
+    for size, files in ((1 << 40, 1), (1, 4)):
+        seen = []
+        stream = Q._arriving(spark, rows, "doc_ord", f"arriving-{files}", file_bytes=size)
+        read = lambda batch, _: seen.append((batch.select(F.input_file_name()).distinct().count(), [r.doc_ord for r in batch.collect()]))
+        stream.writeStream.foreachBatch(read).option("checkpointLocation", f"{tmp_dir}/a{files}").trigger(availableNow=True).start().awaitTermination()
+        assert [n for n, _ in seen] == [files] * Q.STREAM_BATCHES
+        assert None in seen[0][1] and sum(len(x) for _, x in seen) == 101
+        keys = [[k for k in x if k is not None] for _, x in seen]
+        assert all(max(a) < min(b) for a, b in zip(keys, keys[1:]))
+
+
+def test_null_order_key_fails_the_stream_as_it_fails_the_batch(spark, tmp_dir):
+    from shardloom.plans import queries as Q
+
+    docs = spark.createDataFrame([(0, 1, "a b"), (0, None, "c d"), (0, 2, "e f")], "source_ord int, doc_ord long, text string")
+    stream = Q._arriving(spark, docs, "doc_ord", "null-docs")
+    with pytest.raises(Exception, match="null order key"):
+        start_incremental_packing(stream, f"{tmp_dir}/no", f"{tmp_dir}/nock", ByteTokenizer(spark), PackSpec("s", shard_tokens=10)).awaitTermination()
