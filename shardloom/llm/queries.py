@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dac, fingerprint, neardup, packing, quality, suffixdedup, tokencount, toxicity
+from . import bpe, chat, collocations, dac, fim, fingerprint, linededup, neardup, packing, quality, suffixdedup, tokencount, toxicity
 from ..session import read_table, ship_package
 from .common import documents, staged
 
@@ -68,6 +68,19 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(documents(spark, sf_dir))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.top_phrases(docs)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(documents(spark, sf_dir))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -79,7 +92,7 @@ def _shipped(query):
 
 QUERIES = {
     f.__name__: _shipped(f)
-    for f in (op1_byte_bpe, op2_near_duplicates, op3_toxicity, op4_token_counts, op5_fingerprints, op6_token_files, op7_quality, op8_chat, op9_packing, op10_repeats)
+    for f in (op1_byte_bpe, op2_near_duplicates, op3_toxicity, op4_token_counts, op5_fingerprints, op6_token_files, op7_quality, op8_chat, op9_packing, op10_repeats, op11_line_dedup, op12_collocations, op13_fill_in_middle)
 }
 
 
@@ -128,5 +141,45 @@ cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_sp
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM docs LEFT JOIN cut USING (doc_id)"""
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+_LINES = f"""
+WITH docs AS (SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS ls, row_number() OVER () AS r FROM documents),
+line AS (SELECT r, id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM docs),
+keyed AS (SELECT r, id, l, i, translate(trim(l, {_WHITE}), {_LOWER}) AS k FROM line),
+often AS (SELECT k, max(id) AS last FROM keyed WHERE length(k) >= {linededup.MIN_CHARS} GROUP BY k HAVING count(DISTINCT id) >= {linededup.MIN_DOCS}),
+judged AS (SELECT r, l, i, last IS NOT NULL AND last <> id AS gone FROM keyed LEFT JOIN often USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged JOIN docs USING (r) GROUP BY r"""
+
+_PHRASES = f"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_LOWER}) AS t FROM documents),
+piece AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(s, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS s FROM docs)),
+word AS (SELECT lang, p, unnest(ws) AS w1, unnest(range(len(ws))) AS i FROM piece),
+run AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM word WINDOW o AS (PARTITION BY p ORDER BY i)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM run GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM run WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM run WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+total AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+cut AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.f AS a, x.f AS l, y.f AS r FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+  WHERE c.f >= {collocations.MIN_COUNT} AND NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = c.lang AND ((t.w1 = c.w1 AND t.w2 = c.w2) OR (t.w2 = c.w1 AND t.w3 = c.w2)) AND 100 * t.f >= 50 * c.f)
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.f, x.f, y.f FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.f, x.f, y.f FROM f3 c JOIN f2 x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cut),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM least)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= {collocations.TOP}"""
+
+_MIDDLE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM docs),
+cut AS (SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) - least(c1, c2) AS m,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fim.TRANSFORMED} THEN 'plain' WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+made AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, m) AS middle, substr(t, a + m + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM made"""
+
 #: DuckDB's statements; the other operators need tokenizers, learnt weights or hashes that SQL lacks and are held against plain versions in the tests.
-SQL: dict[str, str] = {"op7_quality": _BASE, "op8_chat": _CHAT, "op10_repeats": _REPEATS}
+SQL: dict[str, str] = {"op7_quality": _BASE, "op8_chat": _CHAT, "op10_repeats": _REPEATS, "op11_line_dedup": _LINES, "op12_collocations": _PHRASES, "op13_fill_in_middle": _MIDDLE}
