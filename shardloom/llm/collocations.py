@@ -1,16 +1,16 @@
 """Operator 12: phrases of two and three words that occur together more often than their parts would let expect.
 
 Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and these at spaces and tabs into words.  Everything is
-counted by language.  A candidate has ``MIN_COUNT`` occurrences or more; cutting it in two parts with l and r occurrences gives
+counted by language: a word of two languages is two words, with an id each, and texts don't run into each other.  A candidate has ``MIN_COUNT`` occurrences or more; cutting it in two parts with l and r occurrences gives
 ``floor(10**6 a a / (l r))``, of which the least counts.  A pair that stands in a candidate of three words with at least half its
 occurrences is dropped.
 
 * **Ids by frequency.**  A task turns its texts into blocks: a dictionary of the block's words and an array of places in it.
-  Words with ``MIN_COUNT`` occurrences or more are ranked by frequency; a join by word, one row for each block that knows it, gives
+  Words with ``MIN_COUNT`` occurrences or more are ranked by frequency over all languages; a join by word, one row for each block that knows it, gives
   their ids back to the blocks.  No vocabulary is broadcast, and other words can't be in a candidate.
 * **Direct-address tiles.**  Pairs of neighbouring ids lie in tiles of ``TILE`` x ``TILE``.  As ids are ranks, a block's pairs crowd in
   the first tiles: those are counted by ``bincount`` over all cells; pairs of all other tiles are sorted coordinates, counted by runs.
-  Each block gives a row a pair, which Spark adds up.
+  Each block gives a row a pair; these rows are dealt once, by pair, and a window adds them up.
 * **Recursion.**  Pairs with ``MIN_COUNT`` occurrences are ranked by frequency too and become ids: a phrase of three words is the
   pair (id of its first two words, id of its third), counted by the same tiles, where both of its pairs are frequent.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordering import row_index
@@ -35,7 +35,7 @@ from .common import slices, staged
 
 MIN_COUNT, TOP = 10, 2000
 #: Bytes of text in a block, side of a tile, pairs from which a tile is counted cell by cell.
-BLOCK_BYTES, TILE_BITS, DENSE = 32 << 20, 10, 1 << 16
+BLOCK_BYTES, TILE_BITS, DENSE = 8 << 20, 10, 1 << 16
 TILE = 1 << TILE_BITS
 _MAP = bytes.maketrans(b".,;:!?\n\v\f\r\t", b"\n" * 10 + b" ")
 
@@ -45,7 +45,7 @@ class _Words(dict):
 
     def __init__(self, lang: str, words: list[bytes], langs: list[str]):
         super().__init__({b"\n": -1})
-        self.lang, self.words, self.langs, self.codes = lang, words, langs, array("i")
+        self.lang, self.words, self.langs = lang, words, langs
 
     def __missing__(self, word: bytes) -> int:
         self.words.append(word)
@@ -53,44 +53,43 @@ class _Words(dict):
         at = self[word] = len(self.words) - 1
         return at
 
-    def add(self, text: bytes) -> None:
-        """The text's words, with a break (-1) at each separator and behind it."""
-        self.codes.extend(map(self.__getitem__, filter(None, text.lower().translate(_MAP).replace(b"\n", b" \n ").split(b" "))))
-        self.codes.append(-1)
+    def codes(self, text: bytes) -> Iterator[int]:
+        """Places of the text's words, with a break (-1) at each separator."""
+        return map(self.__getitem__, filter(None, text.lower().translate(_MAP).replace(b"\n", b" \n ").split(b" ")))
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Staged: block, words, langs and counts of its dictionary, names and ends of the stretches of codes by language, codes (int32)."""
+    """Staged: block, words, langs and counts of its dictionary (a word of two languages is two), codes (int32, -1: break)."""
 
     def run(batches):
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        size, words, langs, by_lang = 0, [], [], {}
+        size, words, langs, by_lang, codes = 0, [], [], {}, array("i")
 
         def row() -> pa.RecordBatch:
-            codes = np.concatenate([np.frombuffer(x.codes, np.int32) for x in by_lang.values()])
-            counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
-            ends = np.cumsum([len(x.codes) for x in by_lang.values()])
+            held = np.frombuffer(codes, np.int32)
+            counts = np.bincount(held[held >= 0], minlength=len(words)).astype(np.int64)
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            columns = [pa.array([part << 32 | made], pa.int64()), one(pa.array(words, pa.binary()).cast(pa.string())), one(pa.array(langs, pa.string())), one(pa.array(counts)), one(pa.array(list(by_lang), pa.string())), one(pa.array(ends, pa.int64())), pa.array([codes.astype("<i4").tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "words", "langs", "counts", "names", "ends", "codes"])
+            columns = [pa.array([part << 32 | made], pa.int64()), one(pa.array(words, pa.binary()).cast(pa.string())), one(pa.array(langs, pa.string())), one(pa.array(counts)), pa.array([held.astype("<i4").tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "words", "langs", "counts", "codes"])
 
         for batch in slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 data = text.as_buffer().to_pybytes()
                 if lang not in by_lang:
                     by_lang[lang] = _Words(lang, words, langs)
-                by_lang[lang].add(data)
+                codes.extend(by_lang[lang].codes(data))
+                codes.append(-1)  # behind each text
                 size += len(data) + 1
                 if size >= block_bytes:
                     yield row()
-                    size, words, langs, by_lang, made = 0, [], [], {}, made + 1
+                    size, words, langs, by_lang, codes, made = 0, [], [], {}, array("i"), made + 1
         if by_lang:
             yield row()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return staged(texts.mapInArrow(run, "block long, words array<string>, langs array<string>, counts array<long>, names array<string>, ends array<long>, codes binary"), "word-blocks")
+    return staged(texts.mapInArrow(run, "block long, words array<string>, langs array<string>, counts array<long>, codes binary"), "word-blocks")
 
 
 def _packed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int]:
@@ -127,16 +126,8 @@ def _ids(row: dict) -> np.ndarray:
     return np.frombuffer(row["ids"], "<i8" if row["wide"] else "<i4").astype(np.int64)
 
 
-def _stretches(row: dict) -> Iterator[tuple[str, np.ndarray]]:
-    """Language and ids of each stretch of a block."""
-    ids, at = _ids(row), 0
-    for name, end in zip(row["names"], row["ends"]):
-        yield name, ids[at:end]
-        at = end
-
-
 def encoded(held: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Staged: block, names, ends, wide, ids: the blocks' codes as ids of frequent words, -1 for breaks and other words."""
+    """Staged: block, wide, ids: the blocks' codes as ids of frequent words, -1 for breaks and other words."""
     entries = held.select("block", F.posexplode(F.arrays_zip("langs", "words")).alias("place", "e")).select("block", "place", F.col("e.langs").alias("lang"), F.col("e.words").alias("word"))
     entries = entries.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("of"), "place", "id")
 
@@ -144,73 +135,58 @@ def encoded(held: DataFrame, vocabulary: DataFrame) -> DataFrame:
         place, ident = right.column("place").to_numpy(), right.column("id").to_numpy()
         rows = left.to_pylist()
         for row in rows:
-            codes = np.frombuffer(row["codes"], "<i4")
+            codes = np.frombuffer(row.pop("codes"), "<i4")
             ids = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)  # the last one is that of a break
             ids[place] = ident
-            wide = bool(ids.max() >= 1 << 31)
-            row |= {"wide": wide, "ids": ids[codes].astype("<i8" if wide else "<i4").tobytes()}
-        kinds = [("block", pa.int64()), ("names", pa.list_(pa.string())), ("ends", pa.list_(pa.int64())), ("wide", pa.bool_()), ("ids", pa.binary())]
-        return pa.Table.from_pylist([{k: row[k] for k, _ in kinds} for row in rows], schema=pa.schema(kinds))
+            row["wide"] = bool(ids.max() >= 1 << 31)
+            row["ids"] = ids[codes].astype("<i8" if row["wide"] else "<i4").tobytes()
+        return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())]))
 
-    both = held.select("block", "names", "ends", "codes").groupBy("block").cogroup(entries.groupBy("of"))
-    return staged(both.applyInArrow(run, "block long, names array<string>, ends array<long>, wide boolean, ids binary"), "word-ids")
+    both = held.select("block", "codes").groupBy("block").cogroup(entries.groupBy("of"))
+    return staged(both.applyInArrow(run, "block long, wide boolean, ids binary"), "word-ids")
 
 
 def pairs_of_blocks(ids: DataFrame) -> DataFrame:
-    """Staged: block, lang, x, y, c of all pairs of neighbouring frequent words."""
+    """block, x, y, c of all pairs of neighbouring frequent words."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                for lang, w in _stretches(row):
-                    both = (w[:-1] >= 0) & (w[1:] >= 0)
-                    x, y, c = tile_counts(w[:-1][both], w[1:][both])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), row["block"])), pa.array([lang], pa.string()).take(pa.array(np.zeros(len(x), np.int64))), pa.array(x), pa.array(y), pa.array(c)], names=["block", "lang", "x", "y", "c"])
+                w = _ids(row)
+                both = (w[:-1] >= 0) & (w[1:] >= 0)
+                x, y, c = tile_counts(w[:-1][both], w[1:][both])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), row["block"])), pa.array(x), pa.array(y), pa.array(c)], names=["block", "x", "y", "c"])
 
-    return staged(ids.mapInArrow(run, "block long, lang string, x long, y long, c long"), "word-pairs")
+    return ids.mapInArrow(run, "block long, x long, y long, c long")
 
 
-def triples(ids: DataFrame, pairs: DataFrame, ranked: DataFrame) -> DataFrame:
-    """lang, p, z, f: how often the pair with id p is followed by the word with id z, for phrases whose two pairs are both frequent."""
-    known = pairs.select("block", "lang", "x", "y").join(ranked.select("lang", "x", "y", "p"), ["lang", "x", "y"]).select(F.col("block").alias("of"), "lang", "x", "y", "p")
+def triples(ids: DataFrame, known: DataFrame) -> DataFrame:
+    """p, z, f: how often the pair with id p is followed by the word with id z, for phrases whose two pairs are both frequent;
+    ``known`` (block, x, y, p) are the frequent pairs of each block."""
+    known = known.select(F.col("block").alias("of"), "x", "y", "p")
 
     def run(left, right):
-        lang = right.column("lang").combine_chunks().dictionary_encode()
-        lang = lang if isinstance(lang, pa.DictionaryArray) else lang.combine_chunks()
-        number = {name: k for k, name in enumerate(lang.dictionary.to_pylist())}
-        of = lang.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(len(number) + 1))
-        px, py, pp = (right.column(c).to_numpy()[order] for c in ("x", "y", "p"))
-        found = [[], [], [], []]
-        for row in left.to_pylist():
-            for name, w in _stretches(row):
-                if name not in number or len(w) < 3:
-                    continue
-                a, b = edges[number[name]], edges[number[name] + 1]
-                bits = int(max(py[a:b].max(), w.max())).bit_length()
-                key, p = px[a:b] << bits | py[a:b], pp[a:b]
-                by = np.argsort(key)
-                key, p = key[by], p[by]
-                both = (w[:-1] >= 0) & (w[1:] >= 0)
-                here = np.where(both, w[:-1] << bits | w[1:], -1)
-                at = np.minimum(np.searchsorted(key, here), len(key) - 1)
-                pair = np.where(key[at] == here, p[at], -1)
-                follow = (pair[:-1] >= 0) & (pair[1:] >= 0)
-                for held, values in zip(found, ([name], *tile_counts(pair[:-1][follow], w[2:][follow]))):
-                    held.append(values)
-        size = [len(c) for c in found[1]]
-        names = pa.array([n for (n,) in found[0]], pa.string()).take(pa.array(np.repeat(np.arange(len(size)), size), pa.int64()))
-        whole = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in found[1:]]
-        return pa.table([names, *whole], names=["lang", "p", "z", "c"])
+        px, py, pp = (right.column(c).to_numpy() for c in ("x", "y", "p"))
+        found = [np.empty(0, np.int64)] * 3
+        for row in left.to_pylist() if len(pp) else []:
+            w = _ids(row)
+            bits = int(max(py.max(), w.max())).bit_length()
+            order = np.argsort(px << bits | py)
+            key, p = (px << bits | py)[order], pp[order]
+            here = np.where((w[:-1] >= 0) & (w[1:] >= 0), w[:-1] << bits | w[1:], -1)
+            at = np.minimum(np.searchsorted(key, here), len(key) - 1)
+            pair = np.where(key[at] == here, p[at], -1)
+            follow = (pair[:-1] >= 0) & (pair[1:] >= 0)
+            found = tile_counts(pair[:-1][follow], w[2:][follow])
+        return pa.table([pa.array(f) for f in found], names=["p", "z", "c"])
 
     both = ids.groupBy("block").cogroup(known.groupBy("of"))
-    return both.applyInArrow(run, "lang string, p long, z long, c long").groupBy("lang", "p", "z").agg(F.sum("c").alias("f"))
+    return both.applyInArrow(run, "p long, z long, c long").groupBy("p", "z").agg(F.sum("c").alias("f"))
 
 
-def _ranked(counts: DataFrame, by: list[str], out: str, name: str) -> DataFrame:
-    """Staged: the rows of counts (lang, ``by``, f) with their rank in the language, most frequent first."""
-    return staged(row_index(counts.withColumn("rare", -F.col("f")), ["lang"], ["rare", *by], out).drop("rare"), name)
+def _ranked(counts: DataFrame, by: list[str], out: str) -> DataFrame:
+    """The rows of counts (``by``, f) with their rank, most frequent first."""
+    return row_index(counts.withColumn("rare", -F.col("f")), [], ["rare", *by], out).drop("rare")
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -225,20 +201,22 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int = BLOC
     each = held.select(F.explode(F.arrays_zip("langs", "words", "counts")).alias("e")).select(F.col("e.langs").alias("lang"), F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
     counts = staged(each.groupBy("lang", "word").agg(F.sum("c").alias("f")), "word-counts")
     total = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    vocabulary = _ranked(counts.where(F.col("f") >= min_count), ["word"], "id", "vocabulary")
+    vocabulary = staged(_ranked(counts.where(F.col("f") >= min_count), ["lang", "word"], "id"), "vocabulary")
     ids = encoded(held, vocabulary)
-    pairs = pairs_of_blocks(ids)
-    frequent = pairs.groupBy("lang", "x", "y").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-    ranked = _ranked(frequent, ["x", "y"], "p", "pair-ranks")
-    three = staged(triples(ids, pairs, ranked).where(F.col("f") >= min_count), "triples")
-
-    word = lambda at, w, f: vocabulary.select("lang", F.col("id").alias(at), F.col("word").alias(w), F.col("f").alias(f))
-    two = staged(ranked.join(word("x", "w1", "f1"), ["lang", "x"]).join(word("y", "w2", "f2"), ["lang", "y"]), "pairs-named")
-    second = two.select("lang", F.col("x").alias("y"), F.col("y").alias("z"), F.col("p").alias("q"), F.col("f").alias("f23"), F.col("w2").alias("w3"), F.col("f2").alias("f3"))
+    # the pairs of all blocks are dealt once: a window adds them up and leaves each block those that are frequent
+    everywhere = F.sum("c").over(Window.partitionBy("x", "y"))
+    frequent = staged(pairs_of_blocks(ids).select("block", "x", "y", everywhere.alias("f")).where(F.col("f") >= min_count), "word-pairs")
+    ranked = staged(_ranked(frequent.groupBy("x", "y").agg(F.first("f").alias("f")), ["x", "y"], "p"), "pair-ranks")
+    known = frequent.select("block", "x", "y").join(ranked.select("x", "y", "p"), ["x", "y"])
+    three = staged(triples(ids, known).where(F.col("f") >= min_count), "triples")
+
+    word = lambda at, w, f, *more: vocabulary.select(F.col("id").alias(at), F.col("word").alias(w), F.col("f").alias(f), *more)
+    two = staged(ranked.join(word("x", "w1", "f1", "lang"), "x").join(word("y", "w2", "f2"), "y"), "pairs-named")
+    second = two.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("p").alias("q"), F.col("f").alias("f23"), F.col("w2").alias("w3"), F.col("f2").alias("f3"))
     first = two.select("lang", "p", "y", "w1", "w2", "f1", F.col("f").alias("f12"))
-    whole = staged(three.join(first, ["lang", "p"]).join(second, ["lang", "y", "z"]), "triples-named")
-    inside = whole.select("lang", F.explode(F.array("p", "q")).alias("p"), "f").groupBy("lang", "p").agg(F.max("f").alias("longer"))
-    two = two.join(inside, ["lang", "p"], "left").where("longer IS NULL OR 100 * longer < 50 * f")
+    whole = staged(three.join(first, "p").join(second, ["y", "z"]), "triples-named")
+    inside = whole.select(F.explode(F.array("p", "q")).alias("p"), "f").groupBy("p").agg(F.max("f").alias("longer"))
+    two = two.join(inside, "p", "left").where("longer IS NULL OR 100 * longer < 50 * f")
     two = two.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.col("f").alias("a"), F.col("f1").alias("l"), F.col("f2").alias("r")).withColumn("score", score("a", "l", "r"))
     cuts = whole.withColumns({"s1": score("f", "f1", "f23"), "s2": score("f", "f12", "f3")})
     at = lambda one, other: F.when(F.col("s1") <= F.col("s2"), F.col(one)).otherwise(F.col(other))
