@@ -369,3 +369,30 @@ SQL["step_batches"] = f"""{CORPUS}, {man()},
   FROM sched s JOIN sq ON sq.shard_id = s.shard_id AND sq.seq = s.batch * {Q.LOADER.B} + s.batch_row"""
 SQL["generate_horizon"] = f"""{CORPUS}, {counts_at(64)}, {PROMPTS}, {gen(Q.HORIZON_LENGTH, 64)}
   SELECT run, item_id, array_to_string(tokens, ' ') AS tokens_text FROM gen"""
+SQL["live_throughput"] = SQL["throughput"]
+SQL["live_log_steps"] = SQL["log_parse"]
+SQL["npy_shard_scan"] = f"""{CORPUS}
+  SELECT '{Q.DATA_NAME}' AS data_name, 'training' AS split, shard_id, min(pos) AS pos, count(*)::BIGINT AS length,
+         string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS tokens_text
+  FROM stream WHERE {_split('shard_id')} = 'training' GROUP BY shard_id, pos // {Q.NPY_CHUNK}"""
+# targets with the token at and before their place in the window, and the tables of each order
+NGRAMS = f"""{pairs_at(Q.LM_N)},
+  ng AS (SELECT p.split, CASE WHEN p.pos % {T} > 0 THEN s0.tok END AS a2, p.a AS a1, p.b
+         FROM tpairs p LEFT JOIN stream s0 ON s0.shard_id = p.shard_id AND s0.pos = p.pos - 1),
+  n3 AS (SELECT a2, a1, b, count(*)::BIGINT AS n FROM ng WHERE split = 'training' AND a2 IS NOT NULL GROUP BY ALL),
+  kinds AS (SELECT DISTINCT a2, a1, b FROM ng WHERE split = 'training'),
+  n2 AS (SELECT a1, b, count(*)::BIGINT AS n FROM kinds GROUP BY ALL),
+  n1 AS (SELECT b, count(*)::BIGINT AS n FROM (SELECT DISTINCT a1, b FROM kinds) GROUP BY b)"""
+SQL["ngram_counts"] = f"""{CORPUS}, {NGRAMS}
+  SELECT 3::INTEGER AS k, a2 || ' ' || a1 AS context, b, n FROM n3 UNION ALL SELECT 2, a1::VARCHAR, b, n FROM n2 UNION ALL SELECT 1, '', b, n FROM n1"""
+SQL["ngram_cross_entropy"] = f"""{CORPUS}, {NGRAMS},
+  t3 AS (SELECT a2, a1, sum(n) AS of, count(*) AS types FROM n3 GROUP BY ALL),
+  t2 AS (SELECT a1, sum(n) AS of, count(*) AS types FROM n2 GROUP BY a1),
+  t1 AS (SELECT sum(n) AS of, count(*) AS types FROM n1),
+  test AS (SELECT a2, a1, b, count(*) AS c FROM ng WHERE split = 'testing' GROUP BY ALL),
+  p1 AS (SELECT test.*, greatest(coalesce(n, 0) - 0.75::DOUBLE, 0) / t1.of + 0.75::DOUBLE * types / t1.of * (1.0::DOUBLE / {V}) AS p FROM test LEFT JOIN n1 USING (b), t1),
+  p2 AS (SELECT p1.a2, a1, b, c, CASE WHEN t2.of IS NULL THEN p ELSE greatest(coalesce(n, 0) - 0.75::DOUBLE, 0) / t2.of + 0.75::DOUBLE * types / t2.of * p END AS p
+         FROM p1 LEFT JOIN n2 USING (a1, b) LEFT JOIN t2 USING (a1)),
+  p3 AS (SELECT c, CASE WHEN t3.of IS NULL THEN p ELSE greatest(coalesce(n, 0) - 0.75::DOUBLE, 0) / t3.of + 0.75::DOUBLE * types / t3.of * p END AS p
+         FROM p2 LEFT JOIN n3 USING (a2, a1, b) LEFT JOIN t3 USING (a2, a1))
+  SELECT sum(c)::BIGINT AS n_targets, round(sum(-ln(p) * c) / sum(c), 6) AS cross_entropy FROM p3"""

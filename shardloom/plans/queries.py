@@ -551,16 +551,21 @@ def q_horizon_counts(spark, sf):
     return CM.next_token_counts(train)
 
 
-def written_logs(spark, sf) -> str:
-    """Step lines as log files named per run (H11 + H12)."""
+def log_lines(spark, sf) -> DataFrame:
+    """``(log_file, run, step, max_steps, value)``: step lines and the log file
+    each run writes them to (H11 + H12)."""
     tel = telemetry(spark, sf)
     names = tel.groupBy("run").agg(F.min("ts").alias("t0")).select(
         "run", TS.log_file_name(F.col("run"), F.col("t0")).alias("log_file"))
     table = steps(spark, sf)
-    lines = TM.step_log_lines(table).join(table.select("run", "step", "t0"), ["run", "step"]).join(names, "run")
-    lines = lines.select("log_file", TS.log_line(F.col("t0"), F.col("line")).alias("value"))
+    lines = TM.step_log_lines(table).join(table.select("run", "step", "t0", "max_steps"), ["run", "step"]).join(names, "run")
+    return lines.select("log_file", "run", "step", "max_steps", TS.log_line(F.col("t0"), F.col("line")).alias("value"))
+
+
+def written_logs(spark, sf) -> str:
+    """Step lines as log files named per run (H11 + H12)."""
     path = staging_path(spark, "logs")
-    TS.write_training_logs(lines, path)
+    TS.write_training_logs(log_lines(spark, sf).select("log_file", "value"), path)
     return path
 
 
@@ -644,19 +649,104 @@ def q_stream_manifest(spark, sf):
     return m.select("data_name", "shard_id", "shard_name", "n_tokens", "n_docs", "split", "file_name")
 
 
-def q_live_step_loss(spark, sf):
-    """Step loss of completed steps from a telemetry record stream of
-    several micro-batches."""
+def live_steps(spark, sf) -> DataFrame:
+    """Completed steps of a telemetry record stream of several
+    micro-batches, written once for the queries that read them."""
     from ..streaming.telemetry import completed_steps, start_live_step_loss
 
-    tel = telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out, ck = staging_path(spark, "live-loss"), staging_path(spark, "live-loss-ck")
-    start_live_step_loss(_arriving(spark, tel, "step", "live-records"), out, ck, TEL).awaitTermination()
-    return completed_steps(spark, out, TEL).select("run", "step", _r("loss"))
+    def build():
+        tel = telemetry(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+        out, ck = staging_path(spark, "live-loss"), staging_path(spark, "live-loss-ck")
+        start_live_step_loss(_arriving(spark, tel, "step", "live-records"), out, ck, TEL).awaitTermination()
+        return completed_steps(spark, out, TEL)
+
+    return _prepared(spark, sf, "live-steps", build)
+
+
+def q_live_step_loss(spark, sf):
+    """Step loss of completed steps, from records as they arrive."""
+    return live_steps(spark, sf).select("run", "step", _r("loss"))
+
+
+def q_live_throughput(spark, sf):
+    """I2 + D8: duration and throughput of completed steps, from records as they arrive."""
+    return live_steps(spark, sf).select("run", "step", "dt_ms", _r("tok_per_sec", 4))
+
+
+LOG_PARTS = 3                      # states of the growing log files
+
+
+def _log_part(lines: DataFrame, part: int) -> DataFrame:
+    """``(log_file, ord, text)``: what a run has logged when ``part`` of
+    ``LOG_PARTS`` of its steps are done, the next line half written."""
+    done = F.expr(f"max_steps * {part} div {LOG_PARTS}")
+    half = F.expr("substr(value, 1, length(value) div 2)")
+    text = F.when(F.col("step") < done, F.concat("value", F.lit("\n"))).otherwise(half)
+    return lines.where(F.col("step") <= done).select("log_file", F.col("step").alias("ord"), text.alias("text"))
+
+
+def q_live_log_steps(spark, sf):
+    """A8 + I2: one log file a run that grows in ``LOG_PARTS`` parts, each cut
+    inside a line; a stream reads what it has gained, stops, and goes on."""
+    from ..sources import livelogs as LL
+
+    lines = stage_table(log_lines(spark, sf), "log-lines")
+    path, out, ck = (staging_path(spark, f"live-logs{x}") for x in ("", "-out", "-ck"))
+    for part in range(1, LOG_PARTS + 1):
+        TS.write_log_files(_log_part(lines, part), path)
+        stream = LL.live_log_steps(spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("norm")
+
+
+# -- flat shard files -----------------------------------------------------------
+
+NPY_CHUNK = 1000                   # tokens of a row read from a flat shard
+
+
+def q_npy_shard_scan(spark, sf):
+    """A2 + A3: every shard written as a flat 16-bit file that the reference's
+    loader reads, the training split read back by byte ranges."""
+    from ..sources import npy as NP
+
+    path = staging_path(spark, "npy")
+    NP.write_npy_shards(packed_shards(spark, sf), prepared_manifest(spark, sf), path)
+    back = NP.read_npy_shards(spark, path, "training", DATA_NAME, NPY_CHUNK, "long")
+    return back.select("data_name", "split", "shard_id", "pos", F.size("tokens").cast("long").alias("length"), _txt("tokens").alias("tokens_text"))
+
+
+# -- longer contexts --------------------------------------------------------------
+
+NGRAM = 3
+
+
+def ngram_targets(spark, sf, split: str) -> DataFrame:
+    """Contexts of ``NGRAM`` - 1 tokens and targets of a split, counted; one pass for all splits, written once."""
+    from ..operators import ngram as NG
+
+    both = _prepared(spark, sf, "ngram-targets", lambda: NG.target_counts(seqs(spark, sf, LM_N), NGRAM, ("split",)))
+    return both.where(F.col("split") == split).drop("split")
+
+
+def q_ngram_counts(spark, sf):
+    """D9 over contexts of two, one and no tokens: counts, and continuation counts below."""
+    from ..operators import ngram as NG
+
+    return NG.ngram_counts(ngram_targets(spark, sf, "training"), NGRAM)
+
+
+def q_ngram_cross_entropy(spark, sf):
+    """D10 of the interpolated backoff model."""
+    from ..operators import ngram as NG
+
+    ce = NG.cross_entropy(ngram_targets(spark, sf, "testing"), ngram_targets(spark, sf, "training"), NGRAM, word_tokenizer(spark, sf).vocab_size)
+    return ce.select("n_targets", _r("cross_entropy"))
 
 
 QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "stream_manifest": q_stream_manifest,
-                "live_step_loss": q_live_step_loss, "log_report": q_log_report,
+                "live_step_loss": q_live_step_loss, "live_throughput": q_live_throughput, "live_log_steps": q_live_log_steps,
+                "npy_shard_scan": q_npy_shard_scan, "ngram_counts": q_ngram_counts, "ngram_cross_entropy": q_ngram_cross_entropy,
+                "log_report": q_log_report,
                 "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss,
                 "test_loss_whole": q_test_loss_whole,
                 "horizon_counts": q_horizon_counts, "generate_horizon": q_generate_horizon, "log_scan": q_log_scan})

@@ -129,6 +129,51 @@ def write_training_logs(lines: DataFrame, path: str) -> None:
     lines.select("log_file", "value").write.mode("overwrite").partitionBy("log_file").text(path)
 
 
+def write_log_files(lines: DataFrame, path: str) -> None:
+    """A8 sink: rows ``(log_file, ord, text)`` as one file per log name, as a
+    run writes it; ``text`` carries its own line end.
+
+    A file's rows come together and stream into it in order.  Each is written
+    under a hidden name and moved to its own when it is whole, so a task that
+    runs again replaces it, and a longer version replaces a shorter one."""
+    import pyarrow as pa
+
+    from ..session import ship_package
+    from .npy import file_system
+
+    spark = lines.sparkSession
+    ship_package(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.select("log_file", "ord", "text").repartition(parts, "log_file").sortWithinPartitions("log_file", "ord")
+
+    def run(batches):
+        import uuid
+
+        store, top = file_system(path)
+        store.create_dir(top, recursive=True)
+        name, stream, hidden, written = None, None, "", 0
+
+        def close():
+            stream.close()
+            store.move(hidden, f"{top}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([written], pa.int64())], names=["log_file", "bytes"])
+
+        for batch in batches:
+            for log_file, text in zip(batch.column("log_file").to_pylist(), batch.column("text").to_pylist()):
+                if log_file != name:
+                    if stream is not None:
+                        yield close()
+                    name, hidden, written = log_file, f"{top}/.{log_file}-{uuid.uuid4().hex}", 0
+                    stream = store.open_output_stream(hidden)
+                data = text.encode()
+                stream.write(data)
+                written += len(data)
+        if stream is not None:
+            yield close()
+
+    rows.mapInArrow(run, "log_file string, bytes long").write.format("noop").mode("overwrite").save()
+
+
 def available_runs(requested: Sequence[str], telemetry: DataFrame) -> DataFrame:
     """A10: requested runs that have saved state, in request order."""
     spark = telemetry.sparkSession

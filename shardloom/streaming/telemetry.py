@@ -1,55 +1,133 @@
-"""I2 + I3: live step loss and throughput as telemetry records arrive.
-
-Records ``(run, step, micro_step, rank, loss, ts)``.  A record is known by its
-run, step, rank and micro step, so one that is sent again counts once, as its
-earliest time has it.  A built-in streaming aggregate by these four keeps time
-and loss: ``W*A`` rows of state for each step, in update mode and without a
-watermark, so no record is too late, however far the runs are apart.
-
-``foreachBatch`` writes a micro-batch's records under its id (a replay replaces
-them); readers add them up by step.  ``completed_steps`` gives the steps that
-have all ``W*A`` records, ``open_steps`` the rest, so nothing is dropped unseen.
-``loss`` equals the batch D3+D4 value; a restart with the same checkpoint
-resumes.
+"""I2 + I3: live step loss and throughput as telemetry records arrive, with state for open steps only.
+
+Records ``(run, step, micro_step, rank, loss, ts)``.  A record is known by its run, step, rank and micro step, so one that is sent
+again counts once, as its earliest time has it.  An arbitrary stateful operator (``transformWithState``) keeps the records of a step
+until its ``W*A`` are there; then the step is written and its state ends.  A step that stays open has a timer: after ``idle_ms`` of
+processing time without its last records it is written as it is, marked ``expired``, and its state ends too.  So state is bounded by the steps
+that are open, whatever the run's length.  There is no watermark, so no record is too late, however far the runs are apart.
+
+Every micro-batch writes, under its id (a replay replaces it), a row for each step that it touched: the step's records so far
+(``W*A`` at most).  A record that comes after its step's state has ended starts a row of its own, and readers put the rows of a step
+together by record, so late records count and repeated ones don't.  ``completed_steps`` gives the steps that have all ``W*A`` records, ``open_steps``
+the rest, so nothing is dropped unseen.  ``loss`` equals the batch D3+D4 value; a restart with the same checkpoint resumes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..config import TelemetrySpec
+from ..session import ship_package
 
 RECORD = ("run", "step", "rank", "micro_step")
-
-
-def live_records(records: DataFrame) -> DataFrame:
-    """Each record once: of one sent more than once the earliest, in whatever batch it came."""
-    first = F.min(F.struct(F.col("ts").cast("timestamp").alias("ts"), "loss")).alias("first")
-    return records.groupBy(*RECORD).agg(first).select(*RECORD, "first.*")
-
-
-def start_live_step_loss(records: DataFrame, out: str, checkpoint: str,
-                         spec: TelemetrySpec = TelemetrySpec(), available_now: bool = True) -> StreamingQuery:
+#: Processing time after which an open step is written as it is.
+IDLE_MS = 3_600_000
+_STATE = "rank array<long>, micro_step array<long>, ts array<long>, loss array<double>, timer long"
+TOUCHED = "run string, step long, status string, n_records long, rank array<long>, micro_step array<long>, ts array<long>, loss array<double>"
+#: The state store that has timers, and no micro-batch without data in a run that is to end: with processing-time timers there would
+#: always be another one.
+_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+_ENDING = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+class StepRecords(StatefulProcessor):
+    """The records of an open step; ``full`` of them end it."""
+
+    def __init__(self, full: int, idle_ms: int):
+        self.full, self.idle_ms = full, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("records", _STATE)
+
+    def _row(self, key, status: str, records: dict) -> pd.DataFrame:
+        places = sorted(records)
+        row = {"run": [key[0]], "step": [key[1]], "status": [status], "n_records": [len(places)], "rank": [[p[0] for p in places]], "micro_step": [[p[1] for p in places]],
+               "ts": [[records[p][0] for p in places]], "loss": [[records[p][1] for p in places]]}
+        return pd.DataFrame(row)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        records = {(a, b): (t, x) for a, b, t, x in zip(*held[:4])} if held else {}
+        for part in rows:
+            for place_rank, place_micro, t, x in zip(part["rank"].tolist(), part["micro_step"].tolist(), part["ts_us"].tolist(), part["loss"].tolist()):
+                place = (int(place_rank), int(place_micro))
+                records[place] = min(records.get(place, (t, x)), (t, x))
+        if len(records) >= self.full:
+            if held:
+                self.handle.deleteTimer(held[4])
+                self.state.clear()
+            yield self._row(key, "complete", records)
+            return
+        timer = held[4] if held else timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+        if not held:
+            self.handle.registerTimer(timer)
+        places = sorted(records)
+        self.state.update(([p[0] for p in places], [p[1] for p in places], [records[p][0] for p in places], [records[p][1] for p in places], timer))
+        yield self._row(key, "open", records)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            held = self.state.get()
+            self.state.clear()
+            yield self._row(key, "expired", {(a, b): (t, x) for a, b, t, x in zip(*held[:4])})
+
+    def close(self) -> None:
+        pass
+
+
+def live_steps(records: DataFrame, spec: TelemetrySpec = TelemetrySpec(), idle_ms: int = IDLE_MS) -> DataFrame:
+    """The stream of steps that micro-batches touch: ``TOUCHED``, times in microseconds."""
+    ship_package(records.sparkSession)
+    us = F.expr("unix_micros(cast(ts as timestamp))").alias("ts_us")
+    rows = records.select("run", F.col("step").cast("long"), F.col("rank").cast("long"), F.col("micro_step").cast("long"), F.col("loss").cast("double"), us)
+    return rows.groupBy("run", "step").transformWithStateInPandas(
+        statefulProcessor=StepRecords(spec.W * spec.A, idle_ms), outputStructType=TOUCHED, outputMode="Update", timeMode="ProcessingTime")
+
+
+def start_live_step_loss(records: DataFrame, out: str, checkpoint: str, spec: TelemetrySpec = TelemetrySpec(),
+                         available_now: bool = True, idle_ms: int = IDLE_MS) -> StreamingQuery:
+    """Start the stream; the session's own settings come back once the query has taken these.
+
+    With ``available_now`` it ends with the data there is; timers are then looked at in micro-batches that have data."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
 
-    w = (live_records(records).writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    conf, wanted = records.sparkSession.conf, _CONF | (_ENDING if available_now else {})
+    before = {key: conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        conf.set(key, value)
+    try:
+        w = (live_steps(records, spec, idle_ms).writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", checkpoint))
+        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+        return w.start()
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
+def live_records(spark: SparkSession, out: str) -> DataFrame:
+    """Each record that the stream has written once: of one sent more than once the earliest."""
+    each = spark.read.parquet(out).select("run", "step", F.explode(F.arrays_zip("rank", "micro_step", "ts", "loss")).alias("r"))
+    first = F.min(F.struct(F.timestamp_micros("r.ts").alias("ts"), F.col("r.loss").alias("loss"))).alias("first")
+    return each.groupBy("run", "step", F.col("r.rank").alias("rank"), F.col("r.micro_step").alias("micro_step")).agg(first).select(*RECORD, "first.*")
 
 
 def _latest(spark: SparkSession, out: str, spec: TelemetrySpec) -> DataFrame:
     """Each step from the records written so far."""
-    return live_records(spark.read.parquet(out)).groupBy("run", "step").agg(
+    return live_records(spark, out).groupBy("run", "step").agg(
         (F.sum(F.col("loss") / F.lit(float(spec.A))) / F.lit(float(spec.W))).alias("loss"),
         F.count(F.lit(1)).alias("n_records"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
 
 
 def completed_steps(spark: SparkSession, out: str, spec: TelemetrySpec = TelemetrySpec()) -> DataFrame:
-    """Steps with all their records: loss, duration and throughput."""
+    """Steps with all their records: loss, duration and throughput (D8; null for a zero duration)."""
     dt_ms = F.expr("timestampdiff(MICROSECOND, t0, t1)") / F.lit(1000.0)
     tokens = float(spec.B * spec.T * spec.A * spec.W)
     rows = _latest(spark, out, spec).where(F.col("n_records") >= spec.W * spec.A).withColumn("dt_ms", dt_ms)
@@ -59,3 +137,9 @@ def completed_steps(spark: SparkSession, out: str, spec: TelemetrySpec = Telemet
 def open_steps(spark: SparkSession, out: str, spec: TelemetrySpec = TelemetrySpec()) -> DataFrame:
     """Steps that still miss records: how many they have."""
     return _latest(spark, out, spec).where(F.col("n_records") < spec.W * spec.A).select("run", "step", "n_records")
+
+
+def open_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the stream's state holds after its last micro-batch: ``(run, step, n_records)`` of each open step."""
+    held = spark.read.format("statestore").option("stateVarName", "records").load(checkpoint)
+    return held.select("key.run", "key.step", F.size("value.rank").cast("long").alias("n_records"))
