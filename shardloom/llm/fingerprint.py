@@ -1,13 +1,18 @@
 """Operator 5: document fingerprints of closed syncmers, in DataFrame functions only.
 
-A text is a sequence of units: runs without white space, and single letters of scripts that are written without spaces.  Of its
-k-mers (``K`` units) those are anchors whose least inner s-mer (``S`` units, by hash) lies at the left or right edge.  Whether a
-k-mer is one depends on its own units alone, so a stretch that two texts share has the same anchors in both, wherever it stands.
-A fingerprint is the sequence of the anchors' hashes; ``likeness`` is the share of anchors that two have in common.
+A text is a sequence of units: runs without white space, and single letters of scripts that are written without spaces, with ``K - 1``
+marks before its first and behind its last unit.  Of its k-mers (``K`` units) those are anchors whose least inner s-mer (``S`` units, by
+hash) lies at the left or right edge.  Whether a k-mer is one depends on its own units alone, so a stretch that two texts share has the
+same anchors in both, wherever it stands.  Of ``K - S`` k-mers in a row one is an anchor, so with the marks every text with a unit has
+anchors that cover all its units, at every length by the same rule.
 
-Only from ``2 K - S - 1`` = 13 units on is a closed syncmer certain, and only from about twice that in a half of the text.  A text of
-fewer than ``SHORT`` units also has its small anchors: the whole sequence, its s-mers and its units.  Two texts of which one is short are compared by the small anchors of both, whatever the other's length, so a
-short text is like what it shares units with, and two that differ in a unit never count as equal.
+A fingerprint is the anchors in text order: for each a digit, its distance from the one before (the first: from the text's first
+k-mer), and its hash in hexadecimal.  So it holds the positions too.
+
+``likeness`` of two fingerprints matches anchors by hash **and** position.  All anchors of both are sorted by hash and position;
+neighbours of one hash from different texts are a match, with an offset, the difference of their positions.  The largest number of
+matches whose offsets lie within ``SLACK`` units of each other counts (never more than either has anchors), over all anchors of both less that number.  A few
+words more or less hardly matter; passages in another order are matched at one of their offsets only.
 
 Defined results: a null or empty text (white space too) has no anchor and the empty fingerprint, and no other text has; likeness of
 two empty fingerprints is 1, of an empty and another 0.  Equal texts have equal fingerprints.
@@ -25,67 +30,71 @@ from pyspark.sql import functions as F
 from .common import id_key, shuffle_partitions
 
 K, S = 8, 2
-#: Texts of fewer units have small anchors too.
-SHORT = 4 * K
+#: Units by which the offsets of matches may differ.
+SLACK = 64
 #: Ranges for each shuffle partition, so that their sizes even out.
 RANGES = 8
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _UNIT = rf"[{_ALONE}]|[^\s{_ALONE}]+"
+#: Marks before and behind the units, all different, so that none of their s-mers are alike.
+BEFORE, BEHIND = range(1, K), range(-1, -K, -1)
+_NONE = "array<struct<h:bigint,p:int>>"
 
 
 def _places(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(text: str) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_UNIT), F.lit(0)), lambda w: F.xxhash64(w))
-
-
-def _small(h: Column) -> Column:
-    """Small anchors of a sequence of unit hashes: the whole, the s-mers, the units."""
-    grams = lambda size: F.transform(_places(F.size(h) - (size - 1)), lambda i: F.xxhash64(F.lit(size), F.slice(h, i + 1, size)))
-    return F.when(F.size(h) > 0, F.concat(F.array(F.xxhash64(F.lit(0), h)), grams(S), grams(1))).otherwise(F.array().cast("array<bigint>"))
+def _marks(values) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def small_anchors(text: str) -> Column:
-    """Small anchors of a text column of any length; the unit hashes are bound to a variable, so computed once."""
-    return F.get(F.transform(F.array(_hashes(text)), _small), F.lit(0))
+def _padded(text: str) -> Column:
+    """Hashes of a text column's units with the marks around them; empty without units."""
+    hashes = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_UNIT), F.lit(0)), lambda w: F.xxhash64(w))
+    around = lambda h: F.when(F.size(h) > 0, F.concat(_marks(BEFORE), h, _marks(BEHIND))).otherwise(h)
+    return F.get(F.transform(F.array(hashes), around), F.lit(0))
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the hashes of the anchors of a text column, in text order, then a short text's small anchors; these also stand
-    alone in ``{out}_small``, which is null for texts of ``SHORT`` units and more.
+    """``df`` with the anchors of a text column in text order: h (hash) and p (place of its k-mer).
 
     Each step is a projection of its own: the arrays are computed once and then read by place.
     """
     inner = K - S + 1
-    hashes, inners, small = f"_{out}_hashes", f"_{out}_inners", f"{out}_small"
-    df = df.withColumn(hashes, _hashes(text))
+    hashes, inners = f"_{out}_hashes", f"_{out}_inners"
+    df = df.withColumn(hashes, _padded(text))
     n = F.size(hashes)
     h, g = F.col(hashes), F.col(inners)
     df = df.withColumn(inners, F.transform(_places(n - (S - 1)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)])))
-    df = df.withColumn(small, F.when(n < SHORT, _small(h)))
     edge = lambda i: F.least(F.get(g, i), F.get(g, i + inner - 1)) <= F.least(*[F.get(g, i + j) for j in range(1, inner - 1)])
-    anchors = F.transform(F.filter(_places(n - (K - 1)), edge), lambda i: F.xxhash64(F.slice(h, i + 1, K)))
-    return df.withColumn(out, F.when(n < SHORT, F.concat(anchors, small)).otherwise(anchors)).drop(hashes, inners)
+    anchors = F.transform(F.filter(_places(n - (K - 1)), edge), lambda i: F.struct(F.xxhash64(F.slice(h, i + 1, K)).alias("h"), i.alias("p")))
+    return df.withColumn(out, anchors).drop(hashes, inners)
 
 
 def fingerprint(anchors: str) -> Column:
-    return F.array_join(F.transform(anchors, lambda x: F.lower(F.hex(x))), " ")
+    before = lambda i: F.coalesce(F.get(F.col(anchors), i - 1)["p"], F.lit(0))
+    return F.array_join(F.transform(anchors, lambda x, i: F.concat((x["p"] - before(i)).cast("string"), F.lower(F.hex(x["h"])))), " ")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Anchors in common over all distinct anchors of both."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(1.0)).otherwise(both.cast("double") / F.greatest(either, F.lit(1)))
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``df`` with the likeness of two columns of anchors; projections in steps, as in ``with_anchors``."""
+    both, offsets = f"_{out}_both", f"_{out}_offsets"
+    side = lambda x, of: F.transform(x, lambda t: F.struct(t["h"].alias("h"), t["p"].alias("p"), F.lit(of).alias("of")))
+    df = df.withColumn(both, F.sort_array(F.concat(side(a, 0), side(b, 1))))
+    s = F.col(both)
 
+    def offset(i: Column) -> Column:
+        x, y = F.get(s, i), F.get(s, i + 1)
+        return F.when((x["h"] == y["h"]) & (x["of"] != y["of"]), (x["p"] - y["p"]) * F.when(x["of"] == 0, 1).otherwise(-1))
 
-def with_likeness(df: DataFrame, a: str, b: str, text_a: str, text_b: str, out: str) -> DataFrame:
-    """``df`` with the likeness of two texts with anchors (``with_anchors``), by the small anchors of both where one is short."""
-    x, y = f"_{out}_x", f"_{out}_y"
-    short = F.col(f"{a}_small").isNotNull() | F.col(f"{b}_small").isNotNull()
-    taken = lambda anchors, text: F.when(short, F.coalesce(F.col(f"{anchors}_small"), small_anchors(text))).otherwise(F.col(anchors))
-    return df.withColumns({x: taken(a, text_a), y: taken(b, text_b)}).withColumn(out, likeness(x, y)).drop(x, y)
+    df = df.withColumn(offsets, F.sort_array(F.filter(F.transform(_places(F.size(both) - 1), offset), lambda d: d.isNotNull())))
+    d = F.col(offsets)
+    # a window over the sorted offsets that grows where its ends lie within SLACK and else moves on: its last size is its largest
+    most = F.aggregate(_places(F.size(offsets)), F.lit(0), lambda size, i: size + F.when(F.get(d, i) - F.get(d, i - size) <= SLACK, 1).otherwise(0))
+    common = F.least(most, F.size(a), F.size(b))
+    either = F.size(a) + F.size(b) - common
+    return df.withColumn(out, F.when(either == 0, F.lit(1.0)).otherwise(common.cast("double") / F.greatest(either, F.lit(1)))).drop(both, offsets)
 
 
 def range_of(key: str, bounds: list[int]) -> Column:
@@ -99,7 +108,7 @@ def range_of(key: str, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """``docs`` (doc_id, text) with anchors and small anchors, and ``next_text``, ``next_anchors`` and ``next_anchors_small``: those of the next document in descending doc_id; after the last, the first."""
+    """``docs`` (doc_id, text) with anchors, and ``next_text`` and ``next_anchors``: those of the next document in descending doc_id; after the last, the first."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     ranges = ranges or RANGES * parts
@@ -109,8 +118,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     keyed = keyed.withColumn("range", range_of("key", bounds))
     firsts = keyed.groupBy("range").agg(F.max("key").alias("key")).collect()  # a row a range: as many as the parameter says
     if not firsts:
-        none = F.array().cast("array<bigint>")
-        return keyed.select("doc_id", "text", none.alias("anchors"), none.alias("anchors_small"), F.col("text").alias("next_text"), none.alias("next_anchors"), none.alias("next_anchors_small"))
+        none = F.array().cast(_NONE)
+        return keyed.select("doc_id", "text", none.alias("anchors"), F.col("text").alias("next_text"), none.alias("next_anchors"))
     first = {r["range"]: r["key"] for r in firsts}
     order = sorted(first, reverse=True)
     above = {first[r]: order[k - 1] for k, r in enumerate(order)}  # the range before it; before the first range, the last
@@ -119,8 +128,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     dealt = keyed.withColumn("guest", F.lit(False)).unionByName(guests).repartition(parts, "range")
     dealt = with_anchors(dealt, "text", "anchors")
     order = Window.partitionBy("range").orderBy("guest", F.col("key").desc(), "text")
-    both = F.lead(F.struct("text", "anchors", "anchors_small")).over(order)
-    return dealt.withColumn("next", both).where(~F.col("guest")).select("doc_id", "text", "anchors", "anchors_small", F.col("next.text").alias("next_text"), F.col("next.anchors").alias("next_anchors"), F.col("next.anchors_small").alias("next_anchors_small"))
+    both = F.lead(F.struct("text", "anchors")).over(order)
+    return dealt.withColumn("next", both).where(~F.col("guest")).select("doc_id", "text", "anchors", F.col("next.text").alias("next_text"), F.col("next.anchors").alias("next_anchors"))
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -128,8 +137,6 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = with_next(docs, ranges).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("next_text").substr(F.lit(1), half)))
-    rows = with_likeness(rows, "anchors", "next_anchors", "text", "next_text", "near_next")
-    rows = rows.select("doc_id", "n_chars", "text", "edited", "anchors", "anchors_small", "near_next")
-    rows = with_anchors(rows, "edited", "edited_anchors")
-    rows = with_likeness(rows, "anchors", "edited_anchors", "text", "edited", "near_edited")
+    rows = with_likeness(rows, "anchors", "next_anchors", "near_next").select("doc_id", "n_chars", "edited", "anchors", "near_next")
+    rows = with_likeness(with_anchors(rows, "edited", "edited_anchors"), "anchors", "edited_anchors", "near_edited")
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("anchors").alias("fingerprint"), fingerprint("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -121,55 +121,78 @@ def test_op5_one_document_follows_itself(spark):
     assert row["n_chars"] == 8 and row["edited_sha256"] == hashlib.sha256(b"ab c" + b"ab c").hexdigest() and row["near_next"] == 1.0
 
 
-def test_op5_anchors_by_definition(spark):
-    """Anchors against a plain closed-syncmer loop over Spark's own hashes."""
-    text = sentence(80, 4)
-    words = text.split()
-    hashed = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").select("k", F.xxhash64("w").alias("h")).orderBy("k").collect()
-    h = [r["h"] for r in hashed]
-    k, s = fingerprint.K, fingerprint.S
-    pairs = spark.createDataFrame([(i, h[i], h[i + 1]) for i in range(len(h) - 1)], "i int, a long, b long").select("i", F.xxhash64("a", "b").alias("g")).orderBy("i").collect()
-    g = [r["g"] for r in pairs]
-    places = [i for i in range(len(h) - k + 1) if min(g[i], g[i + k - s]) <= min(g[i : i + k - s + 1])]
-    want = spark.createDataFrame([(i, h[i : i + k]) for i in places], "i int, x array<long>").select("i", F.xxhash64("x").alias("v")).orderBy("i").collect()
-    [row] = fingerprint.with_anchors(spark.createDataFrame([(text,)], "text string"), "text", "anchors").collect()
-    assert row["anchors"] == [r["v"] for r in want] and len(places) > 10
+def plain_anchors(fingerprint_text):
+    """Hash and position of each anchor, from the string alone."""
+    at, out = 0, []
+    for token in fingerprint_text.split():
+        at += int(token[0])
+        out.append((int(token[1:], 16), at))
+    return out
+
+
+def plain_likeness(a, b):
+    """Likeness of two fingerprint strings by the definition in the module's docstring."""
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    x, y = plain_anchors(a), plain_anchors(b)
+    both = sorted([(signed(h), p, 0) for h, p in x] + [(signed(h), p, 1) for h, p in y])
+    offsets = [(p - q) * (1 if s == 0 else -1) for (h, p, s), (g, q, t) in zip(both, both[1:]) if h == g and s != t]
+    most = max((sum(d <= e <= d + fingerprint.SLACK for e in offsets) for d in offsets), default=0)
+    common = min(most, len(x), len(y))
+    either = len(x) + len(y) - common
+    return common / either if either else 1.0
 
 
-def test_op5_shared_stretches_are_found_anywhere(spark):
-    part = sentence(100, 1)
-    df = spark.createDataFrame([(part, sentence(37, 2) + " " + part + " " + sentence(5, 3), sentence(140, 9))], "a string, b string, c string")
-    for c in "abc":
-        df = fingerprint.with_anchors(df, c, f"{c}x")
-    [row] = df.select(fingerprint.likeness("ax", "bx").alias("ab"), fingerprint.likeness("ax", "cx").alias("ac"), fingerprint.likeness("ax", "ax").alias("aa")).collect()
-    assert row["ab"] > 0.55 and row["ac"] == 0 and row["aa"] == 1
+def prints(spark, texts):
+    df = fingerprint.with_anchors(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "text", "anchors")
+    return [r["f"] for r in df.select("k", fingerprint.fingerprint("anchors").alias("f")).orderBy("k").collect()]
+
+
+def test_op5_anchors_by_definition(spark):
+    """Anchors against a plain closed-syncmer loop over Spark's own hashes, at every length."""
+    k, s = fingerprint.K, fingerprint.S
+    for n in (1, 2, 3, 7, 8, 13, 80):
+        text = sentence(n, 4)
+        h = [r["h"] for r in spark.createDataFrame(list(enumerate(text.split())), "k int, w string").select("k", F.xxhash64("w").alias("h")).orderBy("k").collect()]
+        h = [*fingerprint.BEFORE, *h, *fingerprint.BEHIND]
+        hashed = lambda lists: [r["x"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<long>").select("i", F.xxhash64(*[F.get("x", F.lit(j)) for j in range(s)]).alias("x")).orderBy("i").collect()]
+        inner = hashed([h[i : i + s] for i in range(len(h) - s + 1)])
+        want = [i for i in range(len(h) - k + 1) if min(inner[i], inner[i + k - s]) <= min(inner[i : i + k - s + 1])]
+        [row] = fingerprint.with_anchors(spark.createDataFrame([(text,)], "text string"), "text", "anchors").collect()
+        assert [a["p"] for a in row["anchors"]] == want and want
+        assert all(0 <= y - x <= k - s for x, y in zip([0, *want], want)) and max(want) + k >= len(h) - k + 1
+
+
+def test_op5_likeness_is_of_the_two_strings(spark, small):
+    """Every row's likeness again from the returned strings, by the plain definition."""
+    got = sorted(fingerprint.fingerprints(small).collect(), key=lambda r: -r["doc_id"])
+    for r, after in zip(got, got[1:] + got[:1]):
+        assert r["near_next"] == pytest.approx(plain_likeness(r["fingerprint"], after["fingerprint"]), abs=1e-12)
+        assert r["near_edited"] == pytest.approx(plain_likeness(r["fingerprint"], r["edited_fingerprint"]), abs=1e-12)
+
+
+def test_op5_order_and_repetition_count(spark):
+    parts = [sentence(60, k) for k in range(6)]
+    text, turned, twice = " ".join(parts), " ".join(parts[::-1]), " ".join(parts + parts)
+    moved, edited = " ".join(["some new words first"] + parts), " ".join(parts).replace(parts[3].split()[7], "other")
+    f = prints(spark, [text, turned, twice, moved, edited, sentence(360, 99)])
+    near = [plain_likeness(f[0], x) for x in f]
+    df = spark.createDataFrame([(k, text, t) for k, t in enumerate([text, turned, twice, moved, edited, sentence(360, 99)])], "k int, a string, b string")
+    df = fingerprint.with_likeness(fingerprint.with_anchors(fingerprint.with_anchors(df, "a", "x"), "b", "y"), "x", "y", "near")
+    assert [r["near"] for r in df.orderBy("k").collect()] == pytest.approx(near)
+    assert near[0] == 1 and near[1] < 0.25 and 0.3 < near[2] < 0.6 and near[3] > 0.9 and near[4] > 0.9 and near[5] == 0
 
 
 def test_op5_short_texts_against_each_other(spark):
-    """Texts of 1 to 20 units: every one has an anchor, only equal texts count as equal, and what is shared shows at every length."""
-    words = sentence(60, 11).split()
-    texts = [" ".join(words[k : k + n]) for n in range(1, 21) for k in (0, 30)] + ["a b a", "a b a b", "b a b"]
-    df = fingerprint.with_anchors(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "text", "anchors").localCheckpoint()
-    both = df.toDF(*[f"{c}2" for c in df.columns])
-    both = both.withColumnsRenamed({"anchors2": "other", "anchors_small2": "other_small"})
-    got = fingerprint.with_likeness(df.crossJoin(both), "anchors", "other", "text", "text2", "near").collect()
-    assert len(got) == len(texts) ** 2
-    for r in got:
-        a, b = r["text"].split(), r["text2"].split()
-        assert r["anchors"] and (r["anchors"] == r["other"]) == (a == b) == (r["near"] == 1.0)
-        if min(len(a), len(b)) < fingerprint.SHORT:
-            assert (r["near"] > 0) == bool(set(a) & set(b))
-
-
-def test_op5_short_texts_in_the_query(spark):
-    """Half of each text is kept by the edit, which shows from two units on; unlike texts are not like the next one."""
-    words = sentence(400, 12).split()
-    texts = [(n, " ".join(words[20 * n - 20 : 20 * n - 20 + n])) for n in range(1, 21)]
-    got = fingerprint.fingerprints(spark.createDataFrame(texts + [(0, "")], "doc_id long, text string")).collect()
-    assert len({r["fingerprint"] for r in got}) == 21
+    """Texts of 1 to 20 units: fingerprints are there and differ wherever the units do, and likeness is by the same rule."""
+    texts = [" ".join(sentence(20, 7).split()[:n]) for n in range(1, 21)] + [" ".join(sentence(n, 50 + n).split()) for n in range(1, 21)]
+    f = prints(spark, texts)
+    assert all(f) and len(set(f)) == len(set(texts))
+    for a in f:
+        for b in f:
+            assert (plain_likeness(a, b) == 1) == (a == b)
+    got = fingerprint.fingerprints(spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts[:20])] + [(0, "")], "doc_id long, text string")).collect()
     for r in got:
         assert (r["fingerprint"] == "") == (r["doc_id"] == 0) and r["near_next"] < 1
-        assert r["doc_id"] < 3 or 0 < r["near_edited"] < 1
 
 
 def test_op5_runs_no_python(edge):
