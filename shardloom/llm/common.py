@@ -121,3 +121,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def id_key(doc_id: str = "doc_id") -> Column:
     """``doc_id`` as an order key; a null id comes after all others."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that begins with ``name`` and that ``df`` has in no case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name

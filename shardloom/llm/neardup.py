@@ -11,24 +11,27 @@ Likeness of two is the probability Jaccard J_P of the bags, which is the plain J
   none with probability 5e-5.
 * **Verification**: J_P is computed exactly from the two bags.
 
-Equal bags are one vertex: rows of copies never meet.  In each bucket all are compared with its smallest id first (a row each), and
+Equal bags are one vertex: rows of copies never meet.  A vertex is named by its smallest row, by ``doc_id`` and a hash of the text, so
+rows of one id with different texts are different documents and none stands for another.  In each bucket all are compared with its smallest id first (a row each), and
 links give components by label spreading.  Where a bucket still holds different components, its members are dealt to blocks and every
 two blocks meet in a task of their own, which looks only at members of different components whose signatures agree often enough and
 gives a spanning forest of the links it finds.  So no link between different texts is lost to the bucket's centre, no task
 holds more than two blocks, and no rows for all pairs are made.  What grows with the data stays in Spark.
 
-Result: doc_id, rep_id (smallest id with the same bag), class_id (smallest id of the component).
+Result: a row for each row of the documents: doc_id, rep_id (smallest id with the same bag), class_id (smallest id of the component),
+class_text (hash of the text of the component's smallest row, as one id may have several texts), n_links (pairs of different bags
+that were verified as near to the row's; the spanning links, not all pairs).
 
 Defined results: a text without words has no likeness and is its own class; null ids take no part and have a null class; rows of one
-id are one document (its bags share a class); equal rows each give a row; an empty table gives an empty result.  Documents are read
-whole; other columns are not looked at.
+id with different texts are judged each by its own; equal rows each give a row, in one class; an empty table gives an empty result.
+Documents are read whole; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Powers, mix, slices, staged
@@ -43,6 +46,8 @@ BLOCK, BLOCK_BYTES = 256, 16 << 20
 #: Agreeing registers from which a pair is verified: four standard deviations below what the threshold gives.
 AGREE = int(REGISTERS * THRESHOLD - 4 * (REGISTERS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 _U64 = np.uint64
+#: A vertex: the smallest row of a bag.
+VERTEX = "struct<doc:bigint,text:bigint>"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = Powers(0x9E3779B97F4A7C15)
@@ -147,8 +152,14 @@ def _by_document(n: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(size) - size, size
 
 
+def _row() -> Column:
+    """The vertex name of a row of (doc_id, text)."""
+    name = F.struct(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+    return F.when(F.col("doc_id").isNotNull(), name).alias("row")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """Staged: doc_id, bag_a and bag_b (128 bits that name the bag; null without words), bands (hash of each), marks (a byte of each register)."""
+    """Staged: row (its vertex name; null with a null id), bag_a and bag_b (128 bits that name the bag; null without words), bands (hash of each), marks (a byte of each register)."""
 
     def run(batches):
         for part in slices(batches, "text", 2 << 20, SKETCH_ROWS):
@@ -169,9 +180,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bag.append(pa.array(total.view(np.int64), mask=np.bincount(doc, minlength=n) == 0))
             held = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
             marks = pa.array([row.tobytes() for row in (sig >> _U64(56)).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *bag, held, marks], names=["doc_id", "bag_a", "bag_b", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), *bag, held, marks], names=["row", "bag_a", "bag_b", "bands", "marks"])
 
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bag_a long, bag_b long, bands array<long>, marks binary"), "sketches")
+    return staged(docs.select(_row(), "text").mapInArrow(run, f"row {VERTEX}, bag_a long, bag_b long, bands array<long>, marks binary"), "sketches")
 
 
 def bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -185,8 +196,8 @@ def bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], names=["id", "hashes", "weights"])
 
     # by merging at any size: the ids grow with the documents
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
-    return staged(wanted.dropDuplicates(["id"]).mapInArrow(run, "id long, hashes binary, weights binary"), "bags")
+    wanted = docs.select(_row().alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
+    return staged(wanted.dropDuplicates(["id"]).mapInArrow(run, f"id {VERTEX}, hashes binary, weights binary"), "bags")
 
 
 def verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
@@ -200,7 +211,7 @@ def verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: bag.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}"), F.col("weights").alias(f"weights_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, f"a {VERTEX}, b {VERTEX}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,7 +247,8 @@ def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def links_across(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links (a < b) between the components of a bucket's members, a spanning forest of them for each two blocks.
+    """Links (a < b) between the components of a bucket's members, a spanning forest of them for each two blocks, each with the two
+    bags (u, v) that were found near.
 
     Members that share several bands meet in the first of these only: wherever that bucket is not among ``rows``, they have been
     compared or are in one component.
@@ -246,11 +258,11 @@ def links_across(rows: DataFrame, threshold: float) -> DataFrame:
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def run(part):
-        label = part["label"].to_numpy()
+        label, ident = (np.stack([part[c].combine_chunks().field(k).to_numpy(zero_copy_only=False) for k in ("doc", "text")], 1) for c in ("label", "id"))
         marks = np.frombuffer(b"".join(part["marks"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
         block = part["block"].to_numpy()
         across = bool((block != block[0]).any())  # within a block its own task looks
-        group = np.unique(label, return_inverse=True)[1]
+        group = np.unique(label, axis=0, return_inverse=True)[1].reshape(-1)
         bands, band = np.array(part["bands"].to_pylist(), np.int64), part["band"][0].as_py()
         parent = list(range(int(group.max()) + 1))
 
@@ -275,17 +287,24 @@ def links_across(rows: DataFrame, threshold: float) -> DataFrame:
             a, b = top(int(group[p])), top(int(group[q]))
             if a != b and probability_jaccard(get(p), get(q)) >= threshold:
                 parent[a] = b
-                found.append(tuple(sorted((int(label[p]), int(label[q])))))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+                found.append((*sorted((tuple(label[p].tolist()), tuple(label[q].tolist()))), tuple(ident[p].tolist()), tuple(ident[q].tolist())))
+        vertex = lambda rows: pa.array([{"doc": d, "text": t} for d, t in rows], pa.struct([("doc", pa.int64()), ("text", pa.int64())]))
+        return pa.table({name: vertex(x[k] for x in found) for k, name in enumerate("abuv")})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, ", ".join(f"{name} {VERTEX}" for name in "abuv"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, rep_id, class_id of ``docs`` (doc_id, text)."""
+    """doc_id, rep_id, class_id, class_text, n_links of ``docs`` (doc_id, text)."""
+    found = _classes(docs, threshold)
+    return found.select("row.doc", "rep.doc", "class.doc", "class.text", "n_links").toDF("doc_id", "rep_id", "class_id", "class_text", "n_links")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """row, rep, class (vertices; null with a null id) and n_links of every row."""
     sketch = sketches(docs)
     same = ["bag_a", "bag_b"]
-    reps = staged(sketch.where("doc_id IS NOT NULL AND bag_a IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "marks"), "doc_id").alias("s")), "bags-named")
+    reps = staged(sketch.where("row IS NOT NULL AND bag_a IS NOT NULL").groupBy(*same).agg(F.min("row").alias("id"), F.min_by(F.struct("bands", "marks"), "row").alias("s")), "bags-named")
     members = reps.select("id", F.posexplode("s.bands").alias("band", "key"))
     centres = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
     pairs = staged(members.join(centres, "key").where("id > a").select("a", F.col("id").alias("b")).distinct(), "pairs")
@@ -295,19 +314,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = components(links)
     sized = bag.select("id", F.octet_length("hashes").alias("weight"))
     crowded = open_buckets(members.join(sized, "id"), labels)
-    marks = reps.select("id", "s.marks", "s.bands").dropDuplicates(["id"])
+    marks = reps.select("id", "s.marks", "s.bands")
     rows = crowded.join(marks, "id").join(bag, "id")
     # links across join components, so the second spreading is over these alone
-    wider = components(links_across(rows, threshold)).select(F.col("id").alias("label"), F.col("label").alias("wider"))
-    named = sketch.select("doc_id", *same).join(reps.select(*same, F.col("id").alias("rep_id")), same, "left")
-    named = named.withColumn("rep_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep_id", "doc_id")))
-    named = named.join(labels.select(F.col("id").alias("rep_id"), "label"), "rep_id", "left").withColumn("label", F.coalesce("label", "rep_id"))
-    return named.join(wider, "label", "left").select("doc_id", "rep_id", F.coalesce("wider", "label").alias("class_id"))
+    across = staged(links_across(rows, threshold), "links-across")
+    wider = components(across.select("a", "b")).select(F.col("id").alias("label"), F.col("label").alias("wider"))
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("rep"))
+    n_links = ends(links).union(ends(across.select(F.col("u").alias("a"), F.col("v").alias("b")))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    named = sketch.select("row", *same).join(reps.select(*same, F.col("id").alias("rep")), same, "left")
+    named = named.withColumn("rep", F.when(F.col("row").isNotNull(), F.coalesce("rep", "row")))
+    named = named.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = named.join(wider, "label", "left").join(n_links, "rep", "left")
+    return named.select("row", "rep", F.coalesce("wider", "label").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id; rows with a null id stay."""
-    found = near_duplicates(docs, threshold)
-    first = found.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with one document of each class, its smallest row; rows with a null id stay.
+
+    The row of a class has its id and its text.  Of rows that have both alike and differ in other columns the one of the least hash of all columns
+    stays.  Columns of any name pass through.
+    """
+    first = _classes(docs, threshold).where("row = class").select("row").distinct()
+    columns = [f"`{c}`" for c in docs.columns]
+    held = docs.select(_row(), F.struct(*columns).alias("all"), F.xxhash64(F.to_json(F.struct(*columns))).alias("tie"))
+    order = Window.partitionBy("row").orderBy("tie")
+    kept = held.where("row IS NOT NULL").join(first, "row", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return kept.select("all").union(held.where("row IS NULL").select("all")).select("all.*")

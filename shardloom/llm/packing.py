@@ -13,7 +13,6 @@ pieces; equal lengths are told apart by task and number; an empty table has no p
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -84,7 +83,10 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
     schema = "part string, number long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
 
     def run(batches):
-        bert, part_key, seen = encoder(path), uuid.uuid4().hex, np.zeros(capacity + 1, np.int64)
+        from pyspark import TaskContext
+
+        # the partition's number: the same input is ranked alike in every run, and a task that runs again replaces its rows
+        bert, part_key, seen = encoder(path), f"{TaskContext.get().partitionId():010d}", np.zeros(capacity + 1, np.int64)
         kind = "<u2" if len(bert.ends) <= 1 << 16 else "<u4"
         for part in slices(batches, "text"):
             ids, n = bert.encode([t or "" for t in part.column("text").to_pylist()])

@@ -84,8 +84,10 @@ class Rule:
     rejects: Callable[[Text], bool]
 
 
-#: The base rule of the contract: it comes first in any cascade and is not reordered.
+#: The base rule of the contract: where its measures are asked for it comes first and is not reordered.
 BASE = Rule("base", lambda t: t.n_words < 10 or 100 * t.n_repeat_words > 20 * t.n_words)
+#: The base's parts as rules of a cascade that needs no base measures.
+BASE_RULES = (Rule("few_words", lambda t: t.n_words < 10), Rule("repeat_words", lambda t: 100 * t.n_repeat_words > 20 * t.n_words))
 RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),
@@ -136,7 +138,8 @@ def cascade(rules: Sequence[Rule], measured: Sequence[Measured]) -> list[Rule]:
 def judge(docs: DataFrame, rules: Sequence[Rule], text: str = "text", full: bool = True, prefix: str = "") -> DataFrame:
     """``docs`` with ``kept`` and ``rejected_by`` (the first rule of the cascade that rejects; null if kept), each name after ``prefix``.
 
-    With ``full``, the base measures of every document too: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+    With ``full``, the base rule comes first and its measures are there for every document: n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, base_failed.  Without, only ``rules`` run, in their order; ``BASE_RULES`` may be among them.
     """
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if full else []
 
@@ -144,11 +147,11 @@ def judge(docs: DataFrame, rules: Sequence[Rule], text: str = "text", full: bool
         rows = []
         for s in texts:
             t = Text(s)
-            failed = BASE.rejects(t)
+            failed = full and BASE.rejects(t)
             by = BASE.name if failed else next((r.name for r in rules if r.rejects(t)), None)
-            rows.append([getattr(t, m) for m in measures] + [failed, by is None, by])
+            rows.append([getattr(t, m) for m in measures] + [failed] * full + [by is None, by])
         return list(zip(*rows))
 
-    kinds = {m: pa.int64() for m in measures} | {"base_failed": pa.bool_(), "kept": pa.bool_(), "rejected_by": pa.string()}
+    kinds = {m: pa.int64() for m in measures} | ({"base_failed": pa.bool_()} if full else {}) | {"kept": pa.bool_(), "rejected_by": pa.string()}
     fields = [pa.field(prefix + name, kind) for name, kind in kinds.items()]
     return with_columns(docs, text, fields, compute)

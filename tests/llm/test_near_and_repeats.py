@@ -113,6 +113,37 @@ def test_op2_keeps_one_of_each(spark):
     assert rows(kept, "doc_id", "class_id") == [(1, "a"), (3, "c"), (None, "d")]
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_op2_rows_of_one_id_with_different_texts(spark, order):
+    """No text is lost where ids repeat: one row of each text stays, whatever the order of the rows."""
+    a, b, c = sentence(50, 1), sentence(50, 2), sentence(50, 3)
+    near = a.rsplit(" ", 1)[0] + " other"
+    docs = [(1, a), (5, a), (5, b), (7, b), (9, b), (11, c), (11, near), (11, ""), (11, ""), (12, "")][::order]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert rows(neardup.one_of_each(df), "doc_id", "text") == sorted([(1, a), (5, b), (11, c), (11, ""), (12, "")], key=str)
+    got = neardup.near_duplicates(df).collect()
+    named = {(r["class_id"], r["class_text"]) for r in got}
+    assert len(got) == len(docs) and len(named) == 5
+    assert sorted(r["class_id"] for r in got) == [1, 1, 1, 5, 5, 5, 11, 11, 11, 12]
+
+
+def test_op2_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_first", "row", "all", "place", "tie", "class"]
+    docs = [(1, sentence(50, 1), "a", 1, 2, 3, 4, 5), (2, sentence(50, 1), "b", 1, 2, 3, 4, 5), (3, sentence(50, 3), "c", 6, 7, 8, 9, 10), (3, sentence(50, 3), "c", 6, 7, 8, 9, 11)]
+    kept = neardup.one_of_each(spark.createDataFrame(docs, names))
+    assert kept.columns == names
+    got = sorted(map(tuple, kept.collect()))
+    assert got[0] == docs[0] and got[1] in docs[2:] and len(got) == 2
+
+
+def test_op2_counts_links(spark):
+    base = sentence(100, 5).split()
+    docs = [(1, " ".join(base)), (2, " ".join(base[:-1] + ["x"])), (3, " ".join(base[:-1] + ["y"])), (4, sentence(60, 9)), (5, " ".join(base))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+    assert got[1] == got[5] and got[4][1] == 0 and all(1 <= got[i][1] <= 2 for i in (1, 2, 3))
+
+
 def plain_repeats(docs, length=suffixdedup.LENGTH):
     """Mask of removed bytes of each row, by the definition."""
     key = lambda i: (i is None, i or 0)
