@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import neardup, packing, quality, suffixdedup, toxicity
-from shardloom.llm.common import staged
+from shardloom.llm.common import free_name, staged
 from shardloom.llm.queries import WORD_FILE
 from shardloom.session import read_table, ship_package
 
@@ -23,19 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose most toxic window scores below ``TOXIC``."""
     ship_package(spark)
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    out = free_name(docs, "toxicity")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < TOXIC).drop(out)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the cascade rejects."""
     ship_package(spark)
-    rules = quality.cascade(quality.RULES, quality.measure_rules(docs))
-    return quality.judge(docs, rules, full=False, prefix="_quality_").where("_quality_kept").select(*docs.columns)
+    rules = quality.RULES + quality.BASE_RULES
+    rules = quality.cascade(rules, quality.measure_rules(docs, rules))
+    prefix = free_name(docs, "quality_")
+    judged = quality.judge(docs, rules, full=False, prefix=prefix)
+    return judged.where(F.col(f"{prefix}kept")).drop(f"{prefix}kept", f"{prefix}rejected_by")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates; rows that share an id and differ in text are documents of their own."""
     ship_package(spark)
     return neardup.one_of_each(docs)
 
@@ -48,9 +51,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents with their ids and their places in sequences; a text that the stage before emptied is its end token alone."""
     ship_package(spark)
-    return packing.pack_documents(docs, WORD_FILE, END_ID)
+    return packing.pack_documents(docs, WORD_FILE, END_ID, ids=True)
 
 
 STAGES = [
