@@ -321,11 +321,13 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     wider = components(across.select("a", "b")).select(F.col("id").alias("label"), F.col("label").alias("wider"))
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("rep"))
     n_links = ends(links).union(ends(across.select(F.col("u").alias("a"), F.col("v").alias("b")))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = sketch.select("row", *same).join(reps.select(*same, F.col("id").alias("rep")), same, "left")
-    named = named.withColumn("rep", F.when(F.col("row").isNotNull(), F.coalesce("rep", "row")))
-    named = named.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    named = named.join(wider, "label", "left").join(n_links, "rep", "left")
-    return named.select("row", "rep", F.coalesce("wider", "label").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    # what is known of a bag is put together a row a bag; the rows of many copies then meet it in one join, which Spark may split
+    known = reps.select(*same, F.col("id").alias("rep")).join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    known = known.join(wider, "label", "left").join(n_links, "rep", "left")
+    known = staged(known.select(*same, "rep", F.coalesce("wider", "label").alias("class"), "n_links"), "bags-known")
+    named = sketch.select("row", *same).join(known, same, "left")
+    mine = lambda c: F.when(F.col("row").isNotNull(), F.coalesce(c, "row")).alias(c)
+    return named.select("row", mine("rep"), mine("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
