@@ -26,6 +26,7 @@ from ..operators.windows import sequences
 from ..session import stage_table
 from ..sources import corpus as CO
 from ..sources import shards as SH
+from ..sources import store as ST
 
 
 def corpus_documents(spark: SparkSession, datasets: Sequence[DatasetSpec]) -> DataFrame:
@@ -53,9 +54,9 @@ def prepare_corpus(spark: SparkSession, datasets: Sequence[DatasetSpec], out: st
     PK.check_split_coverage(manifest, ratio, allow_empty_split)
     placed = tokens.join(offsets.drop("n"), ["source_ord", "doc_ord"])
     frags = PK.label_splits(PK.fragments_at(placed, pack.shard_tokens), ratio)
-    SH.write_shards(frags, manifest, out, pack.data_name)
+    ST.create(frags, manifest, out, pack.data_name)
     save_tokenizer(spark, tok, out)
-    return SH.read_manifest(spark, out, pack.data_name)
+    return ST.manifest_of(spark, out, pack.data_name)
 
 
 def save_tokenizer(spark: SparkSession, tok: Tokenizer, out: str) -> None:
@@ -93,8 +94,10 @@ def load_split(spark: SparkSession, out: str, split: str, data_name: Optional[st
     """B8 + B9 + A3: fragments of one split of a data name (the only one in
     the store when not given); fails when the name or the split is missing."""
     name = SH.only_data_name(spark, out) if data_name is None else data_name
-    SH.require_shards(SH.shard_catalog(SH.read_manifest(spark, out), split, name), split, name)
-    return SH.read_shards(spark, out, split, data_name=name)
+    if not ST.versions(spark, out, name):
+        raise ValueError(f"nothing to load: {name!r} is empty")
+    SH.require_shards(SH.shard_catalog(ST.manifest_of(spark, out, name), split, name), split, name)
+    return ST.read_split(spark, out, name, split)
 
 
 def split_sequences(spark: SparkSession, out: str, split: str, spec: WindowSpec,
@@ -121,16 +124,10 @@ def evaluate(spark: SparkSession, out: str, counts: DataFrame, spec: WindowSpec,
 def resplit(spark: SparkSession, out: str, ratio: SplitRatio, data_name: Optional[str] = None,
             allow_empty_split: bool = False) -> DataFrame:
     """A6 + A7 + B6 as a job: label the shards of a data name again with
-    another ratio.  The new split of every shard is checked first, then the
-    shards are rewritten under their new split folders beside the old ones and
-    the manifest follows."""
+    another ratio.  The new split of every shard is checked first; then a new
+    version of the manifest is published, and no shard is read or written."""
     name = SH.only_data_name(spark, out) if data_name is None else data_name
-    manifest = stage_table(SH.resplit_manifest(SH.read_manifest(spark, out, name), ratio), "resplit")
-    PK.check_split_coverage(manifest, ratio, allow_empty_split)
-    # the source is overwritten: its rows are staged first
-    frags = stage_table(SH.read_shards(spark, out, data_name=name).drop("split", "length", "data_name"), "resplit-shards")
-    SH.write_shards(PK.label_splits(frags, ratio), manifest, out, name)
-    return SH.read_manifest(spark, out, name)
+    return ST.manifest_of(spark, out, name, ST.resplit(spark, out, name, ratio, allow_empty_split))
 
 
 def generate_responses(prompts: DataFrame, tok: Tokenizer, counts: DataFrame, runs: Sequence[str],

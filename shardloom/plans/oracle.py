@@ -396,3 +396,30 @@ SQL["ngram_cross_entropy"] = f"""{CORPUS}, {NGRAMS},
   p3 AS (SELECT c, CASE WHEN t3.of IS NULL THEN p ELSE greatest(coalesce(n, 0) - 0.75::DOUBLE, 0) / t3.of + 0.75::DOUBLE * types / t3.of * p END AS p
          FROM p2 LEFT JOIN n3 USING (a2, a1, b) LEFT JOIN t3 USING (a2, a1))
   SELECT sum(c)::BIGINT AS n_targets, round(sum(-ln(p) * c) / sum(c), 6) AS cross_entropy FROM p3"""
+SQL["generate_ngram"] = f"""{CORPUS}, {NGRAMS}, {PROMPTS},
+  m2 AS (SELECT a2, a1, list(b ORDER BY c DESC, b) AS bs, list(c ORDER BY c DESC, b) AS cs FROM (SELECT a2, a1, b, n AS c FROM n3
+         QUALIFY row_number() OVER (PARTITION BY a2, a1 ORDER BY c DESC, b) <= {C.TOP_K}) GROUP BY a2, a1),
+  m1 AS (SELECT a1, list(b ORDER BY c DESC, b) AS bs, list(c ORDER BY c DESC, b) AS cs FROM (
+         SELECT a1, b, count(*)::BIGINT AS c FROM ng WHERE split = 'training' GROUP BY a1, b
+         QUALIFY row_number() OVER (PARTITION BY a1 ORDER BY c DESC, b) <= {C.TOP_K}) GROUP BY a1),
+  m0 AS (SELECT list(b ORDER BY c DESC, b) AS bs, list(c ORDER BY c DESC, b) AS cs FROM (
+         SELECT b, count(*)::BIGINT AS c FROM ng WHERE split = 'training' GROUP BY b ORDER BY c DESC, b LIMIT {C.TOP_K})),
+  gen AS (
+  WITH RECURSIVE g(run, item_id, tokens) AS (
+    SELECT '{Q.GEN_RUN}' AS run, item_id, tokens FROM ptoks
+    UNION ALL
+    SELECT run, item_id, list_append(tokens, bs[list_position(
+             list_transform(range(1, len(cs) + 1), lambda k: u * total < list_sum(cs[1:k])::HUGEINT * 4294967296), true)])
+    FROM (SELECT run, item_id, tokens, bs, cs, list_sum(cs)::HUGEINT AS total,
+                 ('0x' || substr(md5('{C.GENERATION_SEED}|' || run || '|' || item_id || '|' || len(tokens)), 1, 8))::BIGINT::HUGEINT AS u
+          FROM (SELECT g.run, g.item_id, g.tokens, coalesce(m2.bs, m1.bs, m0.bs) AS bs, coalesce(m2.cs, m1.cs, m0.cs) AS cs
+                FROM g LEFT JOIN m2 ON m2.a2 = g.tokens[-2] AND m2.a1 = g.tokens[-1] LEFT JOIN m1 ON m1.a1 = g.tokens[-1] CROSS JOIN m0
+                WHERE len(g.tokens) < {Q.STEPWISE_LENGTH}) known) step)
+  SELECT run, item_id, tokens[1:{Q.STEPWISE_LENGTH}] AS tokens FROM g WHERE len(tokens) >= {Q.STEPWISE_LENGTH})
+  SELECT run, item_id, array_to_string(tokens, ' ') AS tokens_text FROM gen"""
+SCHED = SQL["step_batches"][:SQL["step_batches"].index("  sched AS")].rstrip().rstrip(",")
+SQL["step_documents"] = f"""{SCHED},
+  reads AS (SELECT m // {Q.SCHEDULE_ACCUM} AS step, rank::INTEGER AS rank, shard_id, (rank + k * {Q.LOADER.W}) * {Q.LOADER.B * T} AS lo FROM pick)
+  SELECT step, rank, source_ord, doc_ord, count(*)::BIGINT AS n_read, count(*) FILTER (s.pos < lo + {Q.LOADER.B * T})::BIGINT AS n_tokens
+  FROM reads r JOIN stream s ON s.shard_id = r.shard_id AND s.pos >= lo AND s.pos < lo + {Q.LOADER.B * T + Q.LOADER.N}
+  GROUP BY step, rank, source_ord, doc_ord"""

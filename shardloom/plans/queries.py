@@ -237,12 +237,16 @@ def q_shard_scan(spark, sf):
 
 
 def q_resplit(spark, sf):
-    """A6 + A7 + B6 + A3: the shards labelled again with another ratio; what the
-    validation split then holds is read through the new manifest."""
-    path = staging_path(spark, "resplit")
-    SH.write_shards(packed_shards(spark, sf), prepared_manifest(spark, sf), path, DATA_NAME)
-    new = SH.resplit_manifest(SH.read_manifest(spark, path, DATA_NAME), RESPLIT_RATIO)
-    held = SH.read_split_by_manifest(spark, path, new, "validation").groupBy("shard_id").agg(F.sum("length").alias("n_read"))
+    """A6 + A7 + B6 + A3: the shards of a versioned store labelled again with
+    another ratio, as a new manifest alone; what the validation split then
+    holds is read through it."""
+    from ..sources import store as ST
+
+    path = staging_path(spark, "store")
+    ST.create(packed_shards(spark, sf), prepared_manifest(spark, sf), path, DATA_NAME)
+    version = ST.resplit(spark, path, DATA_NAME, RESPLIT_RATIO, allow_empty_split=True)
+    new = ST.manifest_of(spark, path, DATA_NAME, version)
+    held = ST.read_split(spark, path, DATA_NAME, "validation", version).groupBy("shard_id").agg(F.sum("length").alias("n_read"))
     return new.join(held, "shard_id", "left").select("shard_id", "file_name", "split", "n_tokens", "n_read")
 
 
@@ -591,6 +595,26 @@ def q_log_report(spark, sf):
     return TS.step_line_report(TS.read_log_lines(spark, written_logs(spark, sf)))
 
 
+def q_generate_ngram(spark, sf):
+    """J3 by joins: all open prompts take a step together, by the longest of
+    the contexts of two, one and no tokens that the model knows."""
+    from ..operators import stepwise as SW
+
+    model = _prepared(spark, sf, "ngram-successors", lambda: SW.successors(ngram_targets(spark, sf, "training"), NGRAM))
+    prompts = GE.prompt_matrix(prompt_tokens(spark, sf), [GEN_RUN])
+    g = SW.generate_by_joins(prompts, model, NGRAM, STEPWISE_LENGTH)
+    return g.select("run", "item_id", _txt("tokens").alias("tokens_text"))
+
+
+def q_step_documents(spark, sf):
+    """C3 + E2 turned round: the documents each step and rank read, and how
+    many tokens of each."""
+    from ..operators.readback import step_documents
+
+    sched = BA.batch_schedule(SH.shard_catalog(prepared_manifest(spark, sf), "training"), LOADER, SCHEDULE_ACCUM, SCHEDULE_STEPS)
+    return step_documents(sched, PK.fragment_spans(prepared_offsets(spark, sf), SHARD_TOKENS), LOADER)
+
+
 # -- streaming (run to completion with availableNow, output read back) --------
 
 STREAM_BATCHES = 4
@@ -718,6 +742,7 @@ def q_npy_shard_scan(spark, sf):
 # -- longer contexts --------------------------------------------------------------
 
 NGRAM = 3
+STEPWISE_LENGTH = 32               # tokens to which the joins grow a prompt
 
 
 def ngram_targets(spark, sf, split: str) -> DataFrame:
@@ -746,6 +771,7 @@ def q_ngram_cross_entropy(spark, sf):
 QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "stream_manifest": q_stream_manifest,
                 "live_step_loss": q_live_step_loss, "live_throughput": q_live_throughput, "live_log_steps": q_live_log_steps,
                 "npy_shard_scan": q_npy_shard_scan, "ngram_counts": q_ngram_counts, "ngram_cross_entropy": q_ngram_cross_entropy,
+                "generate_ngram": q_generate_ngram, "step_documents": q_step_documents,
                 "log_report": q_log_report,
                 "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss,
                 "test_loss_whole": q_test_loss_whole,
