@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from typing import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, read_table
+from ..session import read_table, staging_path
 
 #: Rows of one Arrow batch are worked on in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
@@ -28,8 +27,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def staged_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder that the cluster names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared folder that the cluster names, among those that ``drop_staged_tables`` removes."""
+    return staging_path(spark, name)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
