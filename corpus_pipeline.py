@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences: five stages, each an operator of ``shardloom.llm`` on all that the one before kept.
+"""From raw documents to their places in packed training sequences: five stages, each an operator of ``shardloom.llm`` on all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns documents, the last one packed pieces; ``run`` writes each result to the shared
 folder and reads it again for the next.  Labels are learnt from where they lie, beside the documents.
@@ -51,9 +51,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their ids and their places in sequences; a text that the stage before emptied is its end token alone."""
+    """Pieces of the documents and their places in sequences; a text that the stage before emptied is its end token alone.
+
+    The ids stay in the staged pieces (``packing.pack_documents`` with ``ids`` returns them, ``packing.sequences`` joins them)."""
     ship_package(spark)
-    return packing.pack_documents(docs, WORD_FILE, END_ID, ids=True)
+    return packing.pack_documents(docs, WORD_FILE, END_ID)
 
 
 STAGES = [
