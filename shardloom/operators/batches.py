@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import WindowSpec
+from ..config import WindowSpec, accumulation_steps
 from ..functions.schedules import curriculum_stage
 
 
@@ -113,3 +113,17 @@ def scheduled_fragments(fragments: DataFrame, schedule: DataFrame, spec: WindowS
     f = fragments.join(ranges, "shard_id")
     return (f.where((F.col("pos") + F.size("tokens") > F.col("_lo")) & (F.col("pos") < F.col("_hi")))
             .drop("_lo", "_hi"))
+
+
+def accumulation_report(manifest: DataFrame, spec: WindowSpec, total_batch_tokens: int) -> DataFrame:
+    """B11, report form: ``(B, W, divides, accum_steps, steps_per_round)``:
+    micro steps of an optimiser step (null where its tokens do not divide), and
+    the whole steps that the rank with the fewest batches gets from one round."""
+    try:
+        steps = accumulation_steps(total_batch_tokens, spec)
+    except ValueError:
+        steps = None
+    rounds = batches_per_rank(manifest, spec).groupBy("rank").agg(F.sum("K").alias("M")).agg(F.min("M").alias("m"))
+    count = F.lit(steps).cast("long")
+    return rounds.select(F.lit(spec.B).alias("B"), F.lit(spec.W).alias("W"), F.lit(steps is not None).alias("divides"),
+                         count.alias("accum_steps"), F.expr(f"m div {steps}" if steps else "cast(null as bigint)").alias("steps_per_round"))

@@ -10,6 +10,7 @@ the remainder opens the next one) and has no limit on document length.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Optional
 
 from pyspark.sql import Column, DataFrame
@@ -144,3 +145,21 @@ def filter_split(df: DataFrame, split: str) -> DataFrame:
     if split not in SPLIT_LABELS:
         raise ValueError(f"unknown split {split!r}")
     return df.where(F.col("split") == F.lit(split))
+
+
+def ratio_report(manifest: DataFrame, ratios) -> DataFrame:
+    """B7, report form: for each ratio ``(training, validation, testing)``
+    whether it is one, and the shards and tokens each split would get:
+    ``(ratio, valid, split, n_shards, n_tokens)``; a ratio that is none has one row."""
+    parts = []
+    for ratio in ratios:
+        name = F.lit(":".join(map(str, ratio))).alias("ratio")
+        try:
+            label = split_of(F.col("shard_id"), SplitRatio(*ratio))
+        except ValueError:
+            row = manifest.agg(F.lit(False).alias("valid"))
+            none = lambda kind, out: F.lit(None).cast(kind).alias(out)
+            parts.append(row.select(name, "valid", none("string", "split"), none("long", "n_shards"), none("long", "n_tokens")))
+            continue
+        parts.append(split_counts(manifest.select(label.alias("split"), "n_tokens")).select(name, F.lit(True).alias("valid"), "split", "n_shards", "n_tokens"))
+    return reduce(DataFrame.unionByName, parts)

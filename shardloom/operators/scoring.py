@@ -3,7 +3,9 @@
 ``score_sequences`` hands each Arrow batch of sequences to a user function
 ``fn(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray`` (one loss per
 sequence) in ``mapInPandas``; Spark partitions the sequences, the function
-only sees its batch.  ``unigram_scorer`` is a supplied model whose whole
+only sees its batch.  With ``progress_col`` the function also gets how far
+training is when each sequence is read, ``(step + 1) / max_steps``, as a staged
+model needs it: ``fn(x, y, progress: np.ndarray)``.  ``unigram_scorer`` is a supplied model whose whole
 state is one log-probability per token id (at most 65,536 values, broadcast).
 
 ``test_batch_losses`` is the count model's score of every test batch the
@@ -28,17 +30,19 @@ from .countmodel import _check_vocab, context_totals
 
 
 def score_sequences(seqs: DataFrame, fn: Callable, keys: Sequence[str] = ("split", "shard_id", "seq"),
-                    out_col: str = "loss") -> DataFrame:
+                    out_col: str = "loss", progress_col: str | None = None) -> DataFrame:
     """``(keys..., loss)`` per sequence from a supplied scoring function."""
     spark = seqs.sparkSession
     ship_package(spark)
     keys = [k for k in keys if k in seqs.columns]
-    in_df = seqs.select(*keys, "x", "y")
+    more = [F.col(progress_col).cast("double").alias("_progress")] if progress_col else []
+    in_df = seqs.select(*keys, "x", "y", *more)
     fields = [f for f in in_df.schema.fields if f.name in keys] + [T.StructField(out_col, T.DoubleType())]
 
     def run(batches):
         for pdf in batches:
-            losses = fn(list(pdf["x"]), list(pdf["y"])) if len(pdf) else np.empty(0)
+            given = [pdf["_progress"].to_numpy(np.float64)] if progress_col else []
+            losses = fn(list(pdf["x"]), list(pdf["y"]), *given) if len(pdf) else np.empty(0)
             out = pdf[keys].copy()
             out[out_col] = np.asarray(losses, dtype=np.float64)
             yield out
@@ -71,6 +75,19 @@ def unigram_scorer(log_probs: np.ndarray) -> Callable:
     return fn
 
 
+def staged_scorer(log_probs: np.ndarray, stages: int = 3) -> Callable:
+    """A supplied model whose reach grows with training: in stage s of
+    ``stages`` (equal parts of the progress, the end in the last) it is asked
+    for the first s/``stages`` of a sequence's targets; mean ``-ln p(y)``."""
+    lp = np.asarray(log_probs, dtype=np.float64)
+
+    def fn(xs, ys, progress):
+        stage = np.minimum(np.floor(progress * stages).astype(np.int64) + 1, stages)
+        sizes = [max(1, len(y) * int(s) // stages) for y, s in zip(ys, stage)]
+        return np.array([-lp[np.asarray(y[:n], np.int64)].mean() for y, n in zip(ys, sizes)])
+    return fn
+
+
 def test_batch_losses(test_seqs: DataFrame, test_manifest: DataFrame, counts: DataFrame,
                       spec: WindowSpec, vocab_size: int, max_steps: int, run: str = "count-model") -> DataFrame:
     """Per test batch that ``max_steps`` loader calls of each rank read (going

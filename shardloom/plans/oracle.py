@@ -423,3 +423,44 @@ SQL["step_documents"] = f"""{SCHED},
   SELECT step, rank, source_ord, doc_ord, count(*)::BIGINT AS n_read, count(*) FILTER (s.pos < lo + {Q.LOADER.B * T})::BIGINT AS n_tokens
   FROM reads r JOIN stream s ON s.shard_id = r.shard_id AND s.pos >= lo AND s.pos < lo + {Q.LOADER.B * T + Q.LOADER.N}
   GROUP BY step, rank, source_ord, doc_ord"""
+
+
+def _label(ratio) -> str:
+    a, b = ratio[0], ratio[0] + ratio[1]
+    return f"CASE WHEN shard_id % 10 < {a} THEN 'training' WHEN shard_id % 10 < {b} THEN 'validation' ELSE 'testing' END"
+
+
+def _ratio_rows(ratio) -> str:
+    name = ":".join(map(str, ratio))
+    if min(ratio) < 0 or sum(ratio) != 10:
+        return f"SELECT '{name}' AS ratio, false AS valid, NULL::VARCHAR AS split, NULL::BIGINT AS n_shards, NULL::BIGINT AS n_tokens"
+    return f"SELECT '{name}' AS ratio, true AS valid, {_label(ratio)} AS split, count(*)::BIGINT AS n_shards, sum(n_tokens)::BIGINT AS n_tokens FROM mani GROUP BY 3"
+
+
+def _rounds(b: int, w: int) -> str:
+    """Batches of each rank in one round of the training split."""
+    bt = b * T
+    return f"""SELECT rank, sum(CASE WHEN {bt} * rank + {bt + Q.LM_N} <= L THEN greatest(1, (L - {Q.LM_N} - {bt} * rank) // {bt * w}) ELSE 0 END) AS M
+      FROM (SELECT n_tokens AS L, unnest(range(0, {w})) AS rank FROM mani WHERE split = 'training') GROUP BY rank"""
+
+
+def _accumulation(b: int, w: int) -> str:
+    per = b * T * w
+    steps = Q.ACCUM_TOKENS // per if Q.ACCUM_TOKENS % per == 0 else None
+    known = f"{steps}::BIGINT AS accum_steps, (min(M) // {steps})::BIGINT AS steps_per_round" if steps else "max(NULL::BIGINT) AS accum_steps, max(NULL::BIGINT) AS steps_per_round"
+    return f"SELECT {b}::INTEGER AS B, {w}::INTEGER AS W, {str(bool(steps)).lower()} AS divides, {known} FROM ({_rounds(b, w)})"
+
+
+SQL["ratio_report"] = f"WITH {DOCS}, {offs()}, {man()} " + " UNION ALL ".join(_ratio_rows(r) for r in Q.REPORT_RATIOS)
+SQL["accumulation_steps"] = f"WITH {DOCS}, {offs()}, {man()} " + " UNION ALL ".join(_accumulation(b, w) for b in Q.ACCUM_B for w in Q.ACCUM_W)
+SQL["stream_resume"] = SQL["pack_shards"]
+SCHED_LM = SCHED.replace(f"{Q.LOADER.B * T + Q.LOADER.N} <= L", f"{Q.LOADER.B * T + Q.LM_N} <= L").replace(f"(L - {Q.LOADER.N} -", f"(L - {Q.LM_N} -")
+SQL["stage_scores"] = f"""{SCHED_LM}, {pairs_at(Q.LM_N)},
+  counts AS (SELECT b, count(*)::BIGINT AS c FROM tpairs WHERE split = 'training' GROUP BY b),
+  tot AS (SELECT sum(c) AS n FROM counts),
+  reads AS (SELECT m // {Q.SCHEDULE_ACCUM} AS step, m, rank, shard_id, (rank + k * {Q.LOADER.W}) * {Q.LOADER.B} + unnest(range(0, {Q.LOADER.B})) AS seq FROM pick),
+  staged AS (SELECT *, CASE WHEN (step + 1) / {float(Q.SCHEDULE_STEPS)} < 1.0 / 3 THEN 1 WHEN (step + 1) / {float(Q.SCHEDULE_STEPS)} < 2.0 / 3 THEN 2 ELSE 3 END AS stage FROM reads),
+  each AS (SELECT s.stage, s.m, s.rank, s.seq, avg(-ln((coalesce(u.c, 0) + 1.0) / ((SELECT n FROM tot) + {float(V)}))) AS loss
+           FROM staged s JOIN tpairs p ON p.shard_id = s.shard_id AND p.pos // {T} = s.seq AND p.pos % {T} < {T} * s.stage // 3 LEFT JOIN counts u USING (b)
+           GROUP BY s.stage, s.m, s.rank, s.shard_id, s.seq)
+  SELECT stage, count(*)::BIGINT AS n_sequences, round(avg(loss), 6) AS loss FROM each GROUP BY stage"""

@@ -9,6 +9,7 @@ A=4 micro steps; generation up to 48 tokens with top-5 sampling, seed 42.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable, Dict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,9 @@ REQUESTED_RUNS = ("view", "click", "purchase", "checkout", "signup")
 RATIO = C.SplitRatio(8, 1, 1)
 RESPLIT_RATIO = C.SplitRatio(6, 3, 1)
 REPORT_LIMIT = 1000                # a token limit that documents break
+REPORT_RATIOS = ((8, 1, 1), (6, 3, 1), (10, 0, 0), (5, 3, 1), (11, -1, 0))
+ACCUM_TOKENS = 8192                # tokens of an optimiser step in the report of accumulation steps
+ACCUM_B, ACCUM_W = (2, 3, 8), (1, 2)
 
 PACK = C.PackSpec(data_name=DATA_NAME, shard_tokens=SHARD_TOKENS)
 
@@ -515,6 +519,35 @@ def q_unigram_test_loss(spark, sf):
     return scored.agg(F.count(F.lit(1)).alias("n_sequences"), F.round(F.avg("loss"), 6).alias("loss"))
 
 
+def q_stage_scores(spark, sf):
+    """J2 with training progress: a supplied model that differs by stage scores
+    every sequence that the schedule reads, in mapInPandas; mean by stage."""
+    from ..operators import scoring as SC
+
+    lp = SC.unigram_log_probs(lm_counts(spark, sf), word_tokenizer(spark, sf).vocab_size)
+    sched = BA.batch_schedule(SH.shard_catalog(prepared_manifest(spark, sf), "training"), LM_LOADER, SCHEDULE_ACCUM, SCHEDULE_STEPS)
+    rows = BA.schedule_sequences(sched, LM_LOADER).select(
+        "stage", "shard_id", "seq", ((F.col("step") + 1) / F.lit(float(SCHEDULE_STEPS))).alias("progress"))
+    train = seqs(spark, sf, LM_N).where(F.col("split") == "training").select("shard_id", "seq", "x", "y")
+    scored = SC.score_sequences(rows.join(train, ["shard_id", "seq"]), SC.staged_scorer(lp), ("stage",), progress_col="progress")
+    return scored.groupBy("stage").agg(F.count(F.lit(1)).alias("n_sequences"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
+def q_accumulation_steps(spark, sf):
+    """B11 as a report: for ranks and batch sizes, whether the tokens of an
+    optimiser step divide into micro batches, how many, and the steps that one
+    round of the training split gives."""
+    train = SH.shard_catalog(prepared_manifest(spark, sf), "training")
+    shapes = [C.WindowSpec(B=b, T=SEQ_T, N=LM_N, W=w) for b in ACCUM_B for w in ACCUM_W]
+    return reduce(DataFrame.unionByName, [BA.accumulation_report(train, spec, ACCUM_TOKENS) for spec in shapes])
+
+
+def q_ratio_report(spark, sf):
+    """B7 as a report: split ratios that add up to ten and what they make of
+    the corpus; those that do not are refused."""
+    return PK.ratio_report(prepared_manifest(spark, sf), REPORT_RATIOS)
+
+
 def test_manifest(spark, sf) -> DataFrame:
     return SH.shard_catalog(prepared_manifest(spark, sf), "testing")
 
@@ -618,6 +651,7 @@ def q_step_documents(spark, sf):
 # -- streaming (run to completion with availableNow, output read back) --------
 
 STREAM_BATCHES = 4
+STOP_AFTER = 2                     # micro-batches before the stopped stream fails
 STREAM_FILE_BYTES = 64 << 20       # of a part's bytes, as the planner estimates them, in each of its files
 
 
@@ -666,6 +700,26 @@ def q_stream_pack_shards(spark, sf):
                     F.size("tokens").cast("long").alias("length"), _txt("tokens").alias("tokens_text"))
 
 
+def q_stream_resume(spark, sf):
+    """The packing stream fails inside its third micro-batch, after the
+    data and before the ledger, and a new start goes on from there."""
+    from pyspark.errors import StreamingQueryException
+
+    from ..streaming import packing as SP
+
+    stream = _arriving(spark, docs(spark, sf), "doc_ord", "resume-docs")
+    out, ck = staging_path(spark, "resume-pack"), staging_path(spark, "resume-pack-ck")
+    tok = word_tokenizer(spark, sf)
+    try:
+        SP.start_incremental_packing(stream, out, ck, tok, PACK, ratio=RATIO, stop_before_ledger=STOP_AFTER).awaitTermination()
+    except StreamingQueryException as e:
+        if SP.STOPPED not in str(e):
+            raise
+    SP.start_incremental_packing(stream, out, ck, tok, PACK, ratio=RATIO).awaitTermination()
+    f = SP.read_packed(spark, out)
+    return f.select("source_ord", "doc_ord", "shard_id", "pos", F.size("tokens").cast("long").alias("length"), _txt("tokens").alias("tokens_text"))
+
+
 def q_stream_manifest(spark, sf):
     from ..streaming.packing import read_stream_manifest
 
@@ -771,7 +825,8 @@ def q_ngram_cross_entropy(spark, sf):
 QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "stream_manifest": q_stream_manifest,
                 "live_step_loss": q_live_step_loss, "live_throughput": q_live_throughput, "live_log_steps": q_live_log_steps,
                 "npy_shard_scan": q_npy_shard_scan, "ngram_counts": q_ngram_counts, "ngram_cross_entropy": q_ngram_cross_entropy,
-                "generate_ngram": q_generate_ngram, "step_documents": q_step_documents,
+                "stage_scores": q_stage_scores, "accumulation_steps": q_accumulation_steps, "ratio_report": q_ratio_report,
+                "stream_resume": q_stream_resume, "generate_ngram": q_generate_ngram, "step_documents": q_step_documents,
                 "log_report": q_log_report,
                 "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss,
                 "test_loss_whole": q_test_loss_whole,

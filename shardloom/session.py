@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +59,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one staged table under the checkpoint folder."""
-    root = ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/shardloom-tables/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for one staged table under the checkpoint folder, or
+    under that of the ``staging_scope`` this thread is in."""
+    top = getattr(_SCOPE, "folder", None) or f"{ensure_checkpoint_dir(spark).rstrip('/')}/shardloom-tables"
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+_SCOPE = threading.local()
+
+
+@contextmanager
+def staging_scope(spark: SparkSession, name: str):
+    """What is staged inside is removed at the end, also after an error: for
+    work that writes its result itself, as a micro-batch does."""
+    outer = getattr(_SCOPE, "folder", None)
+    _SCOPE.folder = staging_path(spark, name)
+    folder = _SCOPE.folder
+    try:
+        yield folder
+    finally:
+        _SCOPE.folder = outer
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder through the Hadoop FileSystem API, whatever its store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -114,13 +140,9 @@ def drop_staged_tables(spark: SparkSession) -> bool:
     """Delete this application's staged tables (everything ``stage_table`` and
     the prepared-table cache wrote) through the Hadoop FileSystem API, so it
     works for any shared store.  Call once the results are consumed."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shardloom-tables"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for forget in _ON_DROP:
         forget(spark.sparkContext.applicationId)
-    return bool(fs.delete(path, True))
+    return _delete(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/shardloom-tables")
 
 
 #: Called with the application's id when its staged tables are dropped.

@@ -25,7 +25,7 @@ from ..config import PackSpec, SplitRatio
 from ..operators.packing import fragments_at, label_splits, named_manifest, shard_manifest, stage_token_table
 from ..operators.tokenize import Tokenizer
 from ..plans.ordering import with_offsets
-from ..session import stage_table
+from ..session import stage_table, staging_scope
 
 LEDGER_SCHEMA = "start long, end long, batch_id long"
 
@@ -58,33 +58,42 @@ def _base_offset(spark: SparkSession, out: str, batch_id: int) -> int:
     return int(row.e or 0)
 
 
+#: What a stream that was asked to stop says.
+STOPPED = "stopped before the ledger"
+
+
 def pack_batch(batch: DataFrame, batch_id: int, out: str, tok: Tokenizer, spec: PackSpec,
-               ratio: SplitRatio = SplitRatio()) -> None:
+               ratio: SplitRatio = SplitRatio(), stop_before_ledger: int | None = None) -> None:
     """The ``foreachBatch`` body; safe to call again for the same id.
 
     The micro-batch is encoded once into a staged table, which its offsets,
-    fragments, manifest rows and ledger total read."""
+    fragments, manifest rows and ledger total read; what it stages is removed
+    before the ledger is written, so an endless stream fills no folder."""
     spark = batch.sparkSession
     base = _base_offset(spark, out, batch_id)
-    tokens = stage_token_table(batch.select("source_ord", "doc_ord", "text"), tok)
-    offsets = with_offsets(tokens.select("source_ord", "doc_ord", "n"), "n", spec.ranges)
-    offsets = stage_table(offsets.withColumn("g", F.col("g") + F.lit(base)), "batch-offsets")
-    placed = tokens.join(offsets.drop("n"), ["source_ord", "doc_ord"])
-    frags = label_splits(fragments_at(placed, spec.shard_tokens), ratio)
-    frags.write.mode("overwrite").parquet(f"{data_path(out)}/batch_id={batch_id}")
-    part = shard_manifest(offsets, spec, None).select("shard_id", "n_tokens", "n_docs")
-    part.write.mode("overwrite").parquet(f"{manifest_path(out)}/batch_id={batch_id}")
-    total = offsets.agg(F.sum("n").alias("s")).collect()[0].s or 0
+    with staging_scope(spark, "micro-batch"):
+        tokens = stage_token_table(batch.select("source_ord", "doc_ord", "text"), tok)
+        offsets = with_offsets(tokens.select("source_ord", "doc_ord", "n"), "n", spec.ranges)
+        offsets = stage_table(offsets.withColumn("g", F.col("g") + F.lit(base)), "batch-offsets")
+        placed = tokens.join(offsets.drop("n"), ["source_ord", "doc_ord"])
+        frags = label_splits(fragments_at(placed, spec.shard_tokens), ratio)
+        frags.write.mode("overwrite").parquet(f"{data_path(out)}/batch_id={batch_id}")
+        part = shard_manifest(offsets, spec, None).select("shard_id", "n_tokens", "n_docs")
+        part.write.mode("overwrite").parquet(f"{manifest_path(out)}/batch_id={batch_id}")
+        total = offsets.agg(F.sum("n").alias("s")).collect()[0].s or 0
+    if batch_id == stop_before_ledger:
+        raise RuntimeError(STOPPED)
     ledger = spark.createDataFrame([(base, base + int(total))], "start long, end long")
     ledger.write.mode("overwrite").parquet(f"{ledger_path(out)}/batch_id={batch_id}")
 
 
 def start_incremental_packing(docs_stream: DataFrame, out: str, checkpoint: str, tok: Tokenizer,
                               spec: PackSpec, available_now: bool = True,
-                              ratio: SplitRatio = SplitRatio()) -> StreamingQuery:
-    """Run I1 over a streaming ``(source_ord, doc_ord, text)`` DataFrame."""
+                              ratio: SplitRatio = SplitRatio(), stop_before_ledger: int | None = None) -> StreamingQuery:
+    """Run I1 over a streaming ``(source_ord, doc_ord, text)`` DataFrame;
+    ``stop_before_ledger`` names a micro-batch that fails where a crash is worst (for drills)."""
     writer = (docs_stream.writeStream
-              .foreachBatch(lambda df, bid: pack_batch(df, bid, out, tok, spec, ratio))
+              .foreachBatch(lambda df, bid: pack_batch(df, bid, out, tok, spec, ratio, stop_before_ledger))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
