@@ -74,6 +74,33 @@ def loss_curve(steps: DataFrame) -> DataFrame:
             .orderBy("run", "step"))
 
 
+def curve_pixels(steps: DataFrame, width: int) -> DataFrame:
+    """G2 for plotting: the points ``(run, px, step, loss)`` that draw the same
+    picture, ``width`` pixel columns wide, as all points of all runs on shared
+    axes (step, log of loss): the first, last, least and greatest of each run
+    in each column, a point that is several of them once.  At most ``4 *
+    width`` rows a run, from one partial + final aggregate.
+
+    A point that a log axis can't show (null, NaN, infinite, or not above 0) is
+    left out.  Of equal losses the earlier step counts, of records of one step
+    the smaller loss as first and the greater as last; a single step falls into
+    column 0."""
+    if width <= 0:
+        raise ValueError("width must be positive")
+    shown = steps.where((F.col("loss") > 0) & (F.col("loss") < float("inf")) & F.col("step").isNotNull()).select("run", F.col("step").cast("long").alias("step"), "loss")
+    lo, hi = shown.agg(F.min("step"), F.max("step")).first()              # the shared axis, one row
+    lo, span = (0, 1) if lo is None else (lo, hi - lo + 1)
+    px = F.expr(f"(step - {lo}) * {int(width)} div {span}")
+    by_step, by_loss = F.struct("step", "loss"), F.struct("loss", F.negative("step").alias("back"))
+    ends = shown.groupBy("run", px.alias("px")).agg(
+        F.min(by_step).alias("first"), F.max(by_step).alias("last"),
+        F.min(F.struct("loss", "step")).alias("least"), F.max(by_loss).alias("greatest"))
+    of_step = lambda c, step: F.struct(step.alias("step"), F.col(f"{c}.loss").alias("loss"))
+    points = F.array_distinct(F.array(of_step("first", F.col("first.step")), of_step("least", F.col("least.step")),
+                                      of_step("greatest", -F.col("greatest.back")), of_step("last", F.col("last.step"))))
+    return ends.select("run", "px", F.explode(points).alias("p")).select("run", "px", "p.step", "p.loss")
+
+
 def loss_map(steps: DataFrame, block: int = 1000) -> DataFrame:
     """The history as ``map<step, loss>``, one per run and block of
     ``block`` steps, so that no group grows with the run: ``(run, block,

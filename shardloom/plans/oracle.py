@@ -383,6 +383,14 @@ NGRAMS = f"""{pairs_at(Q.LM_N)},
   kinds AS (SELECT DISTINCT a2, a1, b FROM ng WHERE split = 'training'),
   n2 AS (SELECT a1, b, count(*)::BIGINT AS n FROM kinds GROUP BY ALL),
   n1 AS (SELECT b, count(*)::BIGINT AS n FROM (SELECT DISTINCT a1, b FROM kinds) GROUP BY b)"""
+SQL["topk_bounded"] = SQL["topk_next"]
+SQL["curve_pixels"] = f"""WITH {TEL},
+  pts AS (SELECT run, step, round(loss, 6) AS loss FROM sloss WHERE loss > 0),
+  ax AS (SELECT min(step) AS lo, max(step) - min(step) + 1 AS span FROM pts),
+  col AS (SELECT run, (step - lo) * {Q.CURVE_WIDTH} // span AS px, step, loss FROM pts, ax),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY run, px ORDER BY step) AS f, row_number() OVER (PARTITION BY run, px ORDER BY step DESC) AS l,
+           row_number() OVER (PARTITION BY run, px ORDER BY loss, step) AS lo_rank, row_number() OVER (PARTITION BY run, px ORDER BY loss DESC, step) AS hi_rank FROM col)
+  SELECT run, px, step, loss FROM rk WHERE 1 IN (f, l, lo_rank, hi_rank)"""
 SQL["ngram_counts"] = f"""{CORPUS}, {NGRAMS}
   SELECT 3::INTEGER AS k, a2 || ' ' || a1 AS context, b, n FROM n3 UNION ALL SELECT 2, a1::VARCHAR, b, n FROM n2 UNION ALL SELECT 1, '', b, n FROM n1"""
 SQL["ngram_cross_entropy"] = f"""{CORPUS}, {NGRAMS},

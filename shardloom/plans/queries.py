@@ -40,6 +40,7 @@ SCHEDULE_ACCUM, SCHEDULE_STEPS = 2, 500
 TEL = C.TelemetrySpec(A=4, W=2, warmup_steps=20)
 GEN_MAX_LENGTH = 48
 HORIZON_LENGTH = 144
+CURVE_WIDTH = 24                   # pixel columns of a reduced curve
 LOSS_BLOCK = 100                   # steps per loss map
 TEST_STEPS = 120                   # loader calls of a test run of fixed length (``test_loss_whole`` reads the whole split)
 WHOLE_EXTRA = 8                    # loader calls beyond the longest round, when the whole testing split is read
@@ -334,6 +335,14 @@ def q_topk_next(spark, sf):
     return CM.topk_next(lm_counts(spark, sf))
 
 
+def q_topk_bounded(spark, sf):
+    """E6 in bounded space: summaries of at most ``HH.M`` counters a context
+    and task, then exact counts of what they leave open."""
+    from ..operators import heavyhitters as HH
+
+    return HH.topk_bounded(seqs(spark, sf, LM_N).where(F.col("split") == "training"))
+
+
 def q_next_token_probs(spark, sf):
     p = CM.next_token_probs(lm_counts(spark, sf), word_tokenizer(spark, sf).vocab_size)
     return p.select("a", "b", "c", _r("p"))
@@ -409,6 +418,13 @@ def q_loss_curve(spark, sf):
     return c.select("run", "step", _r("loss"), _r("log10_loss"))
 
 
+def q_curve_pixels(spark, sf):
+    """G2 for plotting: all runs' curves on shared axes, ``CURVE_WIDTH`` pixel
+    columns wide, as the points that draw the same picture."""
+    c = TM.curve_pixels(TM.step_loss(telemetry(spark, sf), TEL).select("run", "step", _r("loss")), CURVE_WIDTH)
+    return c.select("run", "px", "step", "loss")
+
+
 def q_step_duration(spark, sf):
     return TM.step_duration(telemetry(spark, sf)).select("run", "step", "dt_ms")
 
@@ -827,7 +843,7 @@ QUERIES.update({"stream_pack_shards": q_stream_pack_shards, "stream_manifest": q
                 "npy_shard_scan": q_npy_shard_scan, "ngram_counts": q_ngram_counts, "ngram_cross_entropy": q_ngram_cross_entropy,
                 "stage_scores": q_stage_scores, "accumulation_steps": q_accumulation_steps, "ratio_report": q_ratio_report,
                 "stream_resume": q_stream_resume, "generate_ngram": q_generate_ngram, "step_documents": q_step_documents,
-                "log_report": q_log_report,
+                "log_report": q_log_report, "topk_bounded": q_topk_bounded, "curve_pixels": q_curve_pixels,
                 "unigram_test_loss": q_unigram_test_loss, "test_loss": q_test_loss,
                 "test_loss_whole": q_test_loss_whole,
                 "horizon_counts": q_horizon_counts, "generate_horizon": q_generate_horizon, "log_scan": q_log_scan})
