@@ -53,8 +53,8 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES
             at, done = to, int(ends[to - 1])
 
 
-def with_columns(df: DataFrame, text: str, fields: list[pa.Field], compute: Callable[[list[str]], list]) -> DataFrame:
-    """``df`` with columns that ``compute`` makes from a list of texts (null: empty), in Arrow batches.
+def with_columns(df: DataFrame, text: str, fields: list[pa.Field], compute: Callable[[list[str]], list], size: int = SLICE_BYTES) -> DataFrame:
+    """``df`` with columns that ``compute`` makes from a list of texts (null: empty), in Arrow batches, slices of about ``size`` bytes at a time.
 
     Every other column passes through; one of the same name as a new column is replaced.
     """
@@ -66,7 +66,7 @@ def with_columns(df: DataFrame, text: str, fields: list[pa.Field], compute: Call
     schema = StructType([df.schema[c] for c in kept] + [StructField(f.name, from_arrow_type(f.type)) for f in fields])
 
     def run(batches):
-        for part in slices(batches, text):
+        for part in slices(batches, text, size):
             columns = compute([t or "" for t in part.column(text).to_pylist()])
             rest = [part.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(rest + [pa.array(c, f.type) for c, f in zip(columns, fields)], names=kept + [f.name for f in fields])

@@ -37,7 +37,9 @@ TOXIC_ROWS, CLEAN_ROWS = 1000, 2000
 FIT_CHARS = 20_000
 EPOCHS = 4
 MIN_DOCS = 3
-MEMO_WORDS = 200_000
+MEMO_WORDS = 50_000
+#: Bytes of text that are split into words at once.
+SLICE_BYTES = 1 << 20
 _CHAR_BUCKETS, _WORD_DIM, _CHAR_DIM, _HIDDEN = 1 << 15, 8, 8, 8
 _TOKEN = re.compile(r"\w+")
 
@@ -284,4 +286,4 @@ def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "sc
             _models[name] = Model(*sent.value)
         return [_models[name].scores(texts)]
 
-    return with_columns(df, text, [pa.field(out, pa.float64())], compute)
+    return with_columns(df, text, [pa.field(out, pa.float64())], compute, SLICE_BYTES)
