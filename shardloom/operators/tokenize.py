@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import base64
 import uuid
-from typing import Optional, Sequence
+from typing import Iterator, Optional, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,9 @@ GPT2_PATTERN = (r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
                 r"""|\s+(?!\S)|\s+""")
 EOT_TEXT = "<|endoftext|>"
 
+# Bytes of text that the word mode splits at once.
+SLICE_BYTES = 1 << 20
+
 # Per Python-worker cache of objects rebuilt from broadcast values.
 _WORKER_CACHE: dict = {}
 
@@ -68,6 +71,16 @@ def _prepend(ids: np.ndarray, lengths: np.ndarray, eot: Optional[int]) -> pa.Lis
                                     pa.array(values, pa.int32()))
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of about ``SLICE_BYTES``, one text at least, so that what is made of words is small beside an Arrow batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        yield texts.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
+
+
 def _with_nulls(out: pa.ListArray, source: pa.Array) -> pa.Array:
     if source.null_count == 0:
         return out
@@ -162,6 +175,10 @@ class WordTokenizer(Tokenizer):
         byte_base = self.byte_base
 
         def encode_batch(texts: pa.Array, eot: Optional[int]) -> pa.Array:
+            parts = [encode_slice(part, eot) for part in _slices(texts)]
+            return pa.concat_arrays(parts) if parts else encode_slice(texts, eot)
+
+        def encode_slice(texts: pa.Array, eot: Optional[int]) -> pa.Array:
             pieces = pc.split_pattern(texts, " ")
             flat = pieces.flatten()
             value_set = _WORKER_CACHE.get((key, str(flat.type)))

@@ -1,5 +1,6 @@
 """Tokenizer modes against direct Python / library calls; failure cases."""
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -117,3 +118,17 @@ def test_split_ratio_must_sum_to_ten():
     with pytest.raises(ValueError):
         SplitRatio(7, 1, 1)
     SplitRatio(6, 2, 2)
+
+
+def test_word_encoding_is_the_same_in_small_slices(spark, monkeypatch):
+    from shardloom.operators import tokenize as TK
+
+    texts = ["", "a b  c", "long " * 50 + "ñandú", None, "zz", " "] * 3
+    monkeypatch.setattr(TK, "SLICE_BYTES", 10)
+    parts = list(TK._slices(pa.array(texts)))
+    assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 3
+    monkeypatch.undo()
+    tok = WordTokenizer(spark, ["a", "b"])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+    rows = df.select("t", tok.encode(df.t, eot=False).alias("ids"), tok.decode(tok.encode(df.t, eot=False)).alias("back")).collect()
+    assert all(r.back == r.t for r in rows)
