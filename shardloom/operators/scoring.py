@@ -10,7 +10,8 @@ state is one log-probability per token id (at most 65,536 values, broadcast).
 
 ``test_batch_losses`` is the count model's score of every test batch the
 loader would deal, as joins: pairs of the batch's sequences against the pair
-counts, mean ``-ln p`` per (rank, batch).
+counts, mean ``-ln p`` per (rank, batch).  ``test_rank_losses`` gives the sums
+per rank alone.
 """
 
 from __future__ import annotations
@@ -88,6 +89,35 @@ def staged_scorer(log_probs: np.ndarray, stages: int = 3) -> Callable:
     return fn
 
 
+def _dealt_pairs(test_seqs: DataFrame, test_manifest: DataFrame, spec: WindowSpec, max_steps: int) -> DataFrame:
+    """``(rank, n_reads, shard_id, batch, xy)`` per target of the batches that
+    ``max_steps`` loader calls read."""
+    schedule = batch_schedule(test_manifest, spec, 1, max_steps)
+    dealt = schedule.groupBy("rank", "shard_id", "batch").agg(F.count(F.lit(1)).alias("n_reads"))
+    return (test_seqs.withColumn("batch", F.expr(f"seq div {spec.B}")).join(dealt, ["shard_id", "batch"])
+            .select("rank", "n_reads", "shard_id", "batch", F.explode(F.arrays_zip("x", "y")).alias("xy")))
+
+
+def _with_nll(pairs: DataFrame, counts: DataFrame, vocab_size: int):
+    """``pairs`` joined to the counts of ``(a, b)``, and ``-ln p(b|a)`` of a row, add-one smoothing."""
+    joined = pairs.join(counts, ["a", "b"], "left").join(context_totals(counts), "a", "left")
+    return joined, -F.log((F.coalesce("c", F.lit(0)) + F.lit(1.0)) / (F.coalesce("ca", F.lit(0)) + F.lit(float(vocab_size))))
+
+
+def test_rank_losses(test_seqs: DataFrame, test_manifest: DataFrame, counts: DataFrame,
+                     spec: WindowSpec, vocab_size: int, max_steps: int, run: str = "count-model") -> DataFrame:
+    """D7 without a row per batch: ``(run, rank, loss)``, the sum of batch
+    losses over ``max_steps``.  All batches have ``B*T`` targets, so a rank's
+    loss is a sum over its distinct pairs, weighted by how often each is read;
+    pairs collapse map-side before anything is shuffled, hot ones too."""
+    _check_vocab(vocab_size)
+    dealt = _dealt_pairs(test_seqs, test_manifest, spec, max_steps)
+    per = dealt.groupBy("rank", F.col("xy.x").alias("a"), F.col("xy.y").alias("b")).agg(F.sum("n_reads").alias("n"))
+    j, nll = _with_nll(per, counts, vocab_size)
+    total = F.sum(F.col("n") * nll) / F.lit(float(spec.B * spec.T * max_steps))
+    return j.groupBy("rank").agg(total.alias("loss")).select(F.lit(run).alias("run"), "rank", "loss")
+
+
 def test_batch_losses(test_seqs: DataFrame, test_manifest: DataFrame, counts: DataFrame,
                       spec: WindowSpec, vocab_size: int, max_steps: int, run: str = "count-model") -> DataFrame:
     """Per test batch that ``max_steps`` loader calls of each rank read (going
@@ -96,14 +126,9 @@ def test_batch_losses(test_seqs: DataFrame, test_manifest: DataFrame, counts: Da
 
     Sequences join the batches before their tokens are unfolded."""
     _check_vocab(vocab_size)
-    schedule = batch_schedule(test_manifest, spec, 1, max_steps)
-    dealt = schedule.groupBy("rank", "shard_id", "batch").agg(F.count(F.lit(1)).alias("n_reads"))
-    seqs = (test_seqs.withColumn("batch", F.expr(f"seq div {spec.B}")).join(dealt, ["shard_id", "batch"])
-            .select("rank", "n_reads", "shard_id", "batch", F.explode(F.arrays_zip("x", "y")).alias("xy")))
-    per = (seqs.groupBy("rank", "shard_id", "batch", F.col("xy.x").alias("a"), F.col("xy.y").alias("b"))
+    per = (_dealt_pairs(test_seqs, test_manifest, spec, max_steps).groupBy("rank", "shard_id", "batch", F.col("xy.x").alias("a"), F.col("xy.y").alias("b"))
            .agg(F.count(F.lit(1)).alias("n"), F.first("n_reads").alias("n_reads")))
-    j = per.join(counts, ["a", "b"], "left").join(context_totals(counts), "a", "left")
-    nll = -F.log((F.coalesce("c", F.lit(0)) + F.lit(1.0)) / (F.coalesce("ca", F.lit(0)) + F.lit(float(vocab_size))))
+    j, nll = _with_nll(per, counts, vocab_size)
     return (j.groupBy("rank", "shard_id", "batch")
             .agg(F.first("n_reads").alias("n_reads"), (F.sum(F.col("n") * nll) / F.sum("n")).alias("loss"))
             .withColumn("run", F.lit(run)))

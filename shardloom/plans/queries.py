@@ -592,8 +592,12 @@ def q_test_loss(spark, sf):
 def q_test_loss_whole(spark, sf):
     """D7 + D4 over the whole testing split: as many loader calls as the
     longest round of a rank in the manifest, and ``WHOLE_EXTRA`` more."""
-    steps = whole_test_steps(spark, sf)
-    return TM.test_loss(test_losses(spark, sf, steps), steps).select("run", _r("test_loss"))
+    from ..operators import scoring as SC
+
+    test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
+    ranks = SC.test_rank_losses(test, test_manifest(spark, sf), lm_counts(spark, sf), LM_LOADER,
+                                word_tokenizer(spark, sf).vocab_size, whole_test_steps(spark, sf))
+    return ranks.groupBy("run").agg(F.avg("loss").alias("test_loss")).select("run", _r("test_loss"))
 
 
 def q_horizon_counts(spark, sf):

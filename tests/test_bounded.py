@@ -1,5 +1,6 @@
 """Top-k in bounded space and pixel-exact curves against plain versions."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -8,8 +9,11 @@ import pytest
 
 from shardloom.operators import countmodel as CM
 from shardloom.operators import heavyhitters as HH
+from shardloom.operators import scoring as SC
 from shardloom.operators import telemetry as TM
 
+from conftest import SF_MID
+
 SEQS = "split string, shard_id long, seq long, x array<int>, y array<int>"
 
 
@@ -106,3 +110,15 @@ def test_curves_of_nothing_and_of_one_point(spark):
     assert [tuple(r) for r in TM.curve_pixels(spark.createDataFrame([("a", 3, 1.5)] * 2, schema), 10).collect()] == [("a", 0, 3, 1.5)]
     with pytest.raises(ValueError):
         TM.curve_pixels(spark.createDataFrame([], schema), 0)
+
+
+def test_rank_losses_are_the_sums_of_batch_losses(spark):
+    from shardloom.plans import queries as Q
+
+    sf, steps = SF_MID, 25
+    args = (Q.seqs(spark, sf, Q.LM_N).where("split = 'testing'"), Q.test_manifest(spark, sf), Q.lm_counts(spark, sf), Q.LM_LOADER,
+            Q.word_tokenizer(spark, sf).vocab_size, steps)
+    [whole] = TM.test_loss(SC.test_batch_losses(*args), steps).collect()
+    ranks = {r["rank"]: r["loss"] for r in SC.test_rank_losses(*args).collect()}
+    assert len(ranks) == Q.LM_LOADER.W
+    assert math.isclose(sum(ranks.values()) / len(ranks), whole.test_loss, rel_tol=1e-12)
