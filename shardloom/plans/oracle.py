@@ -323,6 +323,7 @@ SQL["unigram_test_loss"] = f"""{CORPUS}, {COUNTS},
   SELECT (count(*) / {T})::BIGINT AS n_sequences,
          round(avg(-ln((coalesce(u.c, 0) + 1.0) / ((SELECT n FROM tot) + {float(V)}))), 6) AS loss
   FROM test t LEFT JOIN uni u USING (b)"""
+TEST_STEPS = f"(SELECT max(M) + {Q.WHOLE_EXTRA} FROM cum)"
 TEST_LOSS = f"""{man()},
   ranks AS (SELECT shard_id, n_tokens AS L, unnest(range(0, {Q.LOADER.W})) AS rank FROM mani WHERE split = 'testing'),
   kr AS (SELECT shard_id, rank, CASE WHEN {Q.LOADER.B * T} * rank + {Q.LOADER.B * T + Q.LM_N} <= L
@@ -330,20 +331,18 @@ TEST_LOSS = f"""{man()},
   cum AS (SELECT *, (sum(K) OVER (PARTITION BY rank ORDER BY shard_id) - K)::BIGINT AS c0,
                 (sum(K) OVER (PARTITION BY rank))::BIGINT AS M FROM kr),
   reads AS (SELECT c.rank, c.shard_id, c.rank + ((s.i % c.M) - c.c0) * {Q.LOADER.W} AS batch
-            FROM (SELECT unnest(range(0, {Q.TEST_STEPS})) AS i) s JOIN cum c ON c.K > 0 AND (s.i % c.M) >= c.c0 AND (s.i % c.M) < c.c0 + c.K),
+            FROM (SELECT unnest(range(0, {TEST_STEPS})) AS i) s JOIN cum c ON c.K > 0 AND (s.i % c.M) >= c.c0 AND (s.i % c.M) < c.c0 + c.K),
   tp AS (SELECT shard_id, (pos // {T}) // {Q.LOADER.B} AS batch, a, b FROM tpairs WHERE split = 'testing'),
   bl AS (SELECT shard_id, batch, avg(-ln((coalesce(c.c, 0) + 1.0) / (coalesce(x.ca, 0) + {float(V)}))) AS loss
          FROM tp LEFT JOIN counts c USING (a, b) LEFT JOIN ctx x USING (a) GROUP BY ALL),
-  pr AS (SELECT rank, sum(loss) / {float(Q.TEST_STEPS)} AS loss FROM reads JOIN bl USING (shard_id, batch) GROUP BY rank),
+  pr AS (SELECT rank, sum(loss) / {TEST_STEPS} AS loss FROM reads JOIN bl USING (shard_id, batch) GROUP BY rank),
   tl AS (SELECT run, round(avg(loss), 6) AS test_loss FROM (SELECT 'count-model' AS run, loss FROM pr) GROUP BY run)"""
 SQL["test_loss"] = f"{CORPUS}, {COUNTS}, {TEST_LOSS} SELECT run, test_loss FROM tl"
 SQL["run_summary"] = f"""{CORPUS}, {COUNTS}, {TEST_LOSS}, {TEL},
   rs AS (SELECT run, count(*)::BIGINT AS n_steps, round(arg_max(loss, step), 6) AS final_loss, round(min(loss), 6) AS min_loss,
          round(avg(dt_ms), 4) AS mean_dt_ms, round(avg(tok_per_sec), 4) AS mean_tok_per_sec FROM steps GROUP BY run)
   SELECT run, n_steps, final_loss, min_loss, mean_dt_ms, mean_tok_per_sec, test_loss FROM rs FULL JOIN tl USING (run)"""
-WHOLE_STEPS = f"(SELECT max(M) + {Q.WHOLE_EXTRA} FROM cum)"
-WHOLE_LOSS = TEST_LOSS.replace(f"range(0, {Q.TEST_STEPS})", f"range(0, {WHOLE_STEPS})").replace(f"/ {float(Q.TEST_STEPS)} AS", f"/ {WHOLE_STEPS} AS")
-SQL["test_loss_whole"] = f"{CORPUS}, {COUNTS}, {WHOLE_LOSS} SELECT run, test_loss FROM tl"
+SQL["test_loss_whole"] = SQL["test_loss"]
 SQL["stream_manifest"] = SQL["shard_manifest"]
 SQL["horizon_counts"] = f"""{CORPUS}, {pairs_at(64)}
   SELECT a, b, count(*)::BIGINT AS c FROM tpairs WHERE split = 'training' GROUP BY a, b"""

@@ -42,7 +42,7 @@ GEN_MAX_LENGTH = 48
 HORIZON_LENGTH = 144
 CURVE_WIDTH = 24                   # pixel columns of a reduced curve
 LOSS_BLOCK = 100                   # steps per loss map
-TEST_STEPS = 120                   # loader calls of a test run of fixed length (``test_loss_whole`` reads the whole split)
+TEST_STEPS = 120                   # loader calls of ``test_losses`` where a caller names no number; no registered query uses it
 WHOLE_EXTRA = 8                    # loader calls beyond the longest round, when the whole testing split is read
 GEN_RUN = "bigram"
 CONTEXT_SIZE = 16
@@ -451,7 +451,7 @@ def q_resume_point(spark, sf):
 
 
 def q_run_summary(spark, sf):
-    s = TM.run_summary(steps(spark, sf), TM.test_loss(test_losses(spark, sf), TEST_STEPS))
+    s = TM.run_summary(steps(spark, sf), whole_test_loss(spark, sf))
     return s.select("run", "n_steps", _r("final_loss"), _r("min_loss"), _r("mean_dt_ms", 4),
                     _r("mean_tok_per_sec", 4), _r("test_loss"))
 
@@ -583,21 +583,28 @@ def test_losses(spark, sf, steps: int = TEST_STEPS) -> DataFrame:
         test, test_manifest(spark, sf), counts, LM_LOADER, word_tokenizer(spark, sf).vocab_size, steps))
 
 
+def whole_test_loss(spark, sf) -> DataFrame:
+    """``(run, test_loss)`` over the whole testing split, unrounded: as many
+    loader calls as the longest round of a rank in the manifest, and
+    ``WHOLE_EXTRA`` more, averaged over ranks (B=2, T=128, N=1, W=2)."""
+    from ..operators import scoring as SC
+
+    test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
+    ranks = _prepared(spark, sf, "test-rank-losses", lambda: SC.test_rank_losses(
+        test, test_manifest(spark, sf), lm_counts(spark, sf), LM_LOADER,
+        word_tokenizer(spark, sf).vocab_size, whole_test_steps(spark, sf)))
+    return ranks.groupBy("run").agg(F.avg("loss").alias("test_loss"))
+
+
 def q_test_loss(spark, sf):
-    """D7 + D4: count-model loss over ``TEST_STEPS`` loader calls (B=2, T=128,
-    N=1, W=2), going round the testing split, averaged over ranks."""
-    return TM.test_loss(test_losses(spark, sf), TEST_STEPS).select("run", _r("test_loss"))
+    """D7 + D4: count-model loss over the whole testing split, going round it."""
+    return whole_test_loss(spark, sf).select("run", _r("test_loss"))
 
 
 def q_test_loss_whole(spark, sf):
-    """D7 + D4 over the whole testing split: as many loader calls as the
-    longest round of a rank in the manifest, and ``WHOLE_EXTRA`` more."""
-    from ..operators import scoring as SC
-
-    test = seqs(spark, sf, LM_N).where(F.col("split") == "testing")
-    ranks = SC.test_rank_losses(test, test_manifest(spark, sf), lm_counts(spark, sf), LM_LOADER,
-                                word_tokenizer(spark, sf).vocab_size, whole_test_steps(spark, sf))
-    return ranks.groupBy("run").agg(F.avg("loss").alias("test_loss")).select("run", _r("test_loss"))
+    """``test_loss`` under the name that it had while ``test_loss`` read a
+    fixed number of loader calls."""
+    return q_test_loss(spark, sf)
 
 
 def q_horizon_counts(spark, sf):
