@@ -28,10 +28,18 @@ def _check_vocab(vocab_size: int) -> None:
         raise ValueError("vocab_size must be in (0, 65536]")
 
 
+def unfolded(seqs: DataFrame, *keep: str) -> DataFrame:
+    """``(keep..., a, b)`` per target position: x is unfolded and y asked at
+    the same place, so no struct is made for a token.  x and y are as long as
+    each other; otherwise the job fails."""
+    same = F.when(F.size("x") == F.size("y"), F.col("x")).otherwise(F.raise_error(F.lit("x and y differ in length")))
+    z = seqs.select(*keep, "y", F.posexplode(same).alias("_j", "a"))
+    return z.select(*keep, "a", F.get("y", F.col("_j")).alias("b"))
+
+
 def pair_table(seqs: DataFrame) -> DataFrame:
     """``(a, b)`` per target position of the given sequences."""
-    z = seqs.select(F.explode(F.arrays_zip("x", "y")).alias("xy"))
-    return z.select(F.col("xy.x").alias("a"), F.col("xy.y").alias("b"))
+    return unfolded(seqs)
 
 
 def next_token_counts(seqs: DataFrame) -> DataFrame:
@@ -42,9 +50,7 @@ def next_token_counts(seqs: DataFrame) -> DataFrame:
 def split_pair_counts(seqs: DataFrame) -> DataFrame:
     """D9 for every split at once: ``(split, a, b, c)``; the training counts
     and the test targets then come from one pass over the sequences."""
-    z = seqs.select("split", F.explode(F.arrays_zip("x", "y")).alias("xy"))
-    return (z.select("split", F.col("xy.x").alias("a"), F.col("xy.y").alias("b"))
-            .groupBy("split", "a", "b").agg(F.count(F.lit(1)).alias("c")))
+    return unfolded(seqs, "split").groupBy("split", "a", "b").agg(F.count(F.lit(1)).alias("c"))
 
 
 def context_totals(counts: DataFrame) -> DataFrame:
