@@ -77,3 +77,16 @@ def test_scheduled_fragments_keep_every_scheduled_window(spark, B, T, N, W):
     a = sorted(map(key, full.collect()))
     assert a == sorted(map(key, pruned.collect()))
     assert len(a) == rows.count()
+
+
+def test_unfolded_pairs(spark):
+    """Every target once, and no silent cut where x and y differ in length."""
+    from shardloom.operators.countmodel import unfolded
+
+    schema = "split string, x array<int>, y array<int>"
+    got = unfolded(spark.createDataFrame([("a", [1, 2, 2], [2, 2, 3]), ("b", [], []), ("c", [7], [7])], schema), "split")
+    assert got.columns == ["split", "a", "b"]
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 2), ("a", 2, 2), ("a", 2, 3), ("c", 7, 7)]
+    for x, y in (([1, 2], [2]), ([1], [2, 3])):
+        with pytest.raises(Exception, match="differ in length"):
+            unfolded(spark.createDataFrame([("a", x, y)], schema)).collect()
