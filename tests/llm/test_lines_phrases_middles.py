@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,9 +15,9 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shardloom.llm import collocations, fim, linededup
+from shardloom.llm import collocations, fim, linededup, queries
 
-from .conftest import EDGE, rows, sentence
+from .conftest import EDGE, SF, rows, sentence
 
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
 
@@ -160,6 +161,18 @@ def test_phrases_equal_plain(spark, block_bytes):
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got.collect()) == plain_phrases(docs)
 
 
+def test_phrases_equal_sql_row_by_row(spark):
+    """The registered query against its statement, all rows and columns, each language's rows by rank."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    name, columns = "op12_collocations", "lang rank phrase a l r n score".split()
+    want = con.execute(queries.SQL[name]).df()[columns].values.tolist()
+    got = rows(queries.QUERIES[name](spark, SF), *columns)
+    assert len(want) > 100 and sorted(got) == sorted(map(tuple, want))
+    for lang in {r[0] for r in got}:
+        assert sorted(r[1] for r in got if r[0] == lang) == list(range(1, sum(r[0] == lang for r in got) + 1))
+
+
 def test_phrases_tops_ties_and_columns(spark):
     docs = [("en", "b a. c d. a b; e f! é g") for _ in range(12)]
     df = spark.createDataFrame([(lang, t, 1, "w") for lang, t in docs], "lang string, text string, block int, words string")
