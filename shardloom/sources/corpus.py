@@ -86,22 +86,33 @@ def documents(spark: SparkSession, spec: DatasetSpec, source_ord: int = 0,
     return require_text(df, on_null)
 
 
-def instruction_pairs(conversations: DataFrame, max_turns: int = 65536) -> DataFrame:
+#: Places of a conversation's turns in ``doc_ord``; longer conversations widen it for the whole table.
+TURN_STRIDE = 65536
+
+
+def instruction_pairs(conversations: DataFrame, max_turns: int | None = None) -> DataFrame:
     """A ``user`` turn and the ``assistant`` turn right after it in the same
     conversation become one ``(doc_ord, instruction, output)`` row.
 
-    ``doc_ord = conv_id * max_turns + turn`` keeps (conv_id, turn) order in one
-    long; a turn number outside ``[0, max_turns)`` raises.  The equi-join is on
-    the unique ``(conv_id, turn)`` pair, so no conversation is a hot key.
+    ``doc_ord = conv_id * stride + turn`` keeps (conv_id, turn) order in one
+    long.  The stride is ``TURN_STRIDE``, or one more than the greatest turn
+    number of the table where that is larger, so a conversation may have any
+    length; with ``max_turns`` it is that number, and a later turn raises.  A
+    negative turn raises, and so does an order key beyond 63 bits.  The
+    equi-join is on the unique ``(conv_id, turn)`` pair, so no conversation is
+    a hot key.
     """
+    if max_turns is None:
+        max_turns = max(TURN_STRIDE, (conversations.agg(F.max("turn")).first()[0] or 0) + 1)
     user = conversations.where(F.col("role") == "user").select(
         "conv_id", F.col("turn").alias("u_turn"), F.col("text").alias("instruction"))
     asst = conversations.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("u_turn"), F.col("text").alias("output"))
     pairs = user.join(asst, ["conv_id", "u_turn"], "inner")
+    wide = F.try_add(F.try_multiply(F.col("conv_id").cast("long"), F.lit(max_turns).cast("long")), F.col("u_turn").cast("long"))
     doc_ord = (F.when((F.col("u_turn") < 0) | (F.col("u_turn") >= max_turns),
                       F.raise_error(F.lit("conversation turn out of range for doc_ord")))
-               .otherwise(F.col("conv_id") * F.lit(max_turns) + F.col("u_turn")))
+               .otherwise(F.coalesce(wide, F.raise_error(F.lit("doc_ord of a conversation needs more than 63 bits")))))
     return pairs.select(doc_ord.cast("long").alias("doc_ord"), "instruction", "output")
 
 

@@ -151,3 +151,25 @@ def test_prepare_with_bpe_encodes_once_and_packs_exactly(spark, tmp_dir):
     for r in sorted(frags, key=lambda r: (r.shard_id, r.pos)):
         shards.setdefault(r.shard_id, []).extend(r.tokens)
     assert [t for k in sorted(shards) for t in shards[k]] == flat
+
+
+def test_instruction_pairs_of_any_length(spark):
+    """Turns beyond the usual stride widen it; bad turns and too wide keys fail."""
+    from shardloom.sources.corpus import TURN_STRIDE, instruction_pairs
+
+    schema = "conv_id long, turn int, role string, text string"
+
+    def pairs(rows, **given):
+        made = instruction_pairs(spark.createDataFrame(rows, schema), **given)
+        return [(r.doc_ord, r.instruction, r.output) for r in made.orderBy("doc_ord").collect()]
+
+    short = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 3, "user", "c"), (2, 4, "assistant", "d"), (2, 5, "user", "e"), (2, 7, "assistant", "f")]
+    assert pairs(short) == [(TURN_STRIDE, "a", "b"), (2 * TURN_STRIDE + 3, "c", "d")]
+    late = TURN_STRIDE + 10
+    long = short + [(1, late, "user", "g"), (1, late + 1, "assistant", "h")]
+    assert pairs(long) == [(late + 2, "a", "b"), (2 * late + 2, "g", "h"), (2 * (late + 2) + 3, "c", "d")]
+    assert pairs([]) == [] and pairs([(1, None, "user", "a"), (None, 1, "assistant", "b")]) == []
+    for rows, given, message in ((long, {"max_turns": 100}, "out of range"), ([(1, -2, "user", "a"), (1, -1, "assistant", "b")], {}, "out of range"),
+                                 ([(1 << 50, 0, "user", "a"), (1 << 50, 1, "assistant", "b")], {}, "63 bits")):
+        with pytest.raises(Exception, match=message):
+            pairs(rows, **given)
