@@ -5,7 +5,8 @@ single-task window over row-level data.
 quantiles, which cut it into ranges of like size however its keys are spread.
 Range totals (one row per group and range, a number set by the configuration
 and not by the data) get the only un-partitioned window; every other window is
-partitioned by range.  The totals are written once.  One plan at every size.
+partitioned by range.  The quantiles and the totals are written once.  One plan
+at every size.
 
 ``row_index`` numbers rows of each group in a total order.  A range
 repartition on (group, order) splits even a group holding a third of all rows
@@ -41,7 +42,9 @@ def with_ranges(df: DataFrame, group_cols: Sequence[str], ord_col: str, ranges:
         raise ValueError("ranges must be in 1 .. 2**20 - 1")
     share = ", ".join(str(k / ranges) for k in range(1, ranges)) or "0.5"
     cut = f"percentile_approx(cast(`{ord_col}` as bigint), array({share}), {max(10_000, 10 * ranges)})"
-    bounds = df.groupBy(*group_cols).agg(F.array_distinct(F.expr(cut)).alias("_bounds"))
+    # the quantiles are approximate and depend on the order in which parts of them meet: written once, so that every reader of
+    # the ranges has the same ones
+    bounds = stage_table(df.groupBy(*group_cols).agg(F.array_distinct(F.expr(cut)).alias("_bounds")), "range-bounds")
     at = _bounds_at_or_below("_bounds", F.col(ord_col).cast("long"))
     at = F.when(F.col(ord_col).isNull(), F.raise_error(F.lit(f"null order key in {ord_col}"))).otherwise(at)
     return df.join(F.broadcast(bounds), list(group_cols)).withColumn("_range", at).drop("_bounds")

@@ -201,3 +201,20 @@ def test_offsets_of_sparse_and_crowded_keys(spark):
     for s, k, n in sorted(rows):
         assert got[s, k] == at
         at += n
+
+
+def test_offsets_are_gapless_when_quantiles_come_out_differently(spark):
+    """Approximate quantiles depend on the order of rows, which differs each time the input is read; offsets must not."""
+    import numpy as np
+    import pyarrow as pa
+
+    from shardloom.plans.ordering import with_offsets
+
+    def dealt(batches):
+        rows = pa.Table.from_batches(list(batches))
+        yield from rows.take(pa.array(np.random.default_rng().permutation(len(rows)))).to_batches()
+
+    df = spark.range(0, 300_000, 1, 2).selectExpr("0 AS source_ord", "id * 7 AS doc_ord", "id % 5 AS n")
+    df = df.mapInArrow(dealt, df.schema)
+    got = with_offsets(df, "n", 16).toPandas().sort_values("doc_ord")
+    assert len(got) == 300_000 and (got.g == got.n.cumsum() - got.n).all()
