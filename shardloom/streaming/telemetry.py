@@ -2,9 +2,11 @@
 
 Records ``(run, step, micro_step, rank, loss, ts)``.  A record is known by its run, step, rank and micro step, so one that is sent
 again counts once, as its earliest time has it.  An arbitrary stateful operator (``transformWithState``) keeps the records of a step
-until its ``W*A`` are there; then the step is written and its state ends.  A step that stays open has a timer: after ``idle_ms`` of
-processing time without its last records it is written as it is, marked ``expired``, and its state ends too.  So state is bounded by the steps
-that are open, whatever the run's length.  There is no watermark, so no record is too late, however far the runs are apart.
+until its ``W*A`` are there; then the step is written and its state ends.  A step that stays open is due after ``idle_ms`` of
+processing time: without its last records it is then written as it is, marked ``expired``, and its state ends too.  So state is bounded by the
+steps that are open, whatever the run's length.  There is no watermark, so no record is too late, however far the runs are apart.
+State is keyed by run and block of neighbouring steps (``BLOCK_RECORDS``), with a timer for the step of the block that is due first: a
+call for each step would cost more than its records.  A checkpoint of the version that was keyed by step can't be gone on from.
 
 Every micro-batch writes, under its id (a replay replaces it), a row for each step that it touched: the step's records so far
 (``W*A`` at most).  A record that comes after its step's state has ended starts a row of its own, and readers put the rows of a step
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +30,11 @@ from ..session import ship_package
 RECORD = ("run", "step", "rank", "micro_step")
 #: Processing time after which an open step is written as it is.
 IDLE_MS = 3_600_000
-_STATE = "rank array<long>, micro_step array<long>, ts array<long>, loss array<double>, timer long"
+_STATE = "step array<long>, rank array<long>, micro_step array<long>, ts array<long>, loss array<double>, due array<long>, timer long"
+#: Records of a block of steps when all its steps are open, or one step's if that has more.
+BLOCK_RECORDS = 8192
+#: A time that is not known, in the state.
+_NO_TIME = -(1 << 63)
 TOUCHED = "run string, step long, status string, n_records long, rank array<long>, micro_step array<long>, ts array<long>, loss array<double>"
 #: The state store that has timers, and no micro-batch without data in a run that is to end: with processing-time timers there would
 #: always be another one.
@@ -36,7 +43,9 @@ _ENDING = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 class StepRecords(StatefulProcessor):
-    """The records of an open step; ``full`` of them end it."""
+    """The records of the open steps of a block of steps; ``full`` of a step's end it.
+
+    A block is called once a micro-batch and works on its records as arrays, so the calls grow with blocks, not with steps."""
 
     def __init__(self, full: int, idle_ms: int):
         self.full, self.idle_ms = full, idle_ms
@@ -45,37 +54,75 @@ class StepRecords(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("records", _STATE)
 
-    def _row(self, key, status: str, records: dict) -> pd.DataFrame:
-        places = sorted(records)
-        row = {"run": [key[0]], "step": [key[1]], "status": [status], "n_records": [len(places)], "rank": [[p[0] for p in places]], "micro_step": [[p[1] for p in places]],
-               "ts": [[records[p][0] for p in places]], "loss": [[records[p][1] for p in places]]}
-        return pd.DataFrame(row)
+    @staticmethod
+    def _merged(records: list[np.ndarray]) -> list[np.ndarray]:
+        """Records by step and place, each once as its earliest time has it; a step is due when its first one is, and touched if one is."""
+        step, rank, micro, ts, loss, due, touched = records
+        order = np.lexsort((np.where(np.isnan(loss), -np.inf, loss), ts, micro, rank, step))
+        step, rank, micro, ts, loss, due, touched = (x[order] for x in records)
+        if len(step):
+            first = np.r_[True, step[1:] != step[:-1]]
+            at, of = np.flatnonzero(first), np.cumsum(first) - 1
+            due, touched = np.minimum.reduceat(due, at)[of], np.maximum.reduceat(touched, at)[of]
+            kept = first | np.r_[True, (rank[1:] != rank[:-1]) | (micro[1:] != micro[:-1])]
+            return [x[kept] for x in (step, rank, micro, ts, loss, due, touched)]
+        return [step, rank, micro, ts, loss, due, touched]
+
+    @staticmethod
+    def _rows(key, records: list[np.ndarray], status) -> pd.DataFrame:
+        """A row for each step of ``records``, which are in order; ``status`` says what a step with so many is."""
+        step, rank, micro, ts, loss = records[:5]
+        at = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]).tolist()
+        ends = [*at[1:], len(step)]
+        times = [None if t == _NO_TIME else t for t in ts.tolist()]
+        lists = [[x[a:b] for a, b in zip(at, ends)] for x in (rank.tolist(), micro.tolist(), times, loss.tolist())]
+        sizes = [b - a for a, b in zip(at, ends)]
+        steps = [None] * len(at) if key[1] is None else step[at].tolist()
+        return pd.DataFrame({"run": [key[0]] * len(at), "step": pd.Series(steps, dtype="Int64"), "status": [status(n) for n in sizes], "n_records": sizes,
+                             "rank": lists[0], "micro_step": lists[1], "ts": lists[2], "loss": lists[3]})
+
+    def _held(self) -> tuple[list[np.ndarray], int | None]:
+        """The records in the state, and its timer."""
+        held = self.state.get() if self.state.exists() else None
+        lists = held[:6] if held else [[]] * 6
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.float64, np.int64)
+        records = [np.array(x, kind) for x, kind in zip(lists, kinds)]
+        return [*records, np.zeros(len(records[0]), np.int64)], held[6] if held else None
+
+    def _hold(self, records: list[np.ndarray], timer: int | None) -> None:
+        """Keep the records, with a timer for the step that is due first; ``timer`` is the one that there is."""
+        wanted = int(records[5].min()) if len(records[5]) else None
+        if timer is not None and timer != wanted:
+            self.handle.deleteTimer(timer)
+        if wanted is None:
+            self.state.clear()
+            return
+        if timer != wanted:
+            self.handle.registerTimer(wanted)
+        self.state.update((*(x.tolist() for x in records[:6]), wanted))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        records = {(a, b): (t, x) for a, b, t, x in zip(*held[:4])} if held else {}
+        records, timer = self._held()
+        due = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
         for part in rows:
-            for place_rank, place_micro, t, x in zip(part["rank"].tolist(), part["micro_step"].tolist(), part["ts_us"].tolist(), part["loss"].tolist()):
-                place = (int(place_rank), int(place_micro))
-                records[place] = min(records.get(place, (t, x)), (t, x))
-        if len(records) >= self.full:
-            if held:
-                self.handle.deleteTimer(held[4])
-                self.state.clear()
-            yield self._row(key, "complete", records)
-            return
-        timer = held[4] if held else timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
-        if not held:
-            self.handle.registerTimer(timer)
-        places = sorted(records)
-        self.state.update(([p[0] for p in places], [p[1] for p in places], [records[p][0] for p in places], [records[p][1] for p in places], timer))
-        yield self._row(key, "open", records)
+            n = len(part)
+            step = np.zeros(n, np.int64) if key[1] is None else part["step"].to_numpy(np.int64)
+            ts = part["ts_us"].fillna(_NO_TIME).to_numpy(np.int64)
+            new = [step, part["rank"].astype(np.int64).to_numpy(), part["micro_step"].astype(np.int64).to_numpy(), ts, part["loss"].to_numpy(np.float64),
+                   np.full(n, due), np.ones(n, np.int64)]
+            records = self._merged([np.concatenate(x) for x in zip(records, new)])
+        step, touched = records[0], records[6] > 0
+        _, of, sizes = np.unique(step, return_inverse=True, return_counts=True)
+        self._hold([x[sizes[of] < self.full] for x in records], timer)
+        if touched.any():
+            yield self._rows(key, [x[touched] for x in records], lambda n: "complete" if n >= self.full else "open")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            held = self.state.get()
-            self.state.clear()
-            yield self._row(key, "expired", {(a, b): (t, x) for a, b, t, x in zip(*held[:4])})
+        records, timer = self._held()
+        over = records[5] <= max(timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        if over.any():
+            self._hold([x[~over] for x in records], timer)
+            yield self._rows(key, [x[over] for x in records], lambda n: "expired")
 
     def close(self) -> None:
         pass
@@ -85,9 +132,11 @@ def live_steps(records: DataFrame, spec: TelemetrySpec = TelemetrySpec(), idle_m
     """The stream of steps that micro-batches touch: ``TOUCHED``, times in microseconds."""
     ship_package(records.sparkSession)
     us = F.expr("unix_micros(cast(ts as timestamp))").alias("ts_us")
+    full = spec.W * spec.A
     rows = records.select("run", F.col("step").cast("long"), F.col("rank").cast("long"), F.col("micro_step").cast("long"), F.col("loss").cast("double"), us)
-    return rows.groupBy("run", "step").transformWithStateInPandas(
-        statefulProcessor=StepRecords(spec.W * spec.A, idle_ms), outputStructType=TOUCHED, outputMode="Update", timeMode="ProcessingTime")
+    rows = rows.withColumn("block", F.expr(f"step div {max(1, BLOCK_RECORDS // full)}"))
+    return rows.groupBy("run", "block").transformWithStateInPandas(
+        statefulProcessor=StepRecords(full, idle_ms), outputStructType=TOUCHED, outputMode="Update", timeMode="ProcessingTime")
 
 
 def start_live_step_loss(records: DataFrame, out: str, checkpoint: str, spec: TelemetrySpec = TelemetrySpec(),
@@ -142,4 +191,6 @@ def open_steps(spark: SparkSession, out: str, spec: TelemetrySpec = TelemetrySpe
 def open_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What the stream's state holds after its last micro-batch: ``(run, step, n_records)`` of each open step."""
     held = spark.read.format("statestore").option("stateVarName", "records").load(checkpoint)
-    return held.select("key.run", "key.step", F.size("value.rank").cast("long").alias("n_records"))
+    each = held.select("key.run", "key.block", F.explode("value.step").alias("step"))
+    step = F.when(F.col("block").isNotNull(), F.col("step")).alias("step")
+    return each.groupBy("run", step).agg(F.count(F.lit(1)).alias("n_records"))

@@ -6,6 +6,7 @@ import os
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -200,6 +201,61 @@ def test_idle_steps_are_written_and_late_records_still_count(spark, tmp_dir):
     assert got == {0: 1.0, 1: 2.0, 2: 3.0} and ST.open_steps(spark, out, spec).count() == 0
 
 
+class _Handle:
+    """State and timers of one key, in memory."""
+
+    def __init__(self):
+        self.value, self.timers, self.now = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+
+def test_a_block_of_steps_is_one_call(spark):
+    handle, one = _Handle(), ST.StepRecords(full=2, idle_ms=10)
+    one.init(handle)
+
+    def call(*rows):
+        part = pd.DataFrame(rows, columns=["step", "rank", "micro_step", "ts_us", "loss"])
+        out = list(one.handleInputRows(("a", 0), iter([part[:1], part[1:]]), handle))
+        return [(r.step, r.status, r.rank, r.ts) for o in out for r in o.itertuples()], len(out)
+
+    assert call((3, 0, 0, 5, 1.0), (1, 0, 0, 9, 1.0), (1, 1, 0, 8, 1.0), (3, 0, 0, 4, 2.0)) == ([(1, "complete", [0, 1], [9, 8]), (3, "open", [0], [4])], 1)
+    handle.now = 4
+    assert call((2, 1, 0, None, 1.0)) == ([(2, "open", [1], [None])], 1) and handle.timers == [10]
+    assert call((1, 1, 0, 8, 1.0)) == ([(1, "open", [1], [8])], 1) and handle.timers == [10]
+    handle.now = 12
+    late = [o for o in one.handleExpiredTimer(("a", 0), handle, handle)]
+    assert [(r.step, r.status) for o in late for r in o.itertuples()] == [(3, "expired")] and handle.timers == [14]
+    assert call((2, 0, 0, 1, 1.0)) == ([(2, "complete", [0, 1], [1, None])], 1)
+    assert call((1, 0, 0, 9, 1.0)) == ([(1, "complete", [0, 1], [9, 8])], 1) and handle.timers == [] and handle.value is None
+    none = list(one.handleInputRows((None, None), iter([pd.DataFrame({"step": [None], "rank": [0], "micro_step": [0], "ts_us": [1], "loss": [1.0]})]), handle))
+    assert none[0].step.isna().tolist() == [True] and none[0].n_records.tolist() == [1]
+
+
 # -- backoff model ----------------------------------------------------------------------
 
 
