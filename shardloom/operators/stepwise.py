@@ -64,7 +64,10 @@ def _step(open_prompts: DataFrame, model: DataFrame, order: int, seed: int) -> D
     for size in range(order - 1, -1, -1):
         known = model.where(F.col("n") == size).select(F.col("context").alias(f"_x{size}"), F.col("bs").alias(f"_b{size}"), F.col("cs").alias(f"_c{size}"))
         context = F.array_join(F.slice("tokens", F.greatest(F.size("tokens") - F.lit(size - 1), F.lit(1)), size), " ") if size else F.lit("")
-        rows = rows.withColumn(f"_x{size}", F.when(F.size("tokens") >= size, context)).join(known, f"_x{size}", "left")
+        context = F.when(F.size("tokens") >= size, context).alias(f"_x{size}")
+        # what is asked for meets the model first: an outer join would shuffle and sort the whole model in every pass
+        asked = open_prompts.select(context).where(F.col(f"_x{size}").isNotNull()).distinct()
+        rows = rows.withColumn(f"_x{size}", context).join(known.join(asked, f"_x{size}"), f"_x{size}", "left")
     sizes = range(order - 1, -1, -1)
     rows = rows.withColumns({"_bs": F.coalesce(*[F.col(f"_b{s}") for s in sizes]), "_cs": F.coalesce(*[F.col(f"_c{s}") for s in sizes])})
     token = picked(draw(seed), F.col("_bs"), F.col("_cs")).cast("int")

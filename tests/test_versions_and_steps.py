@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,3 +136,17 @@ def test_generation_by_joins_equals_plain(spark, order):
     assert SW.generate_by_joins(none, model, order, 12).count() == 0
     with pytest.raises(ValueError, match="no token"):
         SW.generate_by_joins(df, model.where("n > 0"), order, 12)
+
+
+def test_a_step_shuffles_prompts_and_not_the_model(spark, tmp_dir):
+    spark.createDataFrame([("r", i, [i, i + 1]) for i in range(20)], "run string, item_id long, tokens array<int>").coalesce(1).write.parquet(f"{tmp_dir}/prompts")
+    model = spark.range(50_000).selectExpr("int(id % 3) AS n", "if(id % 3 = 0, '', concat_ws(' ', id, if(id % 3 = 2, id + 1, null))) AS context", "array(int(id % 7)) AS bs", "array(1L) AS cs")
+    model.where("n > 0 OR context = ''").coalesce(1).write.parquet(f"{tmp_dir}/model")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # prompts are below, the model is above
+    try:
+        stepped = SW._step(spark.read.parquet(f"{tmp_dir}/prompts"), spark.read.parquet(f"{tmp_dir}/model"), 3, 42)
+        plan = stepped._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"BroadcastHashJoin [^\n]* Inner, BuildRight", plan)) == 3
