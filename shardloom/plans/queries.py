@@ -679,7 +679,7 @@ def q_step_documents(spark, sf):
 
 STREAM_BATCHES = 4
 STOP_AFTER = 2                     # micro-batches before the stopped stream fails
-STREAM_FILE_BYTES = 64 << 20       # of a part's bytes, as the planner estimates them, in each of its files
+STREAM_FILE_BYTES = 4 << 20        # of a part's bytes, as the planner estimates them, in each of its files; a file is one task's
 
 
 def _arriving(spark, rows: DataFrame, order_col: str, name: str, file_bytes: int = STREAM_FILE_BYTES):

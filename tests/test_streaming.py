@@ -161,3 +161,13 @@ def test_null_order_key_fails_the_stream_as_it_fails_the_batch(spark, tmp_dir):
     stream = Q._arriving(spark, docs, "doc_ord", "null-docs")
     with pytest.raises(Exception, match="null order key"):
         start_incremental_packing(stream, f"{tmp_dir}/no", f"{tmp_dir}/nock", ByteTokenizer(spark), PackSpec("s", shard_tokens=10)).awaitTermination()
+
+
+def test_a_part_of_some_megabytes_is_read_by_several_tasks(spark, tmp_dir, monkeypatch):
+    from shardloom.plans import queries as Q
+
+    monkeypatch.setattr(Q, "staging_path", lambda *_: f"{tmp_dir}/parts")
+    rows = spark.range(0, 4_000_000, 1, 4).selectExpr("id AS doc_ord", "0 AS source_ord")
+    Q._arriving(spark, rows, "doc_ord", "parts")
+    assert Q._parquet_files(spark, f"{tmp_dir}/parts") >= 2 * Q.STREAM_BATCHES
+    assert spark.read.parquet(f"{tmp_dir}/parts").count() == 4_000_000
