@@ -250,7 +250,8 @@ class WordTokenizer(Tokenizer):
             table = _WORKER_CACHE.get(key)
             if table is None:
                 table = _WORKER_CACHE[key] = dict(enumerate(bc.value, 1)) | {eot_id: EOT_TEXT}
-            return pa.array([None if row is None else " ".join(words_of(row, table)) for row in ids.to_pylist()], pa.string())
+            # a row's ids at a time: as Python integers those of a whole batch take ten times its memory
+            return pa.array((" ".join(words_of(row.as_py(), table)) if row.is_valid else None for row in ids), pa.string())
 
         return word_decode
 

@@ -132,3 +132,19 @@ def test_word_encoding_is_the_same_in_small_slices(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
     rows = df.select("t", tok.encode(df.t, eot=False).alias("ids"), tok.decode(tok.encode(df.t, eot=False)).alias("back")).collect()
     assert all(r.back == r.t for r in rows)
+
+
+def test_decoding_holds_the_integers_of_a_row_and_not_of_a_batch(spark):
+    import tracemalloc
+
+    tok = WordTokenizer(spark, [f"w{k}" for k in range(2000)])
+    decode = tok._decode_udf.func
+    ids = pa.array([list(range(1001, 1501))] * 4000 + [None], pa.list_(pa.int32()))
+    want = " ".join(f"w{k}" for k in range(1000, 1500))
+    decode(ids[:1])
+    tracemalloc.start()
+    got = decode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].as_py() == want and got[3999].as_py() == want and not got[4000].is_valid
+    assert peak < 4 * 4000 * len(want)  # the texts are 12 MB, the batch's ids as integers more than 70 MB
