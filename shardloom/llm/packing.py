@@ -24,6 +24,8 @@ from .common import slices, staged
 from .wordbpe import encoder
 
 CAPACITY = 4096
+#: Bytes of text that are encoded at once: what is made of them is many times that in a worker, which other stages use as well.
+ENCODE_BYTES = 1 << 20
 
 
 def shortest_pack_first(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -88,7 +90,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) ->
         # the partition's number: the same input is ranked alike in every run, and a task that runs again replaces its rows
         bert, part_key, seen = encoder(path), f"{TaskContext.get().partitionId():010d}", np.zeros(capacity + 1, np.int64)
         kind = "<u2" if len(bert.ends) <= 1 << 16 else "<u4"
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", ENCODE_BYTES):
             ids, n = bert.encode([t or "" for t in part.column("text").to_pylist()])
             full = np.full(len(ids) + len(n), end_id, np.dtype("<u4"))
             full[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
