@@ -3,7 +3,7 @@
 A Python data source, ``token_npy``, for any store pyarrow has a file system for.
 
 * **Reading** splits a shard by byte ranges: a task reads the header's dtype and shape once more and then only its own stretch, so a
-  shard of any size spreads over many tasks.  Rows are stretches of ``chunk`` tokens with their position.
+  shard of any size spreads over many tasks, and a task reads many small shards one after the other.  Rows are stretches of ``chunk`` tokens with their position.
 * **Writing** takes rows ``(file_name, n_tokens, pos, tokens)`` in order of position.  The header needs the length first, which every
   row carries (the manifest knows it), so tokens stream through and no shard is held.  A task writes under ``_temporary``; only the
   driver's commit moves files to their names, and a task that fails, or a job that is aborted, leaves none.
@@ -32,7 +32,7 @@ FORMAT = "token_npy"
 SCHEMA = "data_name string, split string, shard_id long, pos long, tokens array<int>"
 FILE_NAME = re.compile(rf"(?P<data_name>.+)_(?P<shard>\d{{6,}})(?:_(?P<split>{'|'.join(SPLIT_LABELS)}))?\.npy")
 #: Tokens of a row, and of a partition, unless the reader's options say otherwise.
-CHUNK, PART = 1 << 16, 1 << 24
+CHUNK, PART = 1 << 16, 1 << 22
 _TEMPORARY = "_temporary"
 
 
@@ -73,18 +73,25 @@ class Stretch(InputPartition):
     end: int
 
 
+@dataclass
+class Stretches(InputPartition):
+    """What a task reads: stretches of one shard or of several."""
+
+    each: list[Stretch]
+
+
 class NpyReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split, self.data_name = options["path"], options.get("split"), options.get("data_name")
         self.chunk, self.part = int(options.get("chunk", CHUNK)), int(options.get("part", PART))
 
-    def partitions(self) -> list[Stretch]:
-        """Byte ranges of the wanted shards, cut at rows; from names and headers alone."""
+    def partitions(self) -> list[Stretches]:
+        """Byte ranges of the wanted shards, cut at rows, put together up to a partition's tokens; from names and sizes alone."""
         from pyarrow import fs
 
         store, top = file_system(self.path)
         step = max(1, self.part // self.chunk) * self.chunk
-        found = []
+        found, sizes = [], []
         for info in sorted(store.get_file_info(fs.FileSelector(top)), key=lambda i: i.base_name):
             name = FILE_NAME.fullmatch(info.base_name)
             if not info.is_file or not name or self.split not in (None, name["split"]) or self.data_name not in (None, name["data_name"]):
@@ -92,11 +99,14 @@ class NpyReader(DataSourceReader):
             # a flat shard's length follows from its size: the header is read where the tokens are
             most = max(1, info.size // 2)
             found += [Stretch(info.path, name["data_name"], name["split"], int(name["shard"]), a, a + step) for a in range(0, most, step)]
-        return found or [Stretch("", "", None, 0, 0, 0)]
+            sizes += [min(step, most - a) for a in range(0, most, step)]
+        return [Stretches(part) for part in _together(found, sizes, step)] or [Stretches([])]
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
+        for stretch in partition.each:
+            yield from self._read(stretch)
+
+    def _read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         store, _ = file_system(self.path)
         with store.open_input_file(partition.path) as stream:
             n, begin = read_header(stream)
@@ -111,6 +121,18 @@ class NpyReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(columns, names=["data_name", "split", "shard_id", "pos", "tokens"])
 
 
+def _together(found: list[Stretch], sizes: list[int], most: int) -> list[list[Stretch]]:
+    """Neighbouring stretches of at most ``most`` tokens in all, one at least."""
+    groups, held = [], 0
+    for stretch, size in zip(found, sizes):
+        if not groups or held + size > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(stretch)
+        held += size
+    return groups
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]] = field(default_factory=list)  # temporary path, name

@@ -52,6 +52,15 @@ def test_numpy_reads_what_is_written_and_ranges_read_it_back(spark, tmp_dir):
         assert back == tokens
 
 
+def test_a_task_reads_many_small_shards(spark, tmp_dir):
+    fragments, manifest, tokens = flat(spark, [900] * 30)
+    NP.write_npy_shards(fragments, manifest, tmp_dir)
+    back = NP.read_npy_shards(spark, tmp_dir)
+    assert back.rdd.getNumPartitions() == 1 and {r.shard_id: r.tokens for r in back.collect()} == tokens
+    some = spark.read.format(NP.FORMAT).option("path", tmp_dir).option("chunk", 500).option("part", 4500).load()
+    assert 5 <= some.rdd.getNumPartitions() <= 10 and some.count() == 60
+
+
 def test_arrays_that_numpy_saved_are_read(spark, tmp_dir):
     np.save(f"{tmp_dir}/web_data_000007.npy", np.arange(10, dtype=np.uint16))
     np.save(f"{tmp_dir}/web_data_000008_testing.npy", np.arange(3, dtype=np.uint16))
