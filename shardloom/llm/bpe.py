@@ -7,8 +7,9 @@ A text is split by the file's pattern.  Each pre-token takes one of two ways:
 * the rest are merged: the bytes form a doubly **linked list**, a **heap** holds (rank, place) of adjacent pairs, and the lowest
   rank, leftmost first, is merged until no pair has a rank.  O(n log n) in the pre-token's bytes, however long it is.
 
-A worker keeps the ids of the pre-tokens it has met (``MEMO_WORDS`` at most, then it starts anew), so each way is taken once for a
-distinct pre-token.  Rows are independent: no shuffle, and a lost task is simply run again.
+A worker keeps the ids of the pre-tokens it has met (once it has ``MEMO_WORDS`` it starts anew with the next slice), so each way is
+mostly taken once for a distinct pre-token.  Rows are independent: no shuffle, and a lost task is simply run again.  Decoding needs the
+vocabulary's bytes alone, so a decoding worker holds neither hash nor memo; both ways hold about ``SLICE_BYTES`` of text at a time.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows and repeated or null ids each give a row;
 extra columns pass through, and a column named like a result column is replaced.  Ids are held as little-endian unsigned 32-bit
@@ -25,11 +26,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import MEMO_WORDS, mix, ragged, with_columns
 
 _LETTER_LIMIT = 0x180
+#: Bytes of text, or of ids, that a worker splits or decodes at once: what is made of them is many times that.
+SLICE_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -147,26 +149,40 @@ def splitter(pattern: str):
     return lambda text: (full if not text.isascii() and wide.search(text) else narrow).findall(text)
 
 
-class ByteBpe:
+class ByteDecoder:
+    """Decoder of a vocabulary."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        self.bytes_of = np.frombuffer(b"".join(vocabulary), np.uint8)
+        self.length = np.array([len(w) for w in vocabulary], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids; an id outside the vocabulary is an error."""
+        if len(ids) and int(ids.max()) >= len(self.length):
+            raise ValueError(f"id {int(ids.max())} is outside the vocabulary of {len(self.length)}")
+        return self.bytes_of[ragged(self.start[ids], self.length[ids])].tobytes()
+
+
+class ByteBpe(ByteDecoder):
     """Encoder and decoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = read_ranks(path)
+        super().__init__(self.vocabulary)
         self.whole = PerfectHash(self.vocabulary)
         self.ranks = {w: i for i, w in enumerate(self.vocabulary)}
         self.split = splitter(pattern)
-        self.bytes_of = np.frombuffer(b"".join(self.vocabulary), np.uint8)
-        self.length = np.array([len(w) for w in self.vocabulary], np.int64)
-        self.start = np.cumsum(self.length) - self.length
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def ids_of(self, word: str) -> tuple[int, ...]:
+    def ids_of(self, word: str) -> bytes:
+        """Ids of a pre-token, as little-endian unsigned 32-bit integers."""
         data = word.encode()
         one = self.whole.get(data)
-        return (one,) if one is not None else tuple(merge(data, self.ranks.get))
+        return np.array([one] if one is not None else merge(data, self.ranks.get), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -175,16 +191,11 @@ class ByteBpe:
         known, ids_of, split = self.known, self.ids_of, [self.split(t) for t in texts]
         for word in set(chain.from_iterable(split)).difference(known):
             known[word] = ids_of(word)
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32) for words in split]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids; an id outside the vocabulary is an error."""
-        if len(ids) and int(ids.max()) >= len(self.vocabulary):
-            raise ValueError(f"id {int(ids.max())} is outside the vocabulary of {len(self.vocabulary)}")
-        return self.bytes_of[ragged(self.start[ids], self.length[ids])].tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
 
 
 _made: dict[tuple[str, str], ByteBpe] = {}
+_decoders: dict[str, ByteDecoder] = {}
 
 
 def codec(path: str, pattern: str) -> ByteBpe:
@@ -194,21 +205,27 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _made[path, pattern]
 
 
+def decoder(path: str) -> ByteDecoder:
+    """The worker's decoder of a file."""
+    if path not in _decoders:
+        _decoders[path] = ByteDecoder(read_ranks(path))
+    return _decoders[path]
+
+
 def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) of its texts."""
 
     def compute(texts):
         ids = codec(path, pattern).encode(texts)
-        return [len(x) for x in ids], [x.astype("<u4").tobytes() for x in ids]
+        return [len(x) for x in ids], [x.tobytes() for x in ids]
 
-    return with_columns(df, text, [pa.field("n_tokens", pa.int64()), pa.field("ids", pa.binary())], compute)
+    return with_columns(df, text, [pa.field("n_tokens", pa.int64()), pa.field("ids", pa.binary())], compute, SLICE_BYTES)
 
 
 def decode_documents(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """``df`` with ``decoded``: the bytes that its ``ids`` stand for (null: none)."""
 
-    @F.pandas_udf("binary")
-    def decoded(ids):
-        return ids.map(lambda x: codec(path, pattern).decode(np.frombuffer(x or b"", "<u4")))
+    def compute(ids):
+        return [[decoder(path).decode(np.frombuffer(x or b"", "<u4")) for x in ids]]
 
-    return df.withColumn("decoded", decoded("ids"))
+    return with_columns(df, "ids", [pa.field("decoded", pa.binary())], compute, SLICE_BYTES)

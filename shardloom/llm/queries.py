@@ -16,7 +16,7 @@ WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode_documents(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
-    back = bpe.decode_documents(ids, BYTE_RANKS, public_tokenizers.PATTERN)
+    back = bpe.decode_documents(ids.drop("text"), BYTE_RANKS, public_tokenizers.PATTERN)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

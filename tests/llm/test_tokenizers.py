@@ -75,6 +75,20 @@ def test_unknown_id_is_an_error():
         bpe.codec(BYTE, PATTERN).decode(np.array([10**6]))
 
 
+def test_decoding_needs_no_encoder(spark):
+    """F-op1: a worker that only decodes holds the vocabulary's bytes, and gets no more text than it asks for."""
+    few, words = bpe.decoder(BYTE), bpe.read_ranks(BYTE)
+    assert not isinstance(few, bpe.ByteBpe) and not {"whole", "ranks", "known"} & set(vars(few))
+    ids = np.arange(0, len(words), 97)
+    assert few.decode(ids) == b"".join(words[i] for i in ids)
+    with pytest.raises(ValueError):
+        few.decode(np.array([len(words)]))
+    assert bpe.SLICE_BYTES <= 1 << 20
+    df = spark.createDataFrame([(1, np.array([256, 257], "<u4").tobytes()), (2, None), (None, b"")], "doc_id long, ids binary")
+    got = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode_documents(df, BYTE, PATTERN).collect()}
+    assert got == {1: words[256] + words[257], 2: b"", None: b""}
+
+
 def test_op1_edges(edge, empty, tik):
     back = bpe.decode_documents(bpe.encode_documents(edge, BYTE, PATTERN), BYTE, PATTERN)
     got = [(r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in back.collect()]
