@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..config import TOKEN_LIMIT, WindowSpec
 from ..session import ship_package
 from .batches import batch_schedule
-from .countmodel import _check_vocab, context_totals, unfolded
+from .countmodel import _check_vocab, context_totals, pair_counts, unfolded
 
 
 def score_sequences(seqs: DataFrame, fn: Callable, keys: Sequence[str] = ("split", "shard_id", "seq"),
@@ -89,13 +89,12 @@ def staged_scorer(log_probs: np.ndarray, stages: int = 3) -> Callable:
     return fn
 
 
-def _dealt_pairs(test_seqs: DataFrame, test_manifest: DataFrame, spec: WindowSpec, max_steps: int) -> DataFrame:
-    """``(rank, n_reads, shard_id, batch, a, b)`` per target of the batches that
-    ``max_steps`` loader calls read."""
+def _dealt_sequences(test_seqs: DataFrame, test_manifest: DataFrame, spec: WindowSpec, max_steps: int) -> DataFrame:
+    """The sequences of the batches that ``max_steps`` loader calls read, with
+    their ``rank``, ``batch`` and ``n_reads``."""
     schedule = batch_schedule(test_manifest, spec, 1, max_steps)
     dealt = schedule.groupBy("rank", "shard_id", "batch").agg(F.count(F.lit(1)).alias("n_reads"))
-    held = test_seqs.withColumn("batch", F.expr(f"seq div {spec.B}")).join(dealt, ["shard_id", "batch"])
-    return unfolded(held, "rank", "n_reads", "shard_id", "batch")
+    return test_seqs.withColumn("batch", F.expr(f"seq div {spec.B}")).join(dealt, ["shard_id", "batch"])
 
 
 def _with_nll(pairs: DataFrame, counts: DataFrame, vocab_size: int):
@@ -109,10 +108,10 @@ def test_rank_losses(test_seqs: DataFrame, test_manifest: DataFrame, counts: Dat
     """D7 without a row per batch: ``(run, rank, loss)``, the sum of batch
     losses over ``max_steps``.  All batches have ``B*T`` targets, so a rank's
     loss is a sum over its distinct pairs, weighted by how often each is read;
-    pairs collapse map-side before anything is shuffled, hot ones too."""
+    pairs are counted within tasks before anything is shuffled, hot ones too."""
     _check_vocab(vocab_size)
-    dealt = _dealt_pairs(test_seqs, test_manifest, spec, max_steps)
-    per = dealt.groupBy("rank", "a", "b").agg(F.sum("n_reads").alias("n"))
+    dealt = _dealt_sequences(test_seqs, test_manifest, spec, max_steps)
+    per = pair_counts(dealt, "rank", "n_reads").select("rank", "a", "b", (F.col("n_reads") * F.col("c")).alias("n"))
     j, nll = _with_nll(per, counts, vocab_size)
     total = F.sum(F.col("n") * nll) / F.lit(float(spec.B * spec.T * max_steps))
     return j.groupBy("rank").agg(total.alias("loss")).select(F.lit(run).alias("run"), "rank", "loss")
@@ -126,7 +125,8 @@ def test_batch_losses(test_seqs: DataFrame, test_manifest: DataFrame, counts: Da
 
     Sequences join the batches before their tokens are unfolded."""
     _check_vocab(vocab_size)
-    per = (_dealt_pairs(test_seqs, test_manifest, spec, max_steps).groupBy("rank", "shard_id", "batch", "a", "b")
+    dealt = unfolded(_dealt_sequences(test_seqs, test_manifest, spec, max_steps), "rank", "n_reads", "shard_id", "batch")
+    per = (dealt.groupBy("rank", "shard_id", "batch", "a", "b")
            .agg(F.count(F.lit(1)).alias("n"), F.first("n_reads").alias("n_reads")))
     j, nll = _with_nll(per, counts, vocab_size)
     return (j.groupBy("rank", "shard_id", "batch")

@@ -43,8 +43,8 @@ GPT2_PATTERN = (r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
                 r"""|\s+(?!\S)|\s+""")
 EOT_TEXT = "<|endoftext|>"
 
-# Bytes of text that the word mode splits at once.
-SLICE_BYTES = 1 << 20
+# Bytes of text that the word mode splits at once, and those whose words are counted at once.
+SLICE_BYTES, COUNT_BYTES = 1 << 20, 1 << 23
 
 # Per Python-worker cache of objects rebuilt from broadcast values.
 _WORKER_CACHE: dict = {}
@@ -71,12 +71,12 @@ def _prepend(ids: np.ndarray, lengths: np.ndarray, eot: Optional[int]) -> pa.Lis
                                     pa.array(values, pa.int32()))
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """The texts in runs of about ``SLICE_BYTES``, one text at least, so that what is made of words is small beside an Arrow batch."""
+def _slices(texts: pa.Array, size: Optional[int] = None) -> Iterator[pa.Array]:
+    """The texts in runs of about ``size`` (``SLICE_BYTES``) bytes, one text at least, so that what is made of words is small beside an Arrow batch."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at, done = 0, 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + (size or SLICE_BYTES), "right")))
         yield texts.slice(at, to - at)
         at, done = to, int(ends[to - 1])
 
@@ -130,9 +130,18 @@ class WordTokenizer(Tokenizer):
     # -- fitting -------------------------------------------------------------
     @staticmethod
     def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """Word frequencies; partial aggregation collapses hot words map-side."""
-        return (docs.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("word"))
-                .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
+        """Word frequencies; words are split and counted by slices of an Arrow
+        batch, so no row is made for an occurrence and hot words collapse map-side."""
+        ship_package(docs.sparkSession)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in _slices(batch.column(0), COUNT_BYTES):
+                    found = pc.value_counts(pc.split_pattern(part, " ").flatten())
+                    yield pa.RecordBatch.from_arrays(found.flatten(), ["word", "count"])
+
+        found = docs.select(F.col(text_col)).mapInArrow(count, "word string, count long")
+        return found.groupBy("word").agg(F.sum("count").alias("count"))
 
     @classmethod
     def vocabulary(cls, docs: DataFrame, cap: int = C.WORD_CAP,
@@ -414,7 +423,11 @@ def in_token_range(tokens: Column, limit: int = C.TOKEN_LIMIT) -> Column:
 
 def check_token_range(df: DataFrame, col: str = "tokens", limit: int = C.TOKEN_LIMIT) -> DataFrame:
     """B4 (enforcing form): fail the job on a token outside ``[0, limit)``."""
-    return df.withColumn(col, F.when(in_token_range(F.col(col), limit), F.col(col))
+    inside = in_token_range(F.col(col), limit)
+    if not df.schema[col].dataType.containsNull:
+        # the least and the greatest are found in compiled code, unlike ``forall``
+        inside = (F.size(col) == 0) | ((F.array_min(col) >= 0) & (F.array_max(col) < F.lit(limit)))
+    return df.withColumn(col, F.when(inside, F.col(col))
                          .otherwise(F.raise_error(F.lit(f"token id outside 0 .. {limit - 1}"))))
 
 
